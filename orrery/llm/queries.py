@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .line_dedup import dedup_lines
 from .mixing import Mix
+from .pieces import decode, encode
 from .quality import fit_cutoffs, judge, measure
 from .secrets import KINDS, scan_secrets, spans_text
 from .store import stage
@@ -31,6 +32,16 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decode(encode(docs, model).drop("text"), model)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return Mix(docs).taken().select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -50,6 +61,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_quality": op3_quality,
+    "op5_pieces": op5_pieces,
     "op9_mix": op9_mix,
     "op10_secrets": op10_secrets,
 }
