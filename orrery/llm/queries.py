@@ -12,6 +12,7 @@ from .mixing import Mix
 from .pieces import decode, encode
 from .quality import fit_cutoffs, judge, measure
 from .secrets import KINDS, scan_secrets, spans_text
+from .shingle_join import near_duplicates
 from .store import stage
 
 
@@ -42,6 +43,11 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return Mix(docs).taken().select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -62,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_quality": op3_quality,
     "op5_pieces": op5_pieces,
+    "op8_shingle_join": op8_shingle_join,
     "op9_mix": op9_mix,
     "op10_secrets": op10_secrets,
 }
