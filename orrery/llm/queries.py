@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .class_lm import ClassLM, fold
 from .line_dedup import dedup_lines
 from .mixing import Mix
 from .pieces import decode, encode
@@ -43,6 +44,14 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold(F.col("doc_id"), 7) == 2
+    model = ClassLM(docs.where(~held_out).select("text"))
+    out = model.score(docs).withColumnRenamed("id", "doc_id")
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
@@ -68,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_quality": op3_quality,
     "op5_pieces": op5_pieces,
+    "op6_class_lm": op6_class_lm,
     "op8_shingle_join": op8_shingle_join,
     "op9_mix": op9_mix,
     "op10_secrets": op10_secrets,
