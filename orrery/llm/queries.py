@@ -15,6 +15,8 @@ from .quality import fit_cutoffs, judge, measure
 from .secrets import KINDS, scan_secrets, spans_text
 from .shingle_join import near_duplicates
 from .store import stage
+from .url_filter import filter_urls
+from .vector_dedup import near_vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op2_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     measured = stage(measure(docs).drop("text"), "measured")
@@ -52,6 +59,23 @@ def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+#: The dated list that the query uses: list, domain, day, added. Pages have no day of capture; theirs is taken from the id.
+LIST_EVENTS = (
+    ("gambling", "casino-win.example.com", "2024-01-10", True), ("gambling", "free-bets.example.com", "2024-03-01", True),
+    ("gambling", "casino-win.example.com", "2024-06-01", False), ("gambling", "casino-win.example.com", "2024-09-15", True),
+    ("spam", "spam-farm.example.org", "2024-02-01", True), ("spam", "cheap-pills.example.com", "2024-01-01", True),
+    ("spam", "cheap-pills.example.com", "2024-11-01", False), ("spam", "example.net", "2024-12-20", True),
+    ("spam", "example.net", "2024-12-24", False),
+)
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ", ".join(f"('{a}', '{d}', DATE '{day}', {str(added).lower()})" for a, d, day, added in LIST_EVENTS)
+    events = spark.sql(f"SELECT * FROM VALUES {rows} AS t(list, domain, day, added)")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 366).cast("int")).alias("fetched"))
+    return filter_urls(pages, events).select("page_id", "host", "blocked", "list", "domain", F.col("since").cast("string").alias("since"))
+
+
 def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
@@ -75,9 +99,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_vector_dedup": op2_vector_dedup,
     "op3_quality": op3_quality,
     "op5_pieces": op5_pieces,
     "op6_class_lm": op6_class_lm,
+    "op7_url_filter": op7_url_filter,
     "op8_shingle_join": op8_shingle_join,
     "op9_mix": op9_mix,
     "op10_secrets": op10_secrets,
@@ -97,4 +123,16 @@ SELECT a.doc_id AS doc_id, count(*) AS n_lines,
   count(*) FILTER (WHERE o.k IS NOT NULL AND o.keeper <> a.doc_id) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE o.k IS NULL OR o.keeper = a.doc_id), '')) AS kept_sha256
 FROM keyed a LEFT JOIN often o ON a.k = o.k GROUP BY a.doc_id""",
+    "op7_url_filter": f"""
+WITH events(list, domain, day, added) AS (VALUES {", ".join(f"('{a}', '{d}', DATE '{day}', {added})" for a, d, day, added in LIST_EVENTS)}),
+spans AS (
+  SELECT list, domain, day AS since, lead(day) OVER (PARTITION BY list, domain ORDER BY day) AS until, added FROM events),
+asked AS (
+  SELECT page_id, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS day,
+    nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '') AS host FROM pages),
+hits AS (
+  SELECT page_id, list, domain, since, row_number() OVER (PARTITION BY page_id ORDER BY length(domain) DESC, list) AS nth
+  FROM asked JOIN spans ON (host = domain OR ends_with(host, '.' || domain)) AND added AND since <= day AND (until IS NULL OR day < until))
+SELECT a.page_id AS page_id, a.host AS host, h.domain IS NOT NULL AS blocked, h.list AS list, h.domain AS domain, CAST(h.since AS VARCHAR) AS since
+FROM asked a LEFT JOIN hits h ON a.page_id = h.page_id AND h.nth = 1""",
 }
