@@ -1,4 +1,15 @@
-"""From raw documents to token ids in five stages."""
+"""From raw documents to token ids in five stages.
+
+Each stage takes what the one before has kept and, but for the last, returns the columns of
+``documents``; where a stage changes a text, ``n_chars`` follows. Rows of null id are treated
+as one id, below all others. Empty tables give empty tables.
+
+1. quality rules: documents that fail the base rule or a cutoff of their language go.
+2. line dedup: lines found in three documents or more stay in the one of largest id only.
+3. near duplicates: of each group the document of least id stays.
+4. mixing: documents as the mix takes them, a row for each time round; cut where a block is.
+5. pieces: ids, their number, and the text they decode to.
+"""
 
 from __future__ import annotations
 
@@ -6,18 +17,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm.line_dedup import dedup_lines
+from orrery.llm.mixing import Mix
+from orrery.llm.pieces import decode, encode
+from orrery.llm.quality import fit_cutoffs, judge, measure
+from orrery.llm.shingle_join import near_duplicates
+from orrery.llm.store import stage as stage_table
+
+COUNT = F.char_length("text").cast("long")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    measured = measure(docs)
+    cutoffs = fit_cutoffs(measured, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judge(measured, cutoffs).where("kept").select(docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    return dedup_lines(docs).withColumn("n_chars", COUNT).select(docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = near_duplicates(docs).where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id").agg(F.count("*").alias("rows"))
+    found = stage_table(found, "kept")
+    rows = docs.join(found.select(F.col("id").alias("_kept"), F.col("rows").alias("_rows")), F.col("doc_id").eqNullSafe(F.col("_kept")))
+    # Only rows that share an id can still be copies of each other.
+    if found.where("rows > 1").isEmpty():
+        return rows.select(docs.columns)
+    alone = rows.where("_rows = 1").select(docs.columns)
+    return alone.unionByName(rows.where("_rows > 1").select(docs.columns).dropDuplicates(["doc_id", "text"]))
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return Mix(docs).mixed().withColumn("n_chars", COUNT).select(docs.columns)
+
+
+def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    rows = docs.select("doc_id", "source", "lang", "text")
+    return decode(encode(rows, model).drop("text"), model).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
-STAGES = [("line_dedup", line_stage)]
+STAGES = [("quality", quality_stage), ("line_dedup", line_stage), ("near_duplicates", near_stage), ("mix", mix_stage), ("pieces", piece_stage)]
+#: The mix and the piece ids cannot be put in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stage_table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .class_lm import ClassLM, fold
+from .html_text import extract_text
 from .line_dedup import dedup_lines
 from .mixing import Mix
 from .pieces import decode, encode
@@ -41,6 +42,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -101,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_vector_dedup": op2_vector_dedup,
     "op3_quality": op3_quality,
+    "op4_html_text": op4_html_text,
     "op5_pieces": op5_pieces,
     "op6_class_lm": op6_class_lm,
     "op7_url_filter": op7_url_filter,
