@@ -23,7 +23,8 @@ from orrery.llm.quality import fit_cutoffs, judge, measure
 from orrery.llm.shingle_join import near_duplicates
 from orrery.llm.store import stage as stage_table
 
-COUNT = F.char_length("text").cast("long")
+def n_chars():
+    return F.char_length("text").cast("long")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +34,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return dedup_lines(docs).withColumn("n_chars", COUNT).select(docs.columns)
+    return dedup_lines(docs).withColumn("n_chars", n_chars()).select(docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +49,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return Mix(docs).mixed().withColumn("n_chars", COUNT).select(docs.columns)
+    return Mix(docs).mixed().withColumn("n_chars", n_chars()).select(docs.columns)
 
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

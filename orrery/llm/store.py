@@ -7,14 +7,15 @@ costs a re-read and never a recomputation of the lineage above.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+
+__all__ = ["fresh_name", "partitions", "shared_dir", "ship", "stage"]
+
 
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -38,20 +39,3 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the workers, which need not have it, once an application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    top = Path(__file__).resolve().parent.parent
-    path = os.path.join(tempfile.mkdtemp(prefix="orrery-code-"), "orrery_code.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted([top / "__init__.py", *(top / "llm").glob("*.py")]):
-            z.write(f, f.relative_to(top.parent))
-    sc.addPyFile(path)
-    _shipped.add(sc.applicationId)
