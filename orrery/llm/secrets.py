@@ -83,6 +83,10 @@ def _names(a: Column, b: Column) -> Column:
     return F.array(a, F.upper(a), F.concat_ws("_", a, b), F.concat_ws("-", a, b), F.concat_ws("/", a, b), F.concat(F.lower(a), F.initcap(b)), F.concat_ws("_", F.upper(a), F.upper(b)))
 
 
+def _kind(code: int) -> int:
+    return 0 if not code else 1 if code <= 26 else 2 if code <= 52 else 3 if code <= 62 else 4
+
+
 def _steps(text: Column) -> Column:
     """For each character, its code and that of the one before it, as one number."""
     code = lambda i: F.when(i < 1, F.lit(0)).otherwise(F.position(F.substring(text, i, F.lit(1)), F.lit(ALPHABET)))
@@ -99,13 +103,21 @@ class MarkovPair:
     def fit(cls, samples: DataFrame) -> MarkovPair:
         steps = samples.where(F.length("text") > 0).select("random", F.explode(_steps(F.col("text"))).alias("step"))
         counts = {(r["random"], r["step"]): r["n"] for r in steps.groupBy("random", "step").agg(F.count("*").alias("n")).collect()}  # SIZE^2 rows a class at most
-        out = []
-        for a in range(SIZE):
-            of = {c: sum(counts.get((c, a * SIZE + b), 0) for b in range(SIZE)) for c in (True, False)}
-            for b in range(SIZE):
-                p, q = ((counts.get((c, a * SIZE + b), 0) + 0.5) / (of[c] + 0.5 * SIZE) for c in (True, False))
-                out.append(math.log(p / q))
-        return cls(tuple(out))
+        models = [cls._model({k: n for (c, k), n in counts.items() if c is label}) for label in (True, False)]
+        return cls(tuple(math.log(p / q) for p, q in zip(*models, strict=True)))
+
+    @staticmethod
+    def _model(counts: dict[int, int], weight: float = SIZE) -> list[float]:
+        """Step probabilities. Rare characters lean on how their kind (lower case, capital, digit, other) is followed by kinds."""
+        kinds = [_kind(a) for a in range(SIZE)]
+        size = [kinds.count(k) for k in range(5)]
+        by_kind = [[1.0] * 5 for _ in range(5)]
+        of = [0] * SIZE
+        for step, n in counts.items():
+            by_kind[kinds[step // SIZE]][kinds[step % SIZE]] += n
+            of[step // SIZE] += n
+        back = [[n / sum(row) / size[k] for k, n in enumerate(row)] for row in by_kind]
+        return [(counts.get(a * SIZE + b, 0) + weight * back[kinds[a]][kinds[b]]) / (of[a] + weight) for a in range(SIZE) for b in range(SIZE)]
 
     def llr(self, text: Column) -> Column:
         table = F.split(F.lit(",".join(map(repr, self.ratios))), ",").cast("array<double>")
