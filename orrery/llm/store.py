@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that all executors share.
 
 The folder is ``spark.checkpoint.dir``. Where the session has none (tests, a laptop) a
-folder of its own is made and set once. Tables are plain Parquet, so a lost executor
+folder of its own is made, once an application. Tables are plain Parquet, so a lost executor
 costs a re-read and never a recomputation of the lineage above.
 """
 
@@ -17,11 +17,16 @@ from ..shipping import ship
 __all__ = ["fresh_name", "partitions", "shared_dir", "ship", "stage"]
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="orrery-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="orrery-shared-")
+        found = _own[app]
     return found.rstrip("/")
 
 
