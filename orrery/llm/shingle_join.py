@@ -86,7 +86,7 @@ def shingles(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
 
 
 def slack(n):
-    return 1 + n // 20
+    return 1 + n // 10
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -130,61 +130,68 @@ POSTING = np.dtype([("shingle", "<u8"), ("cid", "<i8"), ("n", "<i4")])
 MARK = -1  # of n: a shingle that one batch has found to be heavy
 
 
-def _postings(classes: DataFrame, light: int, buckets: int) -> DataFrame:
-    """Rows for ``_meet``: packed postings by bucket; and ``bucket`` -1: ``cid`` and how many of its shingles this batch has found heavy."""
+def _postings(sets: DataFrame, light: int, buckets: int) -> DataFrame:
+    """Rows for ``_meet`` by bucket: packed postings; or ``cid`` and how many of its shingles this batch has found heavy."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, s, rows in _lists(batches, b_names := ["cid", "n", "prefix"]):
-            cid, n = b.column(0).to_numpy(), b.column(b_names.index("n")).to_numpy()
-            _, at, count = np.unique(s, return_inverse=True, return_counts=True)
-            often = count[at] > light
-            heavy = np.bincount(rows[often], minlength=len(cid))
-            out = [(-1, int(c), int(h), b"") for c, h in zip(cid[heavy > 0], heavy[heavy > 0], strict=True)]
-            marks = np.unique(s[often])
-            p = np.empty(len(s) - int(often.sum()) + len(marks), POSTING)
-            own = ~often
-            m = int(own.sum())
-            p["shingle"][:m], p["cid"][:m], p["n"][:m] = s[own], cid[rows[own]], n[rows[own]]
-            p["shingle"][m:], p["cid"][m:], p["n"][m:] = marks, 0, MARK
-            to = (p["shingle"] % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            p, to = p[order], to[order]
-            cuts = np.flatnonzero(np.diff(to, prepend=-1)) if len(to) else []
-            for i, lo in enumerate(cuts):
-                hi = cuts[i + 1] if i + 1 < len(cuts) else len(p)
-                out.append((int(to[lo]), 0, 0, p[lo:hi].tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "cid", "heavy", "data"])
-
-    return classes.select("cid", "n", "prefix").mapInArrow(run, "bucket long, cid long, heavy long, data binary")
+        for b in batches:
+            # Copies within the batch are one class already.
+            _, once = np.unique(b.column(0).to_numpy(), return_index=True)
+            b = b.take(pa.array(once))
+            for b, s, rows in _lists(iter([b]), b.schema.names):
+                cid, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+                _, at, count = np.unique(s, return_inverse=True, return_counts=True)
+                often = count[at] > light
+                heavy = np.bincount(rows[often], minlength=len(cid))
+                out = [(int(c) % buckets, int(c), int(h), None) for c, h in zip(cid[heavy > 0], heavy[heavy > 0], strict=True)]
+                marks = np.unique(s[often])
+                p = np.empty(len(s) - int(often.sum()) + len(marks), POSTING)
+                own = ~often
+                m = int(own.sum())
+                p["shingle"][:m], p["cid"][:m], p["n"][:m] = s[own], cid[rows[own]], n[rows[own]]
+                p["shingle"][m:], p["cid"][m:], p["n"][m:] = marks, 0, MARK
+                to = (p["shingle"] % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                p, to = p[order], to[order]
+                cuts = np.flatnonzero(np.diff(to, prepend=-1)) if len(to) else []
+                for i, lo in enumerate(cuts):
+                    hi = cuts[i + 1] if i + 1 < len(cuts) else len(p)
+                    out.append((int(to[lo]), 0, 0, p[lo:hi].tobytes()))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "cid", "heavy", "data"])
+
+    return sets.select(F.col("d1").alias("cid"), "n", "prefix").mapInArrow(run, "bucket long, cid long, heavy long, data binary")
 
 
 def _meet(packed: DataFrame, light: int, percent: int) -> DataFrame:
     """``a, b, n``: pairs at a light shingle (a < b); ``b`` null: a class and how many of its shingles are heavy; ``a`` null: b is a heavy shingle."""
 
     def run(table: pa.Table) -> pa.Table:
-        p = np.concatenate([np.frombuffer(x.as_py(), POSTING) for x in table.column("data")])
+        data = [x for x in table.column("data").to_pylist() if x is not None]
+        p = np.concatenate([np.frombuffer(x, POSTING) for x in data]) if data else np.empty(0, POSTING)
         p = p[np.lexsort((p["cid"], p["shingle"]))]
-        first = np.flatnonzero(np.diff(p["shingle"], prepend=~p["shingle"][:1]))
+        if len(p):  # copies of a class in other batches
+            p = p[np.append(True, (p["shingle"][1:] != p["shingle"][:-1]) | (p["cid"][1:] != p["cid"][:-1]) | (p["n"][1:] != p["n"][:-1]))]
+        first = np.flatnonzero(np.append(True, p["shingle"][1:] != p["shingle"][:-1])) if len(p) else np.empty(0, np.int64)
         count = np.diff(first, append=len(p))
-        marked = np.maximum.reduceat(p["n"] == MARK, first)
+        marked = np.logical_or.reduceat(p["n"] == MARK, first) if len(p) else np.empty(0, bool)
         heavy = marked | (count > light)
         each = np.repeat(heavy, count)
         own = p["cid"][each & (p["n"] != MARK)]
         cids, n_heavy = np.unique(own, return_counts=True)
+        told = np.flatnonzero(table.column("heavy").to_numpy())
+        cids = np.concatenate([cids, table.column("cid").to_numpy()[told]])
+        n_heavy = np.concatenate([n_heavy, table.column("heavy").to_numpy()[told]])
         tokens = p["shingle"][first[heavy]].astype(np.int64)
         q = p[~each]
         a, b = [], []
         # Pairs of places d apart in the same list: each pair once.
         for d in range(1, light):
-            if len(q) <= d:
+            same = q["shingle"][d:] == q["shingle"][:-d]
+            if not same.any():
                 break
-            same = (q["shingle"][d:] == q["shingle"][:-d]) & (q["cid"][d:] != q["cid"][:-d])
             x, y = q["n"][:-d].astype(np.int64), q["n"][d:].astype(np.int64)
             same &= 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
-            if not same.any() and d > 1:
-                if not (q["shingle"][d:] == q["shingle"][:-d]).any():
-                    break
             a.append(q["cid"][:-d][same])
             b.append(q["cid"][d:][same])
         pairs = np.stack([np.concatenate(a), np.concatenate(b)], 1) if a else np.empty((0, 2), np.int64)
@@ -193,7 +200,7 @@ def _meet(packed: DataFrame, light: int, percent: int) -> DataFrame:
         right = pa.concat_arrays([pa.array(pairs[:, 1], pa.int64()), pa.nulls(len(cids), pa.int64()), pa.array(tokens, pa.int64())])
         return pa.table({"a": left, "b": right, "n": pa.array(np.concatenate([n_pairs, n_heavy, np.zeros(len(tokens), np.int64)]).astype(np.int64))})
 
-    return packed.where("bucket >= 0").groupBy("bucket").applyInArrow(run, "a long, b long, n long")
+    return packed.groupBy("bucket").applyInArrow(run, "a long, b long, n long")
 
 
 def _dense_ties(dense: DataFrame, heavy: DataFrame) -> DataFrame:
@@ -203,7 +210,7 @@ def _dense_ties(dense: DataFrame, heavy: DataFrame) -> DataFrame:
         for b, s, rows in _lists(batches, ["cid", "prefix"]):
             yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int64), pa.int64()), pa.array(b.column(0).to_numpy()[rows], pa.int64())], names=["shingle", "cid"])
 
-    held = dense.select("cid", "prefix").mapInArrow(run, "shingle long, cid long").join(heavy, "shingle", "left_semi")
+    held = dense.select("cid", "prefix").mapInArrow(run, "shingle long, cid long").distinct().join(heavy, "shingle", "left_semi")
     least = held.groupBy("shingle").agg(F.min("cid").alias("a"))
     return held.join(least, "shingle").where("a <> cid").select("a", F.col("cid").alias("b")).distinct()
 
@@ -276,26 +283,26 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, light: in
     spark = docs.sparkSession
     sets = stage(_sets(docs, k, percent, text_col, id_col), "sets")
     key = ["n", "d1", "d2"]
-    classes = stage(sets.where("n > 0").groupBy(*key).agg(F.min("id").alias("cid"), F.first("prefix").alias("prefix")), "classes")
-    packed = stage(_postings(classes, light, 4 * partitions(spark)), "postings")
-    met = stage(_meet(packed, light, percent), "met")
-
-    early = packed.where("bucket < 0").select("cid", "heavy")
-    heavy = early.unionByName(met.where("a is not null and b is null").select(F.col("a").alias("cid"), F.col("n").alias("heavy"))).groupBy("cid").agg(F.sum("heavy").alias("heavy"))
-    heavy = stage(heavy.join(classes.select("cid", "n"), "cid").groupBy("cid").agg(F.max("n").alias("n"), F.max("heavy").alias("heavy")), "heavy")
-    floor = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 20)
-    dense = heavy.where(F.col("heavy") >= floor).select("cid")
-    # What a pair must have in common at light shingles; n of a class is needed only for its slack.
+    # A class is named by 64 bits of its digest while candidates are sought: two that fell together would only be compared needlessly.
+    classes = stage(sets.where("n > 0").groupBy(*key).agg(F.min("id").alias("cid")), "classes")
+    met = stage(_meet(_postings(sets.where("n > 0"), light, 4 * partitions(spark)), light, percent), "met")
+
+    size = classes.groupBy("d1").agg(F.min("n").alias("n"))
+    heavy = met.where("a is not null and b is null").groupBy(F.col("a").alias("d1")).agg(F.sum("n").alias("heavy"))
+    heavy = stage(heavy.join(size, "d1"), "heavy")
+    floor = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 10)
+    dense = heavy.where(F.col("heavy") >= floor).select("d1")
+    # What a pair must have in common at light shingles.
     pairs = met.where("a is not null and b is not null").groupBy("a", "b").agg(F.sum("n").alias("c"))
-    size = classes.groupBy("cid").agg(F.min("n").alias("n"))
-    info = size.join(heavy.select("cid", "heavy"), "cid", "left").select("cid", (1 + F.floor(F.col("n") / 20)).alias("slack"), F.coalesce("heavy", F.lit(0)).alias("heavy"))
-    one, two = (info.select(F.col("cid").alias(x), F.col("slack").alias(f"s{x}"), F.col("heavy").alias(f"h{x}")) for x in "ab")
+    info = size.join(heavy.select("d1", "heavy"), "d1", "left").select("d1", (1 + F.floor(F.col("n") / 10)).alias("slack"), F.coalesce("heavy", F.lit(0)).alias("heavy"))
+    one, two = (info.select(F.col("d1").alias(x), F.col("slack").alias(f"s{x}"), F.col("heavy").alias(f"h{x}")) for x in "ab")
     pairs = pairs.join(one, "a").join(two, "b").where(F.col("c") >= F.least("sa", "sb") - F.least("ha", "hb")).select("a", "b")
-    ties = pairs.unionByName(_dense_ties(classes.join(dense, "cid", "left_semi"), met.where("a is null").select(F.col("b").alias("shingle"))))
-    near = components(ties)
+    few = F.broadcast(dense) if dense.count() <= BROADCAST_ROWS else dense
+    tied = _dense_ties(sets.join(few, "d1", "left_semi").select(F.col("d1").alias("cid"), "prefix"), met.where("a is null").select(F.col("b").alias("shingle")))
+    near = components(pairs.unionByName(tied))
 
     # Units: components are packed into bins of bounded size; one that is larger is cut into blocks, and each pair of blocks is a unit.
-    near = stage(near.join(size, near["id"] == size["cid"]).select("cid", "root", "n"), "near")
+    near = stage(near.join(classes, near["id"] == classes["d1"]).select("cid", "root", "n"), "near")
     sums = near.groupBy("root").agg(F.sum("n").alias("total"))
     bins = max(1, -(-int(sums.agg(F.sum("total")).first()[0] or 0) // UNIT_SHINGLES)) * 4
     blocks = F.ceil(2 * F.col("total") / UNIT_SHINGLES)
