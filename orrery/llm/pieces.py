@@ -35,6 +35,7 @@ SPACE = "▁"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 MAX_WORDS = 500_000
 SHORT = 40
+SLICE = 1000
 # Kinds of pieces in the model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -178,6 +179,13 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids take more room than text: results go out in smaller batches than texts come in."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, SLICE):
+            yield batch.slice(lo, SLICE)
+
+
 def _with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
     keep = [i for i, c in enumerate(batch.schema.names) if c.lower() != name.lower()]
     return pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + [column], names=[batch.schema.names[i] for i in keep] + [name])
@@ -192,7 +200,7 @@ def encode(docs: DataFrame, model: str, *, text_col: str = "text", ids_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
-        for batch in batches:
+        for batch in _slices(batches):
             parts = [own.encode(t.as_py()) for t in batch.column(batch.schema.get_field_index(text_col))]
             own.check()
             ends = np.zeros(len(parts) + 1, "<i8")
@@ -214,7 +222,7 @@ def decode(encoded: DataFrame, model: str, *, ids_col: str = "ids", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = codec(model).vocabulary
-        for batch in batches:
+        for batch in _slices(batches):
             texts = [vocabulary.decode(x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else []) for x in batch.column(batch.schema.get_field_index(ids_col))]
             yield _with(batch, text_col, pa.array(texts, pa.string()))
 
