@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .store import stage
+from .store import partitions, stage
 from .text import n_words
 
 CHUNK = 4096
@@ -92,6 +92,7 @@ def draw_slots(plan: DataFrame, *, seed: int, shard_slots: int, max_shards: int,
     p = p.withColumn("from", F.coalesce(F.sum("drawn").over(before), F.lit(0)))
     p = p.withColumn("to", F.least(F.col("from") + F.col("drawn"), max_repeats * F.col("blocks"))).where(F.col("to") > F.col("from"))
     p = p.select("skey", "shard", "blocks", "from", "to", F.explode(F.sequence(F.col("from"), F.col("to") - 1, F.lit(CHUNK).cast("long"))).alias("k0"))
+    p = p.repartition(partitions(plan.sparkSession), "skey", "k0")  # few rows become very many
     p = p.select("skey", "shard", "blocks", "from", F.explode(F.sequence(F.col("k0"), F.least(F.col("k0") + CHUNK, F.col("to")) - 1)).alias("k"))
     epoch = F.floor(F.col("k") / F.col("blocks")).cast("long")
     p = p.select("skey", "shard", (F.col("k") - F.col("from")).alias("slot"), "blocks", epoch.alias("epoch"), (F.col("k") - epoch * F.col("blocks")).alias("at"))
@@ -126,7 +127,7 @@ class Mix:
 
     def taken(self) -> DataFrame:
         """``id, th, size, source_size, target, taken`` for each row of the documents."""
-        uses = self.slots.groupBy("skey", "block").agg(F.count("*").alias("uses"))
+        uses = self.slots.groupBy("skey", "block").agg(F.count("*").alias("uses")).hint("merge")
         rows = self.pieces.join(uses, ["skey", "block"], "left").groupBy("skey", "id", "th", "size", "start").agg(F.sum((F.col("hi") - F.col("lo")) * F.coalesce("uses", F.lit(0))).alias("taken"))
         rows = rows.select("skey", "id", "th", "size", "taken").unionByName(self.rows.where("size = 0").select("skey", "id", "th", "size", F.lit(0).cast("long").alias("taken")))
         src = self.plan.select("skey", "source_size", "target")
@@ -135,7 +136,7 @@ class Mix:
     def mixed(self) -> DataFrame:
         """The documents' rows as the mix has them: one for each time round, its text the words taken then."""
         cols = self.docs.columns
-        got = self.pieces.join(self.slots.select("skey", "block", "epoch"), ["skey", "block"])
+        got = self.pieces.join(self.slots.select("skey", "block", "epoch").hint("merge"), ["skey", "block"])
         got = got.groupBy("id", "th", "start").agg(F.sort_array(F.collect_list(F.struct("epoch", "lo", "hi"))).alias("got"))
         got = got.select("id", "th", "got", F.row_number().over(W.partitionBy("id", "th").orderBy("start")).alias("copy"))
         text = F.coalesce(F.col(f"`{self.text_col}`"), F.lit(""))
