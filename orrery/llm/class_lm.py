@@ -1,15 +1,23 @@
 """Brown class-based n-gram scores.
 
 Words are lower-cased (A-Z) runs of characters that are not white space; each text ends
-with one end token. The counts of all words of the training texts are one table, joined by
-shuffle. The ``clustered`` most frequent words are symbols of their own; all others share
-``endings`` symbols by their last letters. Exchange clustering moves symbols between
-classes as long as the likelihood of the class bigrams rises. The model is
-P(class | class before) P(word | class), both smoothed; a score is its log10 over a text.
+with one end token. Every word of the training texts gets a class from its own neighbours:
 
-Bounded by parameters, whatever the corpus: the symbols and classes, and the table of the
-``known`` most frequent words that workers hold. The log counts of all other words come
-from the shuffled table, so every count is exact.
+* The ``clustered`` most frequent words, and ``endings`` symbols for all others by their last
+  letters, are exchanged between classes until no move raises the likelihood of the class
+  bigrams (or for ``passes`` passes, if given). That makes the classes.
+* All others then leave their ending for the class in which their own counts of classes
+  before and after raise the likelihood most: first the ``known`` most frequent, which
+  workers hold, then the rest, whose counts are joined by shuffle. This is one round: words
+  of a tier are moved at once, each against the classes as they stood before.
+* The class of an ending is for words that training has not seen.
+
+The model is P(class | class before) P(word | class), both smoothed, with class bigrams of all
+tokens; a score is its log10 over a text.
+
+Bounded by parameters, whatever the corpus: the classes, the symbols that make them, and the
+table of words that workers hold. Classes and log counts of all other words come from a
+shuffled table, so every word has its own and every count is exact.
 
 Defined results: a null text is empty and has its end token only; a null id is an empty
 string to the fold; rows are scored alone, so ids may be repeated; with no training texts
@@ -21,15 +29,19 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import ship, stage
 
 FLUSH = 1_000_000
+#: Held words whose neighbour counts are one row.
+BLOCK = 128
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -53,11 +65,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Symbols(dict):
-    """Symbols of words; a word that is not among the clustered ones has that of its ending."""
+    """Codes of words: the place among those held, or behind them the ending."""
 
-    def __init__(self, clustered: list[bytes], endings: int):
-        super().__init__((w, i) for i, w in enumerate(clustered))
-        self.first, self.endings, self.most = len(clustered), endings, len(clustered) + 300_000
+    def __init__(self, held: list[bytes], endings: int):
+        super().__init__((w, i) for i, w in enumerate(held))
+        self.first, self.endings, self.most = len(held), endings, len(held) + 300_000
         self.own = dict(self)
 
     def __missing__(self, word: bytes) -> int:
@@ -67,13 +79,19 @@ class Symbols(dict):
         got = self[word] = self.first + zlib.crc32(word[-3:]) % self.endings
         return got
 
+    def text(self, words: list[bytes]) -> np.ndarray:
+        """The codes of a text, between two ends."""
+        s = np.full(len(words) + 2, self.first + self.endings, np.int64)
+        s[1:-1] = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return s
+
 
 def _phi(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(pairs: np.ndarray, classes: int, passes: int) -> np.ndarray:
-    """The class of each symbol: pairs[i, j] counts symbol j after i; the last symbol is the text end and has a class of its own, the last."""
+def exchange(pairs: np.ndarray, classes: int, passes: int | None = None) -> np.ndarray:
+    """The class of each symbol: pairs[i, j] counts symbol j after i; the last symbol is the text end and has a class of its own, the last. Without ``passes``, until no move is a gain."""
     n = len(pairs)
     pairs = pairs.astype(np.float64)
     weight = pairs.sum(0) + pairs.sum(1)
@@ -88,7 +106,7 @@ def exchange(pairs: np.ndarray, classes: int, passes: int) -> np.ndarray:
     table = member.T @ out
     right, left = pairs.sum(1), pairs.sum(0)
     at = np.arange(every)
-    for _ in range(passes):
+    for _ in count() if passes is None else range(passes):
         moved = 0
         for w in order:
             if not weight[w]:
@@ -106,6 +124,8 @@ def exchange(pairs: np.ndarray, classes: int, passes: int) -> np.ndarray:
             gain += _phi(d + o + i + self_) - _phi(d + o) - _phi(d + i) + _phi(d)
             gain -= _phi(rows + right[w]) - _phi(rows) + _phi(cols + left[w]) - _phi(cols)
             b = int(np.argmax(gain[:classes]))
+            if gain[b] <= gain[a] + 1e-12 * (1 + np.abs(_phi(table)).sum()):
+                b = int(a)  # a gain that rounding can make is none, so the loop ends
             table[b] += o
             table[:, b] += i
             table[b, b] += self_
@@ -121,28 +141,69 @@ def exchange(pairs: np.ndarray, classes: int, passes: int) -> np.ndarray:
     return of
 
 
+def choose(out: np.ndarray, into: np.ndarray, now: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The best class of each word by its counts of classes after and before it; ``table`` has them under the class of ``now``. The last class is the text end's."""
+    gain = np.zeros(out.shape)
+    each = np.arange(len(out))
+    for counts, t in ((out, table), (into, table.T)):
+        w, c = np.nonzero(counts)
+        if not len(w):
+            continue
+        k, cells = counts[w, c].astype(np.float64), t[:, c].T
+        change = _phi(cells + k[:, None]) - _phi(cells)
+        at = np.arange(len(w)), now[w]
+        change[at] = _phi(cells[at]) - _phi(cells[at] - k)  # where it is, it is counted already
+        first = np.flatnonzero(np.diff(w, prepend=-1))
+        gain[w[first]] += np.add.reduceat(change, first)
+        total, sums = counts.sum(1).astype(np.float64), t.sum(1)
+        change = _phi(sums + total[:, None]) - _phi(sums)
+        change[each, now] = _phi(sums[now]) - _phi(sums[now] - total)
+        gain -= change
+    best = np.argmax(gain[:, :-1], axis=1)
+    return np.where(gain[each, best] > gain[each, now] + 1e-9, best, now)
+
+
 class ClassLM:
     """Learns from ``training`` (a text column) and scores any texts."""
 
-    def __init__(self, training: DataFrame, *, clustered: int = 1000, endings: int = 128, classes: int = 64, passes: int = 4, known: int = 100_000, prior: float = 20.0):
+    def __init__(self, training: DataFrame, *, clustered: int = 1000, endings: int = 128, classes: int = 64, passes: int | None = None, known: int = 100_000, prior: float = 20.0):
         self.spark = training.sparkSession
         ship(self.spark)
         texts = training.select(F.col(training.columns[0]).alias("text"))
         self.vocabulary = stage(texts.mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "vocabulary")
         types, words = self.vocabulary.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
         top = self._frequent(known)
-        symbols = Symbols([w for w, _ in top[:clustered]], endings)
-        size = len(symbols) + endings + 1
+        held, own, every = len(top), min(len(top), clustered), classes + 1
+        symbols = Symbols([w for w, _ in top], endings)
         shared = self.spark.sparkContext.broadcast(symbols)
+        # Of each code: the symbol that makes the classes.
+        core = np.array([*range(own), *(own + zlib.crc32(w[-3:]) % endings for w, _ in top[own:]), *range(own, own + endings + 1)], np.int64)
+        pairs = self._symbol_pairs(texts, shared, core, own + endings + 1)
+        of = exchange(pairs, classes, passes)[core]
+        ends = int(pairs[:, -1].sum())
+        self.n, self.v = int(words) + ends, int(types) + (ends > 0)
+        if held > own:
+            member = np.zeros((len(pairs), every))
+            member[core, of] = 1
+            of = self._place_held(texts, shared, of, own, held, member.T @ pairs @ member)
+        table, n_types = self._place_others(texts, shared, of, held, every)
+        n_types += np.bincount(of[:held], minlength=every)
+        uses = table.sum(0)
+        alone = (uses + 1) / (uses.sum() + every)
+        step = np.log10((table + prior * alone) / (table.sum(1, keepdims=True) + prior))
+        under = np.log10(n_types + uses + 1)  # what log10(c + 1) of a word of the class is taken from
+        under[-1] = 0.0
+        self.classes = {w: int(c) for (w, _), c in zip(top, of, strict=False)}  # of the held words; the others' are in self.others
+        self._worker = (symbols, of, step, under, np.array([c for _, c in top], np.int64), ends)
 
+    @staticmethod
+    def _symbol_pairs(texts: DataFrame, shared: Broadcast, core: np.ndarray, size: int) -> np.ndarray:
         def pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sym, total = shared.value, np.zeros(size * size, np.int64)
             for b in batches:
                 seen = []
                 for t in b.column(0):
-                    ws = tokens(t.as_py())
-                    s = np.full(len(ws) + 2, size - 1, np.int64)
-                    s[1:-1] = np.fromiter(map(sym.__getitem__, ws), np.int64, len(ws))
+                    s = core[sym.text(tokens(t.as_py()))]
                     seen.append(s[:-1] * size + s[1:])
                 if seen:
                     total += np.bincount(np.concatenate(seen), minlength=size * size)
@@ -158,29 +219,121 @@ class ClassLM:
         pairs = np.zeros((size, size), np.int64)
         for r in texts.mapInArrow(pair_counts, schema).groupBy("before").applyInArrow(summed, schema).collect():  # bounded: one row a symbol
             pairs[r["before"]] = np.frombuffer(r["counts"], np.int64)
+        return pairs
+
+    @staticmethod
+    def _place_held(texts: DataFrame, shared: Broadcast, of: np.ndarray, own: int, held: int, table: np.ndarray) -> np.ndarray:
+        """The classes of codes, with those of the held words after the first ``own`` chosen anew."""
+        every = len(table)
+        width = 2 * every  # classes after, classes before
 
-        def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n = np.zeros(size, np.int64)
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sym, total = shared.value, np.zeros((held - own) * width, np.int32)
             for b in batches:
-                n += np.bincount(np.fromiter(map(shared.value.__getitem__, b.column(0).to_pylist()), np.int64, b.num_rows), minlength=size)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size), pa.int64()), pa.array(n, pa.int64())], names=["symbol", "types"])
+                seen = [np.empty(0, np.int64)]
+                for t in b.column(0):
+                    s = sym.text(tokens(t.as_py()))
+                    p = np.flatnonzero((s >= own) & (s < held))
+                    at, c = (s[p] - own) * width, of[s]
+                    seen += [at + c[p + 1], at + every + c[p - 1]]
+                key, n = np.unique(np.concatenate(seen), return_counts=True)
+                total[key] += n.astype(np.int32)
+            for i in range(0, held - own, BLOCK):
+                part = total[i * width : (i + BLOCK) * width]
+                if part.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["first", "counts"])
+
+        def chosen(t: pa.Table) -> pa.Table:
+            first = t.column("first")[0].as_py()
+            n = min(BLOCK, held - own - first)
+            total = np.zeros(n * width, np.int64)
+            for x in t.column("counts"):
+                total += np.frombuffer(zlib.decompress(x.as_py()), np.int32)
+            total = total.reshape(n, 2, every)
+            got = choose(total[:, 0], total[:, 1], of[own + first : own + first + n], table)
+            return pa.table({"code": pa.array(np.arange(n) + own + first, pa.int64()), "class": pa.array(got, pa.int64())})
+
+        found = texts.mapInArrow(near, "first long, counts binary").groupBy("first").applyInArrow(chosen, "code long, class long").toArrow()  # bounded: the held words
+        out = of.copy()
+        out[found.column("code").to_numpy()] = found.column("class").to_numpy()
+        return out
+
+    def _place_others(self, texts: DataFrame, shared: Broadcast, of: np.ndarray, held: int, every: int) -> tuple[np.ndarray, np.ndarray]:
+        """Makes ``others`` (word, c, class: the words that are not held); the class bigrams of all tokens, and how many of these words each class has."""
+        cells, wide = every * every, 2 * every  # a neighbour that is not held has every + the class of its ending
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sym, total, seen = shared.value, np.zeros(2 * cells, np.int64), Counter()
+            end = len(of) - 1
 
-        n_types = np.zeros(size)
-        for r in self.vocabulary.select("word").mapInArrow(held, "symbol long, types long").groupBy("symbol").agg(F.sum("types").alias("types")).collect():
-            n_types[r["symbol"]] = r["types"]
+            def out() -> pa.RecordBatch:
+                cols = zip(*((w, v, k, n) for (w, v, k), n in seen.items()), strict=True) if seen else [()] * 4
+                got = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["word", "next", "key", "n"])
+                seen.clear()
+                return got
 
-        ends = int(pairs[:, -1].sum())
-        self.n, self.v = int(words) + ends, int(types) + (ends > 0)
-        of = exchange(pairs, classes, passes)
-        every = classes + 1
-        member = np.zeros((size, every))
-        member[np.arange(size), of] = 1
-        table, uses = member.T @ pairs @ member, member.T @ pairs.sum(0)
-        alone = (uses + 1) / (uses.sum() + every)
-        step = np.log10((table + prior * alone) / (table.sum(1, keepdims=True) + prior))
-        under = np.log10(member.T @ n_types + uses + 1)  # what log10(c + 1) of a word of the class is taken from
-        under[-1] = 0.0
-        self._worker = (symbols, of, step, under, {w: i for i, (w, _) in enumerate(top)}, np.array([c for _, c in top], np.int64), ends)
+            for b in batches:
+                for t in b.column(0):
+                    ws = tokens(t.as_py())
+                    s = sym.text(ws)
+                    c, other = of[s], (s >= held) & (s < end)
+                    bigram = c[:-1] * every + c[1:]
+                    total[:cells] += np.bincount(bigram, minlength=cells)
+                    total[cells:] += np.bincount(bigram[~(other[:-1] | other[1:])], minlength=cells)
+                    p = np.flatnonzero(other)
+                    if len(p):
+                        c = c + every * other
+                        seen.update((ws[i - 1], None, k) for i, k in zip(p.tolist(), (c[p - 1] * wide + c[p + 1]).tolist(), strict=True))
+                        seen.update((ws[i - 1], ws[i], -1) for i in p[other[p + 1]].tolist())
+                    if len(seen) > FLUSH // 2:
+                        yield out()
+            some = np.flatnonzero(total)
+            yield out()
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.binary()), pa.nulls(len(some), pa.binary()), pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["word", "next", "key", "n"])
+
+        raw = stage(texts.mapInArrow(near, "word binary, next binary, key long, n long"), "near")
+        total = np.zeros(2 * cells)
+        for r in raw.where("word is null").groupBy("key").agg(F.sum("n").alias("n")).collect():  # bounded: pairs of classes
+            total[r["key"]] = r["n"]
+        before, table = total.reshape(2, every, every)
+        endings = shared.value.endings
+
+        def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for big in batches:
+                for lo in range(0, big.num_rows, 2048):
+                    b = big.slice(lo, 2048)
+                    ws, lists = b.column(0).to_pylist(), b.column(1)
+                    w = np.repeat(np.arange(len(ws)), lists.value_lengths().to_numpy(zero_copy_only=False))
+                    flat = lists.flatten()
+                    key, n = flat.field("key").to_numpy(), flat.field("n").to_numpy()
+                    left, right = key // wide, key % wide
+                    out, into = np.zeros((len(ws), every), np.int64), np.zeros((len(ws), every), np.int64)
+                    np.add.at(out, (w, right % every), n)
+                    np.add.at(into, (w, left % every), n)
+                    now = of[held + np.fromiter((zlib.crc32(x[-3:]) % endings for x in ws), np.int64, len(ws))]
+                    got = choose(out, into, now, before)
+                    # What the words have beside held ones: cells of the table.
+                    add = np.zeros((every, every), np.int64)
+                    np.add.at(add, (got[w][right < every], right[right < every]), n[right < every])
+                    np.add.at(add, (left[left < every], got[w][left < every]), n[left < every])
+                    i = np.flatnonzero(add)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.concat_arrays([b.column(0), pa.nulls(len(i), pa.binary())]), pa.array(np.append(out.sum(1), add.ravel()[i]), pa.int64()), pa.array(np.append(got, i), pa.int64()),
+                    ], names=["word", "c", "class"])
+
+        lists = raw.where("word is not null and next is null").repartition("word").groupBy("word", "key").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("key", "n")).alias("near"))
+        placed = stage(lists.mapInArrow(chosen, "word binary, c long, class long"), "placed")
+        for r in placed.where("word is null").groupBy("class").agg(F.sum("c").alias("n")).collect():
+            table[divmod(r["class"], every)] += r["n"]
+        self.others = placed.where("word is not null")
+        one, two = (self.others.select(F.col("word").alias(x), F.col("class").alias(f"of_{x}")).hint("merge") for x in ("word", "next"))
+        both = raw.where("next is not null").groupBy("word", "next").agg(F.sum("n").alias("n")).join(one, "word").join(two, "next")
+        for r in both.groupBy("of_word", "of_next").agg(F.sum("n").alias("n")).collect():
+            table[r["of_word"], r["of_next"]] += r["n"]
+        n_types = np.zeros(every)
+        for r in self.others.groupBy("class").agg(F.count("*").alias("n")).collect():
+            n_types[r["class"]] = r["n"]
+        return table, n_types
 
     def _frequent(self, known: int) -> list[tuple[bytes, int]]:
         """The most frequent words, at most ``known`` of them: those above the count from which on there are so many. Counts are put into geometric classes (some thousands at most), so no task or driver sorts the vocabulary."""
@@ -201,36 +354,61 @@ class ClassLM:
         shared, n, v = self.spark.sparkContext.broadcast(self._worker), self.n, self.v
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            symbols, of, step, under, place, counts, ends = shared.value
-            logs = np.append(np.log10(counts + 1.0), 0.0)
+            symbols, of, step, under, counts, ends = shared.value
+            logs = np.log10(counts + 1.0)
             base_under = np.log10(n + v + 1.0)
-            end = len(of) - 1
+            held, end = len(counts), len(of) - 1
             for b in batches:
                 rows = []
                 for t in b.column(1):
                     ws = tokens(t.as_py())
-                    s = np.full(len(ws) + 2, end, np.int64)
-                    s[1:-1] = np.fromiter(map(symbols.__getitem__, ws), np.int64, len(ws))
-                    c = of[s]
-                    at = np.fromiter((place.get(w, -1) for w in ws), np.int64, len(ws))
-                    top = logs[at].sum()
-                    rare = Counter(w for w, i in zip(ws, at.tolist(), strict=True) if i < 0)
+                    s = symbols.text(ws)
+                    other = (s >= held) & (s < end)
+                    top = logs[s[1:-1][~other[1:-1]]].sum()
                     base = top + np.log10(ends + 1.0) - (len(ws) + 1) * base_under
-                    score = top + step[c[:-1], c[1:]].sum() - under[c[1:-1]].sum()
-                    rows.append((len(ws) + 1, int((at >= 0).sum()) + (ends > 0), float(base), float(score), [{"word": w, "times": k} for w, k in rare.items()]))
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))
-                cols = list(zip(*rows, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, k) for x, k in zip(cols, kinds, strict=True)]], names=["id", "n_tokens", "n_known", "base", "score", "rare"])
+                    c = of[s]
+                    sure = ~(other[:-1] | other[1:])
+                    score = top + step[c[:-1][sure], c[1:][sure]].sum() - under[c[~other]][1:-1].sum()
+                    # Words that aren't held: their classes are found by a join; pairs beside them hold classes, or -1 - their number in the text.
+                    p = np.flatnonzero(other)
+                    times = Counter(ws[i - 1] for i in p.tolist())
+                    number = {w: i for i, w in enumerate(times)}
+                    ending = {ws[i - 1]: int(c[i]) for i in p.tolist()}
+                    if len(p):
+                        c = c.copy()
+                        c[p] = [-1 - number[ws[i - 1]] for i in p.tolist()]
+                    beside = np.stack([c[:-1][~sure], c[1:][~sure]]).astype("<i4").tobytes() if len(p) else None
+                    rows.append((len(ws) + 1, len(ws) - len(p) + (ends > 0), float(base), float(score), beside, [{"word": w, "times": k, "number": number[w], "ending": ending[w]} for w, k in times.items()]))
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64()), ("number", pa.int64()), ("ending", pa.int64())])))
+                cols = list(zip(*rows, strict=True)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, k) for x, k in zip(cols, kinds, strict=True)]], names=["id", "n_tokens", "n_known", "base", "score", "beside", "rare"])
+
+        def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            _, _, step, under, _, _ = shared.value
+            for b in batches:
+                score = b.column(4).to_numpy(zero_copy_only=False).copy()
+                for i, (beside, found) in enumerate(zip(b.column(5).to_pylist(), b.column(6).to_pylist(), strict=True)):
+                    if beside is not None:
+                        own = np.zeros(len(found), np.int64)
+                        for x in found:
+                            own[x["number"]] = x["class"]
+                            score[i] -= x["times"] * under[x["class"]]
+                        c = np.frombuffer(beside, "<i4").reshape(2, -1).astype(np.int64)
+                        c = np.where(c < 0, own[np.maximum(-1 - c, 0)], c)
+                        score[i] += step[c[0], c[1]].sum()
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(score, pa.float64())], names=["id", "n_tokens", "n_known", "base_score", "score"])
 
         held = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
         id_type = held.schema["id"].dataType.simpleString()
-        part = held.mapInArrow(run, f"id {id_type}, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,times:long>>")
+        part = held.mapInArrow(run, f"id {id_type}, n_tokens long, n_known long, base double, score double, beside binary, rare array<struct<word:binary,times:long,number:long,ending:long>>")
         part = stage(part.select(F.monotonically_increasing_id().alias("row"), "*"), "scored")
-        rare = part.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times").join(self.vocabulary.hint("merge"), "word")
-        rare = rare.groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("log"))
+        rare = part.select("row", F.explode("rare").alias("r")).select("row", "r.*").join(self.others.hint("merge"), "word", "left")
+        found = F.collect_list(F.struct("number", "times", F.coalesce("class", "ending").alias("class")))
+        rare = rare.groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("times"))).alias("more"), F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("log"), found.alias("found"))
         both = part.drop("rare").join(rare, "row", "left")
         more = lambda c: F.coalesce(F.col(c), F.lit(0))
-        return both.select("id", "n_tokens", (F.col("n_known") + more("more")).alias("n_known"), (F.col("base") + more("log")).alias("base_score"), (F.col("score") + more("log")).alias("score"))
+        whole = both.select("id", "n_tokens", (F.col("n_known") + more("more")).alias("n_known"), (F.col("base") + more("log")).alias("base_score"), (F.col("score") + more("log")).alias("score"), "beside", "found")
+        return whole.mapInArrow(rest, f"id {id_type}, n_tokens long, n_known long, base_score double, score double")
 
 
 def fold(id_col: Column, folds: int) -> Column:
