@@ -2,8 +2,8 @@
 
 A vector is described by its ``prefix`` nearest pivots, in order of nearness. Pivots are a
 bounded sample of the vectors themselves, about 4 sqrt(N) of them. Each pivot has an inverted
-list of the vectors it describes; vectors that share ``shared`` pivots or more are candidates,
-and a candidate becomes a link if its cosine, in double precision, reaches ``least``.
+list of the vectors it describes; vectors that share ``shared`` pivots or more (all, if there
+are fewer pivots) are candidates, and a candidate becomes a link if its cosine, in double precision, reaches ``least``.
 
 Equal vectors are one class and compared once. A pair is counted in the list of its least
 shared pivot only. A list longer than ``block`` is cut into blocks, and each pair of blocks is
@@ -67,6 +67,7 @@ def near_vectors(table: DataFrame, *, least: float = 0.95, prefix: int = 10, sha
     points = _unit(pivots) if pivots else np.empty((0, 1))
     # Of pivots near each other the first stays: else a large group of near copies has many alike, and its members' lists differ by chance.
     points = points[~np.tril(points @ points.T > 0.9, -1).any(1)]
+    needed = min(shared, prefix, len(points))  # one pivot may be all that is left of a table in a narrow cone
     chosen = spark.sparkContext.broadcast(points)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +104,7 @@ def near_vectors(table: DataFrame, *, least: float = 0.95, prefix: int = 10, sha
         for i in range(0, len(left), 512):
             part = left[i : i + 512]
             right = np.flatnonzero(own == hi) if lo != hi else np.arange(part[0], len(x))
-            ok = (held[part] @ held[right].T >= shared) & (before[part] @ before[right].T == 0) if before.shape[1] else held[part] @ held[right].T >= shared
+            ok = (held[part] @ held[right].T >= needed) & (before[part] @ before[right].T == 0) if before.shape[1] else held[part] @ held[right].T >= needed
             if lo == hi:
                 ok &= part[:, None] < right[None, :]
             cosine = x[part] @ x[right].T

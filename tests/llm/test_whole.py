@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from orrery.llm.class_lm import ClassLM, Symbols, exchange
+from orrery.llm.vector_dedup import near_vectors
 
 
 @pytest.mark.parametrize("known", [16, 24, 1000])
@@ -60,3 +61,13 @@ def test_exchange_ends_where_no_move_gains():
             other = of.copy()
             other[w] = b
             assert likelihood(other) <= best + 1e-3
+
+
+@pytest.mark.parametrize("n", [2, 300])
+def test_vectors_in_one_narrow_cone(spark, n):
+    rng = np.random.default_rng(6)
+    x = np.array([[1.0, 0.0, 0.0], [0.96, 0.28, 0.0]]) if n == 2 else rng.normal(size=16) + 0.12 * rng.normal(size=(n, 16))
+    got = {r.id: r for r in near_vectors(spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.95).sum(1) - 1
+    assert links.sum() > 0 and [got[i].n_links for i in range(n)] == links.tolist()
