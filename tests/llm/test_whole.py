@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from orrery.llm.class_lm import ClassLM, Symbols, exchange
+from orrery.llm.html_text import extract, induce, unpacked
 from orrery.llm.vector_dedup import near_vectors
 
 
@@ -71,3 +72,20 @@ def test_vectors_in_one_narrow_cone(spark, n):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     links = (u @ u.T >= 0.95).sum(1) - 1
     assert links.sum() > 0 and [got[i].n_links for i in range(n)] == links.tolist()
+
+
+@pytest.mark.parametrize("word", ["has-sidebar", "with-comments", "no-ads"])
+def test_html_article_in_a_wrapper_named_for_something_else(word):
+    aside = "<div class='comments'><article class='comment'>" + "no " * 50 + "</article></div>"
+    assert extract(f"<div class='{word}'><article><h1>T</h1><p>b</p></article>{aside}</div>", None) == ["T", "b"]
+    assert extract(f"<div class='{word}'><h1>T</h1><p>{'b ' * 90}</p><div class=related>no</div></div><nav>no</nav>", None) == ["T", ("b " * 90).strip()]
+
+
+def test_html_links_of_articles():
+    title = "<article><h1><a href=x>Title {0}</a></h1><p><a href=y>linked {0}</a></p></article>"
+    few = unpacked(induce([title.format(0)], 5))
+    assert extract(title.format(0), few) == ["Title 0", "linked 0"]
+    page = "<article><h1><a href=x>Title {0}</a></h1></article><p>{1}</p>"
+    many = unpacked(induce([page.format(i, f"<a href=z>more {i}</a>") for i in range(8)], 5))
+    assert extract(page.format(9, "<a href=z>more 9</a>"), many) == ["Title 9"]
+    assert extract(page.format(9, "prose without a link"), many) == ["Title 9", "prose without a link"]
