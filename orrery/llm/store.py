@@ -1,31 +1,40 @@
 """Intermediate tables in the folder that all executors share.
 
-The folder is ``spark.checkpoint.dir``. Where the session has none (tests, a laptop) a
-folder of its own is made, once an application. Tables are plain Parquet, so a lost executor
-costs a re-read and never a recomputation of the lineage above.
+The folder is ``spark.checkpoint.dir``. Where the session has none and runs on one machine
+(tests, a laptop) a folder of its own is made, once an application; on a cluster that is an
+error. Tables are plain Parquet, so a lost executor costs a re-read and never a recomputation
+of the lineage above. ``drop_staged`` removes what a job has left once its result is written;
+what is left when the driver ends is removed then.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..shipping import ship
 
-__all__ = ["fresh_name", "partitions", "shared_dir", "ship", "stage"]
+__all__ = ["drop_staged", "fresh_name", "hashed_sample", "partitions", "shared_dir", "ship", "stage"]
 
 
 _own: dict[str, str] = {}
+_staged: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         app = spark.sparkContext.applicationId
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="orrery-shared-")
+            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
         found = _own[app]
     return found.rstrip("/")
 
@@ -39,8 +48,27 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{fresh_name(label)}"
     df.write.parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> None:
+    """Delete the tables staged so far. Frames made from them must have been written before."""
+    jvm = spark.sparkContext._jvm
+    for path in _staged:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _staged.clear()
+
+
+def hashed_sample(df: DataFrame, key: list[str], most: int) -> DataFrame:
+    """At most ``most`` rows, those of least hash of ``key``; equal keys are one. A threshold on the hash leaves about twice as many before the exact cut, so no task sorts its rows."""
+    h = F.xxhash64(*key)
+    n = df.count()
+    if n > 2 * most:
+        df = df.where(h <= int(-(2**63) + 2**64 * (2 * most / n)))
+    return df.withColumn("_h", h).dropDuplicates(["_h"]).orderBy("_h").limit(most).drop("_h")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
