@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from orrery.llm.class_lm import ClassLM, Symbols, exchange
-from orrery.llm.html_text import extract, induce, unpacked
+from orrery.llm.html_text import extract
 from orrery.llm.vector_dedup import near_vectors
 
 
@@ -83,9 +83,87 @@ def test_html_article_in_a_wrapper_named_for_something_else(word):
 
 def test_html_links_of_articles():
     title = "<article><h1><a href=x>Title {0}</a></h1><p><a href=y>linked {0}</a></p></article>"
-    few = unpacked(induce([title.format(0)], 5))
-    assert extract(title.format(0), few) == ["Title 0", "linked 0"]
+    assert wrapped([title.format(0)])(title.format(0)) == ["Title 0", "linked 0"]
     page = "<article><h1><a href=x>Title {0}</a></h1></article><p>{1}</p>"
-    many = unpacked(induce([page.format(i, f"<a href=z>more {i}</a>") for i in range(8)], 5))
-    assert extract(page.format(9, "<a href=z>more 9</a>"), many) == ["Title 9"]
-    assert extract(page.format(9, "prose without a link"), many) == ["Title 9", "prose without a link"]
+    many = wrapped([page.format(i, f"<a href=z>more {i}</a>") for i in range(8)])
+    assert many(page.format(9, "<a href=z>more 9</a>")) == ["Title 9"]
+
+
+def wrapped(pages, least=5):
+    """``extract`` with the wrappers of a host that has these pages."""
+    from orrery.llm import html_text as h
+
+    skeletons = h.layouts(sorted(set(pages)), least)
+    if not skeletons:
+        return lambda html: extract(html, None)
+    text = h.json.dumps(skeletons)
+    trees = h._trees(text)
+    counts = [np.zeros((sum(1 for _ in h._walk(t)), len(h.COUNTS)), np.int64) for t in trees]
+    for p in pages:
+        which, found = h.count_page(p, trees)
+        for at, *values, share in found:
+            counts[which][at] += (h.PARTS, *(h.PARTS * v for v in values), share)
+    made = h._trees(h.json.dumps([h.decide(t, c, least) for t, c in zip(trees, counts, strict=True)]))
+    return lambda html: extract(html, made)
+
+
+def _words(rng, n):
+    return " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(n))
+
+
+def _made_page(rng, names):
+    """A page of a host whose class names tell nothing, and its article."""
+    title, blocks = _words(rng, 5), [_words(rng, int(rng.integers(5, 60))) for _ in range(rng.integers(1, 15))]
+    nav = "".join(f"<div class={names[0]}i><a href=/{i}>{_words(rng, 1)}</a></div>" for i in range(5))
+    body = "".join(f"<h2>{b}</h2>" if k % 5 == 4 else f"<p>{b}</p>" for k, b in enumerate(blocks))
+    html = f"<body><div class={names[0]}>{nav}</div><div class={names[1]}>{_words(rng, 8)}</div><div class={names[2]}><h1>{title}</h1>{body}</div><div class={names[3]}><p>{_words(rng, 6)}</p><p>All rights reserved</p></div>"
+    return html, [title, *blocks]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_html_wrapper_decides_where_names_tell_nothing(spark, seed):
+    from orrery.llm.html_text import extract_text
+
+    rng = np.random.default_rng(seed)
+    rows, want = [], {}
+    for host in range(4):
+        names = [_words(rng, 1) + str(rng.integers(0, 99)) for _ in range(4)]
+        for k in range(40):
+            html, article = _made_page(rng, names)
+            want[len(rows)] = article
+            rows.append((len(rows), f"http://h{host}.example.com/{k}", html))
+    got = {r.id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "\n\n".join(a) for i, a in want.items()}
+    # Without the wrapper the adverts and menus come back.
+    assert all(len(extract(html, None)) > len(want[i]) for i, _, html in rows)
+
+
+def test_html_repeated_pages_are_one_of_the_sample(spark):
+    from orrery.llm.html_text import extract_text
+
+    page = "<div class=q1>See our other sites</div><div class=q2><h1>T {0}</h1><p>" + "text {0} " * 20 + "</p></div>"
+    rows = [(i, "http://a.example.com/", page.format(0)) for i in range(60)] + [(100 + i, "http://a.example.com/", page.format(i)) for i in range(1, 12)]
+    got = {r.id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == 71 and all(t.startswith("T ") and "other sites" not in t for t in got.values())
+
+
+def test_html_two_layouts_of_a_host(spark):
+    from orrery.llm.html_text import extract_text
+
+    one = "<div class=q1>{2}</div><div class=q2><h1>T {0}</h1><p>{1}</p></div>"
+    two = "<table><tr><td class=z1>{2}</td></tr><tr><td class=z2><div><p>{1}</p><p>{1}</p></div></td></tr></table>"
+    rng = np.random.default_rng(3)
+    rows = [(i, "http://a.example.com/", (one if i % 2 else two).format(i, _words(rng, 40), _words(rng, 5))) for i in range(40)]
+    got = {r.id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, _, html in rows:
+        text = html.split("<p>")[1].split("</p>")[0]
+        assert got[i] == (f"T {i}\n\n{text}" if i % 2 else f"{text}\n\n{text}")
+
+
+def test_html_unicode_space_and_empty_svg():
+    assert extract("<p>a\u2002\u3000b\xa0\u2009c<svg class='i'/><p>d", None) == ["a b c", "d"]
+
+
+def test_html_page_with_very_many_blocks():
+    page = "<div class=a>" + "".join(f"<p>block {i}</p>" for i in range(6000)) + "</div>"
+    assert len(wrapped([page.replace("block", w) for w in "abcdefg"])(page)) == 6000
