@@ -2,12 +2,14 @@
 
 Each source's words are packed into blocks of ``block_words``, document after document in
 a fixed pseudorandom order. Targets share the total by weight, never above ``max_repeats``
-times what a source has. The mix is a row of slots, dealt to output shards. In a shard the
-whole part of each source's expected count is certain and the rest is drawn from the
-multinomial of the remainders, so that counts come near their targets at every size. A
-source's slots, numbered through the shards, are mapped to blocks by a pseudorandom
-permutation of its indices, a new one each time all blocks have been used, and joined to
-the blocks by index. As no block is used more than ``max_repeats`` times, no document is.
+times what a source has. The mix is a row of slots, dealt to output shards. Each source gets
+slots in proportion to its target, and a pseudorandom permutation of all slots deals them to
+the places of the shards. So the source counts of a shard are a multinomial draw with the
+targets' shares, given that the totals of all shards meet the targets: what a shard holds is
+left to chance, what the mix holds is not, at every size. A source's slots, numbered through,
+are mapped to blocks by a pseudorandom permutation of its indices, a new one each time all
+blocks have been used, and joined to the blocks by index. As no block is used more than
+``max_repeats`` times, no document is.
 
 Prefix sums run in two steps, within hashed buckets and over the totals of buckets, so a
 source with most of the rows is never in one task.
@@ -29,11 +31,8 @@ from .text import n_words
 CHUNK = 4096
 #: Sources up to this many are broadcast to their documents; more are joined by shuffle.
 BROADCAST_SOURCES = 10_000
-
-
-def _uniform(*of: Column) -> Column:
-    """A hash of the columns in [0, 1)."""
-    return F.xxhash64(*of).bitwiseAND(F.lit(2**53 - 1)).cast("double") / float(2**53)
+#: Targets are found by sorting the sources, a row each, in one task; more are refused.
+MAX_SOURCES = 5_000_000
 
 
 def permuted(x: Column, n: Column, rounds: int, *seed: Column) -> Column:
@@ -52,7 +51,7 @@ def sized(docs: DataFrame, text_col: str, id_col: str, source_col: str, buckets:
     source = F.col(f"`{source_col}`").cast("string")
     return docs.select(
         F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("th"), source.alias("source"), F.coalesce(F.concat(F.lit("s"), source), F.lit("")).alias("skey"),
-        n_words(F.col(f"`{text_col}`")).alias("size"), F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(buckets)).alias("bucket"),
+        n_words(F.col(f"`{text_col}`")).alias("size"), F.pmod(F.xxhash64(F.col(f"`{id_col}`"), text), F.lit(buckets)).alias("bucket"),
     )
 
 
@@ -76,27 +75,20 @@ def source_plan(rows: DataFrame, *, block_words: int, weights: tuple[int, ...],
 
 def draw_slots(plan: DataFrame, *, seed: int, shard_slots: int, max_shards: int, max_repeats: int, rounds: int) -> DataFrame:
     """``skey, shard, slot, epoch, block``: which block each slot of each output shard takes."""
-    every = W.partitionBy()
-    p = plan.withColumn("all", F.sum("want").over(every)).where("want > 0").withColumn("slots", F.round("all").cast("long"))
-    p = p.withColumn("each", F.greatest(F.lit(shard_slots), F.ceil(F.col("slots") / max_shards)).cast("long")).withColumn("shards", F.ceil(F.col("slots") / F.col("each")).cast("long"))
-    p = p.where("shards > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
-    own = F.least(F.col("each"), F.col("slots") - F.col("shard") * F.col("each"))
-    p = p.withColumn("own", own).withColumn("mean", F.col("own") * F.col("want") / F.col("all")).withColumn("sure", F.floor("mean").cast("long")).withColumn("part", F.col("mean") - F.col("sure"))
-    shard, upto = W.partitionBy("shard"), W.partitionBy("shard").orderBy("sid")
-    p = p.withColumn("left", F.greatest(F.col("own") - F.sum("sure").over(shard), F.lit(0))).withColumn("parts", F.sum("part").over(shard))
-    p = p.withColumn("hi", F.sum("part").over(upto.rowsBetween(W.unboundedPreceding, 0))).withColumn("lo", F.col("hi") - F.col("part")).withColumn("last", F.lead("sid").over(upto).isNull())
-    draws = F.when(F.col("left") > 0, F.sequence(F.lit(1).cast("long"), F.col("left"))).otherwise(F.array().cast("array<long>"))
-    hit = lambda j: (_uniform(F.lit(seed), F.col("shard"), j) * F.col("parts") >= F.col("lo")) & (F.col("last") | (_uniform(F.lit(seed), F.col("shard"), j) * F.col("parts") < F.col("hi")))
-    p = p.withColumn("drawn", F.col("sure") + F.size(F.filter(draws, hit)))
-    before = W.partitionBy("skey").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    p = p.withColumn("from", F.coalesce(F.sum("drawn").over(before), F.lit(0)))
-    p = p.withColumn("to", F.least(F.col("from") + F.col("drawn"), max_repeats * F.col("blocks"))).where(F.col("to") > F.col("from"))
-    p = p.select("skey", "shard", "blocks", "from", "to", F.explode(F.sequence(F.col("from"), F.col("to") - 1, F.lit(CHUNK).cast("long"))).alias("k0"))
+    upto = W.orderBy("sid").rowsBetween(W.unboundedPreceding, 0)
+    # Rounding the running sum gives whole numbers of slots within one of what is wanted.
+    p = plan.withColumn("end", F.round(F.sum("want").over(upto)).cast("long"))
+    p = p.withColumn("begin", F.coalesce(F.lag("end").over(W.orderBy("sid")), F.lit(0))).withColumn("all", F.max("end").over(W.partitionBy()))
+    p = p.withColumn("n", F.least(F.col("end") - F.col("begin"), max_repeats * F.col("blocks"))).where("n > 0")
+    p = p.withColumn("each", F.greatest(F.lit(shard_slots), F.ceil(F.col("all") / max_shards)).cast("long"))
+    p = p.select("skey", "blocks", "begin", "n", "all", "each", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(CHUNK).cast("long"))).alias("k0"))
     p = p.repartition(partitions(plan.sparkSession), "skey", "k0")  # few rows become very many
-    p = p.select("skey", "shard", "blocks", "from", F.explode(F.sequence(F.col("k0"), F.least(F.col("k0") + CHUNK, F.col("to")) - 1)).alias("k"))
+    p = p.select("skey", "blocks", "begin", "all", "each", F.explode(F.sequence(F.col("k0"), F.least(F.col("k0") + CHUNK, F.col("n")) - 1)).alias("k"))
     epoch = F.floor(F.col("k") / F.col("blocks")).cast("long")
-    p = p.select("skey", "shard", (F.col("k") - F.col("from")).alias("slot"), "blocks", epoch.alias("epoch"), (F.col("k") - epoch * F.col("blocks")).alias("at"))
-    return p.select("skey", "shard", "slot", "epoch", permuted(F.col("at"), F.col("blocks"), rounds, F.lit(seed), F.col("skey"), F.col("epoch")).alias("block"))
+    place = permuted(F.col("begin") + F.col("k"), F.col("all"), rounds, F.lit(seed), F.lit("shards"))
+    p = p.select("skey", "blocks", "each", place.alias("place"), epoch.alias("epoch"), (F.col("k") - epoch * F.col("blocks")).alias("at"))
+    shard = F.floor(F.col("place") / F.col("each")).cast("long")
+    return p.select("skey", shard.alias("shard"), (F.col("place") - shard * F.col("each")).alias("slot"), "epoch", permuted(F.col("at"), F.col("blocks"), rounds, F.lit(seed), F.col("skey"), F.col("epoch")).alias("block"))
 
 
 def packed(rows: DataFrame, block_words: int) -> DataFrame:
@@ -122,9 +114,15 @@ class Mix:
         self.docs = docs
         self.rows = rows = stage(sized(docs, text_col, id_col, source_col, buckets), "sizes")
         self.plan = stage(source_plan(rows, block_words=block_words, weights=weights, max_repeats=max_repeats), "sources")
+        if self.plan.count() > MAX_SOURCES:
+            raise ValueError(f"more than {MAX_SOURCES} sources")
         self.slots = draw_slots(self.plan, seed=seed, shard_slots=shard_slots, max_shards=max_shards, max_repeats=max_repeats, rounds=rounds)
         self.pieces = packed(rows, block_words)
 
+    def shard_counts(self) -> DataFrame:
+        """``shard, skey, n``: how many blocks of each source a shard has."""
+        return self.slots.groupBy("shard", "skey").agg(F.count("*").alias("n"))
+
     def taken(self) -> DataFrame:
         """``id, th, size, source_size, target, taken`` for each row of the documents."""
         uses = self.slots.groupBy("skey", "block").agg(F.count("*").alias("uses")).hint("merge")
