@@ -28,7 +28,7 @@ def n_chars():
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    measured = measure(docs)
+    measured = stage_table(measure(docs), "measured")
     cutoffs = fit_cutoffs(measured, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return judge(measured, cutoffs).where("kept").select(docs.columns)
 
