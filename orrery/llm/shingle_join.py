@@ -1,7 +1,7 @@
 """N-gram Jaccard join by T-occurrence search.
 
 A document is the set of its distinct shingles, as sorted 64-bit hashes. Equal sets are one
-class, named by its least id; only classes are compared. Two classes of similarity t or more
+class, told by 64 bits of a digest as shingles are; only classes are compared. Two classes of similarity t or more
 share so many shingles that their prefixes (the first ``n - ceil(t n) + slack(n)`` hashes)
 have at least ``slack`` of them in common. That routes them:
 
@@ -16,8 +16,9 @@ sets are brought together, in units of bounded size (a large component is cut in
 each pair of blocks is a unit), and searched: for a class of n shingles and least overlap T
 the T - slack longest inverted lists are put aside, the short ones are merged by a heap, and
 classes that occur ``slack`` times are probed for by binary search in the rest (DivideSkip).
-A class need not be searched for when it and all others not searched for are in one
-component already, so that large groups of near copies cost one search each, not all pairs.
+For components a class need not be searched for when it and all others not searched for are
+in one component already, so that large groups of near copies cost one search each, not all
+pairs. ``ShingleJoin.pairs`` searches for every class and gives all links between classes.
 
 Nothing is capped or sampled; shingles with a great many holders are combined in each batch
 before they are shuffled, so no task gets more than a few of their rows from each batch.
@@ -25,7 +26,8 @@ before they are shuffled, so no task gets more than a few of their rows from eac
 Defined results: null, empty and blank texts have no shingles, link with nothing and are
 their own component; a text of fewer words than a shingle is one shingle; a null id is the
 least id; rows that share an id and a text fall together as copies, of rows that share an id
-but not a text each has the component of its text; an empty table gives an empty result.
+but not a text each has the component of its text, told apart by ``component_key``; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,9 +47,9 @@ from .components import Union, components
 from .store import partitions, ship, stage
 
 NO_ID = -(2**63)
-#: A candidate table of so many rows (16 bytes each) is broadcast to the texts; a larger one is joined by shuffle.
-BROADCAST_ROWS = 500_000
-UNIT_SHINGLES = 4_000_000
+#: A table of so many bytes is broadcast; a larger one is joined by shuffle.
+BROADCAST_BYTES = 16_000_000
+UNIT_SHINGLES = 1_000_000
 MAX_WORDS = 400_000
 
 
@@ -98,24 +100,27 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _sets(docs: DataFrame, k: int, percent: int, text_col: str, id_col: str) -> DataFrame:
-    """``id, n, d1, d2, prefix`` of each row: d1 and d2 are a digest of the set."""
-    schema = "id long, n long, d1 long, d2 long, prefix binary"
+    """``id, text_hash, n, d1, prefix`` of each row: d1 is a digest of the set."""
+    schema = "id long, text_hash long, n long, d1 long, prefix binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = word_hashes()
         for b in batches:
-            ids, n, d1, d2, pre = b.column(0), [], [], [], []
-            for t in b.column(1):
+            n, d1, pre = [], [], []
+            for t in b.column(2):
                 s = shingles(t.as_py(), k, hashes)
-                d = xxhash.xxh128_digest(s.tobytes())
                 n.append(len(s))
-                d1.append(int.from_bytes(d[:8], "big", signed=True))
-                d2.append(int.from_bytes(d[8:], "big", signed=True))
+                d1.append(int.from_bytes(xxhash.xxh128_digest(s.tobytes())[:8], "big", signed=True))
                 pre.append(s[: prefix_length(len(s), percent)].tobytes())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(pre, pa.binary())], names=["id", "n", "d1", "d2", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(pre, pa.binary())], names=["id", "text_hash", "n", "d1", "prefix"])
 
     ship(docs.sparkSession)
-    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, schema)
+    return _named(docs, text_col, id_col).mapInArrow(run, schema)
+
+
+def _named(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    text = F.col(f"`{text_col}`")
+    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
 def _lists(batches: Iterator[pa.RecordBatch], names: list[str]):
@@ -215,8 +220,8 @@ def _dense_ties(dense: DataFrame, heavy: DataFrame) -> DataFrame:
     return held.join(least, "shingle").where("a <> cid").select("a", F.col("cid").alias("b")).distinct()
 
 
-def search(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Ties (a, b) of positions that join all sets of enough similarity, and no others, into components."""
+def search(sets: list[np.ndarray], percent: int, every: bool = False) -> list[tuple[int, int]]:
+    """Ties (a, b) of positions that join all sets of enough similarity, and no others, into components; with ``every``, all similar pairs (a < b)."""
     n = [len(s) for s in sets]
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), n)
@@ -237,7 +242,7 @@ def search(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         short, rest = by_length[: n[x] - least + occur], own[by_length[n[x] - least + occur :]]
         lists = [owner[lo[i] : hi[i]].tolist() for i in short if hi[i] - lo[i] > 1]
         for y, found in groupby(heapq.merge(*lists)):
-            if y == x or union.find(x) == union.find(y) or 100 * min(n[x], n[y]) < percent * max(n[x], n[y]):
+            if (y <= x if every else y == x or union.find(x) == union.find(y)) or 100 * min(n[x], n[y]) < percent * max(n[x], n[y]):
                 continue
             c = sum(1 for _ in found)
             if c < occur:
@@ -245,9 +250,13 @@ def search(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
             other = sets[y]
             place = np.minimum(np.searchsorted(other, rest), n[y] - 1)
             c += int((other[place] == rest).sum())
-            if 100 * c >= percent * (n[x] + n[y] - c) and union.join(x, y):
+            if 100 * c >= percent * (n[x] + n[y] - c) and (every or union.join(x, y)):
                 ties.append((x, y))
 
+    if every:
+        for x in range(len(sets)):
+            query(x)
+        return ties
     asked = set()
     for x in {0, len(sets) // 2, len(sets) - 1}:
         query(x)
@@ -261,68 +270,107 @@ def search(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return ties
 
 
-def _search_units(units: DataFrame, percent: int) -> DataFrame:
+def _search_units(units: DataFrame, percent: int, every: bool = False) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
-        comp, cid = table.column("comp").to_numpy(), table.column("cid").to_numpy()
+        comp, key = table.column("comp").to_numpy(), table.column("key").to_numpy()
         data = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("data")]
-        order = np.lexsort((cid, comp))
+        _, once = np.unique(key, return_index=True)  # the text of a class may be there twice
+        order = once[np.argsort(comp[once], kind="stable")]
         a, b = [], []
         for _, part in groupby(order, key=lambda i: comp[i]):
             part = list(part)
             if len(part) > 1:
-                for x, y in search([data[i] for i in part], percent):
-                    a.append(cid[part[x]])
-                    b.append(cid[part[y]])
+                for x, y in search([data[i] for i in part], percent, every):
+                    a.append(key[part[x]])
+                    b.append(key[part[y]])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return units.groupBy("unit").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, light: int = 12, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``id, n_shingles, class_id, component_id`` for each row; links are similarities of at least ``percent``."""
-    spark = docs.sparkSession
-    sets = stage(_sets(docs, k, percent, text_col, id_col), "sets")
-    key = ["n", "d1", "d2"]
-    # A class is named by 64 bits of its digest while candidates are sought: two that fell together would only be compared needlessly.
-    classes = stage(sets.where("n > 0").groupBy(*key).agg(F.min("id").alias("cid")), "classes")
-    met = stage(_meet(_postings(sets.where("n > 0"), light, 4 * partitions(spark)), light, percent), "met")
-
-    size = classes.groupBy("d1").agg(F.min("n").alias("n"))
-    heavy = met.where("a is not null and b is null").groupBy(F.col("a").alias("d1")).agg(F.sum("n").alias("heavy"))
-    heavy = stage(heavy.join(size, "d1"), "heavy")
-    floor = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 10)
-    dense = heavy.where(F.col("heavy") >= floor).select("d1")
-    # What a pair must have in common at light shingles.
-    pairs = met.where("a is not null and b is not null").groupBy("a", "b").agg(F.sum("n").alias("c"))
-    info = size.join(heavy.select("d1", "heavy"), "d1", "left").select("d1", (1 + F.floor(F.col("n") / 10)).alias("slack"), F.coalesce("heavy", F.lit(0)).alias("heavy"))
-    one, two = (info.select(F.col("d1").alias(x), F.col("slack").alias(f"s{x}"), F.col("heavy").alias(f"h{x}")) for x in "ab")
-    pairs = pairs.join(one, "a").join(two, "b").where(F.col("c") >= F.least("sa", "sb") - F.least("ha", "hb")).select("a", "b")
-    few = F.broadcast(dense) if dense.count() <= BROADCAST_ROWS else dense
-    tied = _dense_ties(sets.join(few, "d1", "left_semi").select(F.col("d1").alias("cid"), "prefix"), met.where("a is null").select(F.col("b").alias("shingle")))
-    near = components(pairs.unionByName(tied))
-
-    # Units: components are packed into bins of bounded size; one that is larger is cut into blocks, and each pair of blocks is a unit.
-    near = stage(near.join(classes, near["id"] == classes["d1"]).select("cid", "root", "n"), "near")
-    sums = near.groupBy("root").agg(F.sum("n").alias("total"))
-    bins = max(1, -(-int(sums.agg(F.sum("total")).first()[0] or 0) // UNIT_SHINGLES)) * 4
-    blocks = F.ceil(2 * F.col("total") / UNIT_SHINGLES)
-    placed = near.join(sums.select("root", F.when(F.col("total") > UNIT_SHINGLES, blocks).otherwise(1).cast("long").alias("blocks")), "root")
-    own = F.pmod(F.xxhash64("cid"), F.col("blocks"))
-    pair = lambda i: F.concat_ws("_", F.col("root"), F.least(i, own), F.greatest(i, own))
-    unit = F.when(F.col("blocks") == 1, F.array(F.concat(F.lit("bin"), F.pmod(F.xxhash64("root"), F.lit(bins))))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), pair))
-    placed = stage(placed.select("cid", "root", unit.alias("units")), "placed")
-
-    wanted = F.broadcast(placed) if placed.count() <= BROADCAST_ROWS else placed
-    texts = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("cid"), F.col(f"`{text_col}`").alias("text")).join(wanted, "cid")
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = word_hashes()
-        for b in batches:
-            data = pa.array([shingles(t.as_py(), k, hashes).tobytes() for t in b.column(1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), data], names=["cid", "comp", "units", "data"])
-
-    units = texts.select("cid", "text", "root", "units").mapInArrow(whole, "cid long, comp long, units array<string>, data binary").where(F.length("data") > 0).select("cid", "comp", "data", F.explode("units").alias("unit"))
-    found = components(_search_units(units, percent))
-    named = sets.select("id", *key).join(classes.select(*key, "cid"), key, "left").join(found.select(F.col("id").alias("cid"), "root"), "cid", "left")
-    back = lambda c: F.when(c != NO_ID, c)
-    return named.select(back(F.col("id")).alias("id"), F.col("n").alias("n_shingles"), back(F.coalesce("cid", "id")).alias("class_id"), back(F.coalesce("root", "cid", "id")).alias("component_id"))
+def _small(df: DataFrame, row_bytes: int) -> DataFrame:
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+class ShingleJoin:
+    """The join of ``docs`` with themselves; links are similarities of at least ``percent``."""
+
+    def __init__(self, docs: DataFrame, *, k: int = 5, percent: int = 80, light: int = 12, text_col: str = "text", id_col: str = "doc_id"):
+        self.percent = percent
+        self.sets = sets = stage(_sets(docs, k, percent, text_col, id_col), "sets")
+        first = F.min(F.struct("id", "text_hash"))
+        self.classes = classes = stage(sets.where("n > 0").groupBy("d1").agg(F.min("n").alias("n"), first.alias("first")), "classes")
+        met = stage(_meet(_postings(sets.where("n > 0"), light, 4 * partitions(docs.sparkSession)), light, percent), "met")
+        near = components(self._candidates(met))
+
+        # Units: components are packed into bins of bounded size; one that is larger is cut into blocks, and each pair of blocks is a unit.
+        near = stage(near.withColumnRenamed("id", "key").join(classes, F.col("key") == F.col("d1")).select("key", "root", "n", "first"), "near_classes")
+        sums = near.groupBy("root").agg(F.sum("n").alias("total"))
+        bins = max(1, -(-int(sums.agg(F.sum("total")).first()[0] or 0) // UNIT_SHINGLES)) * 4
+        blocks = F.when(F.col("total") > UNIT_SHINGLES, F.ceil(2 * F.col("total") / UNIT_SHINGLES)).otherwise(1).cast("long")
+        placed = near.join(sums.select("root", blocks.alias("blocks")), "root")
+        own = F.pmod(F.xxhash64("key"), F.col("blocks"))
+        placed = stage(placed.select("key", "root", "first.id", "first.text_hash", "blocks", own.alias("own"), F.pmod(F.xxhash64("root"), F.lit(bins)).alias("bin")), "placed")
+        texts = _named(docs, text_col, id_col).join(_small(placed, 100), ["id", "text_hash"])
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes = word_hashes()
+            for b in batches:
+                data = pa.array([shingles(t.as_py(), k, hashes).tobytes() for t in b.column(5)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*b.columns[:5], data], names=["key", "comp", "blocks", "own", "bin", "data"])
+
+        whole_sets = texts.select("key", "root", "blocks", "own", "bin", "text").mapInArrow(whole, "key long, comp long, blocks long, own long, bin long, data binary").where(F.length("data") > 0)
+        pair = lambda i: F.concat_ws("_", F.col("comp"), F.least(i, "own"), F.greatest(i, "own"))
+        unit = F.when(F.col("blocks") == 1, F.array(F.concat(F.lit("bin"), "bin"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), pair))
+        self.units = whole_sets.select("key", "comp", "data", F.explode(unit).alias("unit"))
+
+    def _candidates(self, met: DataFrame) -> DataFrame:
+        """Pairs of classes that may be similar: ``a, b``."""
+        size = self.classes.select("d1", "n")
+        heavy = met.where("a is not null and b is null").groupBy(F.col("a").alias("d1")).agg(F.sum("n").alias("heavy"))
+        heavy = stage(heavy.join(size, "d1"), "heavy")
+        floor = 1 + F.floor(F.ceil(F.col("n") * self.percent / 100) / 10)
+        dense = heavy.where(F.col("heavy") >= floor).select("d1")
+        # What a pair must have in common at light shingles.
+        pairs = met.where("a is not null and b is not null").groupBy("a", "b").agg(F.sum("n").alias("c"))
+        info = size.join(heavy.select("d1", "heavy"), "d1", "left").select("d1", (1 + F.floor(F.col("n") / 10)).alias("slack"), F.coalesce("heavy", F.lit(0)).alias("heavy"))
+        one, two = (info.select(F.col("d1").alias(x), F.col("slack").alias(f"s{x}"), F.col("heavy").alias(f"h{x}")) for x in "ab")
+        pairs = pairs.join(one, "a").join(two, "b").where(F.col("c") >= F.least("sa", "sb") - F.least("ha", "hb")).select("a", "b")
+        tied = _dense_ties(self.sets.join(_small(dense, 32), "d1", "left_semi").select(F.col("d1").alias("cid"), "prefix"), met.where("a is null").select(F.col("b").alias("shingle")))
+        return pairs.unionByName(tied)
+
+    def documents(self) -> DataFrame:
+        """``id, text_hash, n_shingles, class_id, component_id, class_key, component_key`` for each row; ids of classes and components are the least in them."""
+        found = components(_search_units(self.units, self.percent))
+        named = self.classes.select("d1", F.col("first.id").alias("cid")).join(found.select(F.col("id").alias("d1"), "root"), "d1", "left").select("d1", "cid", F.coalesce("root", "d1").alias("root"))
+        least = named.where("root <> d1").select("root").distinct()
+        least = named.join(least, "root", "left_semi").groupBy("root").agg(F.min("cid").alias("least"))
+        named = named.join(least, "root", "left").select("d1", "cid", "root", F.coalesce("least", "cid").alias("least"))
+        out = self.sets.select("id", "text_hash", "n", "d1").join(named, "d1", "left")
+        back = lambda c: F.when(c != NO_ID, c)
+        blank = F.col("n") == 0
+        of = lambda c: F.when(blank, F.col("id")).otherwise(F.col(c))
+        return out.select(
+            back(F.col("id")).alias("id"), "text_hash", F.col("n").alias("n_shingles"), back(of("cid")).alias("class_id"), back(of("least")).alias("component_id"),
+            F.when(~blank, F.col("d1")).alias("class_key"), F.when(~blank, F.col("root")).alias("component_key"),
+        )
+
+    def pairs(self) -> DataFrame:
+        """``a, b``: every link between two classes, by ``class_key`` (a < b)."""
+        found = _search_units(self.units, self.percent, True)
+        return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def linked_documents(self) -> DataFrame:
+        """``documents`` with ``n_links``: the other rows each row is linked with, copies in its own class included."""
+        rows = stage(self.documents(), "documents")
+        copies = rows.where("n_shingles > 0").groupBy("class_key").agg(F.count("*").alias("copies"))
+        both = stage(self.pairs(), "pairs")
+        both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        others = both.join(copies.select(F.col("class_key").alias("b"), "copies"), "b").groupBy(F.col("a").alias("class_key")).agg(F.sum("copies").alias("others"))
+        own = copies.join(others, "class_key", "left").select("class_key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+        return rows.join(own, "class_key", "left").select(*[c for c in rows.columns], F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def near_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """``ShingleJoin.documents`` of ``docs``."""
+    return ShingleJoin(docs, **how).documents()

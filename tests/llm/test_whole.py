@@ -167,3 +167,79 @@ def test_html_unicode_space_and_empty_svg():
 def test_html_page_with_very_many_blocks():
     page = "<div class=a>" + "".join(f"<p>block {i}</p>" for i in range(6000)) + "</div>"
     assert len(wrapped([page.replace("block", w) for w in "abcdefg"])(page)) == 6000
+
+
+def test_vectors_of_each_length_and_of_repeated_ids(spark):
+    rng = np.random.default_rng(12)
+    data = [(i, [float(c) for c in rng.normal(size=3)]) for i in range(40)]
+    data += [(109, [1.0, 2.0]), (110, [1.0, 2.001]), (7, [5.0, 0.1, 0.0, 0.0]), (7, [0.0, 0.0, 5.0, 0.1]), (120, [5.0, 0.0, 0.0, 0.0]), (121, [5.0, 0.2, 0.0, 0.0]), (122, [0.0, 0.0, 5.0, 0.0])]
+    data += [(200 + i, [1.0] * (5 + i)) for i in range(12)] + [(300 + i, [2.0] * (5 + i)) for i in range(12)] + [(400, [1.0] * 16 + [1.1])]
+    got = sorted((r.id, r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect())
+    ids, n = [d[0] for d in data], len(data)
+    unit = [np.array(v) / np.linalg.norm(v) for _, v in data]
+    linked = [[i != j and len(unit[i]) == len(unit[j]) and float(unit[i] @ unit[j]) >= 0.95 for j in range(n)] for i in range(n)]
+    up = list(range(n))
+    for _ in range(n):
+        up = [min([up[i], *(up[j] for j in range(n) if linked[i][j])]) for i in range(n)]
+    least = {c: min(ids[i] for i in range(n) if up[i] == c) for c in set(up)}
+    assert got == sorted((ids[i], sum(linked[i]), least[up[i]]) for i in range(n))
+
+
+@pytest.mark.parametrize(("split", "block"), [(16, 8)])
+def test_vectors_in_long_lists(spark, split, block):
+    rng = np.random.default_rng(13)
+    x = np.concatenate([c + 0.2 * rng.normal(size=(60, 24)) for c in rng.normal(size=(12, 24))])
+    x = np.concatenate([x, x[::3] + 0.05 * rng.normal(size=(240, 24)), x[:20]])
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.id: r.n_links for r in near_vectors(df, split=split, block=block).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.95).sum(1) - 1
+    found = np.array([got[i] for i in range(len(x))])
+    # No split or cut loses or doubles a candidate: all settings find the same links.
+    whole = {r.id: r.n_links for r in near_vectors(df, split=10**6).collect()}
+    assert found.tolist() == [whole[i] for i in range(len(x))] and (found <= links).all() and found.sum() >= 0.97 * links.sum()
+
+
+def _near_rows(rng):
+    words = [f"w{i}" for i in range(500)]
+    texts = []
+    for _ in range(15):
+        own = [words[i] for i in rng.integers(0, 500, rng.integers(4, 90))]
+        for _ in range(rng.integers(1, 9)):
+            texts.append(" ".join(w if rng.random() > rng.choice([0.0, 0.01, 0.03]) else words[rng.integers(0, 500)] for w in own))
+    texts += [texts[0], texts[0], "", None, " ", "one two", "ONE  two", "one two three"]
+    # Ids are repeated, by other texts and by the same.
+    return [(int(i % 40) if i % 7 else None, t) for i, t in enumerate(texts)] + [(3, texts[10]), (3, texts[10])]
+
+
+def _near_brute(rows, percent=80):
+    sets = []
+    for _, t in rows:
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    n = len(rows)
+    linked = [[i != j and bool(sets[i]) and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]) for j in range(n)] for i in range(n)]
+    up = list(range(n))
+    for _ in range(n):
+        new = [min([up[i], *(up[j] for j in range(n) if linked[i][j])]) for i in range(n)]
+        if new == up:
+            break
+        up = new
+    return sets, linked, up
+
+
+@pytest.mark.parametrize("seed", [0])
+def test_shingle_join_of_repeated_ids(spark, seed):
+    from orrery.llm.shingle_join import NO_ID, ShingleJoin
+
+    rows = _near_rows(np.random.default_rng(20 + seed))
+    sets, linked, up = _near_brute(rows)
+    least = {}
+    for (i, _), c in zip(rows, up, strict=True):
+        i = NO_ID if i is None else i
+        least[c] = min(least.get(c, i), i)
+    back = lambda i: None if i == NO_ID else i
+    want = sorted(((rows[k][0], len(sets[k]), back(least[up[k]]), sum(linked[k])) for k in range(len(rows))), key=str)
+    found = ShingleJoin(spark.createDataFrame(rows, "doc_id long, text string"), light=4).linked_documents().collect()
+    assert sorted(((r.id, r.n_shingles, r.component_id, r.n_links) for r in found), key=str) == want
+    assert len({r.component_key for r in found if r.n_shingles}) == len({c for c, s in zip(up, sets, strict=True) if s})
