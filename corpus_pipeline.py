@@ -6,7 +6,8 @@ as one id, below all others. Empty tables give empty tables.
 
 1. quality rules: documents that fail the base rule or a cutoff of their language go.
 2. line dedup: lines found in three documents or more stay in the one of largest id only.
-3. near duplicates: of each group the document of least id stays.
+3. near duplicates: of each group the document of least id stays; of rows that share an id each
+   belongs to the group of its text. Blank texts are in no group and stay.
 4. mixing: documents as the mix takes them, a row for each time round; cut where a block is.
 5. pieces: ids, their number, and the text they decode to.
 """
@@ -38,14 +39,16 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_duplicates(docs).where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id").agg(F.count("*").alias("rows"))
-    found = stage_table(found, "kept")
-    rows = docs.join(found.select(F.col("id").alias("_kept"), F.col("rows").alias("_rows")), F.col("doc_id").eqNullSafe(F.col("_kept")))
-    # Only rows that share an id can still be copies of each other.
-    if found.where("rows > 1").isEmpty():
-        return rows.select(docs.columns)
-    alone = rows.where("_rows = 1").select(docs.columns)
-    return alone.unionByName(rows.where("_rows > 1").select(docs.columns).dropDuplicates(["doc_id", "text"]))
+    found = near_duplicates(docs).where("n_shingles > 0").groupBy("component_key", "id", "text_hash").agg(F.count("*").alias("rows"))
+    first = found.groupBy("component_key").agg(F.min(F.struct("id", "text_hash", "rows")).alias("first"))
+    first = stage_table(first.select(F.col("first.id").alias("_id"), F.col("first.text_hash").alias("_hash"), F.col("first.rows").alias("_rows")), "kept")
+    blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    rows = docs.where(~blank).join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
+    # Only rows that share an id and a text can still be copies of each other.
+    if first.where("_rows > 1").isEmpty():
+        return rows.select(docs.columns).unionByName(docs.where(blank))
+    once = rows.where("_rows > 1").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    return rows.where("_rows = 1").select(docs.columns).unionByName(once).unionByName(docs.where(blank))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
