@@ -8,12 +8,13 @@ from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.core import Calculator
 from ..snapshot import Snapshot
 from ..units import in_units
+from .prefix import crossing, cut, keyed, narrowed, ordered, reaching, whole
 
 BINS_BY: dict[str, Callable[[Snapshot], Column]] = {}
 ALGORITHMS: dict[str, Callable[..., np.ndarray]] = {}
@@ -52,19 +53,15 @@ def log(df: DataFrame, low: float, high: float, nbins: int) -> np.ndarray:
 
 @bins_algorithm_register("equaln")
 def equaln(df: DataFrame, low: float, high: float, nbins: int) -> np.ndarray:
-    """Edges at ranks i n / nbins. Ranks are found in two steps: rows are counted in buckets of the key, and only those with a wanted rank are numbered."""
-    rows = df.where((F.col("_key") >= low) & (F.col("_key") <= high)).select("_key")
-    n, q = rows.agg(F.count("*"), F.percentile_approx("_key", [i / 64 for i in range(1, 64)], 1000)).first()
+    """Edges at ranks i n / nbins. Buckets of the key are counted, and only those with a wanted rank are put in order."""
+    rows = keyed(df.where((F.col("_key") >= low) & (F.col("_key") <= high)), F.col("_key"), F.lit(1.0))
+    buckets, _ = cut(rows)
+    n = round(whole(buckets))
     if n < 2:
         raise ValueError("bins of equal number need two values in range")
-    wanted = sorted({0, *(i * n // nbins for i in range(1, nbins)), n - 1})
-    cuts = F.array(*[F.lit(c) for c in sorted(set(q))])
-    rows = rows.withColumn("b", F.size(F.filter(cuts, lambda c: c < F.col("_key"))))
-    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    base = rows.groupBy("b").agg(F.count("*").alias("n")).select("b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = rows.join(F.broadcast(base), "b").select("_key", (F.row_number().over(Window.partitionBy("b").orderBy("_key")) - 1 + F.col("base")).alias("rank"))
-    at = dict((r["rank"], r["_key"]) for r in ranked.where(F.col("rank").isin(wanted)).collect())
-    return np.array([at[0], *(at[i * n // nbins] for i in range(1, nbins)), at[n - 1]])
+    ranks = [0, *(i * n // nbins for i in range(1, nbins)), n - 1]
+    held = [b for r in set(ranks) for b in narrowed(rows, buckets, reaching(r + 1.0))]
+    return np.array(list(ordered(rows, held).agg(*[crossing(r + 1.0, linear=False).alias(f"e{i}") for i, r in enumerate(ranks)]).first()))
 
 
 bins_area_register("length")(lambda e, **_: np.diff(e))

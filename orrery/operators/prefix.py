@@ -1,38 +1,103 @@
-"""Prefix sums over a whole table in two steps, so that no task has to sort all of it.
+"""Prefix sums over a whole table, of which only a small part is ever sorted.
 
-Rows are put into buckets by cut points of the key (approximate quantiles: their exact place
-does not matter), summed within each bucket by a window, and shifted by the totals of the
-buckets before. The cut points are a few numbers on the driver.
+Rows are summed in buckets of the key, whose cut points are approximate quantiles (their exact
+place does not matter). The sums tell in which bucket a wanted prefix sum is reached, and only
+that bucket's rows are put in order; a bucket that is too large still is cut again, a pass
+each time. Rows of equal key are summed before they are ordered, so a frequent key is one row.
+Cut points and sums of buckets are a few numbers on the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BUCKETS = 256
+#: Buckets of more rows are cut again before one task orders them.
+ORDERED = 20_000_000
+
+
+@dataclass(frozen=True)
+class Bucket:
+    """Rows with ``low < k <= high`` (None: no bound), what they sum to, what those before sum to, and the last key before."""
+
+    low: float | None
+    high: float | None
+    n: int
+    total: float
+    least: float
+    most: float
+    base: float = 0.0
+    before: float | None = None
+
+    def holds(self, k: Column) -> Column:
+        out = F.lit(True)
+        if self.low is not None:
+            out = out & (k > self.low)
+        return out if self.high is None else out & (k <= self.high)
+
+
+def keyed(df: DataFrame, key: Column, value: Column) -> DataFrame:
+    """``k, w``. Rows of null or NaN key are left out."""
+    return df.select(key.cast("double").alias("k"), value.cast("double").alias("w")).where("k is not null and not isnan(k)")
+
+
+def cut(rows: DataFrame, of: Bucket | None = None) -> tuple[list[Bucket], float]:
+    """The buckets of the rows (or those of one bucket), in order, and the value of the first row."""
+    if of is not None:
+        rows = rows.where(of.holds(F.col("k")))
+    q, first = rows.agg(F.percentile_approx("k", [i / BUCKETS for i in range(1, BUCKETS)], 4 * BUCKETS), F.min(F.struct("k", "w"))["w"]).first()
+    cuts = sorted(set(q or []))
+    table = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
+    found = rows.groupBy(F.size(F.filter(table, lambda c: c < F.col("k"))).alias("b")).agg(F.count("*"), F.sum("w"), F.min("k"), F.max("k")).collect()
+    ends = [of.low if of else None, *cuts, of.high if of else None]
+    base, before = (of.base, of.before) if of else (0.0, None)
+    out = []
+    for b, n, total, least, most in sorted(found):
+        out.append(Bucket(ends[b], ends[b + 1], n, total or 0.0, least, most, base, before))
+        base, before = base + (total or 0.0), most
+    return out, first
+
+
+def narrowed(rows: DataFrame, buckets: list[Bucket], wanted: Callable[[Bucket], bool]) -> list[Bucket]:
+    """The buckets that are wanted, cut until each can be put in order."""
+    out = []
+    for b in buckets:
+        if wanted(b):
+            out += narrowed(rows, cut(rows, b)[0], wanted) if b.n > ORDERED and b.least < b.most else [b]
+    return out
+
+
+def reaching(target: float) -> Callable[[Bucket], bool]:
+    """Whether the prefix sum reaches the target in the bucket; a little more, for the last places of sums."""
+    return lambda b: b.base - 1e-9 * abs(b.base) <= target <= (b.base + b.total) + 1e-9 * abs(b.base + b.total)
+
+
+def ordered(rows: DataFrame, buckets: list[Bucket]) -> DataFrame:
+    """``k, first, c0, c, k0``: of each key in the buckets, the least value, the sums before it and with it, and the key before."""
+    buckets = list(dict.fromkeys(buckets))
+    of = F.coalesce(*[F.when(b.holds(F.col("k")), i) for i, b in enumerate(buckets)]) if buckets else F.lit(None).cast("int")
+    keys = rows.select("k", "w", of.alias("b")).where("b is not null").groupBy("b", "k").agg(F.min("w").alias("first"), F.sum("w").alias("t"))
+    in_order = Window.partitionBy("b").orderBy("k")
+    pick = lambda values: F.get(F.array(*[F.lit(v).cast("double") for v in values] or [F.lit(None).cast("double")]), F.col("b"))
+    upto = F.sum("t").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) + pick([b.base for b in buckets])
+    last = F.coalesce(F.lag("k").over(in_order), pick([b.before for b in buckets]))
+    return keys.select("k", "first", (upto - F.col("t")).alias("c0"), upto.alias("c"), last.alias("k0"))
+
 
-def prefix_sums(df: DataFrame, key: Column, value: Column, order: tuple[str, ...], buckets: int = 64) -> DataFrame:
-    """``k, w, c``: key, value, and the sum of the values up to this row in the order of key, value and ``order``. Rows of null or NaN key are left out."""
-    ties = [F.col(c).alias(f"_{i}") for i, c in enumerate(order) if c in df.columns]
-    rows = df.select(key.cast("double").alias("k"), value.cast("double").alias("w"), *ties).where("k is not null and not isnan(k)")
-    at = rows.agg(F.percentile_approx("k", [i / buckets for i in range(1, buckets)], 1000).alias("q")).first()["q"] or []
-    cuts = F.array(*[F.lit(c) for c in sorted(set(at))]) if at else F.array().cast("array<double>")
-    rows = rows.withColumn("b", F.size(F.filter(cuts, lambda c: c < F.col("k"))))
-    within = Window.partitionBy("b").orderBy("k", "w", *[f"_{i}" for i in range(len(ties))]).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.select("b", "k", "w", F.sum("w").over(within).alias("c"))
-    totals = rows.groupBy("b").agg(F.sum("w").alias("t"))  # one row a bucket: at most ``buckets``
-    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("b", F.coalesce(F.sum("t").over(before), F.lit(0.0)).alias("base"))
-    return rows.join(F.broadcast(base), "b").select("k", "w", (F.col("c") + F.col("base")).alias("c"))
+def crossing(target: float, linear: bool = True) -> Column:
+    """Aggregate over ``ordered``: the key at which the sum reaches the target; linear between the row before and the one that reaches it."""
+    step = F.col("k") - F.col("k0")
+    between = F.col("k0") + step * ((F.lit(target) - F.col("c0")) / F.col("first"))
+    value = F.when(F.col("k0").isNotNull() & (F.col("c0") + F.col("first") >= target) & (F.col("first") > 0), between).otherwise(F.col("k")) if linear else F.col("k")
+    return F.min(F.when(F.col("c") >= target, F.struct(F.col("k"), value.alias("at"))))["at"]
 
 
-def bracket(f: Column, p: float) -> list[Column]:
-    """Aggregates: the last row below p and the first at or above it, as structs of f and k."""
-    pair = F.struct(f.alias("f"), F.col("k").alias("k"))
-    return [F.max(F.when(f < p, pair)), F.min(F.when(f >= p, pair))]
+def whole(buckets: list[Bucket]) -> float:
+    return buckets[-1].base + buckets[-1].total if buckets else 0.0
 
 
-def between(low: Column, high: Column, p: float) -> Column:
-    step = high["f"] - low["f"]
-    inner = low["k"] + (high["k"] - low["k"]) * (F.lit(p) - low["f"]) / F.when(step != 0, step)
-    return F.when(low.isNull(), high["k"]).when(high.isNull(), low["k"]).otherwise(F.coalesce(inner, high["k"]))
+__all__ = ["Bucket", "crossing", "cut", "keyed", "narrowed", "ordered", "reaching", "whole"]

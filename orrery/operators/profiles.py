@@ -1,7 +1,7 @@
 """Profiles: statistics of particles by bin.
 
-All statistics that are asked for together are one ``groupBy(bin).agg``; weighted percentiles
-take one window more. Bins without particles are NaN in every statistic, and 0 in ``npart``.
+All statistics that are asked for together are one ``groupBy(bin).agg``; percentiles take two
+passes more, and order a small part of each bin. Bins without particles are NaN in every statistic, and 0 in ``npart``.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from ..plans.core import Calculator
 from ..snapshot import Snapshot
 from .bins import BinsSet, Edges
 from .filters import FamilyFilter, Filter
+from .prefix import BUCKETS
 
 NAN = float("nan")
 #: Statistic: ``fn(x, w) -> aggregate Column``; w is None without a weight.
@@ -142,7 +143,7 @@ class Profile:
         rows, w = self.binned(), self._weight()
         fields = {f: self.snap.field(f).cast("double") for f, _ in needs}
         place = {f: f"_f{i}" for i, f in enumerate(fields)}
-        rows = rows.select("bin", *[c.alias(place[f]) for f, c in fields.items()], *([w.cast("double").alias("_w")] if w is not None else []), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(self.snap.order) if c in self.snap.df.columns])
+        rows = rows.select("bin", *[c.alias(place[f]) for f, c in fields.items()], *([w.cast("double").alias("_w")] if w is not None else []))
         weight = F.col("_w") if w is not None else None
         out: dict[tuple[str, str], str] = {}
         aggs, framed = [F.count(F.lit(1)).alias("npart")], []
@@ -153,13 +154,11 @@ class Profile:
                 x, stat = F.abs(x), stat[4:]
             if not re.fullmatch(r"p\d+", stat):
                 aggs.append(STATISTICS[stat](x, weight).alias(name))
-            elif weight is None:
-                aggs.append(F.percentile(x, int(stat[1:]) / 100).alias(name))
             else:
                 framed.append((x, int(stat[1:]) / 100, name))
         frame = rows.groupBy("bin").agg(*aggs)
         for x, p, name in framed:
-            frame = frame.join(_weighted_percentile(rows, x, p, name), "bin", "left")
+            frame = frame.join(F.broadcast(_percentile(rows, x, weight, p, name)), "bin", "left")
         # One row a bin: the frame is small by construction.
         full = self.edges.table(self.snap.df.sparkSession).join(F.broadcast(frame), "bin", "left").withColumn("npart", F.coalesce("npart", F.lit(0)))
         full = full.withColumns({n: F.coalesce(F.col(n), F.lit(NAN)) for n in out.values()})
@@ -244,18 +243,24 @@ class Profile:
         return plt.plot(getattr(self, x) if hasattr(type(self), x) else self.array(x), self.array(y), **options)
 
 
-def _weighted_percentile(rows: DataFrame, x: Column, p: float, name: str) -> DataFrame:
-    """By bin: values in order, the sum of weights less the first, over the last; linear between. Of one value, itself."""
-    ties = [c for c in rows.columns if c.startswith("_o")]
-    order = Window.partitionBy("bin").orderBy("x", "_w", *ties)
-    r = rows.select("bin", x.alias("x"), "_w", *ties).withColumn("c", F.sum("_w").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = r.groupBy("bin").agg(F.min(F.struct("x", "_w", "c"))["c"].alias("a"), F.max(F.struct("x", "_w", "c"))["c"].alias("b"))
-    r = r.join(F.broadcast(ends), "bin").withColumn("f", divide(F.col("c") - F.col("a"), F.col("b") - F.col("a")))
-    pair = F.struct("f", "x")
-    r = r.groupBy("bin").agg(F.max(F.when(F.col("f") < p, pair)).alias("lo"), F.min(F.when((F.col("f") >= p) & ~F.isnan("f"), pair)).alias("hi"), F.first("x").alias("any"))
-    step = F.col("hi.f") - F.col("lo.f")
-    value = F.when(F.col("hi").isNull(), F.col("any")).when(F.col("lo").isNull(), F.col("hi.x")).otherwise(F.col("lo.x") + (F.col("hi.x") - F.col("lo.x")) * (F.lit(p) - F.col("lo.f")) / F.when(step != 0, step))
-    return r.select("bin", value.alias(name))
+def _percentile(rows: DataFrame, x: Column, w: Column | None, p: float, name: str) -> DataFrame:
+    """By bin: values in order, the sum of weights less the first, over the last; linear between. Of one value, itself. Each bin is cut into buckets by approximate quantiles, and only the bucket that holds the share is put in order."""
+    r = rows.select("bin", x.alias("k"), (F.lit(1.0) if w is None else w).alias("w")).where("k is not null and not isnan(k)")
+    ends = r.groupBy("bin").agg(F.percentile_approx("k", [i / BUCKETS for i in range(1, BUCKETS)], 4 * BUCKETS).alias("cuts"), F.min(F.struct("k", "w"))["w"].alias("first"), F.sum("w").alias("total"))
+    ends = ends.select("bin", F.array_distinct("cuts").alias("cuts"), (F.col("first") + p * (F.col("total") - F.col("first"))).alias("target"))
+    r = r.join(F.broadcast(ends), "bin").select("bin", "k", "w", "target", F.size(F.filter("cuts", lambda c: c < F.col("k"))).alias("b"))  # a row a bin
+    before = Window.partitionBy("bin").orderBy("b")
+    sums = r.groupBy("bin", "b").agg(F.sum("w").alias("t"), F.max("k").alias("most"), F.first("target").alias("target"))
+    sums = sums.select("bin", "b", "most", "target", F.sum("t").over(before.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.lag("most").over(before).alias("k0"), "t")
+    chosen = sums.groupBy("bin").agg(F.min(F.when(F.col("upto") >= F.col("target"), F.struct("b", (F.col("upto") - F.col("t")).alias("base"), "k0"))).alias("s"), F.max(F.struct("b", (F.col("upto") - F.col("t")).alias("base"), "k0")).alias("last"))
+    chosen = chosen.select("bin", F.coalesce("s", "last").alias("s")).select("bin", "s.*").withColumnRenamed("k0", "earlier")
+    keys = r.join(F.broadcast(chosen), ["bin", "b"]).groupBy("bin", "k").agg(F.min("w").alias("first"), F.sum("w").alias("t"), *[F.first(c).alias(c) for c in ("base", "earlier", "target")])
+    order = Window.partitionBy("bin").orderBy("k")
+    keys = keys.withColumn("c", F.col("base") + F.sum("t").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("k0", F.coalesce(F.lag("k").over(order), "earlier"))
+    c0 = F.col("c") - F.col("t")
+    between = F.col("k0") + (F.col("k") - F.col("k0")) * ((F.col("target") - c0) / F.col("first"))
+    at = F.when(F.col("k0").isNotNull() & (F.col("first") > 0) & (c0 + F.col("first") >= F.col("target")), between).otherwise(F.col("k"))
+    return keys.groupBy("bin").agg(F.coalesce(F.min(F.when(F.col("c") >= F.col("target"), F.struct("k", at.alias("at"))))["at"], F.max("k")).alias(name))
 
 
 @dataclass(frozen=True)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions import divide
@@ -17,7 +17,7 @@ from ..snapshot import Snapshot
 from ..units import gravity_constant, in_units
 from .expr import AggregateProperty, Property
 from .filters import Annulus, BandPass, Sphere, above
-from .prefix import between, bracket, prefix_sums
+from .prefix import Bucket, crossing, cut, keyed, narrowed, ordered, reaching, whole
 
 
 @dataclass(eq=False)
@@ -205,7 +205,7 @@ class PatternSpeed(AggregateProperty):
 
 @dataclass(eq=False)
 class ParamContain(Property):
-    """The key within which a share of the parameter lies: keys in order, the sum of the parameter less its first value, over the last; linear between particles."""
+    """The key within which a share of the parameter lies: keys in order, the sum of the parameter less its first value, over the last; linear between particles. Two passes find the buckets, and only these are put in order."""
 
     cal_key: str = "r"
     frac: float | Sequence[float] = 0.5
@@ -218,14 +218,14 @@ class ParamContain(Property):
         self.outputs = ("value",) if not isinstance(self.frac, (list, tuple, np.ndarray)) else tuple(f"p{i}" for i in range(len(self.fracs)))
 
     def frame(self, snap: Snapshot) -> DataFrame:
-        rows = prefix_sums(snap.df, snap.field(self.cal_key), snap.field(self.parameter), snap.order)
-        first = F.min_by("c", F.struct("k", "w", "c"))
-        span = rows.agg(first.alias("first"), F.max_by("c", F.struct("k", "w", "c")).alias("last"))
-        a, b = span.select("first").scalar(), span.select("last").scalar()
-        empty = F.raise_error(F.lit(f"the sum of {self.parameter} is not positive")).cast("double")
-        rows = rows.withColumn("f", F.when(b - a > 0, (F.col("c") - a) / (b - a)).otherwise(empty))
-        found = rows.agg(*[c.alias(f"{n}{i}") for i, p in enumerate(self.fracs) for n, c in zip(("lo", "hi"), bracket(F.col("f"), p), strict=True)])
-        return found.select(*[between(F.col(f"lo{i}"), F.col(f"hi{i}"), p).alias(o) for i, (p, o) in enumerate(zip(self.fracs, self.outputs, strict=True))])
+        rows = keyed(snap.df, snap.field(self.cal_key), snap.field(self.parameter))
+        buckets, first = cut(rows)
+        total = whole(buckets)
+        if buckets and not total - first > 0:
+            raise ValueError(f"the sum of {self.parameter} is not positive")
+        targets = [first + p * (total - first) for p in self.fracs] if buckets else [0.0] * len(self.fracs)
+        held = [b for t in targets for b in narrowed(rows, buckets, reaching(t))]
+        return ordered(rows, held).agg(*[crossing(t).alias(o) for t, o in zip(targets, self.outputs, strict=True)])
 
     def public(self, row: Row) -> Any:
         if row[0] is None:
@@ -235,7 +235,7 @@ class ParamContain(Property):
 
 @dataclass(eq=False)
 class RadiusAtSurfaceDensity(Property):
-    """The radius at which the surface density first crosses ``target``: "shell" (in a ring of width ``eps``) or "total" (within the radius). A grid of ``points`` radii finds the bracket in one pass; each step of the bisection is a pass over the bracket's ring only."""
+    """The radius at which the surface density first crosses ``target``: "shell" (in a ring of width ``eps``) or "total" (within the radius). A grid of ``points`` radii finds the interval in one pass; in a second one its radii are put in order and give the first crossing exactly."""
 
     target: Any
     parameter: str = "mass"
@@ -271,9 +271,7 @@ class RadiusAtSurfaceDensity(Property):
         marks = rows.select("w", F.greatest(first, F.lit(0)).alias("i"), F.least(last, F.lit(n - 1)).alias("j")).where("i <= j")
         marks = marks.select(F.explode(F.array(F.struct(F.col("i").alias("g"), F.col("w").alias("d")), F.struct((F.col("j") + 1).alias("g"), (-F.col("w")).alias("d")))).alias("m")).select("m.g", "m.d")
         grid = snap.df.sparkSession.range(n).select(F.col("id").alias("g"))
-        from pyspark.sql import Window
-
-        # 256 rows: one task
+        # ``points`` rows: one task
         every = grid.join(F.broadcast(marks.groupBy("g").agg(F.sum("d").alias("d"))), "g", "left").select("g", F.coalesce(F.sum("d").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)).alias("held"))
         r = F.lit(low) + F.col("g") * step
         if self.mode == "shell":
@@ -294,35 +292,34 @@ class RadiusAtSurfaceDensity(Property):
         target = snap.df.sparkSession.range(1).select(value_of(self.target, snap, None).alias("t")).first()[0]
         key, value = snap.field(self.r_key), snap.field(self.parameter)
         near = snap.df.select(key.cast("double").alias("k"), value.cast("double").alias("w"))
-        inner = 0.0
-        if self.mode == "total":
-            inner = near.where(F.col("k") <= left).agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
-        # What moves the density within the bracket: only these rows are read again.
-        ring = near.where((F.col("k") >= left - self.eps) & (F.col("k") <= right + self.eps)).persist()
-
-        def off(r: float) -> float:
+        half = self.eps / 2
+        # What is held changes at these radii; a ring holds both its ends, so what leaves does so behind its radius.
+        if self.mode == "shell":
+            steps = near.where((F.col("k") >= left - self.eps) & (F.col("k") <= right + self.eps))
+            steps = steps.select(F.explode(F.array(F.struct((F.col("k") - half).alias("r"), F.lit(0).alias("late"), F.col("w").alias("d")), F.struct((F.col("k") + half).alias("r"), F.lit(1).alias("late"), (-F.col("w")).alias("d")))).alias("s")).select("s.*")
+            inner = F.lit(0.0)
+        else:
+            steps = near.where((F.col("k") > left) & (F.col("k") <= right)).select(F.col("k").alias("r"), F.lit(0).alias("late"), F.col("w").alias("d"))
+            inner = near.where(F.col("k") <= left).agg(F.coalesce(F.sum("w"), F.lit(0.0))).scalar()
+        ends = snap.df.sparkSession.createDataFrame([(left, 0, 0.0), (right, 0, 0.0)], "r double, late int, d double")
+        # One interval of the grid, summed by radius: the order of its radii takes one window.
+        w = Window.orderBy("r", "late")
+        held = steps.unionByName(ends).groupBy("r", "late").agg(F.sum("d").alias("d")).select("r", "late", (F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)) + inner).alias("held"))
+        held = held.select("r", "held", F.lag("held").over(w).alias("was"), F.lead("r").over(w).alias("next")).where((F.col("r") >= left) & (F.col("r") <= right))
+
+        def density(mass: Column, r: Column) -> Column:
+            mass = F.greatest(mass, F.lit(0.0))
             if self.mode == "shell":
-                a, b = max(r - self.eps / 2, 0.0), r + self.eps / 2
-                held = ring.where((F.col("k") >= a) & (F.col("k") <= b)).agg(F.sum("w")).first()[0] or 0.0
-                return max(held, 0.0) / (math.pi * (b * b - a * a)) - target
-            held = inner + (ring.where((F.col("k") > left) & (F.col("k") <= r)).agg(F.sum("w")).first()[0] or 0.0)
-            return held / (math.pi * r * r) - target
+                a, b = F.greatest(r - half, F.lit(0.0)), r + half
+                return mass / (math.pi * (b * b - a * a))
+            return mass / (math.pi * r * r)
 
-        try:
-            a, b = left, right
-            at_left = off(a)
-            for _ in range(80):
-                mid = 0.5 * (a + b)
-                at_mid = off(mid)
-                if abs(at_mid) < 1e-10 or b - a < 1e-12 * max(b, 1.0):
-                    break
-                if at_left * at_mid <= 0:
-                    b = mid
-                else:
-                    a, at_left = mid, at_mid
-        finally:
-            ring.unpersist()
-        return snap.df.sparkSession.range(1).select(F.lit(0.5 * (a + b)).alias("value"))
+        # Between changes the density falls: as 1 / r in a ring, as 1 / r^2 in a circle.
+        falls = F.col("held") / (2 * math.pi * self.eps * target) if self.mode == "shell" else F.sqrt(F.col("held") / (math.pi * target))
+        here, there = density(F.col("held"), F.col("r")), density(F.col("held"), F.col("next"))
+        up = F.when(F.col("was").isNotNull() & (F.col("r") > left) & ((density(F.col("was"), F.col("r")) < target) != (here < target)), F.col("r"))
+        down = F.when((here >= target) & (there < target) & (F.col("next") <= right), falls)
+        return held.agg(F.min(F.least(up, down)).alias("value"))
 
 
 @dataclass(eq=False)
@@ -333,9 +330,18 @@ class VirialRadius(Property):
     rho_def: float = 1.0
 
     def frame(self, snap: Snapshot) -> DataFrame:
-        rows = prefix_sums(snap.df, snap.field("r"), snap.field("mass"), snap.order)
-        dense = F.col("c") >= self.overdensity * self.rho_def * 4 / 3 * math.pi * F.pow(F.col("k"), F.lit(3.0))
-        return rows.agg(F.max(F.when(dense, F.col("k"))).alias("value"))
+        rows = keyed(snap.df, snap.field("r"), snap.field("mass"))
+        buckets, _ = cut(rows)
+        level = self.overdensity * self.rho_def * 4 / 3 * math.pi
+
+        def least_answer(parts: list[Bucket]) -> float:
+            return max((b.most for b in parts if b.base + b.total >= level * b.most**3), default=-math.inf)
+
+        # A bucket may hold the answer if its whole sum is dense enough at its first radius, and none beyond is sure to be.
+        sure = least_answer(buckets)
+        held = narrowed(rows, buckets, lambda b: b.most >= sure and b.base + b.total >= level * b.least**3)
+        dense = F.col("c") >= level * F.pow(F.col("k"), F.lit(3.0))
+        return ordered(rows, held).agg(F.max(F.when(dense, F.col("k"))).alias("value"))
 
 
 @dataclass(eq=False)

@@ -113,7 +113,8 @@ class Calculator:
     def scalars(self, snap: Snapshot) -> list[Column]:
         """The outputs as scalar subqueries."""
         frame = self.frame(snap)
-        return [frame.select(c).scalar() for c in frame.columns]
+        row = frame.select(F.struct(*frame.columns).alias("row")).scalar()
+        return [row[c] for c in frame.columns]
 
     def check(self, above: tuple[int, ...] = ()) -> None:
         if id(self) in above:
@@ -278,8 +279,8 @@ def fused(snap: Snapshot, parts: dict[str, Calculator]) -> DataFrame:
     """One row with the outputs of all parts: one ``agg`` for each scope; frames of one row are put side by side."""
     frames = [group_frame(snap, scope, members) for scope, members in groups(parts)]
     out = frames[0]
-    for f in frames[1:]:
-        out = out.select("*", *[f.select(c).scalar().alias(c) for c in f.columns])
+    for i, f in enumerate(frames[1:]):
+        out = out.select("*", f.select(F.struct(*f.columns).alias("row")).scalar().alias(f"_row{i}")).select("*", f"_row{i}.*").drop(f"_row{i}")
     return out.select(*[f"{name}_{o}" for name, p in parts.items() for o in p.outputs])
 
 

@@ -93,14 +93,22 @@ def containing(p: float) -> str:
 add("param_contain", one(ParamContain("r", 0.5, "mass"), "r_half"), f"{P},\n{PREFIX} SELECT {containing(0.5)} AS r_half")
 add("param_contain_multi", one(ParamContain("r", [0.1, 0.5, 0.9], "mass"), "p10", "p50", "p90"), f"{P},\n{PREFIX} SELECT {containing(0.1)} AS p10, {containing(0.5)} AS p50, {containing(0.9)} AS p90")
 add("virial_radius", one(VirialRadius(200.0, 1e-3), "r_vir"), f"{P},\n{PREFIX} SELECT round(max(CASE WHEN c >= 200.0*1e-3*4/3*pi()*pow(r,3) THEN r END), 6) AS r_vir FROM c")
-_DENSITY = RadiusAtSurfaceDensity(lambda s: F.lit(0.9) * s.df.agg(F.sum("mass")).scalar() / (np.pi * 30.0 * 30.0), mode="total", rmax=50.0, eps=0.01)
+_DENSITY = RadiusAtSurfaceDensity(lambda s: s.df.agg(F.sum("mass")).scalar() / (np.pi * 45.0 * 45.0), mode="total", rmin=5.0, rmax=50.0, eps=0.01)
+_SHELL_DENSITY = RadiusAtSurfaceDensity(lambda s: F.lit(0.7) * s.df.agg(F.sum("mass")).scalar() / (np.pi * 45.0 * 45.0), mode="shell", rmin=5.0, rmax=55.0, eps=4.0, points=64)
+_BRACKET = """t AS (SELECT sum(mass) / (pi() * 45.0 * 45.0) AS t FROM q),
+grid AS (SELECT g, 5.0 + g * ((50.0 - 5.0) / 255) AS r FROM range(256) AS x(g)),
+d AS (SELECT g, any_value(grid.r) AS r, coalesce(sum(mass), 0) / (pi() * any_value(grid.r) * any_value(grid.r)) - any_value(t) AS d FROM grid CROSS JOIN t LEFT JOIN q ON q.rxy <= grid.r GROUP BY g),
+s AS (SELECT g, r AS lo, lead(r) OVER (ORDER BY g) AS hi, (d < 0) <> (lead(d) OVER (ORDER BY g) < 0) AS crossed FROM d),
+br AS (SELECT g, lo, hi FROM s WHERE crossed ORDER BY g LIMIT 1)"""
 add("radius_at_sigma_bracket", lambda spark, d: _DENSITY.bracket(particles_l(spark, d)).select("g"), f"""{P},
-t AS (SELECT 0.9 * sum(mass) / (pi() * 30.0 * 30.0) AS t FROM q),
-grid AS (SELECT g, 0.01 + g * ((50.0 - 0.01) / 255) AS r FROM range(256) AS x(g)),
-d AS (SELECT g, coalesce(sum(mass), 0) / (pi() * any_value(grid.r) * any_value(grid.r)) - any_value(t) AS d FROM grid CROSS JOIN t LEFT JOIN q ON q.rxy <= grid.r GROUP BY g),
-s AS (SELECT g, (d < 0) <> (lead(d) OVER (ORDER BY g) < 0) AS crossed FROM d)
-SELECT min(g) AS g FROM s WHERE crossed HAVING min(g) IS NOT NULL""")
-add("radius_at_sigma", lambda spark, d: rounded(_DENSITY.frame(particles_l(spark, d)), 6))
+{_BRACKET} SELECT g FROM br""")
+add("radius_at_sigma", lambda spark, d: rounded(_DENSITY.frame(particles_l(spark, d)), 6), f"""{P},
+{_BRACKET},
+m AS (SELECT rxy AS r, sum(sum(mass)) OVER (ORDER BY rxy) AS m, sum(sum(mass)) OVER (ORDER BY rxy) - sum(mass) AS was FROM q GROUP BY rxy),
+n AS (SELECT r, m, was, lead(r) OVER (ORDER BY r) AS nx FROM m),
+c AS (SELECT greatest(r, lo) AS r, m, CASE WHEN r > lo THEN was ELSE m END AS was, least(coalesce(nx, hi), hi) AS nx, t FROM n, br, t WHERE r <= hi AND (nx IS NULL OR nx > lo))
+SELECT round(min(CASE WHEN (was / (pi()*r*r) < t) <> (m / (pi()*r*r) < t) THEN r WHEN m / (pi()*r*r) >= t AND m / (pi()*nx*nx) < t THEN sqrt(m / (pi()*t)) END), 6) AS value FROM c""")
+add("radius_at_sigma_shell", lambda spark, d: rounded(_SHELL_DENSITY.frame(particles_l(spark, d)), 6))
 
 # --- algebra, pipelines, parameters
 _M, _K = ParamSum("mass"), KappaRot()
@@ -110,7 +118,10 @@ add("compare", one(_K.gt(0.1), "above"), f"{P} SELECT sum(0.5*mass*vcxy*vcxy)/su
 add("pipeline_multi", one(Pipeline({"mass": _M, "star_mass": _M.filter(FamilyFilter("star")), "star_n": Count().filter(FamilyFilter("star")), "kappa": _K}), "mass", "star_mass", "star_n", "kappa"), f"{P} SELECT sum(mass) AS mass, sum(mass) FILTER (WHERE family = 'star') AS star_mass, count(*) FILTER (WHERE family = 'star') AS star_n, round(sum(0.5*mass*vcxy*vcxy)/sum(mass*ke), 6) AS kappa FROM q")
 add("combined", one(ParamSum("mass") & Count() & KappaRot(), "mass", "n", "kappa"), f"{P} SELECT sum(mass) AS mass, count(*) AS n, round(sum(0.5*mass*vcxy*vcxy)/sum(mass*ke), 6) AS kappa FROM q")
 add("dynamic_sphere", one((ParamSum("mass") & Count()).filter(Sphere(0.75 * ParamContain("r", 0.5, "mass"))), "mass", "n"), f"{P},\n{PREFIX},\nh AS (SELECT r0 + (r - r0) * (0.5 - f0) / (f - f0) AS h FROM g WHERE f >= 0.5 AND f0 < 0.5) SELECT sum(mass) AS mass, count(*) AS n FROM q, h WHERE x*x+y*y+z*z < (0.75*h)*(0.75*h)")
-add("dynamic_band", one(Count().filter(BandPass("temp", ParamContain("temp", 0.25, "mass"), ParamContain("temp", 0.75, "mass"))), "n"))
+add("dynamic_band", one(Count().filter(BandPass("temp", ParamContain("temp", 0.25, "mass"), ParamContain("temp", 0.75, "mass"))), "n"), f"""{P},
+{PREFIX.replace("SELECT r, sum", "SELECT temp AS r, sum").replace("ORDER BY r, mass", "ORDER BY temp, mass")},
+h AS (SELECT {", ".join(f"(SELECT r0 + (r - r0) * ({p} - f0) / (f - f0) FROM g WHERE f >= {p} AND f0 < {p}) AS {n}" for n, p in (("lo", 0.25), ("hi", 0.75)))})
+SELECT count(*) AS n FROM q, h WHERE temp > lo AND temp < hi""")
 
 # --- transforms
 SIX = ParamSum("x") & ParamSum("y") & ParamSum("z") & Count().filter(Sphere(15.25))
@@ -134,11 +145,25 @@ moved("shift_com_then_sum", ShiftPosTo("com"), *[f"{c} - (SELECT c{c} FROM com)"
 moved("measure_filter_shift", ShiftPosTo("com").measure_with(FamilyFilter("star") & Sphere(20.25)), *[f"{c} - (SELECT c{c} FROM com)" for c in "xyz"], with_=_COM.format(" WHERE family = 'star' AND x*x+y*y+z*z < 20.25*20.25"))
 moved("shift_array", ShiftPosTo((1.0, -2.0, 0.5)), "x - 1", "y + 2", "z - 0.5")
 add("transform_chain", one((CenPos("com") & CenVel("com") & Count().filter(Sphere(10.25))).transform(WrapBox(40.0, "center").then(ShiftPosTo("com"), ShiftVelTo("com"))), "x", "y", "z", "vx", "vy", "vz", "n", digits=4), f"{P}, w AS (SELECT mass, {', '.join(f'{wrap(c, -20.0)} AS {c}' for c in 'xyz')} FROM q){_COM.format('').replace('FROM q', 'FROM w')} SELECT 0.0 AS x, 0.0 AS y, 0.0 AS z, 0.0 AS vx, 0.0 AS vy, 0.0 AS vz, count(*) AS n FROM w, com WHERE (x-cx)*(x-cx)+(y-cy)*(y-cy)+(z-cz)*(z-cz) < 10.25*10.25")
-QUERIES["transform_chain"] = (lambda q: lambda spark, d: q(spark, d).select(*[(F.abs(c) + 0.0).alias(c) for c in ("x", "y", "z", "vx", "vy", "vz")], "n"))(QUERIES["transform_chain"])
+QUERIES["transform_chain"] = (lambda q: lambda spark, d: q(spark, d).select(*[(F.col(c) + 0.0).alias(c) for c in ("x", "y", "z", "vx", "vy", "vz")], "n"))(QUERIES["transform_chain"])
 add("rotate_invariants", one((ParamSum("r") & ParamSum("ke") & AngMomVec()).transform(AlignVec(AngMomVec())), "r", "ke", "jx", "jy", "jz", digits=2), f"{P} SELECT round(sum(r), 2) AS r, round(sum(ke), 2) AS ke, 0.0 AS jx, 0.0 AS jy, round(sqrt(pow(sum(mass*(y*vz-z*vy)),2)+pow(sum(mass*(z*vx-x*vz)),2)+pow(sum(mass*(x*vy-y*vx)),2)), 2) AS jz FROM q")
-QUERIES["rotate_invariants"] = (lambda q: lambda spark, d: q(spark, d).select("r", "ke", *[(F.abs(c) + 0.0).alias(c) for c in ("jx", "jy")], "jz"))(QUERIES["rotate_invariants"])
-add("shrinking_sphere", one(CenPos("ssc").filter(FamilyFilter("star")), "x", "y", "z"))
-add("hybrid_center", one(CenPos("hyb"), "x", "y", "z"))
+QUERIES["rotate_invariants"] = (lambda q: lambda spark, d: q(spark, d).select("r", "ke", *[(F.col(c) + 0.0).alias(c) for c in ("jx", "jy")], "jz"))(QUERIES["rotate_invariants"])
+
+
+def shrinking(rows: str, start: str) -> str:
+    """The sphere as a recursive query over particles ``rows`` from ``start``: x, y, z, r."""
+    inside = "(p.x-s.x)*(p.x-s.x)+(p.y-s.y)*(p.y-s.y)+(p.z-s.z)*(p.z-s.z) < s.r*s.r"
+    return f"""WITH RECURSIVE p AS ({rows}), st AS ({start}), sph(i, x, y, z, r, n) AS (
+  SELECT 0, x, y, z, r, CAST(1000000 AS BIGINT) FROM st
+  UNION ALL
+  SELECT s.i + 1, coalesce(sum(p.mass*p.x)/sum(p.mass), s.x), coalesce(sum(p.mass*p.y)/sum(p.mass), s.y), coalesce(sum(p.mass*p.z)/sum(p.mass), s.z), s.r * 0.7, count(p.mass)
+  FROM sph s LEFT JOIN p ON {inside} WHERE s.n >= 100 GROUP BY s.i, s.x, s.y, s.z, s.r)
+SELECT round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM sph ORDER BY i DESC LIMIT 1"""
+
+
+_COM_START = "SELECT x, y, z, 0.7 * (SELECT sqrt(max((p.x-c.x)*(p.x-c.x)+(p.y-c.y)*(p.y-c.y)+(p.z-c.z)*(p.z-c.z))) FROM p) AS r FROM (SELECT sum(mass*x)/sum(mass) AS x, sum(mass*y)/sum(mass) AS y, sum(mass*z)/sum(mass) AS z FROM p) c"
+add("shrinking_sphere", one(CenPos("ssc").filter(FamilyFilter("star")), "x", "y", "z"), shrinking(f"SELECT * FROM ({PARTICLES_L_SQL}) WHERE family = 'star'", _COM_START))
+add("hybrid_center", one(CenPos("hyb"), "x", "y", "z"), shrinking(PARTICLES_L_SQL, f"SELECT x, y, z, 5.0 AS r FROM p ORDER BY phi, {ORDER} LIMIT 1"))
 
 # --- profiles
 LIN = [0.25 + 6.0 * i for i in range(9)]
@@ -248,3 +273,20 @@ add("gravity_tree_theta0_acc", gravity("tree", _A, theta=0.0), _DIRECT_ACC)
 add("gravity_tree_plummer0", gravity("tree", ("phi",), theta=0.0, softening="eps", kernel="plummer"), ORACLE_SQL["gravity_plummer_pot"])
 add("gravity_tree_order3", gravity("tree", ("phi", *_A), theta=0.7, multipole_order=3))
 add("gravity_tree_order5", gravity("tree", ("phi", *_A), theta=0.7, multipole_order=5))
+
+
+def tree_error(order: int, phi: float, acc: float) -> Query:
+    """Whether the tree is near the direct sums: the potential, and the acceleration against the median one."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        g = Gravity(particles_e(spark, d), theta=0.7, multipole_order=order)
+        both = g.tree(None).join(g.direct(None).toDF("pid", *[f"{c}_d" for c in ("phi", *_A)]), "pid")
+        off = F.sqrt(sum((F.col(c) - F.col(f"{c}_d")) ** 2 for c in _A))
+        size = F.sqrt(sum(F.col(f"{c}_d") ** 2 for c in _A))
+        return both.select("pid", (F.abs(F.col("phi") - F.col("phi_d")) <= phi * F.abs("phi_d")).alias("near_phi"), (off <= acc * F.greatest(size, F.lit(1.0))).alias("near_acc"))
+
+    return run
+
+
+for _order, _phi, _acc in ((0, 0.02, 0.2), (3, 0.002, 0.05), (5, 0.001, 0.02)):
+    add(f"gravity_tree_order{_order}_error", tree_error(_order, _phi, _acc), f"{EP} SELECT pid, true AS near_phi, true AS near_acc FROM e")
