@@ -263,13 +263,16 @@ class ClassLM:
         cells, wide = every * every, 2 * every  # a neighbour that is not held has every + the class of its ending
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sym, total, seen = shared.value, np.zeros(2 * cells, np.int64), Counter()
+            sym, total = shared.value, np.zeros(2 * cells, np.int64)
             end = len(of) - 1
+            words, nexts, keys = [], [], []
 
             def out() -> pa.RecordBatch:
-                cols = zip(*((w, v, k, n) for (w, v, k), n in seen.items()), strict=True) if seen else [()] * 4
-                got = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["word", "next", "key", "n"])
-                seen.clear()
+                key = np.concatenate([np.empty(0, np.int64), *keys])
+                got = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(nexts, pa.binary()), pa.array(key), pa.array(np.ones(len(key), np.int64))], names=["word", "next", "key", "n"])
+                words.clear()
+                nexts.clear()
+                keys.clear()
                 return got
 
             for b in batches:
@@ -283,9 +286,10 @@ class ClassLM:
                     p = np.flatnonzero(other)
                     if len(p):
                         c = c + every * other
-                        seen.update((ws[i - 1], None, k) for i, k in zip(p.tolist(), (c[p - 1] * wide + c[p + 1]).tolist(), strict=True))
-                        seen.update((ws[i - 1], ws[i], -1) for i in p[other[p + 1]].tolist())
-                    if len(seen) > FLUSH // 2:
+                        words += [ws[i] for i in (p - 1).tolist()]
+                        nexts += [ws[i] if both else None for i, both in zip(p.tolist(), other[p + 1].tolist(), strict=True)]
+                        keys.append(c[p - 1] * wide + c[p + 1])
+                    if len(words) > FLUSH // 4:
                         yield out()
             some = np.flatnonzero(total)
             yield out()
@@ -321,7 +325,7 @@ class ClassLM:
                         pa.concat_arrays([b.column(0), pa.nulls(len(i), pa.binary())]), pa.array(np.append(out.sum(1), add.ravel()[i]), pa.int64()), pa.array(np.append(got, i), pa.int64()),
                     ], names=["word", "c", "class"])
 
-        lists = raw.where("word is not null and next is null").repartition("word").groupBy("word", "key").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("key", "n")).alias("near"))
+        lists = raw.where("word is not null").repartition("word").groupBy("word", "key").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("key", "n")).alias("near"))
         placed = stage(lists.mapInArrow(chosen, "word binary, c long, class long"), "placed")
         for r in placed.where("word is null").groupBy("class").agg(F.sum("c").alias("n")).collect():
             table[divmod(r["class"], every)] += r["n"]
@@ -359,7 +363,7 @@ class ClassLM:
             base_under = np.log10(n + v + 1.0)
             held, end = len(counts), len(of) - 1
             for b in batches:
-                rows = []
+                rows, words, times, numbers, endings, sizes = [], [], [], [], [], [0]
                 for t in b.column(1):
                     ws = tokens(t.as_py())
                     s = symbols.text(ws)
@@ -371,30 +375,44 @@ class ClassLM:
                     score = top + step[c[:-1][sure], c[1:][sure]].sum() - under[c[~other]][1:-1].sum()
                     # Words that aren't held: their classes are found by a join; pairs beside them hold classes, or -1 - their number in the text.
                     p = np.flatnonzero(other)
-                    times = Counter(ws[i - 1] for i in p.tolist())
-                    number = {w: i for i, w in enumerate(times)}
-                    ending = {ws[i - 1]: int(c[i]) for i in p.tolist()}
+                    beside = None
                     if len(p):
+                        rare = [ws[i] for i in (p - 1).tolist()]
+                        number: dict[bytes, int] = {}
+                        place = np.fromiter((number.setdefault(w, len(number)) for w in rare), np.int64, len(rare))
+                        words += number
+                        times.append(np.bincount(place))
+                        numbers.append(np.arange(len(number)))
+                        ending = np.empty(len(number), np.int64)
+                        ending[place] = c[p]
+                        endings.append(ending)
                         c = c.copy()
-                        c[p] = [-1 - number[ws[i - 1]] for i in p.tolist()]
-                    beside = np.stack([c[:-1][~sure], c[1:][~sure]]).astype("<i4").tobytes() if len(p) else None
-                    rows.append((len(ws) + 1, len(ws) - len(p) + (ends > 0), float(base), float(score), beside, [{"word": w, "times": k, "number": number[w], "ending": ending[w]} for w, k in times.items()]))
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64()), ("number", pa.int64()), ("ending", pa.int64())])))
-                cols = list(zip(*rows, strict=True)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, k) for x, k in zip(cols, kinds, strict=True)]], names=["id", "n_tokens", "n_known", "base", "score", "beside", "rare"])
+                        c[p] = -1 - place
+                        beside = np.stack([c[:-1][~sure], c[1:][~sure]]).astype("<i4").tobytes()
+                    sizes.append(len(words))
+                    rows.append((len(ws) + 1, len(ws) - len(p) + (ends > 0), float(base), float(score), beside))
+                flat = [np.concatenate([np.empty(0, np.int64), *x]) for x in (times, numbers, endings)]
+                each = pa.StructArray.from_arrays([pa.array(words, pa.binary()), *map(pa.array, flat)], names=["word", "times", "number", "ending"])
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
+                cols = list(zip(*rows, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), each)], names=["id", "n_tokens", "n_known", "base", "score", "beside", "rare"])
 
         def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, _, step, under, _, _ = shared.value
             for b in batches:
                 score = b.column(4).to_numpy(zero_copy_only=False).copy()
-                for i, (beside, found) in enumerate(zip(b.column(5).to_pylist(), b.column(6).to_pylist(), strict=True)):
+                lists = b.column(6)
+                sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                flat, first = lists.flatten(), np.concatenate([[0], np.cumsum(sizes)])
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                number, times, found = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("number", "times", "class"))
+                score -= np.bincount(row, times * under[found], len(sizes))
+                own = np.zeros(len(number) + 1, np.int64)
+                own[first[row] + number] = found
+                for i, beside in enumerate(b.column(5).to_pylist()):
                     if beside is not None:
-                        own = np.zeros(len(found), np.int64)
-                        for x in found:
-                            own[x["number"]] = x["class"]
-                            score[i] -= x["times"] * under[x["class"]]
                         c = np.frombuffer(beside, "<i4").reshape(2, -1).astype(np.int64)
-                        c = np.where(c < 0, own[np.maximum(-1 - c, 0)], c)
+                        c = np.where(c < 0, own[np.where(c < 0, first[i] - 1 - c, 0)], c)
                         score[i] += step[c[0], c[1]].sum()
                 yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(score, pa.float64())], names=["id", "n_tokens", "n_known", "base_score", "score"])
 
