@@ -49,7 +49,9 @@ from .store import partitions, ship, stage
 NO_ID = -(2**63)
 #: A table of so many bytes is broadcast; a larger one is joined by shuffle.
 BROADCAST_BYTES = 16_000_000
-UNIT_SHINGLES = 1_000_000
+UNIT_SHINGLES = 2_000_000
+#: So many postings are merged by a heap; more are counted in an array, which is faster by far.
+HEAP_POSTINGS = 4_000
 MAX_WORDS = 400_000
 
 
@@ -220,6 +222,16 @@ def _dense_ties(dense: DataFrame, heavy: DataFrame) -> DataFrame:
     return held.join(least, "shingle").where("a <> cid").select("a", F.col("cid").alias("b")).distinct()
 
 
+def merged(lists: list[np.ndarray], n: int, occur: int) -> list[tuple[int, int]]:
+    """The members that are in ``occur`` lists or more, and in how many: by a heap, or, of many postings, by counting them all at once."""
+    if sum(map(len, lists)) <= HEAP_POSTINGS:
+        counts = ((y, sum(1 for _ in found)) for y, found in groupby(heapq.merge(*[x.tolist() for x in lists])))
+        return [(y, c) for y, c in counts if c >= occur]
+    counts = np.bincount(np.concatenate(lists), minlength=n)
+    often = np.flatnonzero(counts >= occur)
+    return list(zip(often.tolist(), counts[often].tolist(), strict=True))
+
+
 def search(sets: list[np.ndarray], percent: int, every: bool = False) -> list[tuple[int, int]]:
     """Ties (a, b) of positions that join all sets of enough similarity, and no others, into components; with ``every``, all similar pairs (a < b)."""
     n = [len(s) for s in sets]
@@ -240,13 +252,10 @@ def search(sets: list[np.ndarray], percent: int, every: bool = False) -> list[tu
         least = least_overlap(n[x], percent)
         occur = min(least, slack(n[x]))
         short, rest = by_length[: n[x] - least + occur], own[by_length[n[x] - least + occur :]]
-        lists = [owner[lo[i] : hi[i]].tolist() for i in short if hi[i] - lo[i] > 1]
-        for y, found in groupby(heapq.merge(*lists)):
+        lists = [owner[lo[i] : hi[i]] for i in short if hi[i] - lo[i] > 1]
+        for y, c in merged(lists, len(sets), occur):
             if (y <= x if every else y == x or union.find(x) == union.find(y)) or 100 * min(n[x], n[y]) < percent * max(n[x], n[y]):
                 continue
-            c = sum(1 for _ in found)
-            if c < occur:
-                continue
             other = sets[y]
             place = np.minimum(np.searchsorted(other, rest), n[y] - 1)
             c += int((other[place] == rest).sum())
