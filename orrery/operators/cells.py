@@ -1,0 +1,97 @@
+"""Cells for trees that are too large for one place: cubes named by the octants that lead to them.
+
+A point's code has three bits for each of DEPTH levels. Cells are codes cut off at some level,
+so they are stretches of codes, and a sorted list of their starts finds a point's cell.
+"""
+
+from __future__ import annotations
+
+from collections import Counter
+from dataclasses import dataclass
+
+import numpy as np
+
+from .tree import REACH, Octree, indices
+
+DEPTH = 20
+FIRST, STEP = 5, 2
+
+
+def codes(x: np.ndarray, low: np.ndarray, side: float) -> np.ndarray:
+    q = np.clip(np.floor((x - low) / side * 2**DEPTH), 0, 2**DEPTH - 1).astype(np.int64)
+    out = np.zeros(len(x), np.int64)
+    for level in range(DEPTH):
+        for axis in range(3):
+            out |= ((q[:, axis] >> level) & 1) << (3 * level + axis)
+    return out
+
+
+def settle(counts: dict[int, int], depth: int, top: int, limit: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """From counts of cells at ``depth``: the largest cells at ``top`` or below of at most ``limit`` points, as (depth, number), and the cells that are above it still."""
+    held = {depth: Counter(counts)}
+    for d in range(depth - 1, top - 1, -1):
+        held[d] = Counter()
+        for c, n in held[d + 1].items():
+            held[d][c >> 3] += n
+    found = [(top, c) for c, n in held[top].items() if n <= limit]
+    for d in range(top + 1, depth + 1):
+        found += [(d, c) for c, n in held[d].items() if n <= limit < held[d - 1][c >> 3]]
+    return found, [c for c, n in held[depth].items() if n > limit]
+
+
+def moments_of(pos: np.ndarray, mass: np.ndarray, order: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mass, centre of mass, and the moments about it up to ``order``."""
+    total = float(mass.sum())
+    com = (mass[:, None] * pos).sum(0) / total if total else pos.mean(0)
+    d = pos - com
+    powers = [np.ones_like(d)]
+    for _ in range(order):
+        powers.append(powers[-1] * d)
+    return total, com, np.array([(mass * powers[i][:, 0] * powers[j][:, 1] * powers[k][:, 2]).sum() for i, j, k in indices(order)])
+
+
+@dataclass
+class Cells:
+    """Cells in order of their codes; a row of ``com``, ``total``, ``hmax`` and ``moments`` each, once known."""
+
+    low: np.ndarray
+    side: float
+    start: np.ndarray
+    half: np.ndarray
+    order: int = 0
+    kernel: str = "newton"
+    soft: bool = False
+    com: np.ndarray | None = None
+    total: np.ndarray | None = None
+    hmax: np.ndarray | None = None
+    moments: np.ndarray | None = None
+
+    @classmethod
+    def of(cls, low: np.ndarray, side: float, found: list[tuple[int, int]]) -> Cells:
+        rows = sorted((c << 3 * (DEPTH - d), d) for d, c in found)
+        return cls(low, side, np.array([r[0] for r in rows], np.int64), np.array([0.5 * side / 2 ** r[1] for r in rows]))
+
+    def cell(self, x: np.ndarray) -> np.ndarray:
+        return np.maximum(np.searchsorted(self.start, codes(x, self.low, self.side), "right") - 1, 0)
+
+    def far(self, x: np.ndarray, h: np.ndarray, theta: float, own: bool, block: int = 2_000_000):
+        """By blocks of targets: their places, which cells act on them through moments, and the separations."""
+        reach = REACH[self.kernel] if self.soft else 0.0
+        step = max(1, block // max(1, len(self.start)))
+        for lo in range(0, len(x), step):
+            d = self.com[None] - x[lo : lo + step, None]
+            r2 = (d * d).sum(2)
+            soft = (np.maximum(self.hmax[None], h[lo : lo + step, None]) if own else self.hmax[None]) * reach
+            yield lo, ((2 * self.half[None]) ** 2 < theta * theta * r2) & (r2 > soft * soft), d
+
+    def through_moments(self, x: np.ndarray, h: np.ndarray, theta: float, own: bool) -> tuple[np.ndarray, np.ndarray]:
+        phi, acc = np.zeros(len(x)), np.zeros((len(x), 3))
+        for lo, far, d in self.far(x, h, theta, own):
+            t, c = np.nonzero(far & (self.total != 0)[None])
+            Octree._far(self, phi, acc, t + lo, c, d[t, c])
+        return phi, acc
+
+    def near(self, x: np.ndarray, h: np.ndarray, theta: float, own: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of target and cell that are too near for moments."""
+        t, c = zip(*[(np.nonzero(~far)[0] + lo, np.nonzero(~far)[1]) for lo, far, _ in self.far(x, h, theta, own)], strict=True) if len(x) else ((), ())
+        return np.concatenate([np.empty(0, int), *t]), np.concatenate([np.empty(0, int), *c])

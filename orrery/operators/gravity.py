@@ -1,15 +1,17 @@
 """Gravity: direct sums and a Barnes-Hut octree, for all particles or at given points.
 
-Direct sums are one join of targets and sources and an aggregate by target. Sources are
-broadcast up to a checked number; beyond it they are dealt into blocks, every target meets
-every block, and partial sums are added. The tree is built on the driver from up to
-``TREE_LIMIT`` particles and sent to the workers; larger snapshots are summed by blocks.
+Direct sums take blocks of targets and sources in Arrow batches. Sources are broadcast up to a
+checked number; beyond it they are dealt into blocks, every target meets every block, and
+partial sums are added. The tree of up to ``tree_limit`` particles is built on the driver and
+sent to the workers. A larger snapshot is cut into cells of octants with at most ``cell``
+particles: a cell that a target sees under a small angle acts through its moments, and of a
+nearer one the tree is built in a task, for the targets that are near it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 import numpy as np
@@ -17,16 +19,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import force_factor, potential
 from ..shipping import ship
 from ..snapshot import Snapshot
 from ..units import gravity_constant, in_units
+from .cells import DEPTH, FIRST, STEP, Cells, codes, moments_of, settle
 from .tree import Octree
 
 #: Sources up to this number (some 50 bytes each) are broadcast whole.
 BROADCAST_SOURCES = 20_000
 BLOCK = 20_000
-TREE_LIMIT = 5_000_000
+#: Tasks that share the targets near a cell.
+PARTS = 8
 KERNELS = ("newton", "plummer", "spline")
 
 
@@ -41,6 +44,8 @@ class Gravity:
     leaf_capacity: int = 8
     multipole_order: int = 3
     g: float = 1.0
+    tree_limit: int = 1_000_000
+    cell: int = 50_000
 
     def __post_init__(self) -> None:
         if self.softening is not None and self.kernel in (None, "newton"):
@@ -76,13 +81,20 @@ class Gravity:
         targets, sources = self._targets(points), self.sources()
         if sources.count() > BROADCAST_SOURCES:
             return self._direct_blocks(targets, sources, points is None)
-        pairs = targets.join(F.broadcast(sources), F.col("pid") != F.col("sid") if points is None else F.lit(True), "left")
-        d = [F.col(f"s{c}") - F.col(f"t{c}") for c in "xyz"]
-        r2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
-        h = None if self.softening is None else (F.greatest("th", "sh") if points is None else F.col("sh"))
-        m, k = F.col("sm") * self.g, force_factor(self.kind, r2, h)
-        none = lambda c: F.coalesce(c, F.lit(0.0))
-        return pairs.groupBy("pid").agg(none(F.sum(m * potential(self.kind, r2, h))).alias("phi"), *[none(F.sum(m * v * k)).alias(f"a{c}") for v, c in zip(d, "xyz", strict=True)])
+        s = sources.toPandas()  # bounded: BROADCAST_SOURCES
+        shared = self.snap.df.sparkSession.sparkContext.broadcast((s[["sx", "sy", "sz"]].to_numpy(), s["sm"].to_numpy(), s["sh"].to_numpy(), s["sid"].to_numpy()))
+        kind, soft, g, own = self.kind, self.softening is not None, self.g, points is None
+        ship(self.snap.df.sparkSession)
+
+        def sums(batches):
+            from .tree import pair_sums
+
+            pos, m, h, sid = shared.value
+            for t in batches:
+                phi, acc = pair_sums(t[["tx", "ty", "tz"]].to_numpy(), t["th"].to_numpy(), pos, m, h, kind, soft, own, t["pid"].to_numpy() if own else None, sid)
+                yield pd.DataFrame({"pid": t["pid"], "phi": g * phi, "ax": g * acc[:, 0], "ay": g * acc[:, 1], "az": g * acc[:, 2]})
+
+        return targets.mapInPandas(sums, "pid long, phi double, ax double, ay double, az double")
 
     def _direct_blocks(self, targets: DataFrame, sources: DataFrame, own: bool) -> DataFrame:
         """Each block of sources meets each block of targets in a task of bounded memory."""
@@ -105,10 +117,10 @@ class Gravity:
     def tree(self, points: DataFrame | None = None) -> DataFrame:
         """The same by the tree: nodes seen under an angle below ``theta`` act through their moments."""
         sources, targets = self.sources(), self._targets(points)
-        if sources.count() > TREE_LIMIT:
-            return self._direct_blocks(targets, sources, points is None)
+        if sources.count() > self.tree_limit:
+            return self._tree_of_cells(targets, sources, points is None)
         s = sources.toPandas()
-        tree = Octree.build(s[["sx", "sy", "sz"]].to_numpy(), s["sm"].to_numpy(), s["sh"].to_numpy() if self.softening is not None else None, s["sid"].to_numpy(), leaf_capacity=self.leaf_capacity, order=self.multipole_order, kernel=self.kind)
+        tree = _built(s, self.softening is not None, self.leaf_capacity, self.multipole_order, self.kind)
         ship(self.snap.df.sparkSession)
         shared = self.snap.df.sparkSession.sparkContext.broadcast(tree)
         theta, own, g = self.theta, points is None, self.g
@@ -120,6 +132,78 @@ class Gravity:
 
         return targets.mapInPandas(walk, "pid long, phi double, ax double, ay double, az double")
 
+    def _cells(self, sources: DataFrame) -> Cells:
+        """Cells of at most ``cell`` sources. Counts of cells come from passes over the sources; what is collected is bounded by their number."""
+        low, high = np.array(sources.agg(*[f(f"s{c}") for f in (F.min, F.max) for c in "xyz"]).first(), float).reshape(2, 3)
+        side = max(float((high - low).max()), 1e-6) * (1 + 1e-12)
+        found, big, top, depth = [], None, 0, FIRST
+        while True:
+            wanted = None if big is None else np.array(sorted(big), np.int64)
+
+            def count(batches, wanted=wanted, top=top, depth=depth):
+                for s in batches:
+                    at = codes(s[["sx", "sy", "sz"]].to_numpy(), low, side) >> 3 * (DEPTH - depth)
+                    if wanted is not None:
+                        at = at[np.isin(at >> 3 * (depth - top), wanted)]
+                    cell, n = np.unique(at, return_counts=True)
+                    yield pd.DataFrame({"at": cell, "n": n.astype(np.int64)})
+
+            counts = sources.mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+            more, big = settle({r["at"]: r["n"] for r in counts}, depth, top, self.cell)
+            found += more
+            if not big or depth >= DEPTH:
+                return Cells.of(low, side, found + [(depth, c) for c in big])
+            top, depth = depth, min(depth + STEP, DEPTH)
+
+    def _tree_of_cells(self, targets: DataFrame, sources: DataFrame, own: bool) -> DataFrame:
+        spark = self.snap.df.sparkSession
+        ship(spark)
+        cells = self._cells(sources)
+        theta, g, order, soft = self.theta, self.g, self.multipole_order, self.softening is not None
+        leaf, kind = self.leaf_capacity, self.kind
+        columns = "pid long, phi double, ax double, ay double, az double"
+
+        def place(batches):
+            for s in batches:
+                yield s.assign(source=cells.cell(s[["sx", "sy", "sz"]].to_numpy()))
+
+        placed = sources.mapInPandas(place, "sid long, sx double, sy double, sz double, sm double, sh double, source long")
+
+        def summed(s: pd.DataFrame) -> pd.DataFrame:
+            total, com, moments = moments_of(s[["sx", "sy", "sz"]].to_numpy(), s["sm"].to_numpy(), order if order > 1 else 0)
+            return pd.DataFrame({"source": [s["source"].iloc[0]], "total": [total], "com": [com], "hmax": [float(s["sh"].max()) if soft else 0.0], "moments": [moments]})
+
+        rows = {r["source"]: r for r in placed.groupBy("source").applyInPandas(summed, "source long, total double, com array<double>, hmax double, moments array<double>").collect()}  # a row a cell
+        rows = [rows[i] for i in range(len(cells.start))]
+        known = replace(cells, order=order, kernel=self.kind, soft=soft, com=np.array([r["com"] for r in rows]), total=np.array([r["total"] for r in rows]), hmax=np.array([r["hmax"] for r in rows]), moments=np.array([r["moments"] for r in rows]))
+        shared = spark.sparkContext.broadcast(known)
+
+        def through_moments(batches):
+            for t in batches:
+                phi, acc = shared.value.through_moments(t[["tx", "ty", "tz"]].to_numpy(), t["th"].to_numpy(), theta, own)
+                yield pd.DataFrame({"pid": t["pid"], "phi": g * phi, "ax": g * acc[:, 0], "ay": g * acc[:, 1], "az": g * acc[:, 2]})
+
+        def near_cells(batches):
+            for t in batches:
+                at, cell = shared.value.near(t[["tx", "ty", "tz"]].to_numpy(), t["th"].to_numpy(), theta, own)
+                yield t.iloc[at].assign(source=cell)
+
+        first = targets.mapInPandas(through_moments, columns)
+        met = targets.mapInPandas(near_cells, "pid long, tx double, ty double, tz double, th double, source long").withColumn("part", F.pmod(F.xxhash64("pid"), F.lit(PARTS)).cast("int"))
+
+        def walk(t: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+            phi, acc = _built(s, soft, leaf, order, kind).evaluate(t[["tx", "ty", "tz"]].to_numpy(), theta, t["pid"].to_numpy() if own else None, t["th"].to_numpy())
+            return pd.DataFrame({"pid": t["pid"], "phi": g * phi, "ax": g * acc[:, 0], "ay": g * acc[:, 1], "az": g * acc[:, 2]})
+
+        # The targets near a cell are dealt to PARTS tasks, each with the cell's sources.
+        copies = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        second = met.groupBy("source", "part").cogroup(copies.groupBy("source", "part")).applyInPandas(walk, columns)
+        return first.unionByName(second).groupBy("pid").agg(*[F.sum(c).alias(c) for c in ("phi", "ax", "ay", "az")])
+
+
+def _built(s: pd.DataFrame, soft: bool, leaf_capacity: int, order: int, kernel: str) -> Octree:
+    return Octree.build(s[["sx", "sy", "sz"]].to_numpy(), s["sm"].to_numpy(), s["sh"].to_numpy() if soft else None, s["sid"].to_numpy(), leaf_capacity=leaf_capacity, order=order, kernel=kernel)
+
 
 def _of(snap: Snapshot, softening: Any, kernel: str | None, **options: Any) -> Gravity:
     u = [snap.units.get(k) for k in ("pos", "mass", "vel")]

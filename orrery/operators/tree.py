@@ -39,8 +39,11 @@ def kernel_values(kind: str, r2: np.ndarray, h: np.ndarray | float) -> tuple[np.
     return phi, g
 
 
-def pair_sums(t, th, s, m, sh, kind, soft, own, tid=None, sid=None, block: int = 512):
+def pair_sums(t, th, s, m, sh, kind, soft, own, tid=None, sid=None, pairs: int = 1_000_000):
     phi, acc = np.zeros(len(t)), np.zeros((len(t), 3))
+    if not len(s):
+        return phi, acc
+    block = max(1, pairs // len(s))
     for lo in range(0, len(t), block):
         d = s[None] - t[lo : lo + block, None]
         h = (np.maximum(th[lo : lo + block, None], sh[None]) if own else sh[None]) if soft else 0.0

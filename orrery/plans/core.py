@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import dataclasses
 import hashlib
+import inspect
 from collections.abc import Callable
 from typing import Any
 
@@ -28,8 +29,69 @@ class CycleError(CalculatorError):
     pass
 
 
+@dataclasses.dataclass(frozen=True)
+class Context:
+    """What a parameter that is a callable of two arguments gets beside the snapshot."""
+
+    snap: Snapshot
+
+    def value(self, calculator: Calculator) -> Any:
+        return calculator(self.snap)
+
+    def column(self, calculator: Calculator) -> Column:
+        """The calculator as a subquery: no job is run."""
+        return calculator.scalars(self.snap)[0]
+
+
+def called(fn: Callable, snap: Snapshot) -> Any:
+    """``fn(snap)``, or ``fn(context, snap)`` if it takes two arguments."""
+    try:
+        needed = [p for p in inspect.signature(fn).parameters.values() if p.kind in (p.POSITIONAL_ONLY, p.POSITIONAL_OR_KEYWORD) and p.default is p.empty]
+    except (TypeError, ValueError):
+        needed = []
+    return fn(Context(snap), snap) if len(needed) == 2 else fn(snap)
+
+
+def is_dynamic(param: Any) -> bool:
+    """Whether a parameter's value depends on the snapshot."""
+    if isinstance(param, dict):
+        param = list(param.values())
+    return any(map(is_dynamic, param)) if isinstance(param, (list, tuple)) else isinstance(param, Calculator) or (callable(param) and not isinstance(param, Column))
+
+
+def resolved(param: Any, snap: Snapshot, unit: Unit | str | None = None) -> Any:
+    """A parameter for a snapshot: containers member by member, what is dynamic as columns, anything else as it is."""
+    if isinstance(param, dict):
+        return {k: resolved(v, snap, unit) for k, v in param.items()}
+    if isinstance(param, (list, tuple)):
+        return type(param)(resolved(v, snap, unit) for v in param)
+    return value_of(param, snap, unit) if is_dynamic(param) else param
+
+
+class ParamView:
+    """The resolved parameters of a calculator, by attribute or by name."""
+
+    def __init__(self, values: dict[str, Any]):
+        self._values = values
+
+    def __getattr__(self, name: str) -> Any:
+        try:
+            return self._values[name]
+        except KeyError:
+            raise AttributeError(name) from None
+
+    def __getitem__(self, name: str) -> Any:
+        return self._values[name]
+
+    def __iter__(self):
+        return iter(self._values)
+
+    def __len__(self) -> int:
+        return len(self._values)
+
+
 def value_of(param: Any, snap: Snapshot, unit: Unit | str | None = None) -> Column:
-    """A scalar parameter as a column: number, text with a unit, calculator, callable or column."""
+    """A scalar parameter as a column: number, text with a unit, calculator, callable (of the snapshot, or of context and snapshot) or column."""
     if isinstance(param, Column):
         return param
     if isinstance(param, Calculator):
@@ -37,7 +99,7 @@ def value_of(param: Any, snap: Snapshot, unit: Unit | str | None = None) -> Colu
     if is_number(param) or isinstance(param, (str, Unit)):
         return F.lit(in_units(param, unit))
     if callable(param):
-        return value_of(param(snap), snap, unit)
+        return value_of(called(param, snap), snap, unit)
     raise TypeError(f"{param!r} is no number, unit, calculator or callable")
 
 
@@ -45,7 +107,7 @@ def vector_of(param: Any, snap: Snapshot, unit: Unit | str | None = None) -> lis
     if isinstance(param, Calculator):
         return param.scalars(snap)
     if callable(param) and not isinstance(param, Column):
-        return vector_of(param(snap), snap, unit)
+        return vector_of(called(param, snap), snap, unit)
     return [value_of(p, snap, unit) for p in param]
 
 
@@ -73,7 +135,21 @@ class Calculator:
         return row[0] if len(row) == 1 else tuple(row)
 
     def dependencies(self) -> list[Calculator]:
-        return [v for v in vars(self).values() if isinstance(v, Calculator)]
+        """Calculators among the parameters, in containers too."""
+
+        def inside(v: Any) -> list[Calculator]:
+            if isinstance(v, dict):
+                v = list(v.values())
+            return [c for x in v for c in inside(x)] if isinstance(v, (list, tuple)) else [v] if isinstance(v, Calculator) else []
+
+        return [c for v in vars(self).values() for c in inside(v)]
+
+    def params(self, snap: Snapshot) -> ParamView:
+        """The parameters as they are for a snapshot."""
+        return ParamView({f.name: resolved(getattr(self, f.name), snap) for f in (dataclasses.fields(self) if dataclasses.is_dataclass(self) else ())})
+
+    def has_dynamic_param(self) -> bool:
+        return any(is_dynamic(v) for v in vars(self).values())
 
     def scope(self) -> Scope:
         return Scope()
@@ -129,13 +205,13 @@ class Calculator:
         out = Result(self.label(), signature=self.signature_hash())
         with Clock() as clock:
             try:
-                out.value = self.public(self.frame(snap).first())
+                out.value, out.cached = options.kept(snap, self.signature_hash(), lambda: self.public(self.frame(snap).first()))
             except Exception as error:
                 if ErrorPolicy(options.errors) is ErrorPolicy.RAISE:
                     raise
                 out.status, out.error = Status.FAILED, error
         out.seconds = clock.seconds
-        out.parts = [Result(d.label(), signature=d.signature_hash()) for d in self.dependencies()]
+        out.parts = [Result(d.label(), signature=d.signature_hash()) for d in self.dependencies()] if options.record == "all" else []
         options.tell("run", f"{out.name}: {out.status.value} in {out.seconds * 1e3:.1f} ms")
         return out
 
@@ -147,6 +223,21 @@ class Calculator:
     def format_tree(self, depth: int = 0) -> str:
         return "\n".join(["  " * depth + self.label(), *(d.format_tree(depth + 1) for d in self.dependencies())])
 
+    def format_flow(self) -> str:
+        """The steps of a run in order: what is depended on, transforms, filters, the calculation."""
+        lines: list[str] = []
+
+        def visit(c: Calculator) -> None:
+            for d in c.core().dependencies():
+                visit(d)
+            scope = c.scope()
+            steps = [*(f"transform {type(t).__name__}" for t in scope.transforms), *(f"filter {type(f).__name__}" for f in scope.filters), f"calculate {c.core().label()}"]
+            if (line := " -> ".join(steps)) not in lines:
+                lines.append(line)
+
+        visit(self)
+        return "\n".join(lines)
+
     def explain(self, snap: Snapshot, mode: str = "formatted") -> None:
         self.frame(snap).explain(mode)
 

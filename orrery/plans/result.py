@@ -25,11 +25,27 @@ class Status(str, enum.Enum):
 
 @dataclass(frozen=True)
 class RunOptions:
-    """``progress``: None, "run", "node", or a callable that gets a line of text for each event."""
+    """``progress``: None, "run", "node", or a callable that gets a line of text for each event. ``cache``: a dict that keeps values by snapshot and signature from run to run. ``record``: "all" nodes or "outputs" only."""
 
     errors: ErrorPolicy | str = ErrorPolicy.RAISE
     progress: str | Callable[[str], None] | None = None
     perf_time: bool = True
+    cache: dict[tuple[int, str], Any] | None = None
+    record: str = "all"
+
+    def __post_init__(self) -> None:
+        if self.record not in ("all", "outputs"):
+            raise ValueError(f"record {self.record!r} is neither all nor outputs")
+
+    def kept(self, snap: Any, signature: str, make: Callable[[], Any]) -> tuple[Any, bool]:
+        """A value from the cache, or made and put there; and whether it was there. A snapshot is told by its frame, which the cache holds on to."""
+        if self.cache is None:
+            return make(), False
+        key = (id(snap.df), signature)
+        if key not in self.cache:
+            self.cache[key] = (make(), snap.df)
+            return self.cache[key][0], False
+        return self.cache[key][0], True
 
     def tell(self, level: str, text: str) -> None:
         if callable(self.progress):
@@ -48,6 +64,7 @@ class Result:
     status: Status = Status.OK
     error: BaseException | None = None
     seconds: float = 0.0
+    cached: bool = False
     parts: list[Result] = field(default_factory=list)
 
     def walk(self) -> Iterator[Result]:
@@ -76,7 +93,7 @@ class Result:
         return all(n.status is Status.OK for n in self.walk())
 
     def tree(self, depth: int = 0) -> str:
-        line = "  " * depth + f"{self.name} [{self.status.value}] {self.seconds * 1e3:.1f} ms"
+        line = "  " * depth + f"{self.name} [{self.status.value}] {'cached' if self.cached else f'{self.seconds * 1e3:.1f} ms'}"
         return "\n".join([line, *(p.tree(depth + 1) for p in self.parts)])
 
     def report(self) -> str:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .operators import (
     AlignVec, AngMomVec, Annulus, BandPass, CenPos, CenVel, Count, Cuboid, Disc, FamilyFilter, Gravity, HighPass, KappaRot, KappaRotMean, LowPass, ParamContain, ParamSum, PatternSpeed, Profile, RadialProfile,
-    RadiusAtSurfaceDensity, ShiftPosTo, ShiftVelTo, SolarNeighborhood, Sphere, SpinParam, StarAgeProfile, SurfaceDensity, VirialRadius, VolumeDensity, WrapBox,
+    RadiusAtSurfaceDensity, ShiftPosTo, ShiftVelTo, SolarNeighborhood, Sphere, SpinParam, StarAgeProfile, SurfaceDensity, VirialRadius, VolumeDensity, WrapBox, calculate_acceleration, calculate_potential,
 )
 from .plans import Pipeline
 from .plans.core import Calculator
@@ -233,6 +233,14 @@ add("particles_at_bin", lambda spark, d: made("lin", particles_l(spark, d), None
 AGES = [0.97 + 5.0 * i for i in range(7)]
 add("profile_sfr_age", lambda spark, d: rounded(StarAgeProfile(stars_ev(spark, d), bins_type=tuple(AGES)).table("sfr").where("npart > 0").select("bin", F.col("npart").alias("n"), "sfr")), f"WITH s AS ({STARS_EV_SQL}), b AS (SELECT *, {bin_case('age', AGES)} AS bin FROM s) SELECT bin, count(*) AS n, round(sum(mass) / 5.0, 6) AS sfr FROM b WHERE bin IS NOT NULL GROUP BY bin")
 
+add("profile_cylindrical", lambda spark, d: rounded(RadialProfile(particles_l(spark, d), 2, bins_type=tuple(LIN), bins_area="cylindrical_shell", options=(("z", 2.5),)).table("density").where("npart > 0").select("bin", "density")), f"{P},\nb AS (SELECT *, {bin_case('rxy', LIN)} AS bin FROM q) SELECT bin, round(sum(mass) / (2.5*pi()*(pow(0.25+6.0*(bin+1), 2) - pow(0.25+6.0*bin, 2))), 6) AS density FROM b WHERE bin IS NOT NULL GROUP BY bin")
+add("profile_bins", lambda spark, d: rounded(made("lin", particles_l(spark, d), None).edges.table(spark).select(F.col("bin").cast("long").alias("bin"), "center", "dr", "size")), "SELECT i AS bin, 0.25 + 6.0*i + 3.0 AS center, 6.0 AS dr, round(4.0/3.0*pi()*(pow(0.25+6.0*(i+1), 3) - pow(0.25+6.0*i, 3)), 6) AS size FROM range(8) AS t(i)")
+add("compare_all", one(_K.lt(0.1) & _K.le(0.1) & _K.ge(0.1) & _K.ne(0.1) & _K.eq_(0.1), "lt", "le", "ge", "ne", "eq"), f"{P}, k AS (SELECT sum(0.5*mass*vcxy*vcxy)/sum(mass*ke) AS k FROM q) SELECT k < 0.1 AS lt, k <= 0.1 AS le, k >= 0.1 AS ge, k <> 0.1 AS ne, k = 0.1 AS eq FROM k")
+add("slice_positions", lambda spark, d: Pipeline(TWO).frame(particles_l(spark, d).select(slice(100, 5000, 3))).toDF("n", "mass"), f"{P}, o AS (SELECT mass, row_number() OVER (ORDER BY {ORDER}) - 1 AS i FROM q) SELECT count(*) AS n, sum(mass) AS mass FROM o WHERE i >= 100 AND i < 5000 AND (i - 100) % 3 = 0")
+_JS = "j AS (SELECT sum(mass*(y*vz-z*vy)) AS a, sum(mass*(z*vx-x*vz)) AS b, sum(mass*(x*vy-y*vx)) AS c FROM q), zz AS (SELECT a/sqrt(a*a+b*b+c*c) AS z0, b/sqrt(a*a+b*b+c*c) AS z1, c/sqrt(a*a+b*b+c*c) AS z2 FROM j), xx AS (SELECT z2/sqrt(z2*z2+z0*z0) AS x0, 0.0 AS x1, -z0/sqrt(z2*z2+z0*z0) AS x2, z0, z1, z2 FROM zz), rot AS (SELECT *, z1*x2-z2*x1 AS y0, z2*x0-z0*x2 AS y1, z0*x1-z1*x0 AS y2 FROM xx)"
+add("rotate_vectors", lambda spark, d: rounded(AlignVec(AngMomVec()).apply(particles_l(spark, d)).df.select("k1", "k2", "x", "y", "z", "vx", "vy", "vz"), 4), f"{P}, {_JS} SELECT k1, k2, " + ", ".join(f"round({v}x*{r}0 + {v}y*{r}1 + {v}z*{r}2, 4) + 0.0 AS {v}{r}" for v in ("", "v") for r in "xyz") + " FROM q, rot")
+QUERIES["rotate_vectors"] = (lambda q: lambda spark, d: q(spark, d).select("k1", "k2", *[(F.col(c) + 0.0).alias(c) for c in ("x", "y", "z", "vx", "vy", "vz")]))(QUERIES["rotate_vectors"])
+
 # --- gravity
 _R2 = "((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))"
 _POINTS = "pts AS (SELECT CAST(i AS BIGINT) AS pid, -15.0 + 3.0 * i AS x, 2.0 - i AS y, 0.5 * i AS z FROM range(11) AS t(i))"
@@ -275,11 +283,26 @@ add("gravity_tree_order3", gravity("tree", ("phi", *_A), theta=0.7, multipole_or
 add("gravity_tree_order5", gravity("tree", ("phi", *_A), theta=0.7, multipole_order=5))
 
 
-def tree_error(order: int, phi: float, acc: float) -> Query:
+def of_cells(method_points: bool, what: tuple[str, ...], **options) -> Query:
+    return gravity("tree", what, method_points, tree_limit=100, cell=60, **options)
+
+
+add("gravity_cells_theta0", of_cells(False, ("phi",), theta=0.0), _DIRECT_PHI)
+add("gravity_cells_theta0_acc", of_cells(False, _A, theta=0.0), _DIRECT_ACC)
+add("gravity_tree_points0", gravity("tree", ("phi",), True, theta=0.0), ORACLE_SQL["gravity_points_pot"])
+add("gravity_tree_points0_acc", gravity("tree", _A, True, theta=0.0), ORACLE_SQL["gravity_points_acc"])
+add("gravity_plummer_points_pot", gravity("direct", ("phi",), True, softening="eps", kernel="plummer"), f"{EP}, {_POINTS} SELECT a.pid AS pid, round(-sum(b.mass/sqrt({_R2} + b.eps*b.eps)), 5) AS phi FROM pts a CROSS JOIN e b GROUP BY a.pid")
+add("gravity_plummer_points_acc", gravity("direct", _A, True, softening="eps", kernel="plummer"), f"{EP}, {_POINTS} SELECT a.pid AS pid, " + ", ".join(f"round(sum(b.mass*(b.{c}-a.{c})/pow({_R2} + b.eps*b.eps, 1.5)), 5) AS a{c}" for c in "xyz") + " FROM pts a CROSS JOIN e b GROUP BY a.pid")
+add("calculate_potential", lambda spark, d: rounded(calculate_potential(particles_e(spark, d), method="direct"), 5), _DIRECT_PHI)
+add("calculate_acceleration", lambda spark, d: rounded(calculate_acceleration(particles_e(spark, d), points(spark), method="direct"), 5), ORACLE_SQL["gravity_points_acc"])
+add("calculate_potential_tree", lambda spark, d: rounded(calculate_potential(particles_e(spark, d), softening="eps", kernel="plummer", theta=0.0), 5), ORACLE_SQL["gravity_plummer_pot"])
+
+
+def tree_error(order: int, phi: float, acc: float, **options) -> Query:
     """Whether the tree is near the direct sums: the potential, and the acceleration against the median one."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        g = Gravity(particles_e(spark, d), theta=0.7, multipole_order=order)
+        g = Gravity(particles_e(spark, d), theta=0.7, multipole_order=order, **options)
         both = g.tree(None).join(g.direct(None).toDF("pid", *[f"{c}_d" for c in ("phi", *_A)]), "pid")
         off = F.sqrt(sum((F.col(c) - F.col(f"{c}_d")) ** 2 for c in _A))
         size = F.sqrt(sum(F.col(f"{c}_d") ** 2 for c in _A))
@@ -290,3 +313,4 @@ def tree_error(order: int, phi: float, acc: float) -> Query:
 
 for _order, _phi, _acc in ((0, 0.02, 0.2), (3, 0.002, 0.05), (5, 0.001, 0.02)):
     add(f"gravity_tree_order{_order}_error", tree_error(_order, _phi, _acc), f"{EP} SELECT pid, true AS near_phi, true AS near_acc FROM e")
+add("gravity_cells_order3_error", tree_error(3, 0.002, 0.05, tree_limit=100, cell=60), ORACLE_SQL["gravity_tree_order3_error"])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import ALIASES, DERIVED, resolve
@@ -22,6 +23,21 @@ def family_name(name: str) -> str:
     return FAMILIES[name.lower()]
 
 
+class Quantity(NamedTuple):
+    value: float
+    unit: Unit | None
+
+    def in_units(self, unit: str | Unit) -> float:
+        return self.value if self.unit is None else self.value * self.unit.ratio(unit)
+
+
+#: Reduction: the power of the field's unit, and the aggregate.
+REDUCTIONS: dict[str, tuple[int, Callable[[Column], Column]]] = {
+    "min": (1, F.min), "max": (1, F.max), "sum": (1, F.sum), "mean": (1, F.avg), "std": (1, F.stddev_pop), "var": (2, F.var_pop), "median": (1, lambda x: F.percentile(x, 0.5)),
+    "count": (0, F.count), "ptp": (1, lambda x: F.max(x) - F.min(x)),
+}
+
+
 @dataclass(frozen=True)
 class Snapshot:
     """``order``: columns that order rows of equal key, for results that do not depend on partitions."""
@@ -88,9 +104,12 @@ class Snapshot:
         return self.family("dm")
 
     def select(self, key) -> Snapshot:
-        """A part of it by filter, family name, predicate, slice of ``pid``, one ``pid`` or several."""
+        """A part of it by filter, family name, predicate, or place: a slice, a number or several. Places are ``pid``, or where there is none those of ``numbered``."""
         from .operators.filters import Filter
 
+        if not isinstance(key, (Filter, Column, str)) and "pid" not in self.df.columns:
+            return self.numbered().select(key)
+
         if isinstance(key, Filter):
             return self.where(key.mask(self))
         if isinstance(key, Column):
@@ -110,6 +129,43 @@ class Snapshot:
             return self.where(p)
         return self.where(F.col("pid").isin(list(key)))
 
+    def numbered(self) -> Snapshot:
+        """With ``pid``: each row's place in ``order``. Rows are counted in buckets of its first column and numbered within them."""
+        from .operators.prefix import cut, keyed
+
+        first, *_ = order = [c for c in self.order if c in self.df.columns and c != "pid"]
+        key = F.col(first).cast("double")
+        buckets, _ = cut(keyed(self.df, key, F.lit(1.0)))
+        bucket = F.coalesce(*[F.when(b.holds(key), i) for i, b in enumerate(buckets)], F.lit(len(buckets)))
+        base = F.get(F.array(*[F.lit(round(b.base)) for b in buckets], F.lit(round(buckets[-1].base + buckets[-1].total) if buckets else 0)), F.col("_bucket"))
+        rows = self.df.withColumn("_bucket", bucket)
+        place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1 + base
+        return replace(self, df=rows.withColumn("pid", place.cast("long")).drop("_bucket"), order=("pid",))
+
+    def reduce(self, name: str, how: str) -> Quantity:
+        """One number of a field, with its unit: min, max, sum, mean, std, var, median, count, ptp; with ``nan`` before the name NaN counts as missing, else it makes the result NaN."""
+        x, skip = self.field(name).cast("double"), how.startswith("nan")
+        kind = how.removeprefix("nan")
+        if kind not in REDUCTIONS:
+            raise ValueError(f"no reduction {how!r}: {sorted(REDUCTIONS)}")
+        power, fn = REDUCTIONS[kind]
+        value, bad = self.df.agg(fn(F.when(~F.isnan(x), x)), F.max(F.isnan(x))).first()
+        unit = self.unit_of(name)
+        return Quantity(float("nan") if value is None or (bad and not skip and kind != "count") else float(value), unit if unit is None or power == 1 else unit**power if power else None)
+
+    def topk(self, name: str, k: int) -> list[Quantity]:
+        """The ``k`` largest values, from the largest; negative ``k``: the least, from the least."""
+        x = self.field(name).cast("double").alias("x")
+        rows = self.df.select(x).where("x is not null and not isnan(x)").orderBy(F.desc("x") if k > 0 else F.asc("x")).limit(abs(k)).collect()
+        return [Quantity(r["x"], self.unit_of(name)) for r in rows]
+
+    def cumsum(self, name: str, by: str) -> DataFrame:
+        """``key, total``: the sum of a field up to each value of another."""
+        from .operators.prefix import cut, keyed, ordered
+
+        rows = keyed(self.df, self.field(by), self.field(name))
+        return ordered(rows, cut(rows)[0]).select(F.col("k").alias("key"), F.col("c").alias("total"))
+
     def physical_units(self, distance: str = "kpc", velocity: str = "km s^-1", mass: str = "Msol") -> Snapshot:
         """Fields of length, velocity and mass in these units: literal factors in one projection."""
         wanted, columns, units = {"pos": distance, "vel": velocity, "mass": mass, "eps": distance}, {}, dict(self.units)

@@ -283,3 +283,48 @@ def test_expressions(snap, arrays):
     assert isinstance(o.Constant(2) + o.Constant(3), o.Constant)
     with pytest.raises(TypeError):
         bool(m)
+
+
+def test_parameters_and_flow(snap):
+    s = snap
+    half = o.ParamContain("r", 0.5, "mass")
+    two = o.Count().filter(o.Sphere(lambda ctx, snap: ctx.column(half)))
+    one = o.Count().filter(o.Sphere(half))
+    assert two(s) == one(s) > 0
+    assert not half.has_dynamic_param() and half.params(s)["cal_key"] == "r" and half.params(s).frac == 0.5
+    assert one.format_flow().endswith("filter Sphere -> calculate Count")
+    cache = {}
+    first, again = (o.ParamSum("mass").run(s, o.RunOptions(cache=cache, record="outputs")) for _ in range(2))
+    assert first.value == again.value and not first.cached and again.cached and "cached" in again.report()
+
+
+def test_reductions_and_places(spark):
+    x = np.array([3.0, 1.0, np.nan, 2.0])
+    s = o.Snapshot(spark.createDataFrame([(i, float(v), float(i % 2)) for i, v in enumerate(x)], "k1 long, x double, mass double"), units={"pos": "kpc"}, order=("k1",))
+    assert math.isnan(s.reduce("x", "max").value) and s.reduce("x", "nanmax").value == 3 and s.reduce("x", "nanmedian").value == 2 and s.reduce("mass", "std").value == 0.5
+    assert s.reduce("x", "nanmax").in_units("pc") == pytest.approx(3000) and s.reduce("x", "nanvar").unit.dims == o.Unit.parse("kpc^2").dims
+    assert [q.value for q in s.topk("x", 2)] == [3.0, 2.0] and [q.value for q in s.topk("x", -1)] == [1.0]
+    assert sorted(tuple(r) for r in s.cumsum("mass", "k1").collect()) == [(0.0, 0.0), (1.0, 1.0), (2.0, 1.0), (3.0, 2.0)]
+    assert sorted(r["k1"] for r in s.select(slice(1, 3)).df.collect()) == [1, 2] and s.select(3).df.count() == 1
+
+
+def test_tree_of_cells(spark):
+    from orrery.operators.cells import DEPTH, Cells, codes, settle
+
+    rng = np.random.default_rng(0)
+    pos = np.concatenate([rng.normal(size=(300, 3)), 0.01 * rng.normal(size=(300, 3)), np.full((80, 3), 2.0)])
+    low, side = pos.min(0), float((pos.max(0) - pos.min(0)).max()) * (1 + 1e-12)
+    all_codes = codes(pos, low, side)
+    found, top = [], 0
+    for depth in (2, 4, DEPTH):
+        at, n = np.unique(all_codes >> 3 * (DEPTH - depth), return_counts=True)
+        if found:
+            keep = np.isin(at >> 3 * (depth - top), big)
+            at, n = at[keep], n[keep]
+        more, big = settle(dict(zip(at.tolist(), n.tolist(), strict=True)), depth, top, 50)
+        found, top = found + more, depth
+    cells = Cells.of(low, side, found + [(DEPTH, c) for c in big])
+    held = np.bincount(cells.cell(pos), minlength=len(cells.start))
+    assert held.sum() == 680 and (held > 0).all() and sorted(held)[-1] == 80 and sorted(held)[-2] <= 50
+    half, start = cells.half[cells.cell(pos)], cells.start[cells.cell(pos)]
+    assert (all_codes >= start).all() and (all_codes < start + np.round((2 * half / side * 2**DEPTH) ** 3).astype(np.int64)).all()
