@@ -23,6 +23,8 @@ from orrery.llm.pieces import decode, encode
 from orrery.llm.quality import fit_cutoffs, judge, measure
 from orrery.llm.shingle_join import near_duplicates
 from orrery.llm.store import stage as stage_table
+from orrery.llm.store import stage_only
+
 
 def n_chars():
     return F.char_length("text").cast("long")
@@ -69,7 +71,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, done = spark.read.parquet(f"{sf_dir}/documents.parquet"), ()
     for name, stage in STAGES[:-1]:
-        docs = stage_table(stage(spark, docs, sf_dir), name)
+        docs, path = stage_only(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), spark, name, *done)
+        done = (path,)
     return STAGES[-1][1](spark, docs, sf_dir)

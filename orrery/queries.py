@@ -108,7 +108,16 @@ m AS (SELECT rxy AS r, sum(sum(mass)) OVER (ORDER BY rxy) AS m, sum(sum(mass)) O
 n AS (SELECT r, m, was, lead(r) OVER (ORDER BY r) AS nx FROM m),
 c AS (SELECT greatest(r, lo) AS r, m, CASE WHEN r > lo THEN was ELSE m END AS was, least(coalesce(nx, hi), hi) AS nx, t FROM n, br, t WHERE r <= hi AND (nx IS NULL OR nx > lo))
 SELECT round(min(CASE WHEN (was / (pi()*r*r) < t) <> (m / (pi()*r*r) < t) THEN r WHEN m / (pi()*r*r) >= t AND m / (pi()*nx*nx) < t THEN sqrt(m / (pi()*t)) END), 6) AS value FROM c""")
-add("radius_at_sigma_shell", lambda spark, d: rounded(_SHELL_DENSITY.frame(particles_l(spark, d)), 6))
+add("radius_at_sigma_shell", lambda spark, d: rounded(_SHELL_DENSITY.frame(particles_l(spark, d)), 6), f"""{P},
+t AS (SELECT 0.7 * sum(mass) / (pi() * 45.0 * 45.0) AS t FROM q),
+grid AS (SELECT g, 5.0 + g * ((55.0 - 5.0) / 63) AS r FROM range(64) AS x(g)),
+d AS (SELECT g, any_value(grid.r) AS r, coalesce(sum(mass), 0) / (pi() * 8.0 * any_value(grid.r)) - any_value(t) AS d FROM grid CROSS JOIN t LEFT JOIN q ON q.rxy >= grid.r - 2.0 AND q.rxy <= grid.r + 2.0 GROUP BY g),
+s AS (SELECT g, r AS lo, lead(r) OVER (ORDER BY g) AS hi, (d < 0) <> (lead(d) OVER (ORDER BY g) < 0) AS crossed FROM d),
+br AS (SELECT g, lo, hi FROM s WHERE crossed ORDER BY g LIMIT 1),
+ev AS (SELECT r, late, sum(d) AS d FROM (SELECT rxy - 2.0 AS r, 0 AS late, mass AS d FROM q UNION ALL SELECT rxy + 2.0, 1, -mass FROM q) GROUP BY r, late),
+m AS (SELECT r, late, sum(d) OVER (ORDER BY r, late) AS m, sum(d) OVER (ORDER BY r, late) - d AS was, lead(r) OVER (ORDER BY r, late) AS nx FROM ev),
+c AS (SELECT greatest(r, lo) AS r, m, CASE WHEN r > lo THEN was ELSE m END AS was, least(coalesce(nx, hi), hi) AS nx, t FROM m, br, t WHERE r <= hi AND (nx IS NULL OR nx > lo))
+SELECT round(min(CASE WHEN (was / (pi()*8.0*r) < t) <> (m / (pi()*8.0*r) < t) THEN r WHEN m / (pi()*8.0*r) >= t AND m / (pi()*8.0*nx) < t THEN m / (pi()*8.0*t) END), 6) AS value FROM c""")
 
 # --- algebra, pipelines, parameters
 _M, _K = ParamSum("mass"), KappaRot()
