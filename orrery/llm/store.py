@@ -3,8 +3,8 @@
 The folder is ``spark.checkpoint.dir``. Where the session has none and runs on one machine
 (tests, a laptop) a folder of its own is made, once an application; on a cluster that is an
 error. Tables are plain Parquet, so a lost executor costs a re-read and never a recomputation
-of the lineage above. ``drop_staged`` removes what a job has left once its result is written;
-what is left when the driver ends is removed then.
+of the lineage above. ``stage_only`` and ``drop_staged`` remove what a job has left once its
+result is written; what is left when the driver ends is removed then.
 """
 
 from __future__ import annotations
@@ -13,13 +13,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
 
-__all__ = ["drop_staged", "fresh_name", "hashed_sample", "partitions", "shared_dir", "ship", "stage"]
+__all__ = ["drop_staged", "fresh_name", "hashed_sample", "partitions", "shared_dir", "ship", "stage", "stage_only"]
 
 
 _own: dict[str, str] = {}
@@ -48,17 +49,33 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{fresh_name(label)}"
     df.write.parquet(path)
+    if not _staged:
+        atexit.register(drop_staged, spark)
     _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession) -> None:
-    """Delete the tables staged so far. Frames made from them must have been written before."""
-    jvm = spark.sparkContext._jvm
-    for path in _staged:
+def drop_staged(spark: SparkSession, since: int = 0, but: tuple[str, ...] = ()) -> None:
+    """Delete the tables staged so far, from the ``since``-th on and but for some. Frames made from them must have been written before."""
+    gone = [p for p in _staged[since:] if p not in but]
+    try:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    except AttributeError:  # the session has ended
+        return
+    for path in gone:
         at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    _staged.clear()
+        at.getFileSystem(conf).delete(at, True)
+    _staged[since:] = [p for p in _staged[since:] if p in but]
+
+
+def stage_only(make: Callable[[], DataFrame], spark: SparkSession, label: str, *done: str) -> tuple[DataFrame, str]:
+    """Stage what ``make`` returns and delete the tables it has staged on the way, and those of the paths ``done``; the frame and its path."""
+    since = len(_staged)
+    out = stage(make(), label)
+    path = _staged[-1]
+    drop_staged(spark, since, (path,))
+    drop_staged(spark, 0, tuple(p for p in _staged if p not in done))
+    return out, path
 
 
 def hashed_sample(df: DataFrame, key: list[str], most: int) -> DataFrame:
