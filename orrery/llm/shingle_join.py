@@ -12,13 +12,14 @@ have at least ``slack`` of them in common. That routes them:
   to the least dense class with the shingle.
 
 The ties' components are sets of classes outside of which nothing can be similar. Their whole
-sets are brought together, in units of bounded size (a large component is cut into blocks and
-each pair of blocks is a unit), and searched: for a class of n shingles and least overlap T
+sets are brought together, in units of bounded size (a large component is cut into blocks),
+and searched: for a class of n shingles and least overlap T
 the T - slack longest inverted lists are put aside, the short ones are merged by a heap, and
 classes that occur ``slack`` times are probed for by binary search in the rest (DivideSkip).
 For components a class need not be searched for when it and all others not searched for are
 in one component already, so that large groups of near copies cost one search each, not all
-pairs. ``ShingleJoin.pairs`` searches for every class and gives all links between classes.
+pairs; of a component in blocks only what such searches leave apart meets the other blocks.
+``ShingleJoin.pairs`` searches for every class, in each pair of blocks, and gives all links.
 
 Nothing is capped or sampled; shingles with a great many holders are combined in each batch
 before they are shuffled, so no task gets more than a few of their rows from each batch.
@@ -40,7 +41,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import Union, components
@@ -232,8 +233,8 @@ def merged(lists: list[np.ndarray], n: int, occur: int) -> list[tuple[int, int]]
     return list(zip(often.tolist(), counts[often].tolist(), strict=True))
 
 
-def search(sets: list[np.ndarray], percent: int, every: bool = False) -> list[tuple[int, int]]:
-    """Ties (a, b) of positions that join all sets of enough similarity, and no others, into components; with ``every``, all similar pairs (a < b)."""
+def search(sets: list[np.ndarray], percent: int, every: bool = False, asked_for: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Ties (a, b) of positions that join all sets of enough similarity, and no others, into components; with ``every``, all similar pairs (a < b); with ``asked_for``, links of these positions only."""
     n = [len(s) for s in sets]
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), n)
@@ -262,8 +263,8 @@ def search(sets: list[np.ndarray], percent: int, every: bool = False) -> list[tu
             if 100 * c >= percent * (n[x] + n[y] - c) and (every or union.join(x, y)):
                 ties.append((x, y))
 
-    if every:
-        for x in range(len(sets)):
+    if every or asked_for is not None:
+        for x in range(len(sets)) if every else asked_for.tolist():
             query(x)
         return ties
     asked = set()
@@ -280,16 +281,20 @@ def search(sets: list[np.ndarray], percent: int, every: bool = False) -> list[tu
 
 
 def _search_units(units: DataFrame, percent: int, every: bool = False) -> DataFrame:
+    """Ties in units of ``unit, comp, key, ask, data``. Where a component has classes that are asked for, only their links are looked for."""
+
     def run(table: pa.Table) -> pa.Table:
-        comp, key = table.column("comp").to_numpy(), table.column("key").to_numpy()
+        comp, key, ask = (table.column(c).to_numpy() for c in ("comp", "key", "ask"))
         data = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("data")]
-        _, once = np.unique(key, return_index=True)  # the text of a class may be there twice
+        by = np.lexsort((~ask, key))
+        once = by[np.append(True, np.diff(key[by]) != 0)]  # the text of a class may be there twice
         order = once[np.argsort(comp[once], kind="stable")]
         a, b = [], []
         for _, part in groupby(order, key=lambda i: comp[i]):
-            part = list(part)
+            part = np.array(list(part))
             if len(part) > 1:
-                for x, y in search([data[i] for i in part], percent, every):
+                some = np.flatnonzero(ask[part])
+                for x, y in search([data[i] for i in part], percent, every, some if len(some) and not every else None):
                     a.append(key[part[x]])
                     b.append(key[part[y]])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -301,6 +306,11 @@ def _small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def _blocks(total) -> Column:
+    total = F.col(total) if isinstance(total, str) else total
+    return F.when(total > UNIT_SHINGLES, F.ceil(2 * total / UNIT_SHINGLES)).otherwise(1).cast("long")
+
+
 class ShingleJoin:
     """The join of ``docs`` with themselves; links are similarities of at least ``percent``."""
 
@@ -312,26 +322,45 @@ class ShingleJoin:
         met = stage(_meet(_postings(sets.where("n > 0"), light, 4 * partitions(docs.sparkSession)), light, percent), "met")
         near = components(self._candidates(met))
 
-        # Units: components are packed into bins of bounded size; one that is larger is cut into blocks, and each pair of blocks is a unit.
+        # Components are packed into bins of bounded size; one that is larger is cut into blocks.
         near = stage(near.withColumnRenamed("id", "key").join(classes, F.col("key") == F.col("d1")).select("key", "root", "n", "first"), "near_classes")
-        sums = near.groupBy("root").agg(F.sum("n").alias("total"))
+        sums = near.groupBy("root").agg(F.sum("n").alias("total"), F.min("key").alias("low"), F.max("key").alias("high"))
         bins = max(1, -(-int(sums.agg(F.sum("total")).first()[0] or 0) // UNIT_SHINGLES)) * 4
-        blocks = F.when(F.col("total") > UNIT_SHINGLES, F.ceil(2 * F.col("total") / UNIT_SHINGLES)).otherwise(1).cast("long")
-        placed = near.join(sums.select("root", blocks.alias("blocks")), "root")
+        placed = near.join(sums.select("root", "low", "high", _blocks("total").alias("blocks")), "root")
         own = F.pmod(F.xxhash64("key"), F.col("blocks"))
-        placed = stage(placed.select("key", "root", "first.id", "first.text_hash", "blocks", own.alias("own"), F.pmod(F.xxhash64("root"), F.lit(bins)).alias("bin")), "placed")
-        texts = _named(docs, text_col, id_col).join(_small(placed, 100), ["id", "text_hash"])
+        hub = (F.col("blocks") > 1) & ((F.col("key") == F.col("low")) | (F.col("key") == F.col("high")))
+        placed = stage(placed.select("key", "root", "n", "first.id", "first.text_hash", "blocks", own.alias("own"), F.pmod(F.xxhash64("root"), F.lit(bins)).alias("bin"), hub.alias("hub")), "placed")
+        texts = _named(docs, text_col, id_col).join(_small(placed, 120), ["id", "text_hash"])
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = word_hashes()
             for b in batches:
-                data = pa.array([shingles(t.as_py(), k, hashes).tobytes() for t in b.column(5)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*b.columns[:5], data], names=["key", "comp", "blocks", "own", "bin", "data"])
-
-        whole_sets = texts.select("key", "root", "blocks", "own", "bin", "text").mapInArrow(whole, "key long, comp long, blocks long, own long, bin long, data binary").where(F.length("data") > 0)
-        pair = lambda i: F.concat_ws("_", F.col("comp"), F.least(i, "own"), F.greatest(i, "own"))
-        unit = F.when(F.col("blocks") == 1, F.array(F.concat(F.lit("bin"), "bin"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), pair))
-        self.units = whole_sets.select("key", "comp", "data", F.explode(unit).alias("unit"))
+                data = pa.array([shingles(t.as_py(), k, hashes).tobytes() for t in b.column(7)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*b.columns[:7], data], names=["key", "comp", "n", "blocks", "own", "bin", "hub", "data"])
+
+        whole_sets = texts.select("key", F.col("root").alias("comp"), "n", "blocks", "own", "bin", "hub", "text").mapInArrow(whole, "key long, comp long, n long, blocks long, own long, bin long, hub boolean, data binary")
+        self.whole = stage(whole_sets.where(F.length("data") > 0), "whole_sets")
+
+    def _ties(self) -> DataFrame:
+        """Links that hold the components together. A large component's blocks are searched by themselves, each with the same few classes (hubs); what the links found so far leave apart from most of the component then meets all of its blocks."""
+        every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+        name = lambda *of: F.concat_ws("_", *of)
+        unit = F.when(F.col("blocks") == 1, F.array(name(F.lit("bin"), "bin"))).when(F.col("hub"), F.transform(every, lambda i: name("comp", i))).otherwise(F.array(name("comp", "own")))
+        found = stage(_search_units(self.whole.select("key", "comp", F.lit(False).alias("ask"), "data", F.explode(unit).alias("unit")), self.percent), "ties")
+        large = stage(self.whole.where("blocks > 1").select("key", "comp", "n").dropDuplicates(["key"]), "large")
+        if large.isEmpty():
+            return found
+        roots = large.join(components(found).withColumnRenamed("id", "key"), "key", "left").select("key", "comp", "n", F.coalesce("root", "key").alias("root"))
+        main = roots.groupBy("comp", "root").agg(F.count("*").alias("held")).groupBy("comp").agg(F.max(F.struct("held", "root"))["root"].alias("main"))
+        rest = roots.join(main, "comp").where("root <> main").select("key", "comp", "n")
+        groups = rest.groupBy("comp").agg(_blocks(F.sum("n")).alias("groups"))
+        rest = stage(rest.join(groups, "comp").select("key", F.pmod(F.xxhash64("key"), F.col("groups")).alias("group")), "rest")
+        if rest.isEmpty():
+            return found
+        groups = groups.select("comp", "groups")
+        asking = self.whole.join(rest, "key").select("key", "comp", F.lit(True).alias("ask"), "data", F.explode(F.transform(every, lambda i: name("comp", i, "group"))).alias("unit"))
+        asked = self.whole.where("blocks > 1").join(groups, "comp").select("key", "comp", F.lit(False).alias("ask"), "data", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1), lambda g: name("comp", "own", g))).alias("unit"))
+        return found.unionByName(_search_units(asking.unionByName(asked), self.percent))
 
     def _candidates(self, met: DataFrame) -> DataFrame:
         """Pairs of classes that may be similar: ``a, b``."""
@@ -350,7 +379,7 @@ class ShingleJoin:
 
     def documents(self) -> DataFrame:
         """``id, text_hash, n_shingles, class_id, component_id, class_key, component_key`` for each row; ids of classes and components are the least in them."""
-        found = components(_search_units(self.units, self.percent))
+        found = components(self._ties())
         named = self.classes.select("d1", F.col("first.id").alias("cid")).join(found.select(F.col("id").alias("d1"), "root"), "d1", "left").select("d1", "cid", F.coalesce("root", "d1").alias("root"))
         least = named.where("root <> d1").select("root").distinct()
         least = named.join(least, "root", "left_semi").groupBy("root").agg(F.min("cid").alias("least"))
@@ -366,7 +395,10 @@ class ShingleJoin:
 
     def pairs(self) -> DataFrame:
         """``a, b``: every link between two classes, by ``class_key`` (a < b)."""
-        found = _search_units(self.units, self.percent, True)
+        every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+        pair = F.transform(every, lambda i: F.concat_ws("_", "comp", F.least(i, "own"), F.greatest(i, "own")))
+        unit = F.when(F.col("blocks") == 1, F.array(F.concat_ws("_", F.lit("bin"), "bin"))).otherwise(pair)
+        found = _search_units(self.whole.select("key", "comp", F.lit(False).alias("ask"), "data", F.explode(unit).alias("unit")), self.percent, True)
         return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def linked_documents(self) -> DataFrame:

@@ -228,10 +228,12 @@ def _near_brute(rows, percent=80):
     return sets, linked, up
 
 
-@pytest.mark.parametrize("seed", [0])
-def test_shingle_join_of_repeated_ids(spark, seed):
+@pytest.mark.parametrize(("seed", "unit"), [(0, 2_000_000), (1, 300)])
+def test_shingle_join_of_repeated_ids(spark, seed, unit, monkeypatch):
+    from orrery.llm import shingle_join
     from orrery.llm.shingle_join import NO_ID, ShingleJoin
 
+    monkeypatch.setattr(shingle_join, "UNIT_SHINGLES", unit)
     rows = _near_rows(np.random.default_rng(20 + seed))
     sets, linked, up = _near_brute(rows)
     least = {}
