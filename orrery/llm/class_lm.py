@@ -44,8 +44,14 @@ FLUSH = 1_000_000
 BLOCK = 128
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def tokens(text: bytes | None) -> list[bytes]:
+    return text.lower().split() if text else []
+
+
+def _texts(column: pa.Array) -> Iterator[list[bytes]]:
+    """The tokens of each text; the column's bytes are UTF-8, and only ASCII is lower-cased or split at."""
+    for t in column.cast(pa.binary()):
+        yield tokens(t.as_py())
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,8 +63,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return got
 
     for b in batches:
-        for t in b.column(0):
-            counts.update(tokens(t.as_py()))
+        for ws in _texts(b.column(0)):
+            counts.update(ws)
             if len(counts) > FLUSH:
                 yield out()
     yield out()
@@ -202,8 +208,8 @@ class ClassLM:
             sym, total = shared.value, np.zeros(size * size, np.int64)
             for b in batches:
                 seen = []
-                for t in b.column(0):
-                    s = core[sym.text(tokens(t.as_py()))]
+                for ws in _texts(b.column(0)):
+                    s = core[sym.text(ws)]
                     seen.append(s[:-1] * size + s[1:])
                 if seen:
                     total += np.bincount(np.concatenate(seen), minlength=size * size)
@@ -231,13 +237,12 @@ class ClassLM:
             sym, total = shared.value, np.zeros((held - own) * width, np.int32)
             for b in batches:
                 seen = [np.empty(0, np.int64)]
-                for t in b.column(0):
-                    s = sym.text(tokens(t.as_py()))
+                for ws in _texts(b.column(0)):
+                    s = sym.text(ws)
                     p = np.flatnonzero((s >= own) & (s < held))
                     at, c = (s[p] - own) * width, of[s]
                     seen += [at + c[p + 1], at + every + c[p - 1]]
-                key, n = np.unique(np.concatenate(seen), return_counts=True)
-                total[key] += n.astype(np.int32)
+                np.add.at(total, np.concatenate(seen), 1)
             for i in range(0, held - own, BLOCK):
                 part = total[i * width : (i + BLOCK) * width]
                 if part.any():
@@ -276,8 +281,7 @@ class ClassLM:
                 return got
 
             for b in batches:
-                for t in b.column(0):
-                    ws = tokens(t.as_py())
+                for ws in _texts(b.column(0)):
                     s = sym.text(ws)
                     c, other = of[s], (s >= held) & (s < end)
                     bigram = c[:-1] * every + c[1:]
@@ -364,8 +368,7 @@ class ClassLM:
             held, end = len(counts), len(of) - 1
             for b in batches:
                 rows, words, times, numbers, endings, sizes = [], [], [], [], [], [0]
-                for t in b.column(1):
-                    ws = tokens(t.as_py())
+                for ws in _texts(b.column(1)):
                     s = symbols.text(ws)
                     other = (s >= held) & (s < end)
                     top = logs[s[1:-1][~other[1:-1]]].sum()
