@@ -328,3 +328,16 @@ def test_tree_of_cells(spark):
     assert held.sum() == 680 and (held > 0).all() and sorted(held)[-1] == 80 and sorted(held)[-2] <= 50
     half, start = cells.half[cells.cell(pos)], cells.start[cells.cell(pos)]
     assert (all_codes >= start).all() and (all_codes < start + np.round((2 * half / side * 2**DEPTH) ** 3).astype(np.int64)).all()
+
+
+def test_log_lines(capsys):
+    from orrery import log
+
+    log.set_format("%(message)s")
+    log.set_format("now: %(message)s")
+    log.set_level("info")
+    log.logger.info("told")
+    log.logger.debug("not told")
+    assert capsys.readouterr().err.splitlines()[-1:] == ["now: told"] and len(log.logger.handlers) == 1
+    log.logger.removeHandler(log.logger.handlers[0])
+    log.set_level("warning")
