@@ -2,7 +2,9 @@
 
 Each stage takes what the one before has kept and, but for the last, returns the columns of
 ``documents``; where a stage changes a text, ``n_chars`` follows. Rows of null id are treated
-as one id, below all others. Empty tables give empty tables.
+as one id, below all others. Rows that share an id are judged, mixed and encoded each by itself;
+line dedup counts them as one document, and near duplicates go by text. Empty tables give empty
+tables.
 
 1. quality rules: documents that fail the base rule or a cutoff of their language go.
 2. line dedup: lines found in three documents or more stay in the one of largest id only.
