@@ -85,11 +85,35 @@ class Symbols(dict):
         got = self[word] = self.first + zlib.crc32(word[-3:]) % self.endings
         return got
 
-    def text(self, words: list[bytes]) -> np.ndarray:
-        """The codes of a text, between two ends."""
-        s = np.full(len(words) + 2, self.first + self.endings, np.int64)
-        s[1:-1] = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return s
+    def runs(self, column: pa.Array, most: int = 200_000) -> Iterator[Run]:
+        """Texts in runs of some ``most`` words, each of which is one array of codes."""
+        texts, held = [], 0
+        for ws in _texts(column):
+            texts.append(ws)
+            held += len(ws) + 1
+            if held >= most:
+                yield Run(self, texts)
+                texts, held = [], 0
+        if texts:
+            yield Run(self, texts)
+
+
+class Run:
+    """Texts one after the other: ``codes`` with an end before, between and after them; ``ends``: where these are; ``words``, and the place of each code's word among them (-1: an end)."""
+
+    def __init__(self, symbols: Symbols, texts: list[list[bytes]]):
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.words = [w for ws in texts for w in ws]
+        self.ends = np.concatenate([[0], np.cumsum(sizes + 1)])
+        self.codes = np.full(self.ends[-1] + 1, symbols.first + symbols.endings, np.int64)
+        self.place = np.full(len(self.codes), -1, np.int64)
+        at = np.arange(len(self.words)) + 1 + np.repeat(np.arange(len(texts)), sizes)
+        self.codes[at] = np.fromiter(map(symbols.__getitem__, self.words), np.int64, len(self.words))
+        self.place[at] = np.arange(len(self.words))
+
+    def by_text(self, values: np.ndarray) -> np.ndarray:
+        """Sums by text of a value for each pair of neighbours."""
+        return np.add.reduceat(values, self.ends[:-1])
 
 
 def _phi(x: np.ndarray) -> np.ndarray:
@@ -207,12 +231,9 @@ class ClassLM:
         def pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sym, total = shared.value, np.zeros(size * size, np.int64)
             for b in batches:
-                seen = []
-                for ws in _texts(b.column(0)):
-                    s = core[sym.text(ws)]
-                    seen.append(s[:-1] * size + s[1:])
-                if seen:
-                    total += np.bincount(np.concatenate(seen), minlength=size * size)
+                for run in sym.runs(b.column(0)):
+                    s = core[run.codes]
+                    total += np.bincount(s[:-1] * size + s[1:], minlength=size * size)
             rows = total.reshape(size, size)
             some = np.flatnonzero(rows.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([zlib.compress(rows[i].tobytes(), 1) for i in some], pa.binary())], names=["before", "counts"])
@@ -234,15 +255,14 @@ class ClassLM:
         width = 2 * every  # classes after, classes before
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sym, total = shared.value, np.zeros((held - own) * width, np.int32)
+            sym, total, one = shared.value, np.zeros((held - own) * width, np.int32), np.int32(1)
             for b in batches:
-                seen = [np.empty(0, np.int64)]
-                for ws in _texts(b.column(0)):
-                    s = sym.text(ws)
+                for run in sym.runs(b.column(0)):
+                    s = run.codes
                     p = np.flatnonzero((s >= own) & (s < held))
                     at, c = (s[p] - own) * width, of[s]
-                    seen += [at + c[p + 1], at + every + c[p - 1]]
-                np.add.at(total, np.concatenate(seen), 1)
+                    np.add.at(total, at + c[p + 1], one)
+                    np.add.at(total, at + every + c[p - 1], one)
             for i in range(0, held - own, BLOCK):
                 part = total[i * width : (i + BLOCK) * width]
                 if part.any():
@@ -281,8 +301,8 @@ class ClassLM:
                 return got
 
             for b in batches:
-                for ws in _texts(b.column(0)):
-                    s = sym.text(ws)
+                for run in sym.runs(b.column(0)):
+                    s = run.codes
                     c, other = of[s], (s >= held) & (s < end)
                     bigram = c[:-1] * every + c[1:]
                     total[:cells] += np.bincount(bigram, minlength=cells)
@@ -290,8 +310,8 @@ class ClassLM:
                     p = np.flatnonzero(other)
                     if len(p):
                         c = c + every * other
-                        words += [ws[i] for i in (p - 1).tolist()]
-                        nexts += [ws[i] if both else None for i, both in zip(p.tolist(), other[p + 1].tolist(), strict=True)]
+                        words += [run.words[i] for i in run.place[p].tolist()]
+                        nexts += [run.words[i] if both else None for i, both in zip(run.place[p + 1].tolist(), other[p + 1].tolist(), strict=True)]
                         keys.append(c[p - 1] * wide + c[p + 1])
                     if len(words) > FLUSH // 4:
                         yield out()
@@ -367,38 +387,52 @@ class ClassLM:
             base_under = np.log10(n + v + 1.0)
             held, end = len(counts), len(of) - 1
             for b in batches:
-                rows, words, times, numbers, endings, sizes = [], [], [], [], [], [0]
-                for ws in _texts(b.column(1)):
-                    s = symbols.text(ws)
-                    other = (s >= held) & (s < end)
-                    top = logs[s[1:-1][~other[1:-1]]].sum()
-                    base = top + np.log10(ends + 1.0) - (len(ws) + 1) * base_under
-                    c = of[s]
+                scored, beside, words, times, numbers, endings, sizes = [], [], [], [], [], [], [0]
+                for run_ in symbols.runs(b.column(1)):
+                    s = run_.codes
+                    c, other = of[s], (s >= held) & (s < end)
+                    top = np.zeros(len(s))
+                    known = (s < held)
+                    top[known] = logs[s[known]]
                     sure = ~(other[:-1] | other[1:])
-                    score = top + step[c[:-1][sure], c[1:][sure]].sum() - under[c[~other]][1:-1].sum()
+                    size = np.diff(run_.ends)
+                    base = run_.by_text(top[1:])
+                    under_known = np.where(known, under[c], 0.0)[1:]
+                    score = base + run_.by_text(np.where(sure, step[c[:-1], c[1:]], 0.0) - under_known)
+                    scored.append((size, size - 1 - run_.by_text(other[1:].astype(np.int64)) + (ends > 0), base + np.log10(ends + 1.0) - size * base_under, score))
                     # Words that aren't held: their classes are found by a join; pairs beside them hold classes, or -1 - their number in the text.
                     p = np.flatnonzero(other)
-                    beside = None
-                    if len(p):
-                        rare = [ws[i] for i in (p - 1).tolist()]
-                        number: dict[bytes, int] = {}
-                        place = np.fromiter((number.setdefault(w, len(number)) for w in rare), np.int64, len(rare))
+                    of_text = np.searchsorted(run_.ends, p) - 1
+                    place = np.empty(len(p), np.int64)
+                    now, number = -1, {}
+                    counts = np.zeros(len(size), np.int64)
+                    for i, (text, at) in enumerate(zip(of_text.tolist(), run_.place[p].tolist(), strict=True)):
+                        if text != now:
+                            if now >= 0:
+                                words += number
+                                counts[now] = len(number)
+                            now, number = text, {}
+                        place[i] = number.setdefault(run_.words[at], len(number))
+                    if now >= 0:
                         words += number
-                        times.append(np.bincount(place))
-                        numbers.append(np.arange(len(number)))
-                        ending = np.empty(len(number), np.int64)
-                        ending[place] = c[p]
-                        endings.append(ending)
-                        c = c.copy()
-                        c[p] = -1 - place
-                        beside = np.stack([c[:-1][~sure], c[1:][~sure]]).astype("<i4").tobytes()
-                    sizes.append(len(words))
-                    rows.append((len(ws) + 1, len(ws) - len(p) + (ends > 0), float(base), float(score), beside))
+                        counts[now] = len(number)
+                    first = np.concatenate([[0], np.cumsum(counts)])
+                    each_word = first[of_text] + place
+                    times.append(np.bincount(each_word, minlength=first[-1]))
+                    numbers.append(np.arange(first[-1]) - np.repeat(first[:-1], counts))
+                    ending = np.zeros(first[-1], np.int64)
+                    ending[each_word] = c[p]
+                    endings.append(ending)
+                    sizes += (sizes[-1] + first[1:]).tolist()
+                    c = c.copy()
+                    c[p] = -1 - place
+                    left, right = c[:-1][~sure].astype("<i4"), c[1:][~sure].astype("<i4")
+                    cuts = np.concatenate([[0], np.cumsum(run_.by_text((~sure).astype(np.int64)))]).tolist()
+                    beside += [np.concatenate([left[i:j], right[i:j]]).tobytes() if j > i else None for i, j in zip(cuts, cuts[1:], strict=False)]
                 flat = [np.concatenate([np.empty(0, np.int64), *x]) for x in (times, numbers, endings)]
                 each = pa.StructArray.from_arrays([pa.array(words, pa.binary()), *map(pa.array, flat)], names=["word", "times", "number", "ending"])
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
-                cols = list(zip(*rows, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), each)], names=["id", "n_tokens", "n_known", "base", "score", "beside", "rare"])
+                cols = [pa.array(np.concatenate([np.empty(0, k), *x]).astype(k)) for x, k in zip(zip(*scored, strict=True) if scored else [()] * 4, (np.int64, np.int64, float, float), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array(beside, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), each)], names=["id", "n_tokens", "n_known", "base", "score", "beside", "rare"])
 
         def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, _, step, under, _, _ = shared.value
