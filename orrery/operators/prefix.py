@@ -1,10 +1,10 @@
 """Prefix sums over a whole table, of which only a small part is ever sorted.
 
-Rows are summed in buckets of the key, whose cut points are approximate quantiles (their exact
-place does not matter). The sums tell in which bucket a wanted prefix sum is reached, and only
-that bucket's rows are put in order; a bucket that is too large still is cut again, a pass
-each time. Rows of equal key are summed before they are ordered, so a frequent key is one row.
-Cut points and sums of buckets are a few numbers on the driver.
+Rows are summed in buckets of even width of the key: plain arithmetic, one partial sum a task.
+The sums tell in which bucket a wanted prefix sum is reached, and only that bucket's rows are
+put in order; a bucket that holds too many still is cut again, a pass each time, so uneven keys
+cost passes and no large tasks. Rows of equal key are summed before they are ordered, so a
+frequent key is one row. Ends and sums of buckets are a few numbers on the driver.
 """
 
 from __future__ import annotations
@@ -15,17 +15,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+BUCKETS = 1024
 #: Buckets of more rows are cut again before one task orders them.
-ORDERED = 20_000_000
+ORDERED = 5_000_000
 
 
 @dataclass(frozen=True)
 class Bucket:
-    """Rows with ``low < k <= high`` (None: no bound), what they sum to, what those before sum to, and the last key before."""
+    """Rows with ``least <= k <= most``, what they sum to, what those before sum to, and the last key before."""
 
-    low: float | None
-    high: float | None
     n: int
     total: float
     least: float
@@ -34,10 +32,14 @@ class Bucket:
     before: float | None = None
 
     def holds(self, k: Column) -> Column:
-        out = F.lit(True)
-        if self.low is not None:
-            out = out & (k > self.low)
-        return out if self.high is None else out & (k <= self.high)
+        return (k >= self.least) & (k <= self.most)
+
+
+def bucket_of(k: Column, low: Column | float, high: Column | float, buckets: int = BUCKETS) -> Column:
+    """The bucket of a value, from 0. It never falls as ``k`` grows, so buckets are intervals whatever the rounding."""
+    low, high = (F.lit(x) if not isinstance(x, Column) else x for x in (low, high))
+    at = F.floor((k - low) / (high - low) * buckets)
+    return F.when((high > low) & (high - low < float("inf")), F.greatest(F.least(at, F.lit(buckets - 1)), F.lit(0))).otherwise(0).cast("int")
 
 
 def keyed(df: DataFrame, key: Column, value: Column) -> DataFrame:
@@ -46,18 +48,20 @@ def keyed(df: DataFrame, key: Column, value: Column) -> DataFrame:
 
 
 def cut(rows: DataFrame, of: Bucket | None = None) -> tuple[list[Bucket], float]:
-    """The buckets of the rows (or those of one bucket), in order, and the value of the first row."""
-    if of is not None:
+    """The buckets of the rows (or those of one bucket), in order, and the value of the first row (of all rows)."""
+    first, base, before = 0.0, 0.0, None  # of one bucket, the first is not asked for
+    if of is None:
+        low, high = rows.agg(F.min("k"), F.max("k")).first()
+        if low is None:
+            return [], 0.0
+    else:
+        low, high, base, before = of.least, of.most, of.base, of.before
         rows = rows.where(of.holds(F.col("k")))
-    q, first = rows.agg(F.percentile_approx("k", [i / BUCKETS for i in range(1, BUCKETS)], 4 * BUCKETS), F.min(F.struct("k", "w"))["w"]).first()
-    cuts = sorted(set(q or []))
-    table = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
-    found = rows.groupBy(F.size(F.filter(table, lambda c: c < F.col("k"))).alias("b")).agg(F.count("*"), F.sum("w"), F.min("k"), F.max("k")).collect()
-    ends = [of.low if of else None, *cuts, of.high if of else None]
-    base, before = (of.base, of.before) if of else (0.0, None)
+    found = rows.groupBy(bucket_of(F.col("k"), low, high).alias("b")).agg(F.count("*"), F.sum("w"), F.min("k"), F.max("k"), F.min(F.when(F.col("k") == low, F.col("w")))).collect()
     out = []
-    for b, n, total, least, most in sorted(found):
-        out.append(Bucket(ends[b], ends[b + 1], n, total or 0.0, least, most, base, before))
+    for _, n, total, least, most, start in sorted(found, key=lambda r: r[0]):
+        first = start if start is not None else first
+        out.append(Bucket(n, total or 0.0, least, most, base, before))
         base, before = base + (total or 0.0), most
     return out, first
 
@@ -67,7 +71,7 @@ def narrowed(rows: DataFrame, buckets: list[Bucket], wanted: Callable[[Bucket],
     out = []
     for b in buckets:
         if wanted(b):
-            out += narrowed(rows, cut(rows, b)[0], wanted) if b.n > ORDERED and b.least < b.most else [b]
+            out += narrowed(rows, cut(rows, b)[0], wanted) if b.n > ORDERED and b.least < b.most < float("inf") and b.least > float("-inf") else [b]
     return out
 
 
@@ -100,4 +104,4 @@ def whole(buckets: list[Bucket]) -> float:
     return buckets[-1].base + buckets[-1].total if buckets else 0.0
 
 
-__all__ = ["Bucket", "crossing", "cut", "keyed", "narrowed", "ordered", "reaching", "whole"]
+__all__ = ["Bucket", "bucket_of", "crossing", "cut", "keyed", "narrowed", "ordered", "reaching", "whole"]

@@ -20,7 +20,7 @@ from ..plans.core import Calculator
 from ..snapshot import Snapshot
 from .bins import BinsSet, Edges
 from .filters import FamilyFilter, Filter
-from .prefix import BUCKETS
+from .prefix import bucket_of
 
 NAN = float("nan")
 #: Statistic: ``fn(x, w) -> aggregate Column``; w is None without a weight.
@@ -244,17 +244,17 @@ class Profile:
 
 
 def _percentile(rows: DataFrame, x: Column, w: Column | None, p: float, name: str) -> DataFrame:
-    """By bin: values in order, the sum of weights less the first, over the last; linear between. Of one value, itself. Each bin is cut into buckets by approximate quantiles, and only the bucket that holds the share is put in order."""
+    """By bin: values in order, the sum of weights less the first, over the last; linear between. Of one value, itself. Each bin is cut into buckets of even width, and only the bucket that holds the share is put in order."""
     r = rows.select("bin", x.alias("k"), (F.lit(1.0) if w is None else w).alias("w")).where("k is not null and not isnan(k)")
-    ends = r.groupBy("bin").agg(F.percentile_approx("k", [i / BUCKETS for i in range(1, BUCKETS)], 4 * BUCKETS).alias("cuts"), F.min(F.struct("k", "w"))["w"].alias("first"), F.sum("w").alias("total"))
-    ends = ends.select("bin", F.array_distinct("cuts").alias("cuts"), (F.col("first") + p * (F.col("total") - F.col("first"))).alias("target"))
-    r = r.join(F.broadcast(ends), "bin").select("bin", "k", "w", "target", F.size(F.filter("cuts", lambda c: c < F.col("k"))).alias("b"))  # a row a bin
-    before = Window.partitionBy("bin").orderBy("b")
-    sums = r.groupBy("bin", "b").agg(F.sum("w").alias("t"), F.max("k").alias("most"), F.first("target").alias("target"))
+    ends = r.groupBy("bin").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.sum("w").alias("total"))
+    r = r.join(F.broadcast(ends), "bin").select("bin", "k", "w", "low", "total", bucket_of(F.col("k"), F.col("low"), F.col("high")).alias("b"))  # a row a bin
+    of, before = Window.partitionBy("bin"), Window.partitionBy("bin").orderBy("b")
+    sums = r.groupBy("bin", "b").agg(F.sum("w").alias("t"), F.max("k").alias("most"), F.max("total").alias("total"), F.min(F.when(F.col("k") == F.col("low"), F.col("w"))).alias("first"))
+    sums = sums.withColumn("first", F.max("first").over(of)).withColumn("target", F.col("first") + p * (F.col("total") - F.col("first")))
     sums = sums.select("bin", "b", "most", "target", F.sum("t").over(before.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.lag("most").over(before).alias("k0"), "t")
-    chosen = sums.groupBy("bin").agg(F.min(F.when(F.col("upto") >= F.col("target"), F.struct("b", (F.col("upto") - F.col("t")).alias("base"), "k0"))).alias("s"), F.max(F.struct("b", (F.col("upto") - F.col("t")).alias("base"), "k0")).alias("last"))
+    chosen = sums.groupBy("bin").agg(F.min(F.when(F.col("upto") >= F.col("target"), F.struct("b", (F.col("upto") - F.col("t")).alias("base"), "k0", "target"))).alias("s"), F.max(F.struct("b", (F.col("upto") - F.col("t")).alias("base"), "k0", "target")).alias("last"))
     chosen = chosen.select("bin", F.coalesce("s", "last").alias("s")).select("bin", "s.*").withColumnRenamed("k0", "earlier")
-    keys = r.join(F.broadcast(chosen), ["bin", "b"]).groupBy("bin", "k").agg(F.min("w").alias("first"), F.sum("w").alias("t"), *[F.first(c).alias(c) for c in ("base", "earlier", "target")])
+    keys = r.join(F.broadcast(chosen), ["bin", "b"]).groupBy("bin", "k").agg(F.min("w").alias("first"), F.sum("w").alias("t"), *[F.max(c).alias(c) for c in ("base", "earlier", "target")])
     order = Window.partitionBy("bin").orderBy("k")
     keys = keys.withColumn("c", F.col("base") + F.sum("t").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("k0", F.coalesce(F.lag("k").over(order), "earlier"))
     c0 = F.col("c") - F.col("t")

@@ -131,13 +131,20 @@ class Snapshot:
 
     def numbered(self) -> Snapshot:
         """With ``pid``: each row's place in ``order``. Rows are counted in buckets of its first column and numbered within them."""
-        from .operators.prefix import cut, keyed
+        from .operators.prefix import BUCKETS, bucket_of, cut, keyed
 
         first, *_ = order = [c for c in self.order if c in self.df.columns and c != "pid"]
         key = F.col(first).cast("double")
         buckets, _ = cut(keyed(self.df, key, F.lit(1.0)))
-        bucket = F.coalesce(*[F.when(b.holds(key), i) for i, b in enumerate(buckets)], F.lit(len(buckets)))
-        base = F.get(F.array(*[F.lit(round(b.base)) for b in buckets], F.lit(round(buckets[-1].base + buckets[-1].total) if buckets else 0)), F.col("_bucket"))
+        low, high = (buckets[0].least, buckets[-1].most) if buckets else (0.0, 0.0)
+        bucket = F.when(key.isNull() | F.isnan(key), BUCKETS).otherwise(bucket_of(key, low, high))
+        # Buckets without rows aren't listed: a bucket's base is what all below it hold.
+        counts = self.df.groupBy(bucket.alias("b")).count().collect()
+        held = dict.fromkeys(range(BUCKETS + 2), 0) | {r["b"]: r["count"] for r in counts}
+        below = [0]
+        for i in range(BUCKETS + 1):
+            below.append(below[-1] + held[i])
+        base = F.get(F.array(*map(F.lit, below)), F.col("_bucket"))
         rows = self.df.withColumn("_bucket", bucket)
         place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1 + base
         return replace(self, df=rows.withColumn("pid", place.cast("long")).drop("_bucket"), order=("pid",))
