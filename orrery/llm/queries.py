@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from .class_lm import ClassLM, fold
 from .html_text import extract_text
+from .lexical import search
 from .line_dedup import dedup_lines
 from .mixing import Mix
+from .packing import Limits, pack, tokenize
 from .pieces import decode, encode
 from .quality import fit_cutoffs, judge, measure
 from .secrets import KINDS, scan_secrets, spans_text
 from .shingle_join import near_duplicates
 from .store import stage
 from .url_filter import filter_urls
+from .vector_codes import VectorCodes, with_label_error
 from .vector_dedup import near_vectors
 
 
@@ -103,6 +106,26 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", n(0), n(1), n(2), F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = tokenize(docs, public_tokenizers.path("word_bpe_49k.json"))
+    out = pack(ids, limits=Limits(tokens=4096, segments=256, loss=4096))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = VectorCodes(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), label_col="label")
+    out = with_label_error(stage(model.encode(), "codes"))
+    return out.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(model.digest()).alias("codebooks_sha256"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return out.select(F.col("query_id").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_vector_dedup": op2_vector_dedup,
@@ -114,8 +137,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shingle_join": op8_shingle_join,
     "op9_mix": op9_mix,
     "op10_secrets": op10_secrets,
+    "op11_packing": op11_packing,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_lexical_search": op13_lexical_search,
 }
 
+
+def codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds of op12, written out."""
+    steps = [
+        f"""d AS (SELECT CAST(len(any_value(embedding)) / {parts} AS BIGINT) AS w FROM embeddings),
+kept AS (SELECT vec_id, label, embedding AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+x AS (SELECT vec_id, (i - 1) // w AS p, (i - 1) % w AS i, CAST(floor(4096 * CAST(e[i] AS DOUBLE)) AS BIGINT) AS x
+  FROM (SELECT vec_id, e, unnest(range(1, len(e) + 1)) AS i FROM kept), d),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM kept ORDER BY vec_id LIMIT {entries}),
+c0 AS (SELECT p, k, i, x AS c FROM x JOIN first USING (vec_id))"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, p, k, e FROM (SELECT vec_id, p, k, e, row_number() OVER (PARTITION BY vec_id, p ORDER BY e, k) AS nth FROM (
+  SELECT vec_id, p, k, sum((x - c) * (x - c))::BIGINT AS e FROM x JOIN c{r} USING (p, i) GROUP BY vec_id, p, k)) WHERE nth = 1)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (SELECT p, k, i, coalesce((s - ((s % n) + n) % n) // n, c) AS c FROM c{r} LEFT JOIN (
+  SELECT p, k, i, sum(x)::BIGINT AS s, count(*) AS n FROM x JOIN a{r} USING (vec_id, p) GROUP BY p, k, i) USING (p, k, i))""")
+    return f"""WITH {", ".join(steps)},
+coded AS (SELECT vec_id, string_agg(lower(printf('%02x', k)), '' ORDER BY p) AS code, sum(e)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY p, k, i)) FROM c{rounds}) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": r"""
 WITH lines AS (
@@ -166,4 +216,19 @@ links AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
 reach(id, other) AS (
   SELECT doc_id, doc_id FROM documents UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.other = l.a)
 SELECT r.id AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.other) AS component_id FROM reach r LEFT JOIN n ON n.doc_id = r.id GROUP BY r.id""",
+    "op12_vector_codes": codes_sql(),
+    "op13_lexical_search": r"""
+WITH words(kind, id, w) AS (
+  SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')
+  FROM (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'q', item_id, text FROM benchmark)),
+every AS (SELECT kind, id, w, count(*) AS tf FROM (SELECT kind, id, unnest(w) AS w FROM words) GROUP BY kind, id, w),
+docs AS (SELECT id, len(w) AS n FROM words WHERE kind = 'd' AND len(w) > 0),
+whole AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM docs),
+weights AS (SELECT w, CAST(floor(1000 * ln(CAST(2 * (SELECT n_docs FROM whole) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM every WHERE kind = 'd' GROUP BY w),
+scores AS (
+  SELECT q.id AS item_id, d.id AS doc_id, sum(q.tf * weight * ((1000000000 * d.tf) // (1000 * d.tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM every q JOIN every d ON q.kind = 'q' AND d.kind = 'd' AND q.w = d.w JOIN weights ON weights.w = q.w JOIN docs ON docs.id = d.id, whole
+  GROUP BY q.id, d.id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS nth FROM scores WHERE score > 0)
+SELECT item_id, CAST(nth AS INTEGER) AS rank, doc_id, score FROM ranked WHERE nth <= 10""",
 }
