@@ -20,6 +20,7 @@ columns are read, others may have any name.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -34,8 +35,17 @@ from pyspark.sql import types as T
 
 from .store import ship
 
-MAX_WORDS = 400_000
-LONG_WORD = 64
+MAX_UNITS = 400_000
+LONG_UNIT = 64
+#: Units that are encoded in one call.
+JOINED = 500
+# Letters that are their own normal form, each with one lower-case letter, and further characters that are neither letters nor numbers.
+LATIN = "A-Za-zÀ-ÖØ-öø-įı-ſ"
+UNIT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{LATIN}]+|[0-9]|[^\s{LATIN}0-9]+")
+OTHER = re.compile(rf"[^{LATIN}\t\n\x0b\f\r\x20-\x7e¡¿«»·–—‘’“”…]")
+WORD = re.compile(r"[^\t\n\x0b\f\r\x20]+")
+#: How the vocabulary's special tokens begin.
+SPECIAL = "<|"
 #: Results leave a task in batches of about this many bytes.
 OUT_BYTES = 8_000_000
 #: Sequences a partition can number.
@@ -56,25 +66,52 @@ class Limits:
 
 
 class Words:
-    """Ids of white-space words as bytes: the pre-tokenizer parts texts at white space and drops it, so a word's ids do not depend on its neighbours."""
+    """Ids of the pre-tokenizer's units as bytes; each is encoded by the library once a worker and kept in a bounded table.
+
+    Texts of Latin letters, ASCII and common punctuation, which no normal form changes, are
+    parted as the pre-tokenizer does it; other texts at white space only, which it drops, so
+    that a word's ids never depend on its neighbours.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.held = Tokenizer.from_file(path), {}
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        held = self.held if len(self.held) < MAX_WORDS else {}
-        self.held = held
-        new = list({w for words in split for w in words if w not in held})
-        more = {}
-        for w, e in zip(new, self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            (held if len(w) <= LONG_WORD else more)[w] = np.array(e.ids, "<u4").tobytes()
+        self.library, self.held, self.older = Tokenizer.from_file(path), {}, {}
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def units(self, text: str) -> list[str]:
+        return WORD.findall(text) if OTHER.search(text) or SPECIAL in text else UNIT.findall(text.lower())
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [self.units(t) for t in texts]
+        if len(self.held) > MAX_UNITS:  # units that do not come again go with the older half
+            self.held, self.older = {}, self.held
+        held, older, more = self.held, self.older, {}
+        new = set().union(*split).difference(held)
+        again = new.intersection(older)
+        held.update(zip(again, map(older.__getitem__, again), strict=True))
+        new = list(new - again)
+        for unit, ids in zip(new, self._ids(new), strict=True):
+            (held if len(unit) <= LONG_UNIT else more)[unit] = ids
         if not more:
-            return [b"".join(map(held.__getitem__, words)) for words in split]
-        return [b"".join([held[w] if len(w) <= LONG_WORD else more[w] for w in words]) for words in split]
+            return [b"".join(map(held.__getitem__, u)) for u in split]
+        return [b"".join([held[w] if len(w) <= LONG_UNIT else more[w] for w in u]) for u in split]
+
+    def _ids(self, new: list[str]) -> list[bytes]:
+        """Many units at a time, parted where a word ends; those of several words one by one."""
+        out: list[bytes] = []
+        for lo in range(0, len(new), JOINED):
+            part = new[lo : lo + JOINED]
+            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(part) and all(UNIT.fullmatch(w) for w in part):
+                data, end = ids.tobytes(), 4 * last
+                out += [data[a:b] for a, b in zip([0, *end[:-1].tolist()], end.tolist(), strict=True)]
+            else:
+                out += [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(part, add_special_tokens=False)]
+        return out
 
 
 @cache
@@ -93,7 +130,7 @@ def tokenize(docs: DataFrame, tokenizer: str, *, text_col: str = "text", ids_col
         for whole in batches:
             for lo in range(0, whole.num_rows, slice_rows):
                 batch = whole.slice(lo, slice_rows)
-                ids = [x + end for x in own.encode([t or b"" for t in batch.column("_text").cast(pa.binary()).to_pylist()])]
+                ids = [x + end for x in own.encode([t or "" for t in batch.column("_text").to_pylist()])]
                 first, size = 0, 0
                 for i, x in enumerate([*ids, None]):
                     if x is None or size + len(x) > OUT_BYTES and i > first:
