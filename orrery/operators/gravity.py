@@ -2,17 +2,24 @@
 
 Direct sums take blocks of targets and sources in Arrow batches. Sources are broadcast up to a
 checked number; beyond it they are dealt into blocks, every target meets every block, and
-partial sums are added. The tree of up to ``tree_limit`` particles is built on the driver and
-sent to the workers. A larger snapshot is cut into cells of octants with at most ``cell``
-particles: a cell that a target sees under a small angle acts through its moments, and of a
-nearer one the tree is built in a task, for the targets that are near it.
+partial sums are added.
+
+The octree is built in tasks. Passes of counts cut space into domains, nodes of the octree of
+at most ``cell`` particles; a task builds the linear octree of each and rolls its moments up.
+What comes to the driver is a row for each domain, of which the tree above them is made and
+broadcast. Targets are dealt into blocks by domain. A block's box walks the tree above to find
+the domains it has to look into, each of those sends the part of its tree that the box can
+reach, and a task then walks all of it for the block's targets. Each target sees the nodes
+that it would see in one tree over all particles.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
-from typing import Any
+from dataclasses import dataclass
+from functools import cached_property
+from typing import Any, NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -22,14 +29,16 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from ..snapshot import Snapshot
 from ..units import gravity_constant, in_units
-from .cells import DEPTH, FIRST, STEP, Cells, codes, moments_of, settle
-from .tree import Octree
+from .domains import FIRST, STEP, Domains, needed, settle, summary, walk
+from .tree import DEPTH, Tree, codes
 
 #: Sources up to this number (some 50 bytes each) are broadcast whole.
 BROADCAST_SOURCES = 20_000
 BLOCK = 20_000
-#: Tasks that share the targets near a cell.
-PARTS = 8
+#: Domains in all: beyond it they hold more than ``cell`` particles, so that what is above them stays small.
+MOST_DOMAINS = 100_000
+#: Blocks of targets in a domain.
+CHUNKS = 2**20
 KERNELS = ("newton", "plummer", "spline")
 
 
@@ -44,8 +53,7 @@ class Gravity:
     leaf_capacity: int = 8
     multipole_order: int = 3
     g: float = 1.0
-    tree_limit: int = 1_000_000
-    cell: int = 50_000
+    cell: int = 20_000
 
     def __post_init__(self) -> None:
         if self.softening is not None and self.kernel in (None, "newton"):
@@ -114,95 +122,138 @@ class Gravity:
         parts = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(meet, "pid long, phi double, ax double, ay double, az double")
         return parts.groupBy("pid").agg(*[F.sum(c).alias(c) for c in ("phi", "ax", "ay", "az")])
 
-    def tree(self, points: DataFrame | None = None) -> DataFrame:
-        """The same by the tree: nodes seen under an angle below ``theta`` act through their moments."""
-        sources, targets = self.sources(), self._targets(points)
-        if sources.count() > self.tree_limit:
-            return self._tree_of_cells(targets, sources, points is None)
-        s = sources.toPandas()
-        tree = _built(s, self.softening is not None, self.leaf_capacity, self.multipole_order, self.kind)
-        ship(self.snap.df.sparkSession)
-        shared = self.snap.df.sparkSession.sparkContext.broadcast(tree)
-        theta, own, g = self.theta, points is None, self.g
-
-        def walk(batches):
-            for t in batches:
-                phi, acc = shared.value.evaluate(t[["tx", "ty", "tz"]].to_numpy(), theta, t["pid"].to_numpy() if own else None, t["th"].to_numpy())
-                yield pd.DataFrame({"pid": t["pid"], "phi": g * phi, "ax": g * acc[:, 0], "ay": g * acc[:, 1], "az": g * acc[:, 2]})
-
-        return targets.mapInPandas(walk, "pid long, phi double, ax double, ay double, az double")
+    @cached_property
+    def forest(self) -> Forest:
+        """The octree, built once for all calls on this object; its domains' trees are persisted."""
+        sources = self.sources()
+        spark = self.snap.df.sparkSession
+        ship(spark)
+        n, *ends = sources.agg(F.count("*"), *[f(f"s{c}") for f in (F.min, F.max) for c in "xyz"]).first()
+        if not n:
+            raise ValueError("no particles to build a tree of")
+        low, high = np.array(ends, float).reshape(2, 3)
+        if not np.isfinite([low, high]).all():
+            raise ValueError("positions have to be numbers")
+        cube = 0.5 * (low + high), max(0.5 * float((high - low).max()), 1e-6)
+        domains = self._domains(sources, n, cube)
+        soft, leaf, order, kind = self.softening is not None, self.leaf_capacity, self.multipole_order, self.kind
 
-    def _cells(self, sources: DataFrame) -> Cells:
-        """Cells of at most ``cell`` sources. Counts of cells come from passes over the sources; what is collected is bounded by their number."""
-        low, high = np.array(sources.agg(*[f(f"s{c}") for f in (F.min, F.max) for c in "xyz"]).first(), float).reshape(2, 3)
-        side = max(float((high - low).max()), 1e-6) * (1 + 1e-12)
+        def place(batches):
+            for s in batches:
+                yield s.assign(domain=domains.of_points(s[["sx", "sy", "sz"]].to_numpy()))
+
+        def build(s: pd.DataFrame) -> pd.DataFrame:
+            d = int(s["domain"].iloc[0])
+            s = s.sort_values("sid")
+            tree = Tree.build(s[["sx", "sy", "sz"]].to_numpy(), s["sm"].to_numpy(), s["sh"].to_numpy() if soft else None, s["sid"].to_numpy(), cube=cube, depth=int(domains.depth[d]), leaf_capacity=leaf, order=order, kernel=kind)
+            return pd.DataFrame([{"domain": d, **summary(tree), "tree": pickle.dumps(tree, 5)}])
+
+        placed = sources.mapInPandas(place, "sid long, sx double, sy double, sz double, sm double, sh double, domain long")
+        root = "domain long, n long, inner boolean, total double, com array<double>, hmax double, moments array<double>"
+        trees = placed.groupBy("domain").applyInPandas(build, f"{root}, tree binary").persist()
+        roots = {r["domain"]: r.asDict() for r in trees.drop("tree").collect()}  # MOST_DOMAINS rows
+        top, domain = domains.top([roots[i] for i in range(len(domains.start))], order, kind, soft)
+        return Forest(domains, trees, top, domain, {i: r["n"] for i, r in roots.items()}, n)
+
+    def release(self) -> None:
+        """Give the persisted trees up; they are built anew when needed."""
+        if "forest" in self.__dict__:
+            self.__dict__.pop("forest").trees.unpersist()
+
+    def _domains(self, sources: DataFrame, n: int, cube: tuple[np.ndarray, float]) -> Domains:
+        """Nodes of at most ``cell`` sources whose parents hold more. Counts come from passes over the sources; what is collected is bounded by the number of domains."""
+        limit = max(self.cell, self.leaf_capacity, -(-n // MOST_DOMAINS))
+        if n <= limit:
+            return Domains.of(cube, [(0, 0)])
         found, big, top, depth = [], None, 0, FIRST
         while True:
             wanted = None if big is None else np.array(sorted(big), np.int64)
 
             def count(batches, wanted=wanted, top=top, depth=depth):
                 for s in batches:
-                    at = codes(s[["sx", "sy", "sz"]].to_numpy(), low, side) >> 3 * (DEPTH - depth)
+                    at = codes(s[["sx", "sy", "sz"]].to_numpy(), *cube) >> 3 * (DEPTH - depth)
                     if wanted is not None:
                         at = at[np.isin(at >> 3 * (depth - top), wanted)]
-                    cell, n = np.unique(at, return_counts=True)
-                    yield pd.DataFrame({"at": cell, "n": n.astype(np.int64)})
+                    cell, held = np.unique(at, return_counts=True)
+                    yield pd.DataFrame({"at": cell, "n": held.astype(np.int64)})
 
             counts = sources.mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
-            more, big = settle({r["at"]: r["n"] for r in counts}, depth, top, self.cell)
+            more, big = settle({r["at"]: r["n"] for r in counts}, depth, top, limit)
             found += more
             if not big or depth >= DEPTH:
-                return Cells.of(low, side, found + [(depth, c) for c in big])
+                return Domains.of(cube, found + [(depth, c) for c in big])
             top, depth = depth, min(depth + STEP, DEPTH)
 
-    def _tree_of_cells(self, targets: DataFrame, sources: DataFrame, own: bool) -> DataFrame:
-        spark = self.snap.df.sparkSession
-        ship(spark)
-        cells = self._cells(sources)
-        theta, g, order, soft = self.theta, self.g, self.multipole_order, self.softening is not None
-        leaf, kind = self.leaf_capacity, self.kind
-        columns = "pid long, phi double, ax double, ay double, az double"
-
-        def place(batches):
-            for s in batches:
-                yield s.assign(source=cells.cell(s[["sx", "sy", "sz"]].to_numpy()))
+    def tree(self, points: DataFrame | None = None) -> DataFrame:
+        """The same by the tree: nodes seen under an angle below ``theta`` act through their moments."""
+        placed, exchanged, shared = self._exchange(points)
+        theta, own, g = self.theta, points is None, self.g
 
-        placed = sources.mapInPandas(place, "sid long, sx double, sy double, sz double, sm double, sh double, source long")
+        def act(t: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
+            top, domain = shared.value
+            parts = {int(d): pickle.loads(b) for d, b in zip(sent["domain"], sent["part"], strict=True)}
+            phi, acc = walk(top, domain, parts, t[["tx", "ty", "tz"]].to_numpy(), theta, t["pid"].to_numpy() if own else None, t["th"].to_numpy())
+            return pd.DataFrame({"pid": t["pid"], "phi": g * phi, "ax": g * acc[:, 0], "ay": g * acc[:, 1], "az": g * acc[:, 2]})
 
-        def summed(s: pd.DataFrame) -> pd.DataFrame:
-            total, com, moments = moments_of(s[["sx", "sy", "sz"]].to_numpy(), s["sm"].to_numpy(), order if order > 1 else 0)
-            return pd.DataFrame({"source": [s["source"].iloc[0]], "total": [total], "com": [com], "hmax": [float(s["sh"].max()) if soft else 0.0], "moments": [moments]})
+        return placed.groupBy("block").cogroup(exchanged.groupBy("block")).applyInPandas(act, "pid long, phi double, ax double, ay double, az double")
 
-        rows = {r["source"]: r for r in placed.groupBy("source").applyInPandas(summed, "source long, total double, com array<double>, hmax double, moments array<double>").collect()}  # a row a cell
-        rows = [rows[i] for i in range(len(cells.start))]
-        known = replace(cells, order=order, kernel=self.kind, soft=soft, com=np.array([r["com"] for r in rows]), total=np.array([r["total"] for r in rows]), hmax=np.array([r["hmax"] for r in rows]), moments=np.array([r["moments"] for r in rows]))
-        shared = spark.sparkContext.broadcast(known)
+    def _exchange(self, points: DataFrame | None) -> tuple[DataFrame, DataFrame, Any]:
+        """Targets with their ``block``; ``block, domain, part``: of each domain what a block's box can reach of it; and the tree above, broadcast."""
+        spark, forest = self.snap.df.sparkSession, self.forest
+        targets, theta, own, domains = self._targets(points), self.theta, points is None, forest.domains
+        shared = spark.sparkContext.broadcast((forest.top, forest.domain))  # MOST_DOMAINS rows
 
-        def through_moments(batches):
+        def locate(batches):
             for t in batches:
-                phi, acc = shared.value.through_moments(t[["tx", "ty", "tz"]].to_numpy(), t["th"].to_numpy(), theta, own)
-                yield pd.DataFrame({"pid": t["pid"], "phi": g * phi, "ax": g * acc[:, 0], "ay": g * acc[:, 1], "az": g * acc[:, 2]})
-
-        def near_cells(batches):
+                yield t.assign(block=domains.of_points(t[["tx", "ty", "tz"]].to_numpy()))
+
+        located = targets.mapInPandas(locate, "pid long, tx double, ty double, tz double, th double, block long")
+        held = forest.held if own else {r["block"]: r["count"] for r in located.groupBy("block").count().collect()}  # MOST_DOMAINS rows
+        n = sum(held.values())
+        # A block holds as many targets as a domain has particles; few targets are shared by all cores.
+        most = max(1, min(max(self.cell, -(-n // MOST_DOMAINS)), -(-n // spark.sparkContext.defaultParallelism)))
+        chunks = np.ones(len(domains.start), np.int64)
+        for i, k in held.items():
+            chunks[i] = min(-(-k // most), CHUNKS)
+
+        def deal(batches):
             for t in batches:
-                at, cell = shared.value.near(t[["tx", "ty", "tz"]].to_numpy(), t["th"].to_numpy(), theta, own)
-                yield t.iloc[at].assign(source=cell)
-
-        first = targets.mapInPandas(through_moments, columns)
-        met = targets.mapInPandas(near_cells, "pid long, tx double, ty double, tz double, th double, source long").withColumn("part", F.pmod(F.xxhash64("pid"), F.lit(PARTS)).cast("int"))
-
-        def walk(t: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-            phi, acc = _built(s, soft, leaf, order, kind).evaluate(t[["tx", "ty", "tz"]].to_numpy(), theta, t["pid"].to_numpy() if own else None, t["th"].to_numpy())
-            return pd.DataFrame({"pid": t["pid"], "phi": g * phi, "ax": g * acc[:, 0], "ay": g * acc[:, 1], "az": g * acc[:, 2]})
-
-        # The targets near a cell are dealt to PARTS tasks, each with the cell's sources.
-        copies = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-        second = met.groupBy("source", "part").cogroup(copies.groupBy("source", "part")).applyInPandas(walk, columns)
-        return first.unionByName(second).groupBy("pid").agg(*[F.sum(c).alias(c) for c in ("phi", "ax", "ay", "az")])
-
-
-def _built(s: pd.DataFrame, soft: bool, leaf_capacity: int, order: int, kernel: str) -> Octree:
-    return Octree.build(s[["sx", "sy", "sz"]].to_numpy(), s["sm"].to_numpy(), s["sh"].to_numpy() if soft else None, s["sid"].to_numpy(), leaf_capacity=leaf_capacity, order=order, kernel=kernel)
+                at = t["block"].to_numpy()
+                dealt = (t["pid"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+                yield t.assign(block=at * CHUNKS + (dealt.astype(np.int64) % chunks[at]))
+
+        placed = located.mapInPandas(deal, "pid long, tx double, ty double, tz double, th double, block long")
+        boxes = placed.groupBy("block").agg(*[f(f"t{c}").alias(f"{name}{c}") for f, name in ((F.min, "l"), (F.max, "h")) for c in "xyz"], F.max("th").alias("h"))
+        low, high = ["lx", "ly", "lz"], ["hx", "hy", "hz"]
+
+        def look(batches):
+            for b in batches:
+                for row, a, z, h in zip(b.itertuples(index=False), b[low].to_numpy(), b[high].to_numpy(), b["h"].to_numpy(), strict=True):
+                    found = needed(*shared.value, a, z, h, theta, own)
+                    yield pd.DataFrame([row] * len(found), columns=b.columns).assign(domain=found) if len(found) else b.iloc[:0].assign(domain=np.zeros(0, np.int64))
+
+        pairs = boxes.mapInPandas(look, "block long, lx double, ly double, lz double, hx double, hy double, hz double, h double, domain long")
+
+        def send(tree: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+            if not len(asked):
+                return pd.DataFrame({"block": [], "domain": [], "part": []})
+            whole = pickle.loads(tree["tree"].iloc[0])
+            parts = [pickle.dumps(whole.essential(a, z, h, theta, own), 5) for a, z, h in zip(asked[low].to_numpy(), asked[high].to_numpy(), asked["h"].to_numpy(), strict=True)]
+            return pd.DataFrame({"block": asked["block"], "domain": asked["domain"], "part": parts})
+
+        exchanged = forest.trees.select("domain", "tree").groupBy("domain").cogroup(pairs.groupBy("domain")).applyInPandas(send, "block long, domain long, part binary")
+        return placed, exchanged, shared
+
+
+class Forest(NamedTuple):
+    """The domains, a row with each one's tree, the tree above with each node's domain, the particles of each domain and of all."""
+
+    domains: Domains
+    trees: DataFrame
+    top: Tree
+    domain: np.ndarray
+    held: dict[int, int]
+    n: int
 
 
 def _of(snap: Snapshot, softening: Any, kernel: str | None, **options: Any) -> Gravity:

@@ -1,16 +1,28 @@
-"""An octree with Cartesian moments, in numpy. Targets walk it together, level by level, as a frontier of (target, node) pairs."""
+"""Linear octrees with Cartesian moments, in numpy: what a task does with the particles it holds.
+
+Particles in order of their Morton codes are a tree already: a node is a stretch of equal code
+prefixes, and each level is cut from the one above by comparing neighbours. Moments are taken
+about each leaf's centre of mass once and moved upwards, level by level. Targets walk a tree
+together as a frontier of (target, node) pairs. ``essential`` keeps of a tree what a box of
+targets can reach: nodes that all of them see under a small angle lose what is below.
+"""
 
 from __future__ import annotations
 
 import itertools
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 
 import numpy as np
 
 from ..functions.kernels import SPLINE_FAR, SPLINE_NEAR, TINY, polynomial
 
-#: Cells are not cut below this depth: coincident particles share a leaf.
-MAX_DEPTH = 40
+#: Nodes are not cut below this depth: coincident particles share a leaf. Three bits a level fill 63.
+DEPTH = 21
+#: Kinds of nodes: leaves are summed particle by particle; below closed ones nothing is known, and nothing is needed.
+INNER, LEAF, CLOSED = 0, 1, 2
+#: How much nearer a box counts than it is, so that what is closed for a box is closed for each place in it.
+SLACK = 1e-9
 #: A node is opened within so many softening lengths.
 REACH = {"newton": 0.0, "plummer": 2.8, "spline": 1.0}
 
@@ -56,8 +68,53 @@ def pair_sums(t, th, s, m, sh, kind, soft, own, tid=None, sid=None, pairs: int =
     return phi, acc
 
 
+def codes(x: np.ndarray, centre: np.ndarray, half: float) -> np.ndarray:
+    """Morton codes in a cube, by the comparisons that lead down an octree."""
+    out, c, h = np.zeros(len(x), np.int64), np.repeat(np.asarray(centre, float)[None], len(x), 0), half
+    for _ in range(DEPTH):
+        up = x >= c
+        out = out << 3 | up @ np.array([1, 2, 4])
+        h = 0.5 * h
+        c += np.where(up, h, -h)
+    return out
+
+
+def stretches(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as each size says."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def monomials(d: np.ndarray, order: int) -> np.ndarray:
+    powers = [np.ones_like(d)]
+    for _ in range(order):
+        powers.append(powers[-1] * d)
+    return np.stack([powers[i][:, 0] * powers[j][:, 1] * powers[k][:, 2] for i, j, k in indices(order)], 1)
+
+
+def moved(moments: np.ndarray, shift: np.ndarray, order: int) -> np.ndarray:
+    """Moments about a point that lies at ``-shift`` from their own: one axis after the other, a binomial sum each."""
+    at = {k: i for i, k in enumerate(indices(order))}
+    for axis in range(3):
+        power = [np.ones(len(shift))]
+        for _ in range(order):
+            power.append(power[-1] * shift[:, axis])
+        out = np.empty_like(moments)
+        for k, i in at.items():
+            n = k[axis]
+            out[:, i] = sum(math.comb(n, j) * power[n - j] * moments[:, at[tuple(j if a == axis else v for a, v in enumerate(k))]] for j in range(n + 1))
+        moments = out
+    return moments
+
+
+def safe_divide(a: np.ndarray, by: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return np.where(by[:, None] != 0, a / np.where(by != 0, by, 1)[:, None], other)
+
+
 @dataclass
-class Octree:
+class Tree:
+    """Nodes by level, children side by side; ``start`` to ``end`` are a leaf's particles."""
+
     pos: np.ndarray
     mass: np.ndarray
     soft: np.ndarray | None
@@ -65,97 +122,140 @@ class Octree:
     start: np.ndarray
     end: np.ndarray
     half: np.ndarray
+    parent: np.ndarray
+    first: np.ndarray
+    kids: np.ndarray
+    kind: np.ndarray
+    levels: np.ndarray
     com: np.ndarray
     total: np.ndarray
     hmax: np.ndarray
     moments: np.ndarray
-    children: list[np.ndarray]
     order: int
     kernel: str
 
     @classmethod
-    def build(cls, pos, mass, soft, ids, *, leaf_capacity: int = 8, order: int = 3, kernel: str = "newton") -> Octree:
+    def build(cls, pos, mass, soft, ids, *, cube: tuple[np.ndarray, float] | None = None, depth: int = 0, leaf_capacity: int = 8, order: int = 3, kernel: str = "newton") -> Tree:
+        """``cube``: centre and half the side of the whole tree's root, in which these particles share a node at ``depth``."""
         if leaf_capacity < 1:
             raise ValueError("a leaf holds a particle at least")
-        pos, mass = np.asarray(pos, float), np.asarray(mass, float)
-        low, high = (pos.min(0), pos.max(0)) if len(pos) else (np.zeros(3), np.zeros(3))
-        half0 = max(0.5 * float((high - low).max()), 1e-6)
-        perm = np.arange(len(pos))
-        start, end, half, children = [0], [len(pos)], [half0], [np.empty(0, int)]
-        todo = [(0, 0.5 * (low + high), 0)]
-        while todo:
-            node, centre, depth = todo.pop()
-            a, b = start[node], end[node]
-            if b - a <= leaf_capacity or depth >= MAX_DEPTH:
-                continue
-            own = perm[a:b]
-            octant = ((pos[own] >= centre) * np.array([1, 2, 4])).sum(1)
-            by = np.argsort(octant, kind="stable")
-            perm[a:b] = own[by]
-            cuts = a + np.searchsorted(octant[by], np.arange(9))
-            kids = []
-            for o in range(8):
-                if cuts[o] < cuts[o + 1]:
-                    kids.append(len(start))
-                    side = np.where([o & 1, o & 2, o & 4], 0.5, -0.5) * half[node]
-                    todo.append((len(start), centre + side, depth + 1))
-                    start.append(int(cuts[o]))
-                    end.append(int(cuts[o + 1]))
-                    half.append(0.5 * half[node])
-                    children.append(np.empty(0, int))
-            children[node] = np.array(kids)
-        pos, mass, ids = pos[perm], mass[perm], np.asarray(ids)[perm]
-        soft = None if soft is None else np.asarray(soft, float)[perm]
-        start, end = np.array(start), np.array(end)
-        # Sums over a node's stretch of particles are differences of running sums; moments are taken about its own centre of mass.
-        run = np.concatenate([[0], np.cumsum(mass)])
-        total = run[end] - run[start]
-        weighted = np.concatenate([np.zeros((1, 3)), np.cumsum(mass[:, None] * pos, 0)])
-        geometric = np.concatenate([np.zeros((1, 3)), np.cumsum(pos, 0)])
-        count = np.maximum(end - start, 1)[:, None]
-        com = np.where(total[:, None] != 0, (weighted[end] - weighted[start]) / np.where(total[:, None] != 0, total[:, None], 1), (geometric[end] - geometric[start]) / count)
-        hmax = np.array([soft[a:b].max() if soft is not None and b > a else 0.0 for a, b in zip(start, end, strict=True)])
-        keys = indices(order)
-        moments = np.zeros((len(start), len(keys)))
-        if order > 1:
-            for n, (a, b) in enumerate(zip(start, end, strict=True)):
-                if len(children[n]):
-                    d = pos[a:b] - com[n]
-                    powers = [np.ones((b - a, 3))]
-                    for _ in range(order):
-                        powers.append(powers[-1] * d)
-                    moments[n] = [(mass[a:b] * powers[i][:, 0] * powers[j][:, 1] * powers[k][:, 2]).sum() for i, j, k in keys]
-        else:
-            moments[:, 0] = total
-        return cls(pos, mass, soft, ids, start, end, np.array(half), com, total, hmax, moments, children, order, kernel)
+        pos, mass = np.asarray(pos, float).reshape(-1, 3), np.asarray(mass, float)
+        centre, half0 = cube or cube_of(pos)
+        code = codes(pos, centre, half0)
+        by = np.argsort(code, kind="stable")
+        pos, mass, ids, code = pos[by], mass[by], np.asarray(ids)[by], code[by]
+        soft = None if soft is None else np.asarray(soft, float)[by]
+        start, end, half, parent, levels = [np.array([0])], [np.array([len(pos)])], [np.array([half0 * 0.5**depth])], [np.array([-1])], [0, 1]
+        for d in range(depth + 1, DEPTH + 1):
+            a, b = start[-1], end[-1]
+            cut = np.flatnonzero(b - a > leaf_capacity)
+            if not len(cut):
+                break
+            size = b[cut] - a[cut]
+            row, of = stretches(a[cut], size), np.repeat(cut, size)
+            prefix = code[row] >> 3 * (DEPTH - d)
+            at = np.flatnonzero(np.concatenate([[True], (prefix[1:] != prefix[:-1]) | (of[1:] != of[:-1])]))
+            start.append(row[at])
+            end.append(row[at] + np.diff(np.append(at, len(row))))
+            parent.append(of[at] + levels[-2])
+            half.append(np.full(len(at), half0 * 0.5**d))
+            levels.append(levels[-1] + len(at))
+        start, end, half, parent = map(np.concatenate, (start, end, half, parent))
+        kids = np.bincount(parent[1:], minlength=len(start))
+        first = np.where(kids > 0, np.searchsorted(parent, np.arange(len(start))), 0)
+        tree = cls(pos, mass, soft, ids, start, end, half, parent, first, kids, np.where(kids > 0, INNER, LEAF).astype(np.int8), np.array(levels), *[np.empty(0)] * 4, order, kernel)
+        leaf = np.flatnonzero(kids == 0)
+        leaf = leaf[np.argsort(start[leaf], kind="stable")]
+        n = len(start)
+        count, geometric, weighted = (end - start).astype(float), np.zeros((n, 3)), np.zeros((n, 3))
+        tree.total, tree.hmax = np.zeros(n), np.zeros(n)
+        moments = np.zeros((n, len(indices(order if order > 1 else 0))))
+        if len(pos):
+            add = lambda v: np.add.reduceat(v, start[leaf], axis=0)
+            tree.total[leaf], geometric[leaf], weighted[leaf] = add(mass), add(pos), add(mass[:, None] * pos)
+            if soft is not None:
+                tree.hmax[leaf] = np.maximum.reduceat(soft, start[leaf])
+            com = safe_divide(weighted[leaf], tree.total[leaf], geometric[leaf] / count[leaf][:, None])
+            moments[leaf] = add(mass[:, None] * monomials(pos - np.repeat(com, (end - start)[leaf], 0), order if order > 1 else 0))
+        tree.roll_up(count, geometric, weighted, moments)
+        return tree
+
+    def roll_up(self, count: np.ndarray, geometric: np.ndarray, weighted: np.ndarray, moments: np.ndarray) -> None:
+        """From the sums and moments of nodes without children to those of all, a level at a time."""
+        order = self.order if self.order > 1 else 0
+        for lo, hi in reversed(list(zip(self.levels[1:-1], self.levels[2:], strict=True))):
+            at = np.flatnonzero(np.diff(self.parent[lo:hi], prepend=-2))
+            to = self.parent[lo:hi][at]
+            for v in (self.total, count, geometric, weighted):
+                v[to] = np.add.reduceat(v[lo:hi], at, axis=0)
+            self.hmax[to] = np.maximum.reduceat(self.hmax[lo:hi], at)
+        self.com = safe_divide(weighted, self.total, geometric / np.maximum(count, 1)[:, None])
+        for lo, hi in reversed(list(zip(self.levels[1:-1], self.levels[2:], strict=True))):
+            at = np.flatnonzero(np.diff(self.parent[lo:hi], prepend=-2))
+            up = self.parent[lo:hi]
+            moments[up[at]] = np.add.reduceat(moved(moments[lo:hi], self.com[lo:hi] - self.com[up], order), at, axis=0)
+        self.moments = moments
+
+    @property
+    def reach(self) -> float:
+        return REACH[self.kernel] if self.soft is not None else 0.0
+
+    def below(self, node: np.ndarray) -> np.ndarray:
+        return stretches(self.first[node], self.kids[node])
+
+    def essential(self, low: np.ndarray, high: np.ndarray, h: float, theta: float, own: bool) -> Tree:
+        """What targets in the box from ``low`` to ``high``, of softening up to ``h``, can reach of the tree."""
+        keep, kind, levels, node = [], [], [0], np.array([0])
+        while len(node):
+            node = node[self.total[node] != 0] if levels != [0] else node
+            closed = (self.kind[node] == CLOSED) | ((self.kind[node] == INNER) & self.far_from_box(node, low, high, h, theta, own))
+            keep.append(node)
+            kind.append(np.where(closed, CLOSED, self.kind[node]))
+            levels.append(levels[-1] + len(node))
+            node = self.below(node[kind[-1] == INNER])
+        keep, kind = np.concatenate(keep), np.concatenate(kind).astype(np.int8)
+        place = np.full(len(self.start), -1)
+        place[keep] = np.arange(len(keep))
+        parent = np.where(keep > 0, place[self.parent[keep]], -1)
+        kids = np.bincount(parent[1:], minlength=len(keep))
+        size = np.where(kind == LEAF, self.end[keep] - self.start[keep], 0)
+        rows = stretches(np.where(kind == LEAF, self.start[keep], 0), size)
+        end = np.cumsum(size)
+        levels = np.array([x for i, x in enumerate(levels) if i == 0 or x != levels[i - 1]])
+        return replace(
+            self, pos=self.pos[rows], mass=self.mass[rows], soft=None if self.soft is None else self.soft[rows], ids=self.ids[rows], start=end - size, end=end, half=self.half[keep], parent=parent,
+            first=np.where(kids > 0, np.searchsorted(parent, np.arange(len(keep))), 0), kids=kids, kind=kind, levels=levels, com=self.com[keep], total=self.total[keep], hmax=self.hmax[keep], moments=self.moments[keep],
+        )
+
+    def far_from_box(self, node: np.ndarray, low: np.ndarray, high: np.ndarray, h: float, theta: float, own: bool) -> np.ndarray:
+        com = self.com[node]
+        away = np.maximum(np.maximum(low - com, com - high), 0.0)
+        r2 = (away * away).sum(1) * (1 - SLACK)
+        soft = (np.maximum(self.hmax[node], h) if own else self.hmax[node]) * self.reach
+        return ((2 * self.half[node]) ** 2 < theta * theta * r2) & (r2 > soft * soft)
 
     def evaluate(self, targets: np.ndarray, theta: float, own: np.ndarray | None = None, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Potential and acceleration at the targets; ``own``: their ids, if they are the particles themselves."""
         n = len(targets)
         phi, acc = np.zeros(n), np.zeros((n, 3))
-        if not len(self.mass) or not n:
+        if not n or not len(self.start):
             return phi, acc
         h = np.zeros(n) if h is None or self.soft is None else h
-        leaf = np.array([len(c) == 0 for c in self.children])
-        first = np.concatenate([[0], np.cumsum([len(c) for c in self.children])])
-        flat = np.concatenate(self.children).astype(int) if first[-1] else np.empty(0, int)
-        reach = REACH[self.kernel] if self.soft is not None else 0.0
         t, node = np.arange(n), np.zeros(n, int)
         while len(t):
             alive = self.total[node] != 0
             t, node = t[alive], node[alive]
             d = self.com[node] - targets[t]
             r2 = (d * d).sum(1)
-            soft = np.maximum(self.hmax[node], h[t]) * reach if own is not None else self.hmax[node] * reach
-            far = ~leaf[node] & ((2 * self.half[node]) ** 2 < theta * theta * r2) & (r2 > soft * soft)
+            soft = (np.maximum(self.hmax[node], h[t]) if own is not None else self.hmax[node]) * self.reach
+            leaf = self.kind[node] == LEAF
+            far = ~leaf & ((2 * self.half[node]) ** 2 < theta * theta * r2) & (r2 > soft * soft)
+            if (self.kind[node][~far] == CLOSED).any():
+                raise AssertionError("a node is closed that a target opens")
             self._far(phi, acc, t[far], node[far], d[far])
-            near = leaf[node]
-            self._leaves(phi, acc, targets, t[near], node[near], own, h)
-            rest = ~far & ~near
-            t, node = t[rest], node[rest]
-            k = first[node + 1] - first[node]
-            at = np.repeat(first[node] - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum()) if len(k) else np.empty(0, int)
-            t, node = np.repeat(t, k), flat[at]
+            self._leaves(phi, acc, targets, t[leaf], node[leaf], own, h)
+            rest = ~far & ~leaf
+            t, node = np.repeat(t[rest], self.kids[node[rest]]), self.below(node[rest])
         return phi, acc
 
     def _far(self, phi, acc, t, node, d, block: int = 100_000) -> None:
@@ -183,20 +283,31 @@ class Octree:
                 if sum(k) <= max(self.order - 1, 0):
                     for i in range(3):
                         f[:, i] -= m[:, c] * (k[i] + 1) * a[tuple(v + (j == i) for j, v in enumerate(k))]
-            np.add.at(phi, tt, p)
-            np.add.at(acc, tt, f)
+            add_up(phi, acc, tt, p, f)
 
     def _leaves(self, phi, acc, targets, t, node, own, h, block: int = 200_000) -> None:
         k = self.end[node] - self.start[node]
         for lo in range(0, len(t), max(1, block // max(1, int(k.max()) if len(k) else 1))):
             hi = lo + max(1, block // max(1, int(k.max())))
             tt, kk = np.repeat(t[lo:hi], k[lo:hi]), k[lo:hi]
-            j = np.repeat(self.start[node[lo:hi]] - np.concatenate([[0], np.cumsum(kk)[:-1]]), kk) + np.arange(kk.sum())
+            j = stretches(self.start[node[lo:hi]], kk)
             d = self.pos[j] - targets[tt]
             soft = 0.0 if self.soft is None else (np.maximum(h[tt], self.soft[j]) if own is not None else self.soft[j])
             p, g = kernel_values(self.kernel, (d * d).sum(1), soft)
             if own is not None:
                 keep = self.ids[j] != own[tt]
                 p, g = p * keep, g * keep
-            np.add.at(phi, tt, p * self.mass[j])
-            np.add.at(acc, tt, (g * self.mass[j])[:, None] * d)
+            add_up(phi, acc, tt, p * self.mass[j], (g * self.mass[j])[:, None] * d)
+
+
+def add_up(phi: np.ndarray, acc: np.ndarray, t: np.ndarray, p: np.ndarray, f: np.ndarray) -> None:
+    if len(t):
+        at, back = np.unique(t, return_inverse=True)
+        phi[at] += np.bincount(back, p)
+        for i in range(3):
+            acc[at, i] += np.bincount(back, f[:, i])
+
+
+def cube_of(pos: np.ndarray) -> tuple[np.ndarray, float]:
+    low, high = (pos.min(0), pos.max(0)) if len(pos) else (np.zeros(3), np.zeros(3))
+    return 0.5 * (low + high), max(0.5 * float((high - low).max()), 1e-6)

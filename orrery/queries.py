@@ -267,6 +267,13 @@ def _spline(h: str) -> str:
     return f"CASE WHEN {u} < 0.5 THEN {near} WHEN {u} < 1 THEN {far} ELSE -1/sqrt({_R2}) END"
 
 
+def _spline_force(h: str) -> str:
+    r, u = f"sqrt({_R2})", f"(sqrt({_R2})/{h})"
+    near = f"(32.0/3*{u} - 192.0/5*pow({u},3) + 32.0*pow({u},4))/({h}*{h}*{r})"
+    far = f"(-1/(15*{u}*{u}) + 64.0/3*{u} - 48*pow({u},2) + 192.0/5*pow({u},3) - 32.0/3*pow({u},4))/({h}*{h}*{r})"
+    return f"CASE WHEN {u} < 0.5 THEN {near} WHEN {u} < 1 THEN {far} ELSE 1/pow({r}, 3) END"
+
+
 _PAIR = "FROM e a JOIN e b ON a.pid <> b.pid GROUP BY a.pid"
 _ACC = ", ".join(f"round(sum(b.mass*(b.{c}-a.{c})/pow(sqrt({_R2}), 3)), 5) AS a{c}" for c in "xyz")
 _DIRECT_PHI = f"{EP} SELECT a.pid AS pid, round(-sum(b.mass/sqrt({_R2})), 5) AS phi {_PAIR}"
@@ -285,6 +292,7 @@ add("gravity_points_acc", gravity("direct", _A, True), f"{EP}, {_POINTS} SELECT
 add("gravity_plummer_pot", gravity("direct", ("phi",), softening="eps", kernel="plummer"), f"{EP} SELECT a.pid AS pid, round(-sum(b.mass/sqrt({_R2} + pow(greatest(a.eps, b.eps), 2))), 5) AS phi {_PAIR}")
 add("gravity_plummer_acc", gravity("direct", _A, softening=0.5, kernel="plummer"), f"{EP} SELECT a.pid AS pid, " + ", ".join(f"round(sum(b.mass*(b.{c}-a.{c})/pow({_R2} + 0.25, 1.5)), 5) AS a{c}" for c in "xyz") + f" {_PAIR}")
 add("gravity_spline_pot", gravity("direct", ("phi",), softening=2.0, kernel="spline"), f"{EP} SELECT a.pid AS pid, round(sum(b.mass*({_spline('2.0')})), 5) AS phi {_PAIR}")
+add("gravity_spline_acc", gravity("direct", _A, softening=2.0, kernel="spline"), f"{EP} SELECT a.pid AS pid, " + ", ".join(f"round(sum(b.mass*(b.{c}-a.{c})*({_spline_force('2.0')})), 5) AS a{c}" for c in "xyz") + f" {_PAIR}")
 add("gravity_tree_theta0", gravity("tree", ("phi",), theta=0.0), _DIRECT_PHI)
 add("gravity_tree_theta0_acc", gravity("tree", _A, theta=0.0), _DIRECT_ACC)
 add("gravity_tree_plummer0", gravity("tree", ("phi",), theta=0.0, softening="eps", kernel="plummer"), ORACLE_SQL["gravity_plummer_pot"])
@@ -293,11 +301,13 @@ add("gravity_tree_order5", gravity("tree", ("phi", *_A), theta=0.7, multipole_or
 
 
 def of_cells(method_points: bool, what: tuple[str, ...], **options) -> Query:
-    return gravity("tree", what, method_points, tree_limit=100, cell=60, **options)
+    return gravity("tree", what, method_points, cell=60, **options)
 
 
 add("gravity_cells_theta0", of_cells(False, ("phi",), theta=0.0), _DIRECT_PHI)
 add("gravity_cells_theta0_acc", of_cells(False, _A, theta=0.0), _DIRECT_ACC)
+add("gravity_cells_spline0_acc", of_cells(False, _A, theta=0.0, softening=2.0, kernel="spline"), ORACLE_SQL["gravity_spline_acc"])
+add("gravity_cells_points0", of_cells(True, ("phi",), theta=0.0), ORACLE_SQL["gravity_points_pot"])
 add("gravity_tree_points0", gravity("tree", ("phi",), True, theta=0.0), ORACLE_SQL["gravity_points_pot"])
 add("gravity_tree_points0_acc", gravity("tree", _A, True, theta=0.0), ORACLE_SQL["gravity_points_acc"])
 add("gravity_plummer_points_pot", gravity("direct", ("phi",), True, softening="eps", kernel="plummer"), f"{EP}, {_POINTS} SELECT a.pid AS pid, round(-sum(b.mass/sqrt({_R2} + b.eps*b.eps)), 5) AS phi FROM pts a CROSS JOIN e b GROUP BY a.pid")
@@ -322,4 +332,5 @@ def tree_error(order: int, phi: float, acc: float, **options) -> Query:
 
 for _order, _phi, _acc in ((0, 0.02, 0.2), (3, 0.002, 0.05), (5, 0.001, 0.02)):
     add(f"gravity_tree_order{_order}_error", tree_error(_order, _phi, _acc), f"{EP} SELECT pid, true AS near_phi, true AS near_acc FROM e")
-add("gravity_cells_order3_error", tree_error(3, 0.002, 0.05, tree_limit=100, cell=60), ORACLE_SQL["gravity_tree_order3_error"])
+add("gravity_cells_order3_error", tree_error(3, 0.002, 0.05, cell=60), ORACLE_SQL["gravity_tree_order3_error"])
+add("gravity_cells_order5_error", tree_error(5, 0.001, 0.02, cell=60), ORACLE_SQL["gravity_tree_order3_error"])

@@ -11,7 +11,7 @@ from orrery.functions import clip, divide
 from orrery.operators.bins import as_edges
 from orrery.operators.properties import ShrinkingSphere
 from orrery.operators.transforms import face_on
-from orrery.operators.tree import Octree, indices
+from orrery.operators.tree import Tree, indices
 from orrery.plans import CycleError
 from orrery.streaming import running
 from orrery.units import Unit, in_units
@@ -230,7 +230,7 @@ def test_tree_error_falls_with_order():
     phi, acc = _direct(pos, m)
     errors, forces = [], []
     for order in (0, 2, 3, 4, 5):
-        tree = Octree.build(pos, m, None, np.arange(600), order=order)
+        tree = Tree.build(pos, m, None, np.arange(600), order=order)
         p, a = tree.evaluate(pos, 0.7, np.arange(600))
         errors.append(np.abs(p / phi - 1).mean())
         forces.append((np.linalg.norm(a - acc, axis=1) / np.linalg.norm(acc, axis=1)).mean())
@@ -240,7 +240,7 @@ def test_tree_error_falls_with_order():
 
 
 def test_coincident_particles_end():
-    tree = Octree.build(np.zeros((40, 3)), np.ones(40), np.full(40, 0.1), np.arange(40), kernel="spline")
+    tree = Tree.build(np.zeros((40, 3)), np.ones(40), np.full(40, 0.1), np.arange(40), kernel="spline")
     p, a = tree.evaluate(np.zeros((40, 3)), 0.7, np.arange(40), np.full(40, 0.1))
     assert np.isfinite(p).all() and np.isfinite(a).all()
 
@@ -308,28 +308,6 @@ def test_reductions_and_places(spark):
     assert sorted(r["k1"] for r in s.select(slice(1, 3)).df.collect()) == [1, 2] and s.select(3).df.count() == 1
 
 
-def test_tree_of_cells(spark):
-    from orrery.operators.cells import DEPTH, Cells, codes, settle
-
-    rng = np.random.default_rng(0)
-    pos = np.concatenate([rng.normal(size=(300, 3)), 0.01 * rng.normal(size=(300, 3)), np.full((80, 3), 2.0)])
-    low, side = pos.min(0), float((pos.max(0) - pos.min(0)).max()) * (1 + 1e-12)
-    all_codes = codes(pos, low, side)
-    found, top = [], 0
-    for depth in (2, 4, DEPTH):
-        at, n = np.unique(all_codes >> 3 * (DEPTH - depth), return_counts=True)
-        if found:
-            keep = np.isin(at >> 3 * (depth - top), big)
-            at, n = at[keep], n[keep]
-        more, big = settle(dict(zip(at.tolist(), n.tolist(), strict=True)), depth, top, 50)
-        found, top = found + more, depth
-    cells = Cells.of(low, side, found + [(DEPTH, c) for c in big])
-    held = np.bincount(cells.cell(pos), minlength=len(cells.start))
-    assert held.sum() == 680 and (held > 0).all() and sorted(held)[-1] == 80 and sorted(held)[-2] <= 50
-    half, start = cells.half[cells.cell(pos)], cells.start[cells.cell(pos)]
-    assert (all_codes >= start).all() and (all_codes < start + np.round((2 * half / side * 2**DEPTH) ** 3).astype(np.int64)).all()
-
-
 def test_log_lines(capsys):
     from orrery import log
 
