@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..plans.core import Calculator
 from ..snapshot import Snapshot
 from ..units import in_units
-from .prefix import crossing, cut, keyed, narrowed, ordered, reaching, whole
+from .quantiles import Rank, ranked
 
 BINS_BY: dict[str, Callable[[Snapshot], Column]] = {}
 ALGORITHMS: dict[str, Callable[..., np.ndarray]] = {}
@@ -53,15 +53,13 @@ def log(df: DataFrame, low: float, high: float, nbins: int) -> np.ndarray:
 
 @bins_algorithm_register("equaln")
 def equaln(df: DataFrame, low: float, high: float, nbins: int) -> np.ndarray:
-    """Edges at ranks i n / nbins. Buckets of the key are counted, and only those with a wanted rank are put in order."""
-    rows = keyed(df.where((F.col("_key") >= low) & (F.col("_key") <= high)), F.col("_key"), F.lit(1.0))
-    buckets, _ = cut(rows)
-    n = round(whole(buckets))
-    if n < 2:
+    """Edges at ranks i n / nbins, exactly: two passes of ``ranked`` for all of them."""
+    rows = df.where((F.col("_key") >= low) & (F.col("_key") <= high))
+    wanted = [Rank(0, of=i, parts=nbins) for i in range(nbins + 1)]
+    found = {r["i"]: r["at"] for r in ranked(rows, F.lit(0), [F.col("_key")], wanted, linear=False).collect()}
+    if len(found) < nbins + 1 or rows.limit(2).count() < 2:
         raise ValueError("bins of equal number need two values in range")
-    ranks = [0, *(i * n // nbins for i in range(1, nbins)), n - 1]
-    held = [b for r in set(ranks) for b in narrowed(rows, buckets, reaching(r + 1.0))]
-    return np.array(list(ordered(rows, held).agg(*[crossing(r + 1.0, linear=False).alias(f"e{i}") for i, r in enumerate(ranks)]).first()))
+    return np.array([found[i] for i in range(nbins + 1)])
 
 
 bins_area_register("length")(lambda e, **_: np.diff(e))

@@ -1,7 +1,7 @@
 """Profiles: statistics of particles by bin.
 
-All statistics that are asked for together are one ``groupBy(bin).agg``; percentiles take two
-passes more, and order a small part of each bin. Bins without particles are NaN in every statistic, and 0 in ``npart``.
+All statistics that are asked for together are one ``groupBy(bin).agg``; percentiles, of any
+number of fields and shares, take two passes more, and order a small part of each bin. Bins without particles are NaN in every statistic, and 0 in ``npart``.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from ..plans.core import Calculator
 from ..snapshot import Snapshot
 from .bins import BinsSet, Edges
 from .filters import FamilyFilter, Filter
-from .prefix import bucket_of
+from .quantiles import Rank, percentiles
 
 NAN = float("nan")
 #: Statistic: ``fn(x, w) -> aggregate Column``; w is None without a weight.
@@ -157,8 +157,12 @@ class Profile:
             else:
                 framed.append((x, int(stat[1:]) / 100, name))
         frame = rows.groupBy("bin").agg(*aggs)
-        for x, p, name in framed:
-            frame = frame.join(F.broadcast(_percentile(rows, x, weight, p, name)), "bin", "left")
+        if framed:
+            values = list(dict.fromkeys(str(x) for x, _, _ in framed))
+            ranks = [Rank(values.index(str(x)), p) for x, p, _ in framed]
+            columns = [next(x for x, _, _ in framed if str(x) == v) for v in values]
+            found = percentiles(rows, F.col("bin"), columns, ranks, weight, self.edges.nbins).toDF("bin", *[n for _, _, n in framed])
+            frame = frame.join(F.broadcast(found), "bin", "left")
         # One row a bin: the frame is small by construction.
         full = self.edges.table(self.snap.df.sparkSession).join(F.broadcast(frame), "bin", "left").withColumn("npart", F.coalesce("npart", F.lit(0)))
         full = full.withColumns({n: F.coalesce(F.col(n), F.lit(NAN)) for n in out.values()})
@@ -243,26 +247,6 @@ class Profile:
         return plt.plot(getattr(self, x) if hasattr(type(self), x) else self.array(x), self.array(y), **options)
 
 
-def _percentile(rows: DataFrame, x: Column, w: Column | None, p: float, name: str) -> DataFrame:
-    """By bin: values in order, the sum of weights less the first, over the last; linear between. Of one value, itself. Each bin is cut into buckets of even width, and only the bucket that holds the share is put in order."""
-    r = rows.select("bin", x.alias("k"), (F.lit(1.0) if w is None else w).alias("w")).where("k is not null and not isnan(k)")
-    ends = r.groupBy("bin").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.sum("w").alias("total"))
-    r = r.join(F.broadcast(ends), "bin").select("bin", "k", "w", "low", "total", bucket_of(F.col("k"), F.col("low"), F.col("high")).alias("b"))  # a row a bin
-    of, before = Window.partitionBy("bin"), Window.partitionBy("bin").orderBy("b")
-    sums = r.groupBy("bin", "b").agg(F.sum("w").alias("t"), F.max("k").alias("most"), F.max("total").alias("total"), F.min(F.when(F.col("k") == F.col("low"), F.col("w"))).alias("first"))
-    sums = sums.withColumn("first", F.max("first").over(of)).withColumn("target", F.col("first") + p * (F.col("total") - F.col("first")))
-    sums = sums.select("bin", "b", "most", "target", F.sum("t").over(before.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.lag("most").over(before).alias("k0"), "t")
-    chosen = sums.groupBy("bin").agg(F.min(F.when(F.col("upto") >= F.col("target"), F.struct("b", (F.col("upto") - F.col("t")).alias("base"), "k0", "target"))).alias("s"), F.max(F.struct("b", (F.col("upto") - F.col("t")).alias("base"), "k0", "target")).alias("last"))
-    chosen = chosen.select("bin", F.coalesce("s", "last").alias("s")).select("bin", "s.*").withColumnRenamed("k0", "earlier")
-    keys = r.join(F.broadcast(chosen), ["bin", "b"]).groupBy("bin", "k").agg(F.min("w").alias("first"), F.sum("w").alias("t"), *[F.max(c).alias(c) for c in ("base", "earlier", "target")])
-    order = Window.partitionBy("bin").orderBy("k")
-    keys = keys.withColumn("c", F.col("base") + F.sum("t").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("k0", F.coalesce(F.lag("k").over(order), "earlier"))
-    c0 = F.col("c") - F.col("t")
-    between = F.col("k0") + (F.col("k") - F.col("k0")) * ((F.col("target") - c0) / F.col("first"))
-    at = F.when(F.col("k0").isNotNull() & (F.col("first") > 0) & (c0 + F.col("first") >= F.col("target")), between).otherwise(F.col("k"))
-    return keys.groupBy("bin").agg(F.coalesce(F.min(F.when(F.col("c") >= F.col("target"), F.struct("k", at.alias("at"))))["at"], F.max("k")).alias(name))
-
-
 @dataclass(frozen=True)
 class FieldView:
     """``pr["mass"]``: the mean by bin as an array, and any other statistic by name."""

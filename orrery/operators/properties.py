@@ -18,6 +18,7 @@ from ..units import gravity_constant, in_units
 from .expr import AggregateProperty, Property
 from .filters import Annulus, BandPass, Sphere, above
 from .prefix import Bucket, crossing, cut, keyed, narrowed, ordered, reaching, whole
+from .scans import first_crossing
 
 
 @dataclass(eq=False)
@@ -235,7 +236,7 @@ class ParamContain(Property):
 
 @dataclass(eq=False)
 class RadiusAtSurfaceDensity(Property):
-    """The radius at which the surface density first crosses ``target``: "shell" (in a ring of width ``eps``) or "total" (within the radius). A grid of ``points`` radii finds the interval in one pass; in a second one its radii are put in order and give the first crossing exactly."""
+    """The radius at which the surface density first crosses ``target``: "shell" (in a ring of width ``eps``) or "total" (within the radius). A grid of ``points`` radii finds the interval in one pass; then its radii are dealt to tasks by ranges, and each looks for the first crossing from what the ranges before it hold."""
 
     target: Any
     parameter: str = "mass"
@@ -297,29 +298,32 @@ class RadiusAtSurfaceDensity(Property):
         if self.mode == "shell":
             steps = near.where((F.col("k") >= left - self.eps) & (F.col("k") <= right + self.eps))
             steps = steps.select(F.explode(F.array(F.struct((F.col("k") - half).alias("r"), F.lit(0).alias("late"), F.col("w").alias("d")), F.struct((F.col("k") + half).alias("r"), F.lit(1).alias("late"), (-F.col("w")).alias("d")))).alias("s")).select("s.*")
-            inner = F.lit(0.0)
+            inner = 0.0
         else:
             steps = near.where((F.col("k") > left) & (F.col("k") <= right)).select(F.col("k").alias("r"), F.lit(0).alias("late"), F.col("w").alias("d"))
-            inner = near.where(F.col("k") <= left).agg(F.coalesce(F.sum("w"), F.lit(0.0))).scalar()
+            inner = near.where(F.col("k") <= left).agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
         ends = snap.df.sparkSession.createDataFrame([(left, 0, 0.0), (right, 0, 0.0)], "r double, late int, d double")
-        # One interval of the grid, summed by radius: the order of its radii takes one window.
-        w = Window.orderBy("r", "late")
-        held = steps.unionByName(ends).groupBy("r", "late").agg(F.sum("d").alias("d")).select("r", "late", (F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)) + inner).alias("held"))
-        held = held.select("r", "held", F.lag("held").over(w).alias("was"), F.lead("r").over(w).alias("next")).where((F.col("r") >= left) & (F.col("r") <= right))
-
-        def density(mass: Column, r: Column) -> Column:
-            mass = F.greatest(mass, F.lit(0.0))
-            if self.mode == "shell":
-                a, b = F.greatest(r - half, F.lit(0.0)), r + half
+        steps = steps.unionByName(ends).groupBy("r", "late").agg(F.coalesce(F.sum("d"), F.lit(0.0)).alias("d"))
+        shell, eps = self.mode == "shell", self.eps
+
+        def density(mass: np.ndarray, r: np.ndarray) -> np.ndarray:
+            mass = np.maximum(mass, 0.0)
+            if shell:
+                a, b = np.maximum(r - half, 0.0), r + half
                 return mass / (math.pi * (b * b - a * a))
             return mass / (math.pi * r * r)
 
-        # Between changes the density falls: as 1 / r in a ring, as 1 / r^2 in a circle.
-        falls = F.col("held") / (2 * math.pi * self.eps * target) if self.mode == "shell" else F.sqrt(F.col("held") / (math.pi * target))
-        here, there = density(F.col("held"), F.col("r")), density(F.col("held"), F.col("next"))
-        up = F.when(F.col("was").isNotNull() & (F.col("r") > left) & ((density(F.col("was"), F.col("r")) < target) != (here < target)), F.col("r"))
-        down = F.when((here >= target) & (there < target) & (F.col("next") <= right), falls)
-        return held.agg(F.min(F.least(up, down)).alias("value"))
+        def crossing_of(r: np.ndarray, was: np.ndarray, held: np.ndarray, after: np.ndarray) -> float | None:
+            # Between changes the density falls: as 1 / r in a ring, as 1 / r^2 in a circle.
+            falls = held / (2 * math.pi * eps * target) if shell else np.sqrt(np.maximum(held, 0.0) / (math.pi * target))
+            here, inside = density(held, r), (r >= left) & (r <= right)
+            up = inside & (r > left) & ((density(was, r) < target) != (here < target))
+            down = inside & (here >= target) & (density(held, after) < target) & (after <= right)
+            least = np.minimum(np.where(up, r, np.inf), np.where(down, falls, np.inf)).min(initial=np.inf)
+            return float(least) if np.isfinite(least) else None
+
+        at = first_crossing(steps, float(inner), crossing_of)
+        return snap.df.sparkSession.range(1).select(F.lit(at).cast("double").alias("value"))
 
 
 @dataclass(eq=False)

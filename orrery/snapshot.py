@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions import ALIASES, DERIVED, resolve
@@ -33,7 +33,7 @@ class Quantity(NamedTuple):
 
 #: Reduction: the power of the field's unit, and the aggregate.
 REDUCTIONS: dict[str, tuple[int, Callable[[Column], Column]]] = {
-    "min": (1, F.min), "max": (1, F.max), "sum": (1, F.sum), "mean": (1, F.avg), "std": (1, F.stddev_pop), "var": (2, F.var_pop), "median": (1, lambda x: F.percentile(x, 0.5)),
+    "min": (1, F.min), "max": (1, F.max), "sum": (1, F.sum), "mean": (1, F.avg), "std": (1, F.stddev_pop), "var": (2, F.var_pop), "median": (1, F.count),
     "count": (0, F.count), "ptp": (1, lambda x: F.max(x) - F.min(x)),
 }
 
@@ -130,24 +130,13 @@ class Snapshot:
         return self.where(F.col("pid").isin(list(key)))
 
     def numbered(self) -> Snapshot:
-        """With ``pid``: each row's place in ``order``. Rows are counted in buckets of its first column and numbered within them."""
-        from .operators.prefix import BUCKETS, bucket_of, cut, keyed
-
-        first, *_ = order = [c for c in self.order if c in self.df.columns and c != "pid"]
-        key = F.col(first).cast("double")
-        buckets, _ = cut(keyed(self.df, key, F.lit(1.0)))
-        low, high = (buckets[0].least, buckets[-1].most) if buckets else (0.0, 0.0)
-        bucket = F.when(key.isNull() | F.isnan(key), BUCKETS).otherwise(bucket_of(key, low, high))
-        # Buckets without rows aren't listed: a bucket's base is what all below it hold.
-        counts = self.df.groupBy(bucket.alias("b")).count().collect()
-        held = dict.fromkeys(range(BUCKETS + 2), 0) | {r["b"]: r["count"] for r in counts}
-        below = [0]
-        for i in range(BUCKETS + 1):
-            below.append(below[-1] + held[i])
-        base = F.get(F.array(*map(F.lit, below)), F.col("_bucket"))
-        rows = self.df.withColumn("_bucket", bucket)
-        place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1 + base
-        return replace(self, df=rows.withColumn("pid", place.cast("long")).drop("_bucket"), order=("pid",))
+        """With ``pid``: each row's place in ``order``. Rows are dealt to tasks by ranges of all columns of the order, counted there, and numbered from what lies before; the dealt rows are persisted, as both steps have to see the same ranges."""
+        from .operators.scans import dealt, place
+
+        order = [c for c in self.order if c in self.df.columns and c != "pid"]
+        rows = dealt(self.df.drop("pid"), *order)
+        held = {r["part"]: r["count"] for r in rows.groupBy(F.spark_partition_id().alias("part")).count().collect()}
+        return replace(self, df=rows.withColumn("pid", place(held)), order=("pid",))
 
     def reduce(self, name: str, how: str) -> Quantity:
         """One number of a field, with its unit: min, max, sum, mean, std, var, median, count, ptp; with ``nan`` before the name NaN counts as missing, else it makes the result NaN."""
@@ -157,6 +146,12 @@ class Snapshot:
             raise ValueError(f"no reduction {how!r}: {sorted(REDUCTIONS)}")
         power, fn = REDUCTIONS[kind]
         value, bad = self.df.agg(fn(F.when(~F.isnan(x), x)), F.max(F.isnan(x))).first()
+        if kind == "median" and value:  # the number of values so far
+            from .operators.quantiles import Rank, ranked
+
+            value = ranked(self.df, F.lit(0), [x], [Rank(0, 0.5)]).first()["at"]
+        elif kind == "median":
+            value = None
         unit = self.unit_of(name)
         return Quantity(float("nan") if value is None or (bad and not skip and kind != "count") else float(value), unit if unit is None or power == 1 else unit**power if power else None)
 
@@ -168,10 +163,11 @@ class Snapshot:
 
     def cumsum(self, name: str, by: str) -> DataFrame:
         """``key, total``: the sum of a field up to each value of another."""
-        from .operators.prefix import cut, keyed, ordered
+        from .operators.prefix import keyed
+        from .operators.scans import running_sum
 
-        rows = keyed(self.df, self.field(by), self.field(name))
-        return ordered(rows, cut(rows)[0]).select(F.col("k").alias("key"), F.col("c").alias("total"))
+        rows = keyed(self.df, self.field(by), self.field(name)).groupBy("k").agg(F.sum("w").alias("w"))
+        return running_sum(rows, "k", "w", "c").select(F.col("k").alias("key"), F.col("c").alias("total"))
 
     def physical_units(self, distance: str = "kpc", velocity: str = "km s^-1", mass: str = "Msol") -> Snapshot:
         """Fields of length, velocity and mass in these units: literal factors in one projection."""
