@@ -1,5 +1,6 @@
 """Particle-snapshot analytics on Spark DataFrames."""
 
+from .functions import UnitColumn
 from .operators import *  # noqa: F403
 from .operators import __all__ as _operators
 from .plans import Bound, Calculator, Combined, ErrorPolicy, Pipeline, Result, RunOptions, Scope
@@ -7,4 +8,4 @@ from .snapshot import Snapshot
 from .sources import from_arrays, read_snapshot, write_snapshot
 from .units import Unit
 
-__all__ = [*_operators, "Bound", "Calculator", "Combined", "ErrorPolicy", "Pipeline", "Result", "RunOptions", "Scope", "Snapshot", "Unit", "from_arrays", "read_snapshot", "write_snapshot"]
+__all__ = [*_operators, "Bound", "Calculator", "Combined", "ErrorPolicy", "Pipeline", "Result", "RunOptions", "Scope", "Snapshot", "Unit", "UnitColumn", "from_arrays", "read_snapshot", "write_snapshot"]

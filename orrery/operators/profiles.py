@@ -20,6 +20,7 @@ from ..plans.core import Calculator
 from ..snapshot import Snapshot
 from .bins import BinsSet, Edges
 from .filters import FamilyFilter, Filter
+from .partials import PARTIALS, folded
 from .quantiles import Rank, percentiles
 
 NAN = float("nan")
@@ -67,8 +68,8 @@ def canonical(stat: str) -> str:
         if int(s[1:]) > 100:
             raise ValueError(f"no percentile {stat}")
         return f"p{int(s[1:])}"
-    if s not in STATISTICS:
-        raise ValueError(f"no statistic {stat!r}: {[*STATISTICS, 'pNN', 'med', 'abs_<statistic>']}")
+    if s not in STATISTICS and (s not in PARTIALS or PARTIALS[s].many):
+        raise ValueError(f"no statistic {stat!r}: {[*STATISTICS, *PARTIALS, 'pNN', 'med', 'abs_<statistic>']}")
     return s
 
 
@@ -146,13 +147,15 @@ class Profile:
         rows = rows.select("bin", *[c.alias(place[f]) for f, c in fields.items()], *([w.cast("double").alias("_w")] if w is not None else []))
         weight = F.col("_w") if w is not None else None
         out: dict[tuple[str, str], str] = {}
-        aggs, framed = [F.count(F.lit(1)).alias("npart")], []
+        aggs, framed, users = [F.count(F.lit(1)).alias("npart")], [], []
         for i, (f, s) in enumerate(needs):
             out[f, s] = name = f"_s{i}"
             x, stat = F.col(place[f]), s
             while stat.startswith("abs_"):
                 x, stat = F.abs(x), stat[4:]
-            if not re.fullmatch(r"p\d+", stat):
+            if stat in PARTIALS:
+                users.append((x, PARTIALS[stat], name))
+            elif not re.fullmatch(r"p\d+", stat):
                 aggs.append(STATISTICS[stat](x, weight).alias(name))
             else:
                 framed.append((x, int(stat[1:]) / 100, name))
@@ -163,6 +166,8 @@ class Profile:
             columns = [next(x for x, _, _ in framed if str(x) == v) for v in values]
             found = percentiles(rows, F.col("bin"), columns, ranks, weight, self.edges.nbins).toDF("bin", *[n for _, _, n in framed])
             frame = frame.join(F.broadcast(found), "bin", "left")
+        for x, partial, name in users:
+            frame = frame.join(F.broadcast(folded(rows, F.col("bin"), x, partial, weight).select(F.col("g").cast("int").alias("bin"), F.col("value").alias(name))), "bin", "left")
         # One row a bin: the frame is small by construction.
         full = self.edges.table(self.snap.df.sparkSession).join(F.broadcast(frame), "bin", "left").withColumn("npart", F.coalesce("npart", F.lit(0)))
         full = full.withColumns({n: F.coalesce(F.col(n), F.lit(NAN)) for n in out.values()})

@@ -7,19 +7,23 @@ parallel sum moves the last places.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import UnitColumn, cross, dot
 from .operators import (
-    AlignVec, AngMomVec, Annulus, BandPass, CenPos, CenVel, Count, Cuboid, Disc, FamilyFilter, Gravity, HighPass, KappaRot, KappaRotMean, LowPass, ParamContain, ParamSum, PatternSpeed, Profile, RadialProfile,
-    RadiusAtSurfaceDensity, ShiftPosTo, ShiftVelTo, SolarNeighborhood, Sphere, SpinParam, StarAgeProfile, SurfaceDensity, VirialRadius, VolumeDensity, WrapBox, calculate_acceleration, calculate_potential,
+    AlignVec, AngMomVec, Annulus, BandPass, CenPos, CenVel, Count, Cuboid, Disc, FamilyFilter, Folded, Gravity, HighPass, KappaRot, KappaRotMean, LowPass, ParamContain, ParamSum, PatternSpeed, Profile, RadialProfile,
+    RadiusAtSurfaceDensity, ShiftPosTo, ShiftVelTo, SolarNeighborhood, Sphere, SpinParam, StarAgeProfile, SurfaceDensity, VirialRadius, VolumeDensity, WrapBox, calculate_acceleration, calculate_potential, histogram,
 )
+from .operators.partials import PARTIALS
 from .plans import Pipeline
 from .plans.core import Calculator
 from .snapshot import Snapshot
 from .sources import PARTICLES_E_SQL, PARTICLES_L_SQL, STARS_EV_SQL, particles_e, particles_l, stars_ev
+from .units import Unit
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -250,6 +254,57 @@ _JS = "j AS (SELECT sum(mass*(y*vz-z*vy)) AS a, sum(mass*(z*vx-x*vz)) AS b, sum(
 add("rotate_vectors", lambda spark, d: rounded(AlignVec(AngMomVec()).apply(particles_l(spark, d)).df.select("k1", "k2", "x", "y", "z", "vx", "vy", "vz"), 4), f"{P}, {_JS} SELECT k1, k2, " + ", ".join(f"round({v}x*{r}0 + {v}y*{r}1 + {v}z*{r}2, 4) + 0.0 AS {v}{r}" for v in ("", "v") for r in "xyz") + " FROM q, rot")
 QUERIES["rotate_vectors"] = (lambda q: lambda spark, d: q(spark, d).select("k1", "k2", *[(F.col(c) + 0.0).alias(c) for c in ("x", "y", "z", "vx", "vy", "vz")]))(QUERIES["rotate_vectors"])
 
+_MOMENTS = ", ".join(f"avg(pow(temp - m, {k})) AS m{k}" for k in (2, 3, 4))
+add("profile_kurtosis", lambda spark, d: rounded(made("lin", particles_l(spark, d), None).table("temp_kurtosis", "temp_skewness").where("npart > 3").select("bin", "temp_kurtosis", "temp_skewness"), 5), f"""{P},
+{_BL},
+c AS (SELECT bin, temp, avg(temp) OVER (PARTITION BY bin) AS m FROM b WHERE bin IS NOT NULL)
+SELECT bin, round(m4 / (m2*m2) - 3, 5) AS temp_kurtosis, round(m3 / pow(m2, 1.5), 5) AS temp_skewness FROM (SELECT bin, count(*) AS n, {_MOMENTS} FROM c GROUP BY bin) WHERE n > 3""")
+add("folded_weighted_kurtosis", lambda spark, d: rounded(Folded(PARTIALS["kurtosis"], "temp", "mass").frame(particles_l(spark, d).s), 5), f"""{P},
+c AS (SELECT temp, mass, (SELECT sum(mass*temp)/sum(mass) FROM q WHERE family = 'star') AS m FROM q WHERE family = 'star')
+SELECT round(sum(mass) * sum(mass*pow(temp - m, 4)) / pow(sum(mass*pow(temp - m, 2)), 2) - 3, 5) AS value FROM c""")
+add("folded_histogram", lambda spark, d: Folded(histogram([0.0, 10.0, 20.0, 30.0, 60.0]), "r").frame(particles_l(spark, d)).select(F.posexplode("value").alias("bin", "n")).select("bin", F.col("n").cast("long").alias("n")), f"""{P}
+SELECT CAST(floor(least(r, 30.0) / 10) AS INTEGER) AS bin, count(*) AS n FROM q WHERE r <= 60 GROUP BY 1""")
+
+# --- units
+UNITS = {"pos": "kpc", "vel": "km s^-1", "mass": "Msol"}
+_V2 = "(vx*vx+vy*vy+vz*vz)"
+_PC_MYR = f"{(Unit.parse('km s^-1').ratio('pc Myr^-1'))!r}"
+
+
+def with_units(spark: SparkSession, d: str) -> Snapshot:
+    return replace(particles_l(spark, d), units=UNITS)
+
+
+def units_energy(spark: SparkSession, d: str) -> DataFrame:
+    """Kinetic energy by family, in solar masses km^2 / s^2 and in 10^40 J."""
+    s = with_units(spark, d)
+    vel = s.quantity("vel")
+    energy = (0.5 * s.quantity("mass") * dot(vel, vel)).sum()
+    return s.df.groupBy("family").agg(F.round(energy.to("Msol km^2 s^-2").column, 3).alias("energy"), F.round(energy.to("1e40 kg m^2 s^-2").column, 6).alias("joule"))
+
+
+def units_momentum(spark: SparkSession, d: str) -> DataFrame:
+    """Momentum and angular momentum in pc and Myr, and the mean speed along x in km / s."""
+    s = with_units(spark, d)
+    mass, pos, vel = (s.quantity(n) for n in ("mass", "pos", "vel"))
+    px, jz = (mass * vel[0]).sum(), (mass * cross(pos, vel)[2]).sum()
+    speed = px / mass.sum()
+    return rounded(s.df.agg(px.to("Msol pc Myr^-1").column.alias("px"), jz.to("Msol kpc pc Myr^-1").column.alias("jz"), speed.to("km s^-1").column.alias("vx")), 5)
+
+
+def units_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """Particles within 20,000 pc that are faster than 15 pc / Myr, and their kinetic energy above that of this speed."""
+    s = with_units(spark, d)
+    v = s.quantity("v")
+    near = s.where((s.quantity("r") < "20000 pc") & (v > "15 pc Myr^-1"))
+    above = (v**2 - UnitColumn.of("15 pc Myr^-1") ** 2) / 2
+    return near.df.agg(F.count(F.lit(1)).alias("n"), F.round((near.quantity("mass") * above).sum().to("Msol km^2 s^-2").column, 4).alias("above"))
+
+
+add("units_energy", units_energy, f"{P} SELECT family, round(sum(0.5*mass*{_V2}), 3) AS energy, round(sum(0.5*mass*{_V2}) * {Unit.parse('Msol km^2 s^-2').ratio('1e40 kg m^2 s^-2')!r}, 6) AS joule FROM q GROUP BY family")
+add("units_momentum", units_momentum, f"{P} SELECT round(sum(mass*vx) * {_PC_MYR}, 5) AS px, round(sum(mass*(x*vy - y*vx)) * {_PC_MYR}, 5) AS jz, round(sum(mass*vx)/sum(mass), 5) AS vx FROM q")
+add("units_comparison", units_comparison, f"{P} SELECT count(*) AS n, round(sum(mass*({_V2} - pow(15/{_PC_MYR}, 2))/2), 4) AS above FROM q WHERE r < 20 AND sqrt({_V2}) > 15/{_PC_MYR}")
+
 # --- gravity
 _R2 = "((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))"
 _POINTS = "pts AS (SELECT CAST(i AS BIGINT) AS pid, -15.0 + 3.0 * i AS x, 2.0 - i AS y, 0.5 * i AS z FROM range(11) AS t(i))"

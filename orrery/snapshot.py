@@ -9,7 +9,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .functions import ALIASES, DERIVED, resolve
+from .functions import ALIASES, DERIVED, UnitColumn, resolve
+from .functions.quantities import text_of
 from .units import Unit
 
 FAMILIES = {"dm": "dm", "d": "dm", "dark": "dm", "gas": "gas", "g": "gas", "star": "star", "s": "star", "st": "star", "stars": "star"}
@@ -69,6 +70,21 @@ class Snapshot:
             return out
         return None
 
+    def quantity(self, name: str) -> UnitColumn | tuple[UnitColumn, ...]:
+        """A field with its unit, for arithmetic that checks dimensions; a vector is a tuple. A field without a unit has no dimension."""
+        if name in ALIASES:
+            return tuple(self.quantity(c) for c in ALIASES[name])
+        return UnitColumn(self.field(name).cast("double"), self.unit_of(name) or Unit.parse("1"))
+
+    def with_quantities(self, **fields: UnitColumn) -> Snapshot:
+        """With further fields, whose units the snapshot and the frame's schema keep."""
+        return replace(self, df=self.df.withColumns({n: q.named(n) for n, q in fields.items()}), units={**self.units, **{n: text_of(q.unit) for n, q in fields.items()}})
+
+    def aggregate(self, **measures: UnitColumn) -> dict[str, Quantity]:
+        """Aggregates of quantities (``mass.sum()``), all in one job."""
+        row = self.df.agg(*[q.column.cast("double").alias(n) for n, q in measures.items()]).first()
+        return {n: Quantity(float("nan") if row[n] is None else row[n], q.unit) for n, q in measures.items()}
+
     def keys(self) -> list[str]:
         return [c for c in self.df.columns if c not in ("pid", "family")]
 
