@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import fresh_name, partitions, stage
+from .store import delete, fresh_name, partitions, shared_dir, stage
 from .text import WHITE, let, lower_ascii, put
 
 KEY = ["k1", "k2"]
@@ -45,10 +45,13 @@ class LineRuns:
 
     def _write(self, df: DataFrame, label: str) -> str:
         name = fresh_name(label)
-        df.write.format("parquet").bucketBy(self.buckets, *KEY).sortBy(*KEY).saveAsTable(name)
+        df.write.format("parquet").bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", self._path(name)).saveAsTable(name)
         self.made.append(name)
         return name
 
+    def _path(self, name: str) -> str:
+        return f"{shared_dir(self.spark)}/{name}"
+
     def runs(self) -> list[DataFrame]:
         return [self.spark.table(t) for level in sorted(self.levels) for t in self.levels[level]]
 
@@ -81,6 +84,7 @@ class LineRuns:
     def drop(self) -> None:
         for name in self.made:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            delete(self.spark, self._path(name))  # a table with a path of its own leaves its files
         self.made, self.repeats = [], []
         self.levels.clear()
 
@@ -98,15 +102,17 @@ def dedup_lines(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_i
     lines = stage(_long_lines(docs, text_col, id_col, min_chars), "lines")
     lo, hi = lines.where(F.col("did") != NO_ID).agg(F.min("did"), F.max("did")).first()
     index = LineRuns(spark, fanout)
-    if hi is not None:
-        cuts = [hi - (hi - lo + 1) * i // batches for i in range(batches)]  # upper ends, falling
-        for top, below in zip(cuts, [*cuts[1:], None], strict=True):
-            part = lines.where(F.col("did") <= top)
-            index.add((part if below is None else part.where(F.col("did") > below)).select(*KEY, "did"))
-    else:
-        index.add(lines.select(*KEY, "did"))
-    often = stage(index.found_in(min_docs), "often")
-    index.drop()
+    try:
+        if hi is not None:
+            cuts = [hi - (hi - lo + 1) * i // batches for i in range(batches)]  # upper ends, falling
+            for top, below in zip(cuts, [*cuts[1:], None], strict=True):
+                part = lines.where(F.col("did") <= top)
+                index.add((part if below is None else part.where(F.col("did") > below)).select(*KEY, "did"))
+        else:
+            index.add(lines.select(*KEY, "did"))
+        often = stage(index.found_in(min_docs), "often")
+    finally:
+        index.drop()
 
     # A key in many documents makes one side of this join uneven, never the other: adaptive execution splits it.
     gone = lines.join(often, KEY).where(F.col("did") != F.col("keeper")).groupBy("did", "th").agg(F.sort_array(F.collect_set("pos")).alias("gone"))

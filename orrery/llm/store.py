@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 
-__all__ = ["drop_staged", "fresh_name", "hashed_sample", "partitions", "shared_dir", "ship", "stage", "stage_only"]
+__all__ = ["delete", "drop_staged", "fresh_name", "hashed_sample", "partitions", "shared_dir", "ship", "stage", "stage_only"]
 
 
 _own: dict[str, str] = {}
@@ -55,16 +55,19 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession, since: int = 0, but: tuple[str, ...] = ()) -> None:
-    """Delete the tables staged so far, from the ``since``-th on and but for some. Frames made from them must have been written before."""
-    gone = [p for p in _staged[since:] if p not in but]
+def delete(spark: SparkSession, *paths: str) -> None:
     try:
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     except AttributeError:  # the session has ended
         return
-    for path in gone:
+    for path in paths:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
+
+
+def drop_staged(spark: SparkSession, since: int = 0, but: tuple[str, ...] = ()) -> None:
+    """Delete the tables staged so far, from the ``since``-th on and but for some. Frames made from them must have been written before."""
+    delete(spark, *[p for p in _staged[since:] if p not in but])
     _staged[since:] = [p for p in _staged[since:] if p in but]
 
 

@@ -326,3 +326,14 @@ def test_urls(spark):
     got = {r.page_id: (r.blocked, r.list, r.domain) for r in filter_urls(df, ev).collect()}
     assert got == {1: (False, None, None), 2: (True, "a", "bad.com"), 3: (False, None, None), 4: (True, "b", "x.bad.com"), 5: (False, None, None), 6: (False, None, None), 7: (False, None, None), None: (False, None, None)}
     assert filter_urls(df.limit(0), ev).count() == 0 and filter_urls(df, ev.limit(0)).where("blocked").count() == 0
+
+
+def test_line_runs_are_in_the_shared_folder_and_go(spark, docs):
+    import os
+
+    shared, warehouse = spark.conf.get("spark.checkpoint.dir"), spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")
+    before = set(os.listdir(warehouse)) if os.path.isdir(warehouse) else set()
+    out = dedup_lines(docs)
+    left = [f for f in os.listdir(shared) if f.startswith(("orrery_run", "orrery_batch", "orrery_level", "orrery_repeats"))]
+    assert out.count() == len(rows()) and not left and (set(os.listdir(warehouse)) if os.path.isdir(warehouse) else set()) == before
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("orrery_run")]
