@@ -5,7 +5,7 @@ from .operators import *  # noqa: F403
 from .operators import __all__ as _operators
 from .plans import Bound, Calculator, Combined, ErrorPolicy, Pipeline, Result, RunOptions, Scope
 from .snapshot import Snapshot
-from .sources import from_arrays, read_snapshot, write_snapshot
+from .sources import from_arrays, read_gadget, read_snapshot, write_gadget, write_snapshot
 from .units import Unit
 
-__all__ = [*_operators, "Bound", "Calculator", "Combined", "ErrorPolicy", "Pipeline", "Result", "RunOptions", "Scope", "Snapshot", "Unit", "UnitColumn", "from_arrays", "read_snapshot", "write_snapshot"]
+__all__ = [*_operators, "Bound", "Calculator", "Combined", "ErrorPolicy", "Pipeline", "Result", "RunOptions", "Scope", "Snapshot", "Unit", "UnitColumn", "from_arrays", "read_gadget", "read_snapshot", "write_gadget", "write_snapshot"]

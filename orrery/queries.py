@@ -6,6 +6,10 @@ parallel sum moves the last places.
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -22,7 +26,7 @@ from .operators.partials import PARTIALS
 from .plans import Pipeline
 from .plans.core import Calculator
 from .snapshot import Snapshot
-from .sources import PARTICLES_E_SQL, PARTICLES_L_SQL, STARS_EV_SQL, particles_e, particles_l, stars_ev
+from .sources import PARTICLES_E_SQL, PARTICLES_L_SQL, STARS_EV_SQL, particles_e, particles_l, read_gadget, read_snapshot, stars_ev, write_gadget, write_snapshot
 from .units import Unit
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -305,6 +309,61 @@ add("units_energy", units_energy, f"{P} SELECT family, round(sum(0.5*mass*{_V2})
 add("units_momentum", units_momentum, f"{P} SELECT round(sum(mass*vx) * {_PC_MYR}, 5) AS px, round(sum(mass*(x*vy - y*vx)) * {_PC_MYR}, 5) AS jz, round(sum(mass*vx)/sum(mass), 5) AS vx FROM q")
 add("units_comparison", units_comparison, f"{P} SELECT count(*) AS n, round(sum(mass*({_V2} - pow(15/{_PC_MYR}, 2))/2), 4) AS above FROM q WHERE r < 20 AND sqrt({_V2}) > 15/{_PC_MYR}")
 
+# --- reductions, volumes and places of a snapshot
+def reductions(spark: SparkSession, d: str) -> DataFrame:
+    s = particles_l(spark, d)
+    names = ("min", "max", "mean", "std", "median", "ptp")
+    return spark.createDataFrame([tuple(round(s.reduce("temp", n).value, 3) for n in names)], ", ".join(f"{n} double" for n in names))
+
+
+def largest(spark: SparkSession, d: str) -> DataFrame:
+    """The five largest and the three least masses of stars beyond a radius."""
+    s = particles_l(spark, d).s.select(Annulus(40.0, 100.0))
+    return spark.createDataFrame([(i, q.value) for i, q in enumerate([*s.topk("temp", 5), *s.topk("temp", -3)])], "place int, temp double")
+
+
+def physical(spark: SparkSession, d: str) -> DataFrame:
+    s = with_units(spark, d).physical_units(distance="pc", velocity="km s^-1", mass="Msol")
+    return rounded(s.df.agg(F.max("x").alias("x"), F.min("vy").alias("vy"), F.sum("mass").alias("mass")), 4)
+
+
+def density_in_sphere(spark: SparkSession, d: str) -> DataFrame:
+    """Mass in a filter's volume: the filter gives both."""
+    s, f = particles_l(spark, d), Sphere(25.0)
+    return s.where(f.mask(s)).df.agg(F.round(F.sum("mass") / f.volume(s) * 1e6, 4).alias("density"))
+
+
+add("snapshot_reductions", reductions, f"{P} SELECT round(min(temp), 3) AS min, round(max(temp), 3) AS max, round(avg(temp), 3) AS mean, round(stddev_pop(temp), 3) AS std, round(quantile_cont(temp, 0.5), 3) AS median, round(max(temp) - min(temp), 3) AS ptp FROM q")
+add("snapshot_topk", largest, f"""{P}, s AS (SELECT temp, row_number() OVER (ORDER BY temp DESC) AS hi, row_number() OVER (ORDER BY temp) AS lo FROM q WHERE family = 'star' AND r >= 40 AND r < 100)
+SELECT CAST(CASE WHEN hi <= 5 THEN hi - 1 ELSE lo + 4 END AS INTEGER) AS place, temp FROM s WHERE hi <= 5 OR lo <= 3""")
+add("snapshot_cumsum", lambda spark, d: particles_l(spark, d).cumsum("mass", "x"), f"{P} SELECT x AS key, sum(sum(mass)) OVER (ORDER BY x) AS total FROM q GROUP BY x")
+add("snapshot_physical_units", physical, f"{P} SELECT 1000 * max(x) AS x, min(vy) AS vy, sum(mass) AS mass FROM q")
+add("filter_volume", density_in_sphere, f"{P} SELECT round(sum(mass) / (4.0/3.0*pi()*pow(25, 3)) * 1e6, 4) AS density FROM q WHERE r < 25")
+
+# --- sources: written, read back and summed
+def stored(kind: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        top, s = spark.conf.get("spark.checkpoint.dir", None), particles_e(spark, d)
+        if not top:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            top = tempfile.mkdtemp(prefix="orrery-sources-")
+            atexit.register(shutil.rmtree, top, ignore_errors=True)
+        path = f"{top.rstrip('/')}/orrery_{kind}_{uuid.uuid4().hex}"
+        if kind == "gadget":
+            write_gadget(s, path, files=3)
+            back = read_gadget(spark, path, columns=["x", "vy", "mass"], chunk=500)
+        else:
+            write_snapshot(s, path)
+            back = read_snapshot(spark, path)
+        return rounded(back.where(F.col("family") != "gas").df.groupBy("family").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("x", "vy", "mass")]), 4)
+
+    return run
+
+
+for _kind in ("gadget", "parquet"):
+    add(f"source_{_kind}", stored(_kind), f"{EP} SELECT family, count(*) AS n, round(sum(x), 4) AS x, round(sum(vy), 4) AS vy, round(sum(mass), 4) AS mass FROM e WHERE family <> 'gas' GROUP BY family")
+
 # --- gravity
 _R2 = "((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))"
 _POINTS = "pts AS (SELECT CAST(i AS BIGINT) AS pid, -15.0 + 3.0 * i AS x, 2.0 - i AS y, 0.5 * i AS z FROM range(11) AS t(i))"
