@@ -19,7 +19,7 @@ Bounds: queries are taken in batches of at most ``batch_bytes`` of text, a pass
 documents each, so terms and weights that are sent to the workers have a fixed size. A task
 holds a group of blocks. From each pass a task gives at most ``k`` rows for each query.
 
-Defined results: a null or empty text has no terms, and is in no result; so is a document
+Ids of documents are whole numbers. Defined results: a null or empty text has no terms, and is in no result; so is a document
 with none of a query's terms. Of equal scores the lesser id comes first, null last. Rows that
 share an id are documents of their own; identical queries are answered once each. Empty tables
 give an empty result; only the named columns are read.
