@@ -1,8 +1,8 @@
 """Gravity: direct sums and a Barnes-Hut octree, for all particles or at given points.
 
 Direct sums take blocks of targets and sources in Arrow batches. Sources are broadcast up to a
-checked number; beyond it they are dealt into blocks, every target meets every block, and
-partial sums are added.
+checked number. Beyond it particles are dealt into blocks, each unordered pair of blocks meets
+once for the sums of both sides, and partial sums are added; points meet every block.
 
 The octree is built in tasks. Passes of counts cut space into domains, nodes of the octree of
 at most ``cell`` particles; a task builds the linear octree of each and rolls its moments up.
@@ -15,6 +15,7 @@ that it would see in one tree over all particles.
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -87,9 +88,9 @@ class Gravity:
     def direct(self, points: DataFrame | None = None) -> DataFrame:
         """``pid, phi, ax, ay, az``. A particle does not act on itself; at points nothing is left out."""
         targets, sources = self._targets(points), self.sources()
-        if sources.count() > BROADCAST_SOURCES:
-            return self._direct_blocks(targets, sources, points is None)
-        s = sources.toPandas()  # bounded: BROADCAST_SOURCES
+        s = sources.limit(BROADCAST_SOURCES + 1).toPandas()
+        if len(s) > BROADCAST_SOURCES:
+            return self._direct_mutual(sources) if points is None else self._direct_blocks(targets, sources)
         shared = self.snap.df.sparkSession.sparkContext.broadcast((s[["sx", "sy", "sz"]].to_numpy(), s["sm"].to_numpy(), s["sh"].to_numpy(), s["sid"].to_numpy()))
         kind, soft, g, own = self.kind, self.softening is not None, self.g, points is None
         ship(self.snap.df.sparkSession)
@@ -104,8 +105,33 @@ class Gravity:
 
         return targets.mapInPandas(sums, "pid long, phi double, ax double, ay double, az double")
 
-    def _direct_blocks(self, targets: DataFrame, sources: DataFrame, own: bool) -> DataFrame:
-        """Each block of sources meets each block of targets in a task of bounded memory."""
+    def _direct_mutual(self, particles: DataFrame) -> DataFrame:
+        """Each unordered pair of blocks meets once, in a task, and gives the sums of both sides.
+
+        A row goes to a pair with each block, so there is a copy of it for each block, not two, and
+        each kernel value serves both particles. Rows of one id are in one block.
+        """
+        spark = self.snap.df.sparkSession
+        # Enough pairs for all cores, however few the particles.
+        n = max(-(-particles.count() // BLOCK), math.isqrt(4 * spark.sparkContext.defaultParallelism) + 1)
+        kind, soft, g = self.kind, self.softening is not None, self.g
+        ship(spark)
+
+        def meet(s: pd.DataFrame) -> pd.DataFrame:
+            from .tree import mutual_sums, own_sums
+
+            one, other = ((r["sid"].to_numpy(), r[["sx", "sy", "sz"]].to_numpy(), r["sh"].to_numpy(), r["sm"].to_numpy()) for r in (s[~s["second"]], s[s["second"]]))
+            if s["i"].iloc[0] == s["j"].iloc[0]:
+                ids, (phi, acc) = one[0], own_sums(*one[1:], one[0], kind, soft)
+            else:
+                phis, accs = mutual_sums(*one[1:], *other[1:], kind, soft)
+                ids, phi, acc = np.concatenate([one[0], other[0]]), np.concatenate(phis), np.concatenate(accs)
+            return pd.DataFrame({"pid": ids, "phi": g * phi, "ax": g * acc[:, 0], "ay": g * acc[:, 1], "az": g * acc[:, 2]})
+
+        return _added(_paired(particles, n).groupBy("i", "j").applyInPandas(meet, "pid long, phi double, ax double, ay double, az double"))
+
+    def _direct_blocks(self, targets: DataFrame, sources: DataFrame) -> DataFrame:
+        """Each block of sources meets each block of points in a task of bounded memory."""
         n = max(1, -(-sources.count() // BLOCK))
         m = max(1, -(-targets.count() // BLOCK))
         kind, soft, g = self.kind, self.softening is not None, self.g
@@ -116,11 +142,10 @@ class Gravity:
         def meet(t: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
             from .tree import pair_sums
 
-            phi, acc = pair_sums(t[["tx", "ty", "tz"]].to_numpy(), t["th"].to_numpy(), s[["sx", "sy", "sz"]].to_numpy(), s["sm"].to_numpy(), s["sh"].to_numpy(), kind, soft, own, t["pid"].to_numpy() if own else None, s["sid"].to_numpy())
+            phi, acc = pair_sums(t[["tx", "ty", "tz"]].to_numpy(), t["th"].to_numpy(), s[["sx", "sy", "sz"]].to_numpy(), s["sm"].to_numpy(), s["sh"].to_numpy(), kind, soft, False)
             return pd.DataFrame({"pid": t["pid"], "phi": g * phi, "ax": g * acc[:, 0], "ay": g * acc[:, 1], "az": g * acc[:, 2]})
 
-        parts = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(meet, "pid long, phi double, ax double, ay double, az double")
-        return parts.groupBy("pid").agg(*[F.sum(c).alias(c) for c in ("phi", "ax", "ay", "az")])
+        return _added(left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(meet, "pid long, phi double, ax double, ay double, az double"))
 
     @cached_property
     def forest(self) -> Forest:
@@ -245,6 +270,16 @@ class Gravity:
         return placed, exchanged, shared
 
 
+def _paired(particles: DataFrame, n: int) -> DataFrame:
+    """Each row once for each of ``n`` blocks: ``i, j``, the pair of its own block and that one, and whether its own is the ``second``."""
+    dealt = particles.withColumn("own", F.pmod(F.xxhash64("sid"), F.lit(n)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return dealt.select("sid", "sx", "sy", "sz", "sm", "sh", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"))
+
+
+def _added(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("pid").agg(*[F.sum(c).alias(c) for c in ("phi", "ax", "ay", "az")])
+
+
 class Forest(NamedTuple):
     """The domains, a row with each one's tree, the tree above with each node's domain, the particles of each domain and of all."""
 

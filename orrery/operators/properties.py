@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
-from typing import Any
+from functools import reduce
+from operator import add, or_
+from typing import Any, NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Row, Window
@@ -16,7 +18,7 @@ from ..plans.core import Calculator, value_of
 from ..snapshot import Snapshot
 from ..units import gravity_constant, in_units
 from .expr import AggregateProperty, Property
-from .filters import Annulus, BandPass, Sphere, above
+from .filters import Annulus, BandPass, above
 from .prefix import Bucket, crossing, cut, keyed, narrowed, ordered, reaching, whole
 from .scans import first_crossing
 
@@ -90,9 +92,33 @@ class PotentialCenter(AggregateProperty):
         return [at[c] for c in "xyz"]
 
 
+#: A shrinking sphere with at most this many particles near it is followed on the driver (32 bytes each).
+FEW = 100_000
+#: Above ``FEW`` and up to this many particles in the sphere, several steps are decided in one pass.
+MANY = 200_000_000
+CELLS = 48
+AHEAD = 8
+
+
+class _Ahead(NamedTuple):
+    """A step that is foreseen: a guess of the centre, the radius, and how far the guess may be off."""
+
+    at: np.ndarray
+    r: float
+    off: float
+
+
 @dataclass(eq=False)
 class ShrinkingSphere(Property):
-    """The centre of mass of a sphere that shrinks by ``factor`` round it until fewer than ``least`` particles are in it. Each step is one ``agg`` whose few numbers steer the next."""
+    """The centre of mass of a sphere that shrinks by ``factor`` round it until fewer than ``least`` particles are in it.
+
+    Steps depend on each other, but not on all rows. Mergeable sums on a grid round the sphere
+    foretell the next centres, each with a margin. One pass then sums, for each step ahead, what
+    is inside by more than its margin, and gathers the rows within a margin of a sphere's surface.
+    From these the steps are done exactly, as long as each centre is as near to its guess as its
+    margin says. Where the rows at the surfaces would be too many, a step is an ``agg`` of its own;
+    once few particles are near the sphere, all further steps take those.
+    """
 
     radius: Any = None
     factor: float = 0.7
@@ -102,27 +128,105 @@ class ShrinkingSphere(Property):
     outputs = ("x", "y", "z")
 
     def centre(self, snap: Snapshot) -> tuple[float, float, float]:
-        frame = snap.df.select(*[c.alias(n) for c, n in zip(snap.vector("pos"), "xyz", strict=True)], snap.field("mass").alias("mass")).persist()
+        frame = snap.df.select(*[c.cast("double").alias(n) for c, n in zip(snap.vector("pos"), "xyz", strict=True)], F.coalesce(snap.field("mass").cast("double"), F.lit(0.0)).alias("mass")).persist()
         try:
-            few = Snapshot(frame)
-            at = tuple(self.start(snap)) if callable(self.start) else self.start or tuple(frame.agg(*weighted(few, "xyz")).first())
+            n, *middle = frame.agg(F.count(F.lit(1)), *weighted(Snapshot(frame), "xyz")).first()
+            at = tuple(self.start(snap)) if callable(self.start) else self.start or tuple(middle)
             if self.radius is not None:
                 r = in_units(self.radius, snap.unit_of("pos"))
             else:
-                reach = frame.agg(F.max(sum((F.col(c) - v) * (F.col(c) - v) for c, v in zip("xyz", at, strict=True)))).first()[0]
-                r = math.sqrt(reach or 0.0) * self.factor
-            for _ in range(self.max_steps):
-                inside = Sphere(r, tuple(map(float, at))).mask(few)
-                n, *new = frame.where(inside).agg(F.count(F.lit(1)), *weighted(few, "xyz")).first()
-                if n:
-                    at = tuple(new)
-                if n < self.least:
+                r = math.sqrt(frame.agg(F.max(_square(at))).first()[0] or 0.0) * self.factor
+            left = self.max_steps
+            while left > 0:
+                if n <= FEW:
+                    done = self._near(frame, at, r, left)
+                elif n <= MANY:
+                    done = self._several(frame, at, r, left)
+                else:
+                    done = None
+                at, r, n, taken, ended = done or self._one(frame, at, r)
+                if ended:
                     break
-                r *= self.factor
+                left -= taken
             return tuple(map(float, at))
         finally:
             frame.unpersist()
 
+    def _after(self, at: Any, r: float, n: int, sums: Any) -> tuple[Any, float, bool]:
+        """The centre and radius after a step with these sums of mass and of mass by place, and whether it was the last."""
+        if n:
+            at = tuple(float(v / sums[0]) if sums[0] else math.nan for v in sums[1:])
+        return at, r * self.factor, n < self.least
+
+    def _one(self, frame: DataFrame, at: Any, r: float) -> tuple[Any, float, int, int, bool]:
+        n, *sums = frame.where(_square(at) < r * r).agg(F.count(F.lit(1)), *_sums()).first()
+        at, r, ended = self._after(at, r, n, sums)
+        return at, r, n, 1, ended
+
+    def _near(self, frame: DataFrame, at: Any, r: float, left: int) -> tuple[Any, float, int, int, bool] | None:
+        """The steps whose spheres lie in twice the radius, from the rows there; None if these are many."""
+        reach, first = 2 * r, np.array(at, float)
+        rows = frame.where(_square(at) <= reach * reach).limit(2 * FEW + 1).toArrow()
+        if rows.num_rows > 2 * FEW:
+            return None
+        pos, mass = np.stack([rows[c].to_numpy() for c in "xyz"], 1), rows["mass"].to_numpy()
+        taken, n, ended = 0, 0, False
+        while taken < left and not ended and np.linalg.norm(np.array(at, float) - first) + r <= reach * (1 - 1e-12):
+            inside = _squares(pos, at) < r * r
+            n = int(inside.sum())
+            at, r, ended = self._after(at, r, n, [mass[inside].sum(), *(mass[inside] @ pos[inside])])
+            taken += 1
+        return (at, r, n, taken, ended) if taken else None
+
+    def _ahead(self, frame: DataFrame, at: Any, r: float, left: int) -> list[_Ahead]:
+        """The steps to come, foretold from sums by cell: as many as have few enough rows at their surfaces."""
+        if r <= 0:
+            return []
+        width = 2 * r / CELLS
+        axis = [F.least(F.floor((F.col(c) - (v - r)) / width), F.lit(CELLS - 1)).cast("int") for c, v in zip("xyz", at, strict=True)]
+        cells = frame.where(_square(at) < r * r).groupBy(((axis[0] * CELLS + axis[1]) * CELLS + axis[2]).alias("cell")).agg(F.count(F.lit(1)).alias("n"), *_sums()).toArrow()
+        held, mass = cells["n"].to_numpy(), cells["mass"].to_numpy()
+        with np.errstate(divide="ignore", invalid="ignore"):
+            middle = np.stack([cells[c].to_numpy() for c in "xyz"], 1) / mass[:, None]
+        steps, rows = [], 0.0
+        guess, off = np.array(at, float), 1e-12 * r
+        for _ in range(min(left, AHEAD)):
+            far = np.sqrt(_squares(middle, guess))
+            inside, edge = far < r, np.abs(far - r) <= width
+            rows += float(held[edge].sum()) * min(1.0, off / width)
+            if rows > FEW or not inside.any() or off > 0.25 * r:
+                break
+            steps.append(_Ahead(guess, r, off))
+            whole = mass[inside].sum()
+            # Cells at the surface are taken whole or not at all; what that adds is of either sign.
+            off = 1.1 * off + 3 * float(np.sqrt(((mass[edge] * far[edge]) ** 2).sum())) / whole if whole > 0 else math.inf
+            guess, r = mass[inside] @ middle[inside] / whole, r * self.factor
+        return steps
+
+    def _several(self, frame: DataFrame, at: Any, r: float, left: int) -> tuple[Any, float, int, int, bool] | None:
+        """Several steps from one pass; None if fewer than two can be foretold."""
+        steps = self._ahead(frame, at, r, left)
+        if len(steps) < 2:
+            return None
+        far = [F.sqrt(_square(tuple(map(float, s.at)))) for s in steps]
+        sure = [d < s.r - s.off for d, s in zip(far, steps, strict=True)]
+        sums = frame.agg(*[F.coalesce(F.sum(F.when(inside, v)), F.lit(0)).alias(f"{name}{k}") for k, inside in enumerate(sure) for name, v in (("n", F.lit(1)), *_parts())]).first()
+        close = reduce(or_, [F.abs(d - s.r) <= s.off for d, s in zip(far, steps, strict=True)])
+        rows = frame.where(close).select("x", "y", "z", "mass", *[c.alias(f"sure{k}") for k, c in enumerate(sure)]).limit(4 * FEW + 1).toArrow()
+        if rows.num_rows > 4 * FEW:
+            return None
+        pos, mass = np.stack([rows[c].to_numpy() for c in "xyz"], 1), rows["mass"].to_numpy()
+        taken, n, ended = 0, 0, False
+        for k, step in enumerate(steps):
+            if ended or np.linalg.norm(np.array(at, float) - step.at) > step.off * (1 - 1e-9):
+                break
+            more = (_squares(pos, at) < r * r) & ~rows[f"sure{k}"].to_numpy(zero_copy_only=False).astype(bool)
+            n = int(sums[f"n{k}"] + more.sum())
+            whole = [sums[f"{c}{k}"] + v for c, v in zip(("mass", "x", "y", "z"), (mass[more].sum(), *(mass[more] @ pos[more])), strict=True)]
+            at, r, ended = self._after(at, r, n, whole)
+            taken += 1
+        return at, r, n, taken, ended
+
     def frame(self, snap: Snapshot) -> DataFrame:
         at = self.centre(snap)
         return snap.df.sparkSession.range(1).select(*[F.lit(v).alias(n) for v, n in zip(at, "xyz", strict=True)])
@@ -131,6 +235,23 @@ class ShrinkingSphere(Property):
         return [F.lit(v) for v in self.centre(snap)]
 
 
+def _square(at: Any) -> Column:
+    return reduce(add, [(F.col(c) - v) * (F.col(c) - v) for c, v in zip("xyz", map(float, at), strict=True)])
+
+
+def _squares(pos: np.ndarray, at: Any) -> np.ndarray:
+    d = pos - np.array(at, float)
+    return d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]
+
+
+def _parts() -> list[tuple[str, Column]]:
+    return [("mass", F.col("mass")), *[(c, F.col("mass") * F.col(c)) for c in "xyz"]]
+
+
+def _sums() -> list[Column]:
+    return [F.sum(v).alias(name) for name, v in _parts()]
+
+
 def CenPos(mode: str = "ssc") -> Calculator:
     """The centre: "com" (of mass), "pot" (least potential), "ssc" (shrinking sphere) or "hyb" (a sphere of 5 kpc that shrinks from the least potential)."""
     if mode == "com":

@@ -68,6 +68,35 @@ def pair_sums(t, th, s, m, sh, kind, soft, own, tid=None, sid=None, pairs: int =
     return phi, acc
 
 
+def mutual_sums(a, ha, ma, b, hb, mb, kind, soft, pairs: int = 1_000_000):
+    """The sums of two blocks of particles on each other: one kernel value a pair, accelerations equal and opposite."""
+    phi, acc = (np.zeros(len(a)), np.zeros(len(b))), (np.zeros((len(a), 3)), np.zeros((len(b), 3)))
+    block = max(1, pairs // max(len(b), 1))
+    for lo in range(0, len(a) if len(b) else 0, block):
+        some = slice(lo, lo + block)
+        d = b[None] - a[some, None]
+        p, g = kernel_values(kind, (d * d).sum(-1), np.maximum(ha[some, None], hb[None]) if soft else 0.0)
+        phi[0][some] = p @ mb
+        phi[1][:] += ma[some] @ p
+        acc[0][some] = np.einsum("ij,ijk,j->ik", g, d, mb)
+        acc[1][:] -= np.einsum("ij,ijk,i->jk", g, d, ma[some])
+    return phi, acc
+
+
+def own_sums(a, h, m, ids, kind, soft, block: int = 1000):
+    """The sums of a block of particles on itself; each pair of its parts is met once."""
+    phi, acc = np.zeros(len(a)), np.zeros((len(a), 3))
+    for lo in range(0, len(a), block):
+        one, rest = slice(lo, lo + block), slice(lo + block, None)
+        p, g = pair_sums(a[one], h[one], a[one], m[one], h[one], kind, soft, True, ids[one], ids[one])
+        (p1, p2), (g1, g2) = mutual_sums(a[one], h[one], m[one], a[rest], h[rest], m[rest], kind, soft)
+        phi[one] += p + p1
+        acc[one] += g + g1
+        phi[rest] += p2
+        acc[rest] += g2
+    return phi, acc
+
+
 def codes(x: np.ndarray, centre: np.ndarray, half: float) -> np.ndarray:
     """Morton codes in a cube, by the comparisons that lead down an octree."""
     out, c, h = np.zeros(len(x), np.int64), np.repeat(np.asarray(centre, float)[None], len(x), 0), half

@@ -218,6 +218,40 @@ def test_blocks_equal_broadcast(snap, monkeypatch):
     assert got.to_numpy() == pytest.approx(want.to_numpy())
 
 
+def test_each_pair_of_blocks_meets_once(snap, monkeypatch):
+    from orrery.operators import gravity as g
+
+    monkeypatch.setattr(g, "BROADCAST_SOURCES", 10)
+    sources = o.Gravity(o.Snapshot(snap.df), 0.5, "spline").sources()
+    pairs = g._paired(sources, 7)
+    assert pairs.count() == 7 * sources.count()
+    met = pairs.select("i", "j").distinct().collect()
+    assert len(met) == 7 * 8 // 2 and all(r.i <= r.j for r in met)
+    acted = []
+    monkeypatch.setattr(g.Gravity, "_direct_mutual", lambda self, s: acted.append("mutual"))
+    monkeypatch.setattr(g.Gravity, "_direct_blocks", lambda self, t, s: acted.append("points"))
+    o.Gravity(o.Snapshot(snap.df)).direct()
+    o.Gravity(o.Snapshot(snap.df)).direct(snap.df.select("pid", "x", "y", "z").limit(3))
+    assert acted == ["mutual", "points"]
+
+
+def test_mutual_sums_conserve_momentum_and_count_equal_ids_apart():
+    from orrery.operators.tree import mutual_sums, own_sums, pair_sums
+
+    rng = np.random.default_rng(8)
+    a, h, m = rng.normal(size=(230, 3)), rng.uniform(0, 0.5, 230), rng.uniform(1, 2, 230)
+    ids = np.arange(230) // 2  # rows of one id do not act on each other
+    a[40] = a[7]
+    for kind, soft in (("newton", False), ("plummer", True), ("spline", True)):
+        want = pair_sums(a, h, a, m, h, kind, soft, True, ids, ids)
+        phi, acc = own_sums(a, h, m, ids, kind, soft, block=60)
+        assert phi == pytest.approx(want[0], rel=1e-10) and acc == pytest.approx(want[1], rel=1e-9, abs=1e-9)
+        (p1, p2), (g1, g2) = mutual_sums(a[:90], h[:90], m[:90], a[90:], h[90:], m[90:], kind, soft, pairs=1000)
+        assert p1 == pytest.approx(pair_sums(a[:90], h[:90], a[90:], m[90:], h[90:], kind, soft, True, ids[:90], -ids[90:] - 1)[0])
+        assert m[:90] @ g1 + m[90:] @ g2 == pytest.approx(0, abs=1e-6) and len(p2) == 140
+    assert mutual_sums(a, h, m, a[:0], h[:0], m[:0], "newton", False)[0][0].tolist() == [0.0] * 230
+
+
 def test_two_bodies(spark):
     s = o.from_arrays(spark, {"pos": np.array([[0.0, 0, 0], [2.0, 0, 0]]), "mass": np.array([1.0, 3.0])})
     rows = o.Gravity(s).direct().orderBy("pid").collect()
@@ -252,6 +286,63 @@ def test_shrinking_sphere_finds_the_clump(spark):
     assert np.allclose(ShrinkingSphere()(s), 5, atol=0.1)
 
 
+def _shrunk(pos, mass, r, at, factor=0.7, least=100):
+    path = []
+    while True:
+        inside = ((pos - at) ** 2).sum(1) < r * r
+        if inside.any():
+            at = mass[inside] @ pos[inside] / mass[inside].sum()
+        path.append((int(inside.sum()), at))
+        if inside.sum() < least:
+            return at, len(path)
+        r *= factor
+
+
+@pytest.mark.parametrize("shape", ["clump", "even", "two"])
+def test_shrinking_sphere_foretells_steps_and_does_them_exactly(spark, monkeypatch, shape):
+    from orrery.operators import properties as p
+
+    rng, n = np.random.default_rng(6), 60_000
+    if shape == "clump":
+        pos = np.concatenate([rng.normal(0, 1, (n // 2, 3)) * rng.uniform(0, 1, (n // 2, 1)) + [4, 1, 0], rng.uniform(-10, 10, (n // 2, 3))])
+    elif shape == "even":
+        pos = rng.uniform(-10, 10, (n, 3))
+    else:
+        pos = np.concatenate([rng.normal(0, 1, (n // 2, 3)) + 5, rng.normal(0, 0.8, (n - n // 2, 3)) - 5])
+    mass = rng.uniform(0.5, 2, n)
+    s = o.from_arrays(spark, {"pos": pos, "mass": mass})
+    com = mass @ pos / mass.sum()
+    want, steps = _shrunk(pos, mass, 0.7 * np.sqrt(((pos - com) ** 2).sum(1).max()), com)
+    calls = {"one": 0, "several": 0, "near": 0}
+    for name in calls:
+        def count(self, *a, name=name, was=getattr(p.ShrinkingSphere, f"_{name}")):
+            got = was(self, *a)
+            calls[name] += got is not None
+            return got
+
+        monkeypatch.setattr(p.ShrinkingSphere, f"_{name}", count)
+    assert ShrinkingSphere()(s) == pytest.approx(want, rel=1e-9, abs=1e-9)
+    assert calls["one"] == 0 and calls["several"] == 0 and calls["near"] <= 2 + steps // 2
+    monkeypatch.setattr(p, "FEW", 4000)
+    calls.update(one=0, several=0, near=0)
+    assert ShrinkingSphere()(s) == pytest.approx(want, rel=1e-9, abs=1e-9)
+    print(shape, steps, calls)
+    assert calls["several"] >= 1
+    monkeypatch.setattr(p, "FEW", 0)
+    monkeypatch.setattr(p, "MANY", 0)
+    calls.update(one=0, several=0, near=0)
+    assert ShrinkingSphere()(s) == pytest.approx(want, rel=1e-9, abs=1e-9) and calls["one"] == steps
+
+
+def test_shrinking_sphere_of_one_place_and_of_missing_values(spark):
+    assert ShrinkingSphere()(o.from_arrays(spark, {"pos": np.full((150, 3), 2.0), "mass": np.ones(150)})) == pytest.approx((2, 2, 2))
+    pos = np.random.default_rng(1).normal(3, 1, (500, 3))
+    pos[::50] = np.nan
+    s = o.from_arrays(spark, {"pos": pos, "mass": np.ones(500)})
+    holes = s.df.replace(float("nan"), None)
+    assert np.allclose(ShrinkingSphere()(o.Snapshot(holes)), 3, atol=0.5)
+
+
 def test_write_read_and_prune(snap, tmp_path, spark):
     o.write_snapshot(snap, f"{tmp_path}/s")
     back = o.read_snapshot(spark, f"{tmp_path}/s")
