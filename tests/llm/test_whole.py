@@ -160,6 +160,44 @@ def test_html_two_layouts_of_a_host(spark):
         assert got[i] == (f"T {i}\n\n{text}" if i % 2 else f"{text}\n\n{text}")
 
 
+def _page_of_layout(rng, depth, names):
+    """A page with a menu, a box and a footer whose text varies, in containers that are this layout's own."""
+    title, blocks = _words(rng, 5), [_words(rng, int(rng.integers(20, 50))) for _ in range(rng.integers(2, 8))]
+    nav = "".join(f"<div class={names[0]}i><a href=/{i}>{_words(rng, 1)}</a></div>" for i in range(5))
+    body = f"<h1>{title}</h1>" + "".join(f"<p>{b}</p>" for b in blocks)
+    html = f"<body><div class={names[0]}>{nav}</div><div class={names[1]}>See what others have to say</div>{'<section>' * depth}<div class={names[2]}>{body}</div>{'</section>' * depth}<div class={names[3]}><p>All rights reserved</p></div>"
+    return html, "\n\n".join([title, *blocks])
+
+
+@pytest.mark.parametrize("sizes", [[20] * 10, [100, 20, 20, 20, 20, 20], [5, 10, 15, 20, 25, 25], [9] * 12], ids=["even", "one_large", "uneven", "many"])
+def test_html_every_layout_of_a_host(spark, sizes):
+    """Names that tell nothing; layouts of 5 % to 50 % of the host's pages, most with fewer than 5 pages of a sample of 24."""
+    from orrery.llm.html_text import extract_text
+
+    rng = np.random.default_rng(len(sizes))
+    rows, want = [], {}
+    for k, n in enumerate(sizes):
+        names = [_words(rng, 1) + str(k) for _ in range(4)]
+        for _ in range(n):
+            html, want[len(rows)] = _page_of_layout(rng, k % 3, names)
+            rows.append((len(rows), f"http://a.example.com/{len(rows)}", html))
+    got = {r.id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_html_host_without_layouts(spark):
+    """Pages of which each is a layout of its own: sampling ends, and every page keeps its text."""
+    from orrery.llm.html_text import extract_text
+
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(90):
+        name = "".join(chr(97 + c) for c in rng.integers(0, 26, 9))
+        rows.append((i, "http://a.example.com/", f"<div class={name}><div class={name}b><p>{_words(rng, 30)}</p></div><div class={name}c><div class={name}d>{_words(rng, 9)}</div></div></div>"))
+    got = {r.id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "\n\n".join(extract(html, None)) for i, _, html in rows} and all(got.values())
+
+
 def test_html_unicode_space_and_empty_svg():
     assert extract("<p>a\u2002\u3000b\xa0\u2009c<svg class='i'/><p>d", None) == ["a b c", "d"]
 
