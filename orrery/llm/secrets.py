@@ -86,7 +86,17 @@ def _left_over(runs: Column, base: Column, least: int) -> Column:
         base_span = F.struct(F.greatest(s["from"], e["end"]).alias("from"), s["to"].alias("to"), s["first"].alias("first"), s["value"].alias("value"), F.greatest(s["past"], e["end"]).alias("past"), with_part(s, F.least(s["to"], e["start"])).alias("out"))
         return F.when(e["rank"] == 3, run).otherwise(base_span)
 
-    return F.aggregate(events, zero, step, lambda s: with_part(s, s["to"]))
+    # In blocks, as an append copies the array.
+    kept = ("from", "to", "first", "value", "past")
+    blocks = let(events, lambda v: F.transform(F.sequence(F.lit(0), ((F.size(v) - 1) / BLOCK).cast("int")), lambda b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK))))
+    begin = F.struct(*[zero[c].alias(c) for c in kept], F.array().cast(f"array<{SPANS}>").alias("out"))
+
+    def in_block(s: Column, block: Column) -> Column:
+        fresh = F.struct(*[s[c].alias(c) for c in kept], _none().alias("out"))
+        return let(F.aggregate(block, fresh, step), lambda r: F.struct(*[r[c].alias(c) for c in kept], F.concat(s["out"], F.array(r["out"])).alias("out")))
+
+    last = lambda s: F.concat(F.flatten(s["out"]), with_part(F.struct(*[s[c].alias(c) for c in kept], _none().alias("out")), s["to"]))
+    return F.when(F.size(events) > 0, F.aggregate(blocks, begin, in_block, last)).otherwise(_none())
 
 
 def base_and_runs(docs: DataFrame, text_col: str, id_col: str, min_run: int, model: MarkovPair | None = None) -> DataFrame:
