@@ -12,7 +12,9 @@ by hash). Random strings are the values of base spans that hold digits, and ``ma
 in hex and base64. Ordinary identifiers are the sample's runs that are made of words and
 numbers, and its words (``max_words`` of them) joined as in names and paths. A quarter of the identifiers is held
 out of the models: a threshold is the ratio that a share of ``false_alarms`` of those of its
-length exceeds, and ``margin`` on top.
+length exceeds, and ``margin`` on top. A share ``unfamiliar`` of the ordinary model knows only
+kinds of characters, as names may be of languages that the samples lack; so letters of one case
+alone are no evidence, and random strings of lower case only are not found.
 
 Starts and ends are code points, ends exclusive. Offsets come from the pieces between
 matches: the text is split by the pattern, and lengths are summed in blocks. Work grows with
@@ -128,9 +130,9 @@ def labelled_samples(scanned: DataFrame, made: int, max_words: int) -> DataFrame
     names = stage(names, "names")
     words = names.where(F.col("text").rlike("^[A-Za-z]+$")).select(F.lower("text").alias("a")).distinct().orderBy(F.xxhash64("a"), "a").limit(max_words)
     # A word beside another one, joined as in names and paths; capitals and numbers as they follow words.
-    other = F.lead("a", 1, "value").over(Window.partitionBy(F.pmod(F.xxhash64("a"), F.lit(64))).orderBy(F.xxhash64("a"), "a"))
-    joined = words.select("a", F.substring(other, 1, 8).alias("b"), F.pmod(F.xxhash64("a"), F.lit(10_000)).cast("string").alias("d"))
-    made_up = F.array(F.upper("a"), F.concat_ws("_", "a", "b"), F.concat_ws("-", "a", "b"), F.concat_ws("/", "a", "b"), F.concat("a", F.initcap("b")), F.concat_ws("_", F.upper("a"), F.upper("b")), F.concat_ws("-", "a", "d"), F.concat_ws("_", "d", "a"), F.concat("d", F.lit("-"), "d", F.lit("-"), "d"), F.repeat("d", 4))
+    other = lambda k: F.substring(F.lead("a", k, "value").over(Window.partitionBy(F.pmod(F.xxhash64("a"), F.lit(64))).orderBy(F.xxhash64("a"), "a")), 1, 8)
+    joined = words.select("a", other(1).alias("b"), other(2).alias("c"), F.pmod(F.xxhash64("a"), F.lit(10_000)).cast("string").alias("d"))
+    made_up = F.array(F.upper("a"), F.concat_ws("_", "a", "b"), F.concat_ws("-", "a", "b"), F.concat_ws("/", "a", "b"), F.concat("a", F.initcap("b")), F.concat("b", F.initcap("c"), F.initcap("a")), F.concat(F.initcap("b"), F.initcap("a"), F.initcap("c")), F.concat_ws("_", F.upper("a"), F.upper("b")), F.concat_ws("-", "a", "d"), F.concat_ws("_", "d", "a"), F.concat("d", F.lit("-"), "d", F.lit("-"), "d"), F.repeat("d", 4))
     joined = joined.select(F.explode(made_up).alias("text")).distinct().select("text", F.lit(1).cast("long").alias("n"))
     # Rules and rows of one character.
     ruled = spark.range(len(ALPHABET)).select(F.repeat(F.substring(F.lit(ALPHABET), F.col("id").cast("int") + 1, F.lit(1)), F.lit(64)).alias("text"), F.when(F.col("id") >= 62, 50).otherwise(1).cast("long").alias("n"))
@@ -158,21 +160,21 @@ class MarkovPair:
     thresholds: tuple[float, ...]
 
     @classmethod
-    def fit(cls, samples: DataFrame, *, false_alarms: float, min_llr: float, margin: float) -> MarkovPair:
+    def fit(cls, samples: DataFrame, *, false_alarms: float, min_llr: float, margin: float, unfamiliar: float) -> MarkovPair:
         samples = samples.where(F.length("text") > 0).select("*", (~F.col("random") & (F.pmod(F.crc32("text"), F.lit(4)) == 0) & ~F.col("text").rlike(r"^(.)\1+$")).alias("held"))
         codes = F.transform(F.split("text", ""), F.ascii)
         steps = let(codes, lambda v: F.transform(v, lambda c, i: F.coalesce(F.get(v, i - 1), F.lit(0)) * SIZE + c))
         steps = samples.where("not held").select("random", "n", F.explode(steps).alias("step"))
         counts = {(r["random"], r["step"]): r["n"] for r in steps.groupBy("random", "step").agg(F.sum("n").alias("n")).collect()}  # bounded: pairs of ALPHABET
-        models = [cls._model({k: n for (c, k), n in counts.items() if c is label}) for label in (True, False)]
+        models = [cls._model({k: n for (c, k), n in counts.items() if c is label}, share) for label, share in ((True, 0.0), (False, unfamiliar))]
         one = cls(tuple(math.log(p / q) for p, q in zip(*models, strict=True)), (min_llr,) * len(LENGTHS))
         held = samples.where("held").where(F.char_length("text") >= LENGTHS[0]).select("n", one._nth(F.char_length("text")).alias("nth"), one.best("text")["best"].alias("best"))
         found = {r["nth"]: r["high"] for r in held.groupBy("nth").agg(F.percentile("best", 1 - false_alarms, F.col("n")).alias("high")).collect()}
         return cls(one.ratios, tuple(max(min_llr, found.get(k, min_llr) + margin) for k in range(len(LENGTHS))))
 
     @staticmethod
-    def _model(counts: dict[int, int], weight: float = 64.0) -> list[float]:
-        """Step probabilities. Rare characters lean on how their kind (lower case, capital, digit, other) is followed by kinds."""
+    def _model(counts: dict[int, int], unfamiliar: float, weight: float = 64.0) -> list[float]:
+        """Step probabilities. Rare characters lean on how their kind (lower case, capital, digit, other) is followed by kinds. A share ``unfamiliar`` is that alone: words of languages that the samples do not have."""
         kinds = {ord(c): _kind(ord(c)) for c in ALPHABET} | {0: 0}
         size = [list(kinds.values()).count(k) for k in range(5)]
         by_kind = [[1.0] * 5 for _ in range(5)]
@@ -181,7 +183,12 @@ class MarkovPair:
             by_kind[kinds[step // SIZE]][kinds[step % SIZE]] += n
             of[step // SIZE] += n
         back = [[n / sum(row) / size[k] for k, n in enumerate(row)] for row in by_kind]
-        return [(counts.get(a * SIZE + b, 0) + weight * back[kinds[a]][kinds[b]]) / (of[a] + weight) if a in kinds and b in kinds else 1.0 for a in range(SIZE) for b in range(SIZE)]
+
+        def step(a: int, b: int) -> float:
+            own = (counts.get(a * SIZE + b, 0) + weight * back[kinds[a]][kinds[b]]) / (of[a] + weight)
+            return (1 - unfamiliar) * own + unfamiliar * back[kinds[a]][kinds[b]]
+
+        return [step(a, b) if a in kinds and b in kinds else 1.0 for a in range(SIZE) for b in range(SIZE)]
 
     def _table(self) -> Column:
         return F.split(F.lit(",".join(f"{r:.9g}" for r in self.ratios)), ",").cast("array<double>")
@@ -220,11 +227,11 @@ class MarkovPair:
         return F.filter(F.transform(F.filter(runs, lambda r: self.may_be(r["value"])), of), lambda s: s.isNotNull())
 
 
-def fit_models(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", min_run: int = 8, max_docs: int = 2000, max_words: int = 5000, made: int = 1000, false_alarms: float = 1e-4, min_llr: float = 10.0, margin: float = 2.0) -> MarkovPair:
+def fit_models(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", min_run: int = 8, max_docs: int = 2000, max_words: int = 5000, made: int = 1000, false_alarms: float = 1e-4, min_llr: float = 10.0, margin: float = 2.0, unfamiliar: float = 0.25) -> MarkovPair:
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     chosen = stage(hashed_sample(texts.where("text <> ''"), ["id", "text"], max_docs).repartition(partitions(docs.sparkSession)), "secret_sample")
     scanned = stage(base_and_runs(chosen, "text", "id", min_run), "secret_runs")
-    return MarkovPair.fit(stage(labelled_samples(scanned, made, max_words), "labelled"), false_alarms=false_alarms, min_llr=min_llr, margin=margin)
+    return MarkovPair.fit(stage(labelled_samples(scanned, made, max_words), "labelled"), false_alarms=false_alarms, min_llr=min_llr, margin=margin, unfamiliar=unfamiliar)
 
 
 def scan_secrets(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", min_run: int = 8, model: MarkovPair | None = None, **fit) -> DataFrame:

@@ -283,3 +283,46 @@ def test_shingle_join_of_repeated_ids(spark, seed, unit, monkeypatch):
     found = ShingleJoin(spark.createDataFrame(rows, "doc_id long, text string"), light=4).linked_documents().collect()
     assert sorted(((r.id, r.n_shingles, r.component_id, r.n_links) for r in found), key=str) == want
     assert len({r.component_key for r in found if r.n_shingles}) == len({c for c, s in zip(up, sets, strict=True) if s})
+
+
+def _marked(spark, model, strings):
+    from orrery.llm.secrets import scan_secrets
+
+    df = spark.createDataFrame([(i, f"see {s} now") for i, s in enumerate(strings)], "doc_id long, text string")
+    return {r.doc_id for r in scan_secrets(df, model=model).collect() if any(s["rank"] == 3 for s in r.spans)}
+
+
+def test_secrets_names_from_outside_the_corpus_are_left(spark):
+    """Identifiers of words that the corpus lacks are left, planted random strings are found."""
+    from orrery.llm.secrets import fit_models
+
+    model = fit_models(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    rng = np.random.default_rng(31)
+    stems = "kettle marble harbour thistle quiver bracket magnet furnace glacier walnut ribbon pepper violin orchard cobalt lantern meadow saddle turbine velvet whistle anchor beacon cradle dolphin ember falcon gravel hollow ivory jungle kernel ladder mirror nozzle oxygen pebble quartz rocket signal tunnel umbrella valley winter yonder zephyr".split()
+
+    def name(k):
+        w = [str(x) for x in rng.choice(stems, rng.integers(2, 5))]
+        return [w[0] + "".join(map(str.title, w[1:])), "".join(map(str.title, w)), "_".join(w), "/".join(w), "-".join(w) + f"-v{rng.integers(1, 20)}", "_".join(w).upper()][k % 6]
+
+    names = [name(k) for k in range(1200)]
+    false = _marked(spark, model, names)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+    found = {n: len(_marked(spark, model, ["".join(rng.choice(letters, n)) for _ in range(300)])) / 300 for n in (12, 16, 24)}
+    print("false alarms", len(false) / len(names), [names[i] for i in sorted(false)][:5], "found", found)
+    assert len(false) <= 0.01 * len(names)
+    assert found[12] >= 0.8 and found[16] >= 0.94 and found[24] >= 0.98
+
+
+def test_secrets_text_with_very_many_spans(spark):
+    """Base spans and runs between them, more than a block of the sweep: as if each were a text of its own."""
+    from orrery.llm.secrets import base_and_runs
+
+    parts = [f"token=abcdEFGH{i} xrun{i}word{'z' * (i % 5)} AKIA{'A' * 13}{i}/leftover{i}rest " for i in range(900)]
+    df = spark.createDataFrame([(-1, "".join(parts))] + list(enumerate(parts)), "doc_id long, text string")
+    rows = {r.id: r for r in base_and_runs(df, "text", "doc_id", 8).collect()}
+    at, base, runs = 0, [], []
+    for i, part in enumerate(parts):
+        for held, own in ((base, rows[i].base), (runs, rows[i].runs)):
+            held += [(s.start + at, s.rank, s.end + at, s.value) for s in own]
+        at += len(part)
+    assert [tuple(s) for s in rows[-1].base] == base and [tuple(s) for s in rows[-1].runs] == runs and len(runs) >= 1800
