@@ -12,7 +12,8 @@ blocks have been used, and joined to the blocks by index. As no block is used mo
 ``max_repeats`` times, no document is.
 
 Prefix sums run in two steps, within hashed buckets and over the totals of buckets, so a
-source with most of the rows is never in one task.
+source with most of the rows is never in one task. Sources are numbered, filled up and given
+their slots by running sums over ranges of them, so their number has no limit.
 
 Defined results: a null or empty text has size 0 and is never taken; a null source is a
 source, last in order; a null id is an id; rows with the same id are mixed as rows of their
@@ -25,14 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranges import running
 from .store import partitions, stage
 from .text import n_words
 
 CHUNK = 4096
 #: Sources up to this many are broadcast to their documents; more are joined by shuffle.
 BROADCAST_SOURCES = 10_000
-#: Targets are found by sorting the sources, a row each, in one task; more are refused.
-MAX_SOURCES = 5_000_000
+#: Slots are summed in parts of 1 / 2^20.
+SLOT_BITS = 20
 
 
 def permuted(x: Column, n: Column, rounds: int, *seed: Column) -> Column:
@@ -56,30 +58,31 @@ def sized(docs: DataFrame, text_col: str, id_col: str, source_col: str, buckets:
 
 
 def source_plan(rows: DataFrame, *, block_words: int, weights: tuple[int, ...], max_repeats: int) -> DataFrame:
-    """One row a source: its size, weight, target, number of blocks and expected slots."""
+    """One row a source: its size, target, number of blocks and its slots, from ``begin`` to ``end`` of ``slots``."""
     src = rows.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
-    every = W.partitionBy()
-    nth = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
-    src = src.withColumn("sid", nth).withColumn("weight", F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod("sid", F.lit(len(weights)))))
-    src = src.withColumn("cap", max_repeats * F.col("source_size").cast("double")).withColumn("total", F.sum("source_size").over(every).cast("double"))
+    src = running(src, [F.col("source").asc_nulls_last()], {"sid": F.lit(1).cast("long")}, "numbered_sources")
+    src = src.withColumn("weight", F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod("sid", F.lit(len(weights)))))
+    src = src.withColumn("cap", max_repeats * F.col("source_size").cast("double"))
     # Shares by weight under caps: sources fill up in the order of cap / weight; the first that need not fill up gives the level.
-    by_cap = W.orderBy(F.col("cap") / F.col("weight"), "sid")
-    before = F.coalesce(F.sum("cap").over(by_cap.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    src = src.withColumn("level", (F.col("total") - before) / F.sum("weight").over(by_cap.rowsBetween(0, W.unboundedFollowing)))
-    level = F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(every)
-    src = src.withColumn("target", F.least("cap", F.coalesce(level, F.lit(0.0)) * F.col("weight")))
+    src = running(src, [F.col("cap") / F.col("weight"), F.col("sid")], {"caps": F.col("cap"), "weights": F.col("weight")}, "filled_sources")
+    src = stage(src, "source_sums")
+    sums = src.agg(F.sum("source_size").cast("double").alias("size"), F.sum("weight").alias("weight")).first()
+    level = (F.lit(sums["size"]) - F.col("caps")) / (F.lit(sums["weight"]) - F.col("weights"))
+    level = src.agg(F.max(F.when(level * F.col("weight") <= F.col("cap"), level)).alias("level")).first()["level"] or 0.0
+    src = src.withColumn("target", F.least("cap", F.lit(level) * F.col("weight")))
     src = src.withColumn("blocks", F.ceil(F.col("source_size") / block_words).cast("long"))
     want = F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0)
-    return src.select("skey", "sid", "source_size", "target", "blocks", want.alias("want"))
+    # Whole parts of a slot, so that sums are the same in any ranges; rounding the running sum gives slots within one of what is wanted.
+    src = src.withColumn("want", F.round(want * (1 << SLOT_BITS)).cast("long"))
+    whole = lambda c: F.shiftright(c + (1 << SLOT_BITS - 1), SLOT_BITS)
+    wanted = src.agg(F.sum("want")).first()[0] or 0
+    src = running(src, [F.col("sid")], {"earlier": F.col("want")}, "wanted_slots")
+    return src.select("skey", "source_size", "target", "blocks", whole(F.col("earlier")).alias("begin"), whole(F.col("earlier") + F.col("want")).alias("end"), whole(F.lit(wanted).cast("long")).alias("slots"))
 
 
 def draw_slots(plan: DataFrame, *, seed: int, shard_slots: int, max_shards: int, max_repeats: int, rounds: int) -> DataFrame:
     """``skey, shard, slot, epoch, block``: which block each slot of each output shard takes."""
-    upto = W.orderBy("sid").rowsBetween(W.unboundedPreceding, 0)
-    # Rounding the running sum gives whole numbers of slots within one of what is wanted.
-    p = plan.withColumn("end", F.round(F.sum("want").over(upto)).cast("long"))
-    p = p.withColumn("begin", F.coalesce(F.lag("end").over(W.orderBy("sid")), F.lit(0))).withColumn("all", F.max("end").over(W.partitionBy()))
-    p = p.withColumn("n", F.least(F.col("end") - F.col("begin"), max_repeats * F.col("blocks"))).where("n > 0")
+    p = plan.withColumnRenamed("slots", "all").withColumn("n", F.least(F.col("end") - F.col("begin"), max_repeats * F.col("blocks"))).where("n > 0")
     p = p.withColumn("each", F.greatest(F.lit(shard_slots), F.ceil(F.col("all") / max_shards)).cast("long"))
     p = p.select("skey", "blocks", "begin", "n", "all", "each", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(CHUNK).cast("long"))).alias("k0"))
     p = p.repartition(partitions(plan.sparkSession), "skey", "k0")  # few rows become very many
@@ -114,8 +117,6 @@ class Mix:
         self.docs = docs
         self.rows = rows = stage(sized(docs, text_col, id_col, source_col, buckets), "sizes")
         self.plan = stage(source_plan(rows, block_words=block_words, weights=weights, max_repeats=max_repeats), "sources")
-        if self.plan.count() > MAX_SOURCES:
-            raise ValueError(f"more than {MAX_SOURCES} sources")
         self.slots = draw_slots(self.plan, seed=seed, shard_slots=shard_slots, max_shards=max_shards, max_repeats=max_repeats, rounds=rounds)
         self.pieces = packed(rows, block_words)
 

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orrery.llm.class_lm import ClassLM, exchange
@@ -139,6 +140,38 @@ def test_targets_fill_up(spark):
     assert got == pytest.approx({"sa": 3.0, "sb": 198 * 2 / 5, "sc": 198 * 3 / 5, "": 0.0})
 
 
+def test_slots_of_many_sources(spark):
+    from orrery.llm.mixing import source_plan
+
+    held = {f"s{i:05}": (i * 7919) % 97 + (200_000 if i == 1234 else 0) for i in range(6000)}
+    sizes = spark.createDataFrame([("s" + s, s, n) for s, n in held.items()] + [("", None, 50)], "skey string, source string, size long")
+    got = {r.skey: r for r in source_plan(sizes, block_words=16, weights=(1, 2, 3), max_repeats=3).collect()}
+    order = [("s" + s, n, i % 3 + 1) for i, (s, n) in enumerate(sorted(held.items()))] + [("", 50, len(held) % 3 + 1)]
+    lo, hi = 0.0, 1e9
+    for _ in range(200):  # the level by bisection
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(3 * n, mid * w) for _, n, w in order) < sum(n for _, n, _ in order) else (lo, mid)
+    at = 0
+    for key, n, w in order:
+        r, blocks = got[key], -(-n // 16)
+        assert r.target == pytest.approx(min(3 * n, hi * w)) and r.blocks == blocks and r.begin == at
+        assert abs(r.end - r.begin - (r.target * blocks / n if n else 0)) <= 1.001
+        at = r.end
+    assert {r.slots for r in got.values()} == {at}
+
+
+def test_running_sums_by_ranges(spark):
+    from orrery.llm.ranges import running
+
+    df = spark.createDataFrame([(i, 5 if i % 2 else i, i % 11) for i in range(3000)], "id long, k long, v long")
+    got = {r.id: (r.total, r.place) for r in running(df, [F.col("k").desc(), F.col("id")], {"total": F.col("v"), "place": F.lit(1)}, "test").collect()}
+    total = 0
+    for place, (_, i, v) in enumerate(sorted((-(5 if i % 2 else i), i, i % 11) for i in range(3000))):
+        assert got[i] == (total, place)
+        total += v
+    assert running(df.limit(0), [F.col("id")], {"total": F.col("v")}, "test").count() == 0
+
+
 def test_secrets(spark, docs, none):
     got = scan_secrets(docs)
     out = got.select("doc_id", spans_text(got["spans"]).alias("s")).collect()
