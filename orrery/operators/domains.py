@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from .tree import DEPTH, INNER, LEAF, Tree, codes, indices
+from .tree import DEPTH, INNER, LEAF, Tree, codes, indices, pair_sums, pairs_of, parted
 
 #: Counts begin at this depth and go on by so many levels where a cell holds too many.
 FIRST, STEP = 5, 2
@@ -31,6 +31,16 @@ def settle(counts: dict[int, int], depth: int, top: int, limit: int) -> tuple[li
     return found, [c for c, n in held[depth].items() if n > limit]
 
 
+def dealt(held: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks of some ``most`` targets: for each domain the first of those it shares a block with, and the number of blocks it is cut into."""
+    lead, first, total = np.arange(len(held)), 0, 0
+    for i, k in enumerate(held.tolist()):
+        if total + k > most:
+            first, total = i, 0
+        lead[i], total = first, total + k
+    return lead, np.maximum(-(-held // most), 1)
+
+
 @dataclass
 class Domains:
     """Domains in order of their codes. ``cube``: centre and half the side of the root."""
@@ -101,36 +111,68 @@ def needed(top: Tree, domain: np.ndarray, low: np.ndarray, high: np.ndarray, h:
     return np.concatenate(out) if out else np.zeros(0, int)
 
 
-def walk(top: Tree, domain: np.ndarray, parts: dict[int, Tree], targets: np.ndarray, theta: float, own: np.ndarray | None, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Potential and acceleration at the targets: the tree above, and below it the parts that were sent."""
-    met: list[tuple[np.ndarray, np.ndarray]] = []
-    phi, acc = _above(top, domain, targets, theta, own, h, met)
-    t, d = (np.concatenate(x) for x in zip(*met, strict=True)) if met else (np.zeros(0, int), np.zeros(0, int))
+def walk(top: Tree, domain: np.ndarray, parts: dict[int, Tree], targets: np.ndarray, theta: float, own: np.ndarray | None, h: np.ndarray, potential: bool = True, force: bool = True, above: bool = True, whole: dict[int, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Potential and acceleration at the targets: the tree above (if ``above``), and below it the parts that were sent. Of parts that are sent ``whole`` (rows of x, y, z, mass, softening, id) each particle acts."""
+    whole = whole or {}
+    phi, acc, met, t, d = _above(top, domain, targets, theta, own, h, potential, force, above)
+    raw = [whole[i] for i in met.tolist() if i in whole]
+    if raw:
+        _each(top, phi, acc, slice(None), targets, own, h, np.concatenate(raw), potential, force)
+    for i in met.tolist():
+        if i in parts:
+            p, a = parts[i].evaluate(targets, theta, own, h, potential, force)
+            phi += p
+            acc += a
     by = np.argsort(d, kind="stable")
     t, d = t[by], d[by]
     found, first = np.unique(d, return_index=True)
     for i, lo, hi in zip(found.tolist(), first.tolist(), np.append(first[1:], len(d)).tolist(), strict=False):
         some = t[lo:hi]
-        p, a = parts[i].evaluate(targets[some], theta, None if own is None else own[some], h[some])
-        phi[some] += p
-        acc[some] += a
+        if i in whole:
+            _each(top, phi, acc, some, targets, own, h, whole[i], potential, force)
+        elif i in parts:
+            p, a = parts[i].evaluate(targets[some], theta, None if own is None else own[some], h[some], potential, force)
+            phi[some] += p
+            acc[some] += a
     return phi, acc
 
 
-def _above(top: Tree, domain: np.ndarray, targets: np.ndarray, theta: float, own: np.ndarray | None, h: np.ndarray, met: list) -> tuple[np.ndarray, np.ndarray]:
+def _each(top: Tree, phi, acc, some, targets, own, h, rows, potential, force) -> None:
+    soft = top.soft is not None
+    p, a = pair_sums(targets[some], h[some], np.ascontiguousarray(rows[:, :3]), rows[:, 3].copy(), rows[:, 4].copy(), top.kernel, soft, own is not None, None if own is None else own[some], rows[:, 5].copy().view(np.int64), potential, force)
+    phi[some] += p
+    acc[some] += a
+
+
+def _above(top: Tree, domain: np.ndarray, targets: np.ndarray, theta: float, own: np.ndarray | None, h: np.ndarray, potential: bool, force: bool, sums: bool) -> tuple[np.ndarray, ...]:
+    """The sums over nodes above that are far; the domains into which all targets look; target and domain where but some do."""
     n = len(targets)
     phi, acc = np.zeros(n), np.zeros((n, 3))
-    t, node = np.arange(n), np.zeros(n, int)
-    while len(t):
+    if not n:
+        return phi, acc, *[np.zeros(0, int)] * 3
+    low, high, most, is_own = targets.min(0), targets.max(0), h.max(), own is not None
+    met, mixed, node = [], [], np.array([0])
+    while len(node):
+        far, leaf, near, each = top.sort_out(node, low, high, most, theta, is_own)
+        for t, some in pairs_of(n if sums else 0, far):
+            top._far(phi, acc, t, some, top.com[some] - targets[t], potential, force)
+        # A domain's root on which each target decides: its part has it too.
+        met += [domain[x[domain[x] >= 0]] for x in (leaf, near, each)]
+        mixed.append(each[domain[each] < 0])
+        node = top.below(near[domain[near] < 0])
+    t_met, d_met = [], []
+    todo = [pairs for each in mixed for pairs in pairs_of(n, each)]
+    while todo:
+        t, node = todo.pop()
         alive = top.total[node] != 0
         t, node = t[alive], node[alive]
-        d = top.com[node] - targets[t]
-        r2 = (d * d).sum(1)
-        soft = (np.maximum(top.hmax[node], h[t]) if own is not None else top.hmax[node]) * top.reach
-        far = (top.kind[node] == INNER) & ((2 * top.half[node]) ** 2 < theta * theta * r2) & (r2 > soft * soft)
-        top._far(phi, acc, t[far], node[far], d[far])
+        far, d = top.far(targets, t, node, theta, h, is_own)
+        if sums:
+            top._far(phi, acc, t[far], node[far], d[far], potential, force)
         t, node = t[~far], node[~far]
         root = domain[node] >= 0
-        met.append((t[root], domain[node[root]]))
-        t, node = np.repeat(t[~root], top.kids[node[~root]]), top.below(node[~root])
-    return phi, acc
+        t_met.append(t[root])
+        d_met.append(domain[node[root]])
+        todo += parted(np.repeat(t[~root], top.kids[node[~root]]), top.below(node[~root]))
+    t, d = (np.concatenate(x) if x else np.zeros(0, int) for x in (t_met, d_met))
+    return phi, acc, np.concatenate(met), t, d

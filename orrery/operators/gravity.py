@@ -30,17 +30,22 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from ..snapshot import Snapshot
 from ..units import gravity_constant, in_units
-from .domains import FIRST, STEP, Domains, needed, settle, summary, walk
+from .domains import FIRST, STEP, Domains, dealt, needed, settle, summary, walk
 from .tree import DEPTH, Tree, codes
 
 #: Sources up to this number (some 50 bytes each) are broadcast whole.
 BROADCAST_SOURCES = 20_000
 BLOCK = 20_000
+#: Below this angle blocks of targets grow, by its third power.
+WIDE = 0.7
+#: Sources that come together in a task for a block of targets; beyond it they come in several, whose sums are added.
+SLICE = 100_000
 #: Domains in all: beyond it they hold more than ``cell`` particles, so that what is above them stays small.
 MOST_DOMAINS = 100_000
 #: Blocks of targets in a domain.
 CHUNKS = 2**20
 KERNELS = ("newton", "plummer", "spline")
+SUMS = ("phi", "ax", "ay", "az")
 
 
 @dataclass(frozen=True)
@@ -85,27 +90,28 @@ class Gravity:
         s = self.snap
         return s.df.select("pid", *[c.cast("double").alias(f"t{n}") for c, n in zip(s.vector("pos"), "xyz", strict=True)], self._h(s).alias("th"))
 
-    def direct(self, points: DataFrame | None = None) -> DataFrame:
-        """``pid, phi, ax, ay, az``. A particle does not act on itself; at points nothing is left out."""
+    def direct(self, points: DataFrame | None = None, sums: Sequence[str] = SUMS) -> DataFrame:
+        """``pid`` and ``sums``: ``phi, ax, ay, az`` or some of them, and only these are computed. A particle does not act on itself; at points nothing is left out."""
+        give = _Given(self.g, sums)
         targets, sources = self._targets(points), self.sources()
         s = sources.limit(BROADCAST_SOURCES + 1).toPandas()
         if len(s) > BROADCAST_SOURCES:
-            return self._direct_mutual(sources) if points is None else self._direct_blocks(targets, sources)
+            return self._direct_mutual(sources, give) if points is None else self._direct_blocks(targets, sources, give)
         shared = self.snap.df.sparkSession.sparkContext.broadcast((s[["sx", "sy", "sz"]].to_numpy(), s["sm"].to_numpy(), s["sh"].to_numpy(), s["sid"].to_numpy()))
-        kind, soft, g, own = self.kind, self.softening is not None, self.g, points is None
+        kind, soft, own = self.kind, self.softening is not None, points is None
         ship(self.snap.df.sparkSession)
 
-        def sums(batches):
+        def act(batches):
             from .tree import pair_sums
 
             pos, m, h, sid = shared.value
             for t in batches:
-                phi, acc = pair_sums(t[["tx", "ty", "tz"]].to_numpy(), t["th"].to_numpy(), pos, m, h, kind, soft, own, t["pid"].to_numpy() if own else None, sid)
-                yield pd.DataFrame({"pid": t["pid"], "phi": g * phi, "ax": g * acc[:, 0], "ay": g * acc[:, 1], "az": g * acc[:, 2]})
+                phi, acc = pair_sums(t[["tx", "ty", "tz"]].to_numpy(), t["th"].to_numpy(), pos, m, h, kind, soft, own, t["pid"].to_numpy() if own else None, sid, *give.what)
+                yield give(t["pid"], phi, acc)
 
-        return targets.mapInPandas(sums, "pid long, phi double, ax double, ay double, az double")
+        return targets.mapInPandas(act, give.schema)
 
-    def _direct_mutual(self, particles: DataFrame) -> DataFrame:
+    def _direct_mutual(self, particles: DataFrame, give: _Given) -> DataFrame:
         """Each unordered pair of blocks meets once, in a task, and gives the sums of both sides.
 
         A row goes to a pair with each block, so there is a copy of it for each block, not two, and
@@ -114,7 +120,7 @@ class Gravity:
         spark = self.snap.df.sparkSession
         # Enough pairs for all cores, however few the particles.
         n = max(-(-particles.count() // BLOCK), math.isqrt(4 * spark.sparkContext.defaultParallelism) + 1)
-        kind, soft, g = self.kind, self.softening is not None, self.g
+        kind, soft = self.kind, self.softening is not None
         ship(spark)
 
         def meet(s: pd.DataFrame) -> pd.DataFrame:
@@ -122,19 +128,21 @@ class Gravity:
 
             one, other = ((r["sid"].to_numpy(), r[["sx", "sy", "sz"]].to_numpy(), r["sh"].to_numpy(), r["sm"].to_numpy()) for r in (s[~s["second"]], s[s["second"]]))
             if s["i"].iloc[0] == s["j"].iloc[0]:
-                ids, (phi, acc) = one[0], own_sums(*one[1:], one[0], kind, soft)
+                ids, (phi, acc) = one[0], own_sums(*one[1:], one[0], kind, soft, *give.what)
             else:
-                phis, accs = mutual_sums(*one[1:], *other[1:], kind, soft)
+                phis, accs = mutual_sums(*one[1:], *other[1:], kind, soft, *give.what)
                 ids, phi, acc = np.concatenate([one[0], other[0]]), np.concatenate(phis), np.concatenate(accs)
-            return pd.DataFrame({"pid": ids, "phi": g * phi, "ax": g * acc[:, 0], "ay": g * acc[:, 1], "az": g * acc[:, 2]})
+            return give(ids, phi, acc)
 
-        return _added(_paired(particles, n).groupBy("i", "j").applyInPandas(meet, "pid long, phi double, ax double, ay double, az double"))
+        # As many partitions as there may be tasks: the few bytes of a pair say nothing of its work.
+        parts = min(n * (n + 1) // 2, 16 * spark.sparkContext.defaultParallelism)
+        return _added(_paired(particles, n).repartition(parts, "i", "j").groupBy("i", "j").applyInPandas(meet, give.schema))
 
-    def _direct_blocks(self, targets: DataFrame, sources: DataFrame) -> DataFrame:
+    def _direct_blocks(self, targets: DataFrame, sources: DataFrame, give: _Given) -> DataFrame:
         """Each block of sources meets each block of points in a task of bounded memory."""
         n = max(1, -(-sources.count() // BLOCK))
         m = max(1, -(-targets.count() // BLOCK))
-        kind, soft, g = self.kind, self.softening is not None, self.g
+        kind, soft = self.kind, self.softening is not None
         ship(self.snap.df.sparkSession)
         left = targets.withColumn("i", F.pmod(F.xxhash64("pid"), F.lit(m)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
         right = sources.withColumn("j", F.pmod(F.xxhash64("sid"), F.lit(n)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
@@ -142,10 +150,10 @@ class Gravity:
         def meet(t: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
             from .tree import pair_sums
 
-            phi, acc = pair_sums(t[["tx", "ty", "tz"]].to_numpy(), t["th"].to_numpy(), s[["sx", "sy", "sz"]].to_numpy(), s["sm"].to_numpy(), s["sh"].to_numpy(), kind, soft, False)
-            return pd.DataFrame({"pid": t["pid"], "phi": g * phi, "ax": g * acc[:, 0], "ay": g * acc[:, 1], "az": g * acc[:, 2]})
+            phi, acc = pair_sums(t[["tx", "ty", "tz"]].to_numpy(), t["th"].to_numpy(), s[["sx", "sy", "sz"]].to_numpy(), s["sm"].to_numpy(), s["sh"].to_numpy(), kind, soft, False, None, None, *give.what)
+            return give(t["pid"], phi, acc)
 
-        return _added(left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(meet, "pid long, phi double, ax double, ay double, az double"))
+        return _added(left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(meet, give.schema))
 
     @cached_property
     def forest(self) -> Forest:
@@ -178,7 +186,9 @@ class Gravity:
         trees = placed.groupBy("domain").applyInPandas(build, f"{root}, tree binary").persist()
         roots = {r["domain"]: r.asDict() for r in trees.drop("tree").collect()}  # MOST_DOMAINS rows
         top, domain = domains.top([roots[i] for i in range(len(domains.start))], order, kind, soft)
-        return Forest(domains, trees, top, domain, {i: r["n"] for i, r in roots.items()}, n)
+        held = {i: r["n"] for i, r in roots.items()}
+        slice_of = np.cumsum([0] + [held[i] for i in range(len(held) - 1)]) // SLICE
+        return Forest(domains, trees, top, domain, held, n, slice_of)
 
     def release(self) -> None:
         """Give the persisted trees up; they are built anew when needed."""
@@ -209,21 +219,40 @@ class Gravity:
                 return Domains.of(cube, found + [(depth, c) for c in big])
             top, depth = depth, min(depth + STEP, DEPTH)
 
-    def tree(self, points: DataFrame | None = None) -> DataFrame:
+    def tree(self, points: DataFrame | None = None, sums: Sequence[str] = SUMS) -> DataFrame:
         """The same by the tree: nodes seen under an angle below ``theta`` act through their moments."""
+        give = _Given(self.g, sums)
         placed, exchanged, shared = self._exchange(points)
-        theta, own, g = self.theta, points is None, self.g
+        theta, own = self.theta, points is None
+        at = ["block"]
+        if self.forest.slices > 1:
+            at = ["block", "slice"]
+            wanted = exchanged.select("block", "slice").unionAll(placed.select("block", F.lit(-1).cast("long").alias("slice"))).distinct().toDF("_block", "_slice")
+            placed = placed.join(wanted, F.col("block") == F.col("_block")).withColumn("slice", F.col("_slice") + 0).drop("_block", "_slice")
 
         def act(t: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
+            if not len(t):
+                return pd.DataFrame({c: [] for c in ("pid", *give.sums)})
             top, domain = shared.value
-            parts = {int(d): pickle.loads(b) for d, b in zip(sent["domain"], sent["part"], strict=True)}
-            phi, acc = walk(top, domain, parts, t[["tx", "ty", "tz"]].to_numpy(), theta, t["pid"].to_numpy() if own else None, t["th"].to_numpy())
-            return pd.DataFrame({"pid": t["pid"], "phi": g * phi, "ax": g * acc[:, 0], "ay": g * acc[:, 1], "az": g * acc[:, 2]})
-
-        return placed.groupBy("block").cogroup(exchanged.groupBy("block")).applyInPandas(act, "pid long, phi double, ax double, ay double, az double")
+            parts, whole = {}, {}
+            for d, everything, b in zip(sent["domain"], sent["whole"], sent["part"], strict=True):
+                if everything:
+                    whole[int(d)] = np.frombuffer(b).reshape(-1, 6)
+                else:
+                    parts[int(d)] = pickle.loads(b)
+            # Of several slices the one without parts gives what is above them.
+            above = len(at) == 1 or bool((t["slice"] == -1).iloc[0])
+            phi, acc = walk(top, domain, parts, t[["tx", "ty", "tz"]].to_numpy(), theta, t["pid"].to_numpy() if own else None, t["th"].to_numpy(), *give.what, above, whole)
+            return give(t["pid"], phi, acc)
+
+        out = placed.groupBy(*at).cogroup(exchanged.groupBy(*at)).applyInPandas(act, give.schema)
+        return out if len(at) == 1 else _added(out)
 
     def _exchange(self, points: DataFrame | None) -> tuple[DataFrame, DataFrame, Any]:
-        """Targets with their ``block``; ``block, domain, part``: of each domain what a block's box can reach of it; and the tree above, broadcast."""
+        """Targets with their ``block``; ``block, slice, domain, whole, part``: of each domain what a block's box can reach of it, where it is ``whole`` as rows of particles; and the tree above, broadcast.
+
+        A block is some of a domain's targets, or those of several domains on end.
+        """
         spark, forest = self.snap.df.sparkSession, self.forest
         targets, theta, own, domains = self._targets(points), self.theta, points is None, forest.domains
         shared = spark.sparkContext.broadcast((forest.top, forest.domain))  # MOST_DOMAINS rows
@@ -235,17 +264,16 @@ class Gravity:
         located = targets.mapInPandas(locate, "pid long, tx double, ty double, tz double, th double, block long")
         held = forest.held if own else {r["block"]: r["count"] for r in located.groupBy("block").count().collect()}  # MOST_DOMAINS rows
         n = sum(held.values())
-        # A block holds as many targets as a domain has particles; few targets are shared by all cores.
-        most = max(1, min(max(self.cell, -(-n // MOST_DOMAINS)), -(-n // spark.sparkContext.defaultParallelism)))
-        chunks = np.ones(len(domains.start), np.int64)
-        for i, k in held.items():
-            chunks[i] = min(-(-k // most), CHUNKS)
+        # A block holds as many targets as a domain has particles; under small angles it looks into most domains anyway, and takes the targets of several. Few targets are shared by all cores.
+        wide = BLOCK if theta <= 0 else min(BLOCK, self.cell * (WIDE / theta) ** 3)
+        most = max(1, min(max(self.cell, int(wide), -(-n // MOST_DOMAINS)), -(-n // (4 * spark.sparkContext.defaultParallelism))))
+        lead, chunks = dealt(np.array([held.get(i, 0) for i in range(len(domains.start))], np.int64), most)
 
         def deal(batches):
             for t in batches:
                 at = t["block"].to_numpy()
-                dealt = (t["pid"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-                yield t.assign(block=at * CHUNKS + (dealt.astype(np.int64) % chunks[at]))
+                hashed = (t["pid"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+                yield t.assign(block=lead[at] * CHUNKS + (hashed.astype(np.int64) % chunks[at]))
 
         placed = located.mapInPandas(deal, "pid long, tx double, ty double, tz double, th double, block long")
         boxes = placed.groupBy("block").agg(*[f(f"t{c}").alias(f"{name}{c}") for f, name in ((F.min, "l"), (F.max, "h")) for c in "xyz"], F.max("th").alias("h"))
@@ -259,17 +287,37 @@ class Gravity:
 
         pairs = boxes.mapInPandas(look, "block long, lx double, ly double, lz double, hx double, hy double, hz double, h double, domain long")
 
+        slice_of = forest.slice_of
+
         def send(tree: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
             if not len(asked):
-                return pd.DataFrame({"block": [], "domain": [], "part": []})
-            whole = pickle.loads(tree["tree"].iloc[0])
-            parts = [pickle.dumps(whole.essential(a, z, h, theta, own), 5) for a, z, h in zip(asked[low].to_numpy(), asked[high].to_numpy(), asked["h"].to_numpy(), strict=True)]
-            return pd.DataFrame({"block": asked["block"], "domain": asked["domain"], "part": parts})
-
-        exchanged = forest.trees.select("domain", "tree").groupBy("domain").cogroup(pairs.groupBy("domain")).applyInPandas(send, "block long, domain long, part binary")
+                return pd.DataFrame({"block": [], "slice": [], "domain": [], "whole": [], "part": []})
+            tree_of = pickle.loads(tree["tree"].iloc[0])
+            lows, highs = asked[low].to_numpy(), asked[high].to_numpy()
+            whole = tree_of.all_near(lows, highs, theta)
+            rows = tree_of.rows() if whole.any() else b""
+            parts = [rows if w else pickle.dumps(tree_of.essential(a, z, h, theta, own), 5) for w, a, z, h in zip(whole, lows, highs, asked["h"].to_numpy(), strict=True)]
+            return pd.DataFrame({"block": asked["block"], "slice": slice_of[asked["domain"].to_numpy()], "domain": asked["domain"], "whole": whole, "part": parts})
+
+        exchanged = forest.trees.select("domain", "tree").groupBy("domain").cogroup(pairs.groupBy("domain")).applyInPandas(send, "block long, slice long, domain long, whole boolean, part binary")
         return placed, exchanged, shared
 
 
+class _Given:
+    """The sums asked for: whether potentials and accelerations are to be computed, and the rows that give them."""
+
+    def __init__(self, g: float, sums: Sequence[str]) -> None:
+        if not sums or set(sums) - set(SUMS):
+            raise ValueError(f"sums are some of {SUMS}")
+        self.g, self.sums = g, tuple(sums)
+        self.what = "phi" in sums, bool(set(sums) - {"phi"})
+        self.schema = ", ".join(["pid long", *[f"{c} double" for c in sums]])
+
+    def __call__(self, ids: Any, phi: np.ndarray, acc: np.ndarray) -> pd.DataFrame:
+        of = {"phi": phi, **dict(zip(SUMS[1:], acc.T, strict=True))}
+        return pd.DataFrame({"pid": ids, **{c: self.g * of[c] for c in self.sums}})
+
+
 def _paired(particles: DataFrame, n: int) -> DataFrame:
     """Each row once for each of ``n`` blocks: ``i, j``, the pair of its own block and that one, and whether its own is the ``second``."""
     dealt = particles.withColumn("own", F.pmod(F.xxhash64("sid"), F.lit(n)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
@@ -277,11 +325,11 @@ def _paired(particles: DataFrame, n: int) -> DataFrame:
 
 
 def _added(parts: DataFrame) -> DataFrame:
-    return parts.groupBy("pid").agg(*[F.sum(c).alias(c) for c in ("phi", "ax", "ay", "az")])
+    return parts.groupBy("pid").agg(*[F.sum(c).alias(c) for c in parts.columns if c != "pid"])
 
 
 class Forest(NamedTuple):
-    """The domains, a row with each one's tree, the tree above with each node's domain, the particles of each domain and of all."""
+    """The domains, a row with each one's tree, the tree above with each node's domain, the particles of each domain and of all, and the slice of each domain: some ``SLICE`` particles on end."""
 
     domains: Domains
     trees: DataFrame
@@ -289,6 +337,11 @@ class Forest(NamedTuple):
     domain: np.ndarray
     held: dict[int, int]
     n: int
+    slice_of: np.ndarray
+
+    @property
+    def slices(self) -> int:
+        return int(self.slice_of[-1]) + 1
 
 
 def _of(snap: Snapshot, softening: Any, kernel: str | None, **options: Any) -> Gravity:
@@ -306,16 +359,16 @@ def _points(snap: Snapshot, positions: DataFrame | Sequence[Sequence[float]] | N
 def calculate_potential(snap: Snapshot, positions: Any = None, softening: Any = None, method: str = "tree", *, kernel: str | None = None, theta: float = 0.7, leaf_capacity: int = 8, multipole_order: int = 3) -> DataFrame:
     """``pid, phi`` in velocity units squared (G is 1 without units)."""
     g = _of(snap, softening, kernel, theta=theta, leaf_capacity=leaf_capacity, multipole_order=multipole_order)
-    return _by(g, method, _points(snap, positions)).select("pid", "phi")
+    return _by(g, method, _points(snap, positions), ("phi",))
 
 
 def calculate_acceleration(snap: Snapshot, positions: Any = None, softening: Any = None, method: str = "tree", *, kernel: str | None = None, theta: float = 0.7, leaf_capacity: int = 8, multipole_order: int = 3) -> DataFrame:
     """``pid, ax, ay, az`` in velocity units squared over length units."""
     g = _of(snap, softening, kernel, theta=theta, leaf_capacity=leaf_capacity, multipole_order=multipole_order)
-    return _by(g, method, _points(snap, positions)).select("pid", "ax", "ay", "az")
+    return _by(g, method, _points(snap, positions), ("ax", "ay", "az"))
 
 
-def _by(g: Gravity, method: str, points: DataFrame | None) -> DataFrame:
+def _by(g: Gravity, method: str, points: DataFrame | None, sums: Sequence[str]) -> DataFrame:
     if method not in ("tree", "direct"):
         raise ValueError(f"method {method!r} is neither tree nor direct")
-    return getattr(g, method)(points)
+    return getattr(g, method)(points, sums)

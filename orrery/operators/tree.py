@@ -15,7 +15,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 
-from ..functions.kernels import SPLINE_FAR, SPLINE_NEAR, TINY, polynomial
+from ..functions.kernels import SPLINE_NEAR, TINY
 
 #: Nodes are not cut below this depth: coincident particles share a leaf. Three bits a level fill 63.
 DEPTH = 21
@@ -23,6 +23,10 @@ DEPTH = 21
 INNER, LEAF, CLOSED = 0, 1, 2
 #: How much nearer a box counts than it is, so that what is closed for a box is closed for each place in it.
 SLACK = 1e-9
+#: Below this share of the softening length the spline's inner piece is taken as it is.
+NEAR = 0.02
+#: Pairs of target and node that a walk holds at once, for each level.
+PAIRS = 250_000
 #: A node is opened within so many softening lengths.
 REACH = {"newton": 0.0, "plummer": 2.8, "spline": 1.0}
 
@@ -31,65 +35,158 @@ def indices(order: int) -> list[tuple[int, int, int]]:
     return [k for n in range(order + 1) for k in itertools.product(range(n + 1), repeat=3) if sum(k) == n]
 
 
-def kernel_values(kind: str, r2: np.ndarray, h: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
-    """Potential per unit mass, and the factor of the separation in the acceleration."""
-    r = np.sqrt(r2 + TINY)
+def kernel_values(kind: str, r2: np.ndarray, h: np.ndarray | float, potential: bool = True, force: bool = True, p: np.ndarray | None = None, g: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Potential per unit mass with its sign turned, and the factor of the separation in the acceleration; ``p`` and ``g`` are where to put them."""
+    p = np.empty_like(r2) if p is None else p
+    np.add(r2, h * h + TINY if kind == "plummer" else TINY, out=p)
+    np.sqrt(p, out=p)
+    np.divide(1.0, p, out=p)
+    if force:
+        with np.errstate(over="ignore"):
+            g = np.multiply(p, p, out=np.empty_like(r2) if g is None else g)
+            g *= p
+    if kind == "spline":
+        soften(r2, h, potential, force, p, g)
+    if force and r2.size and r2.min() == 0:
+        g[r2 == 0] = 0.0
+    return p, g
+
+
+def soften(r2: np.ndarray, h: np.ndarray | float, potential: bool, force: bool, p: np.ndarray, g: np.ndarray | None) -> None:
+    """The spline kernel in place of 1/r and 1/r^3: with truncated powers of v = 1 - u and w = 1/2 - u, r times the potential is -1 + v^5 (16/5 - 32/15 v) - w^5 (32/5 - 128/15 w). At small u, where these cancel, its inner piece."""
     with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
-        phi, g = -1 / r, np.where(r2 > 0, 1 / r**3, 0.0)
-        h = np.broadcast_to(h, r2.shape)
-        soft = h > 0
-        if kind == "plummer":
-            s = np.sqrt(r2 + h * h)
-            phi, g = np.where(soft, -1 / s, phi), np.where(soft, s**-3.0, g)
-        elif kind == "spline":
-            u = r / np.where(soft, h, 1)
-            near, far = soft & (u < 0.5), soft & (u >= 0.5) & (u < 1)
-            hh = np.where(soft, h, 1)
-            for part, pieces in ((near, SPLINE_NEAR), (far, SPLINE_FAR)):
-                phi = np.where(part, polynomial(pieces, u) / hh, phi)
-                g = np.where(part, np.where(r2 > 0, polynomial(pieces, u, True) / (hh * hh * r), 0.0), g)
-    return phi, g
-
-
-def pair_sums(t, th, s, m, sh, kind, soft, own, tid=None, sid=None, pairs: int = 1_000_000):
+        by = 1.0 / h if np.ndim(h) else np.float64(np.inf if h == 0 else 1.0 / h)
+        v = r2 * p
+        v *= by
+        np.subtract(1.0, v, out=v)
+        np.fmax(v, 0.0, out=v)
+        w = v - 0.5
+        np.maximum(w, 0.0, out=w)
+        power, other = v * v, w * w
+        power *= power
+        other *= other
+        q = v * (-32 / 15)
+        q += 16 / 5
+        q *= v
+        q *= power
+        part = w * (-128 / 15)
+        part += 32 / 5
+        part *= w
+        part *= other
+        q -= part
+        if force:
+            v *= 64 / 5
+            v -= 16.0
+            v *= power
+            w *= -256 / 5
+            w += 32.0
+            w *= other
+            v += w
+            v *= np.minimum(by, 1e300)
+            q -= 1.0
+            np.multiply(q, p, out=part)
+            v -= part
+            np.multiply(p, p, out=g)
+            g *= v
+            q += 1.0
+        np.subtract(1.0, q, out=q)
+        p *= q
+        near = h * NEAR
+        inside = np.flatnonzero(r2 < near * near)
+        if len(inside):
+            hh = np.broadcast_to(h, r2.shape).ravel()[inside]
+            u = np.sqrt(r2.ravel()[inside] + TINY) / hh
+            if potential:
+                p.reshape(-1)[inside] = horner(SPLINE_NEAR, u) / -hh
+            if force:
+                g.reshape(-1)[inside] = horner(SPLINE_NEAR, u, True) / (u * hh**3)
+
+
+def horner(pieces: tuple[tuple[int, float], ...], u: np.ndarray, slope: bool = False) -> np.ndarray:
+    """The kernel's inner piece, or its slope, at u."""
+    of = {n - slope: c * (n if slope else 1) for n, c in pieces if n or not slope}
+    out = 0.0
+    for n in range(max(of), -1, -1):
+        out = out * u + of.get(n, 0.0)
+    return out
+
+
+class Meeting:
+    """Two sets of particles, met tile by tile in room that is used again and fits a core's cache."""
+
+    COLUMNS = 1024
+
+    def __init__(self, kind: str, soft: bool, potential: bool, force: bool, pairs: int = 2**15) -> None:
+        self.kind, self.soft, self.potential, self.force = kind, soft, potential, force
+        self.columns = min(self.COLUMNS, pairs)
+        self.rows = max(1, pairs // self.columns)
+        self.room = np.empty((7, self.rows * self.columns))
+
+    def tiles(self, a: np.ndarray, ha: np.ndarray | None, b: np.ndarray, hb: np.ndarray, ids: tuple[np.ndarray, np.ndarray] | None):
+        """``rows, columns, p, g, (dx, dy, dz), work`` of each tile. ``a`` and ``b`` have a row a coordinate; without ``ha`` only ``hb`` softens; particles of one id do not act on each other."""
+        lengths = [x for x in (ha, hb) if x is not None and len(x)]
+        one_length = self.soft and bool(lengths) and all((x == lengths[0][0]).all() for x in lengths)
+        for lo in range(0, a.shape[1], self.rows):
+            rows = slice(lo, lo + self.rows)
+            for left in range(0, b.shape[1], self.columns):
+                columns = slice(left, left + self.columns)
+                x, y = a[:, rows], b[:, columns]
+                shape = x.shape[1], y.shape[1]
+                dx, dy, dz, r2, p, g, work = (r[: shape[0] * shape[1]].reshape(shape) for r in self.room)
+                for d, one, other in zip((dx, dy, dz), x, y, strict=True):
+                    np.subtract(other[None], one[:, None], out=d)
+                np.multiply(dx, dx, out=r2)
+                for d in (dy, dz):
+                    np.multiply(d, d, out=work)
+                    r2 += work
+                h = 0.0
+                if one_length:
+                    h = lengths[0][0]
+                elif self.soft:
+                    h = hb[None, columns] if ha is None else np.maximum(ha[rows, None], hb[None, columns], out=work)
+                kernel_values(self.kind, r2, h, self.potential, self.force, p, g)
+                if ids is not None:
+                    same = ids[0][rows, None] == ids[1][None, columns]
+                    if same.any():
+                        p[same] = 0.0
+                        g[same] = 0.0
+                yield rows, columns, p, g, (dx, dy, dz), work
+
+
+def pair_sums(t, th, s, m, sh, kind, soft, own, tid=None, sid=None, potential: bool = True, force: bool = True):
     phi, acc = np.zeros(len(t)), np.zeros((len(t), 3))
-    if not len(s):
-        return phi, acc
-    block = max(1, pairs // len(s))
-    for lo in range(0, len(t), block):
-        d = s[None] - t[lo : lo + block, None]
-        h = (np.maximum(th[lo : lo + block, None], sh[None]) if own else sh[None]) if soft else 0.0
-        p, g = kernel_values(kind, (d * d).sum(-1), h)
-        if own:
-            same = tid[lo : lo + block, None] == sid[None]
-            p, g = np.where(same, 0.0, p), np.where(same, 0.0, g)
-        phi[lo : lo + block] = p @ m
-        acc[lo : lo + block] = np.einsum("ij,ijk,j->ik", g, d, m)
+    a, b = np.ascontiguousarray(t.T), np.ascontiguousarray(s.T)
+    for rows, columns, p, g, d, work in Meeting(kind, soft, potential, force).tiles(a, th if own else None, b, sh, (tid, sid) if own else None):
+        if potential:
+            phi[rows] -= p @ m[columns]
+        if force:
+            for i in range(3):
+                acc[rows, i] += np.multiply(g, d[i], out=work) @ m[columns]
     return phi, acc
 
 
-def mutual_sums(a, ha, ma, b, hb, mb, kind, soft, pairs: int = 1_000_000):
+def mutual_sums(a, ha, ma, b, hb, mb, kind, soft, potential: bool = True, force: bool = True, pairs: int = 2**15):
     """The sums of two blocks of particles on each other: one kernel value a pair, accelerations equal and opposite."""
     phi, acc = (np.zeros(len(a)), np.zeros(len(b))), (np.zeros((len(a), 3)), np.zeros((len(b), 3)))
-    block = max(1, pairs // max(len(b), 1))
-    for lo in range(0, len(a) if len(b) else 0, block):
-        some = slice(lo, lo + block)
-        d = b[None] - a[some, None]
-        p, g = kernel_values(kind, (d * d).sum(-1), np.maximum(ha[some, None], hb[None]) if soft else 0.0)
-        phi[0][some] = p @ mb
-        phi[1][:] += ma[some] @ p
-        acc[0][some] = np.einsum("ij,ijk,j->ik", g, d, mb)
-        acc[1][:] -= np.einsum("ij,ijk,i->jk", g, d, ma[some])
+    for rows, columns, p, g, d, work in Meeting(kind, soft, potential, force, pairs).tiles(np.ascontiguousarray(a.T), ha, np.ascontiguousarray(b.T), hb, None):
+        if potential:
+            phi[0][rows] -= p @ mb[columns]
+            phi[1][columns] -= ma[rows] @ p
+        if force:
+            for i in range(3):
+                np.multiply(g, d[i], out=work)
+                acc[0][rows, i] += work @ mb[columns]
+                acc[1][columns, i] -= ma[rows] @ work
     return phi, acc
 
 
-def own_sums(a, h, m, ids, kind, soft, block: int = 1000):
+def own_sums(a, h, m, ids, kind, soft, potential: bool = True, force: bool = True, block: int = 1000):
     """The sums of a block of particles on itself; each pair of its parts is met once."""
     phi, acc = np.zeros(len(a)), np.zeros((len(a), 3))
     for lo in range(0, len(a), block):
         one, rest = slice(lo, lo + block), slice(lo + block, None)
-        p, g = pair_sums(a[one], h[one], a[one], m[one], h[one], kind, soft, True, ids[one], ids[one])
-        (p1, p2), (g1, g2) = mutual_sums(a[one], h[one], m[one], a[rest], h[rest], m[rest], kind, soft)
+        p, g = pair_sums(a[one], h[one], a[one], m[one], h[one], kind, soft, True, ids[one], ids[one], potential, force)
+        (p1, p2), (g1, g2) = mutual_sums(a[one], h[one], m[one], a[rest], h[rest], m[rest], kind, soft, potential, force)
         phi[one] += p + p1
         acc[one] += g + g1
         phi[rest] += p2
@@ -233,17 +330,33 @@ class Tree:
         return stretches(self.first[node], self.kids[node])
 
     def essential(self, low: np.ndarray, high: np.ndarray, h: float, theta: float, own: bool) -> Tree:
-        """What targets in the box from ``low`` to ``high``, of softening up to ``h``, can reach of the tree."""
-        keep, kind, levels, node = [], [], [0], np.array([0])
+        """What targets in the box from ``low`` to ``high``, of softening up to ``h``, can reach of the tree. A node below which all of them come to every particle becomes a leaf."""
+        keep, kind, near, levels, node = [], [], [], [0], np.array([0])
         while len(node):
             node = node[self.total[node] != 0] if levels != [0] else node
             closed = (self.kind[node] == CLOSED) | ((self.kind[node] == INNER) & self.far_from_box(node, low, high, h, theta, own))
             keep.append(node)
             kind.append(np.where(closed, CLOSED, self.kind[node]))
+            near.append((kind[-1] == LEAF) | ((kind[-1] == INNER) & self.near_to_box(node, low, high, theta)))
             levels.append(levels[-1] + len(node))
             node = self.below(node[kind[-1] == INNER])
-        keep, kind = np.concatenate(keep), np.concatenate(kind).astype(np.int8)
+        # From below: a node is whole where it is near and all of its children are.
         place = np.full(len(self.start), -1)
+        whole = near
+        for d in range(len(keep) - 1, 0, -1):
+            place[keep[d - 1]] = np.arange(len(keep[d - 1]))
+            whole[d - 1][place[self.parent[keep[d][~whole[d]]]]] = False
+        gone = np.zeros(len(self.start), bool)
+        for d in range(len(keep)):
+            if d:
+                up = self.parent[keep[d]]
+                place[keep[d - 1]] = np.arange(len(keep[d - 1]))
+                gone[keep[d]] = gone[up] | whole[d - 1][place[up]]
+            kind[d] = np.where(whole[d], LEAF, kind[d])
+        stay = [~gone[k] for k in keep]
+        levels = np.concatenate([[0], np.cumsum([x.sum() for x in stay])])
+        keep, kind = (np.concatenate([v[x] for v, x in zip(of, stay, strict=True)]) for of in (keep, kind))
+        kind = kind.astype(np.int8)
         place[keep] = np.arange(len(keep))
         parent = np.where(keep > 0, place[self.parent[keep]], -1)
         kids = np.bincount(parent[1:], minlength=len(keep))
@@ -256,6 +369,16 @@ class Tree:
             first=np.where(kids > 0, np.searchsorted(parent, np.arange(len(keep))), 0), kids=kids, kind=kind, levels=levels, com=self.com[keep], total=self.total[keep], hmax=self.hmax[keep], moments=self.moments[keep],
         )
 
+    def all_near(self, low: np.ndarray, high: np.ndarray, theta: float) -> np.ndarray:
+        """For each box (a row of ``low`` and of ``high``) whether every place in it comes to every particle."""
+        node = np.flatnonzero((self.kind == INNER) & (self.total != 0))
+        return np.array([bool(self.near_to_box(node, a, z, theta).all()) for a, z in zip(low, high, strict=True)], bool)
+
+    def rows(self) -> bytes:
+        """All particles, as rows of x, y, z, mass, softening and the bits of the id."""
+        soft = np.zeros(len(self.pos)) if self.soft is None else self.soft
+        return np.column_stack([self.pos, self.mass, soft, self.ids.astype(np.int64).view(float)]).tobytes()
+
     def far_from_box(self, node: np.ndarray, low: np.ndarray, high: np.ndarray, h: float, theta: float, own: bool) -> np.ndarray:
         com = self.com[node]
         away = np.maximum(np.maximum(low - com, com - high), 0.0)
@@ -263,56 +386,96 @@ class Tree:
         soft = (np.maximum(self.hmax[node], h) if own else self.hmax[node]) * self.reach
         return ((2 * self.half[node]) ** 2 < theta * theta * r2) & (r2 > soft * soft)
 
-    def evaluate(self, targets: np.ndarray, theta: float, own: np.ndarray | None = None, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Potential and acceleration at the targets; ``own``: their ids, if they are the particles themselves."""
+    def near_to_box(self, node: np.ndarray, low: np.ndarray, high: np.ndarray, theta: float) -> np.ndarray:
+        """Whether each place in the box opens the node."""
+        com = self.com[node]
+        away = np.maximum(np.abs(com - low), np.abs(high - com))
+        r2, soft = (away * away).sum(1) * (1 + SLACK), self.hmax[node] * self.reach
+        return ((2 * self.half[node]) ** 2 >= theta * theta * r2) | (r2 <= soft * soft)
+
+    def sort_out(self, node: np.ndarray, low: np.ndarray, high: np.ndarray, h: float, theta: float, own: bool) -> tuple[np.ndarray, ...]:
+        """Nodes with mass by what a box of targets makes of them: far for all, leaves, opened by all, and those on which each target decides."""
+        node = node[self.total[node] != 0]
+        leaf = self.kind[node] == LEAF
+        far = ~leaf & self.far_from_box(node, low, high, h, theta, own)
+        near = ~leaf & ~far & self.near_to_box(node, low, high, theta)
+        if (self.kind[node[near]] == CLOSED).any():
+            raise AssertionError("a node is closed that a target opens")
+        return node[far], node[leaf], node[near], node[~far & ~leaf & ~near]
+
+    def far(self, targets: np.ndarray, t: np.ndarray, node: np.ndarray, theta: float, h: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs are far, and their separations."""
+        d = self.com[node] - targets[t]
+        r2 = (d * d).sum(1)
+        soft = (np.maximum(self.hmax[node], h[t]) if own else self.hmax[node]) * self.reach
+        return (self.kind[node] != LEAF) & ((2 * self.half[node]) ** 2 < theta * theta * r2) & (r2 > soft * soft), d
+
+    def evaluate(self, targets: np.ndarray, theta: float, own: np.ndarray | None = None, h: np.ndarray | None = None, potential: bool = True, force: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Potential and acceleration at the targets; ``own``: their ids, if they are the particles themselves.
+
+        The box of all targets walks first. Where it leaves a node open to decision each target walks on by itself; of such pairs no more than some ``PAIRS`` are held.
+        """
         n = len(targets)
         phi, acc = np.zeros(n), np.zeros((n, 3))
         if not n or not len(self.start):
             return phi, acc
         h = np.zeros(n) if h is None or self.soft is None else h
-        t, node = np.arange(n), np.zeros(n, int)
-        while len(t):
+        low, high, most = targets.min(0), targets.max(0), h.max()
+        leaves, mixed, node = [], [], np.array([0])
+        while len(node):
+            far, leaf, near, each = self.sort_out(node, low, high, most, theta, own is not None)
+            for t, some in pairs_of(n, far):
+                self._far(phi, acc, t, some, self.com[some] - targets[t], potential, force)
+            leaves.append(leaf)
+            mixed.append(each)
+            node = self.below(near)
+        leaf = np.concatenate(leaves)
+        rows = stretches(self.start[leaf], self.end[leaf] - self.start[leaf])
+        p, a = pair_sums(targets, h, self.pos[rows], self.mass[rows], None if self.soft is None else self.soft[rows], self.kernel, self.soft is not None, own is not None, own, self.ids[rows], potential, force)
+        phi += p
+        acc += a
+        todo = [pairs for each in mixed for pairs in pairs_of(n, each)]
+        while todo:
+            t, node = todo.pop()
             alive = self.total[node] != 0
             t, node = t[alive], node[alive]
-            d = self.com[node] - targets[t]
-            r2 = (d * d).sum(1)
-            soft = (np.maximum(self.hmax[node], h[t]) if own is not None else self.hmax[node]) * self.reach
             leaf = self.kind[node] == LEAF
-            far = ~leaf & ((2 * self.half[node]) ** 2 < theta * theta * r2) & (r2 > soft * soft)
+            far, d = self.far(targets, t, node, theta, h, own is not None)
             if (self.kind[node][~far] == CLOSED).any():
                 raise AssertionError("a node is closed that a target opens")
-            self._far(phi, acc, t[far], node[far], d[far])
+            self._far(phi, acc, t[far], node[far], d[far], potential, force)
             self._leaves(phi, acc, targets, t[leaf], node[leaf], own, h)
             rest = ~far & ~leaf
-            t, node = np.repeat(t[rest], self.kids[node[rest]]), self.below(node[rest])
+            todo += parted(np.repeat(t[rest], self.kids[node[rest]]), self.below(node[rest]))
         return phi, acc
 
-    def _far(self, phi, acc, t, node, d, block: int = 100_000) -> None:
-        """Taylor series about the centre of mass: coefficients of 1/r by their three-term recurrence."""
-        top = max(self.order, 1)
+    def _far(self, phi, acc, t, node, d, potential: bool = True, force: bool = True, block: int = 50_000) -> None:
+        """Taylor series about the centre of mass: coefficients of 1/r by their three-term recurrence. """
+        full = self.order if self.order > 1 else 0
+        forces = max(self.order - 1, 0)
         for lo in range(0, len(t), block):
-            tt, nn, x = t[lo : lo + block], node[lo : lo + block], -d[lo : lo + block]
-            r2 = (x * x).sum(1)
+            tt, nn, x = t[lo : lo + block], node[lo : lo + block], -d[lo : lo + block].T.copy()
+            r2 = (x * x).sum(0)
             a = {(0, 0, 0): 1 / np.sqrt(r2)}
-            for k in indices(top)[1:]:
+            for k in indices(max(full, forces + 1) if force else full)[1:]:
                 size = sum(k)
                 one, two = 0.0, 0.0
                 for i in range(3):
                     if k[i]:
-                        one = one + x[:, i] * a[tuple(v - (j == i) for j, v in enumerate(k))]
+                        one = one + x[i] * a[tuple(v - (j == i) for j, v in enumerate(k))]
                     if k[i] > 1:
                         two = two + a[tuple(v - 2 * (j == i) for j, v in enumerate(k))]
                 a[k] = ((2 * size - 1) * one - (size - 1) * two) / (size * r2)
-            m = self.moments[nn] if self.order > 1 else self.total[nn][:, None]
-            p, f = np.zeros(len(tt)), np.zeros((len(tt), 3))
-            for c, k in enumerate(indices(self.order if self.order > 1 else 0)):
+            m = (self.moments[nn] if full else self.total[nn][:, None]).T.copy()
+            p, f = np.zeros(len(tt)), np.zeros((3, len(tt)))
+            for c, k in enumerate(indices(full)):
                 if sum(k) == 1:
                     continue  # about the centre of mass there is no dipole
-                p -= m[:, c] * a[k]
-                if sum(k) <= max(self.order - 1, 0):
-                    for i in range(3):
-                        f[:, i] -= m[:, c] * (k[i] + 1) * a[tuple(v + (j == i) for j, v in enumerate(k))]
-            add_up(phi, acc, tt, p, f)
+                if potential:
+                    p -= m[c] * a[k]
+                for i in range(3 if force and sum(k) <= forces else 0):
+                    f[i] -= m[c] * (k[i] + 1) * a[tuple(v + (j == i) for j, v in enumerate(k))]
+            add_up(phi, acc, tt, p, f.T)
 
     def _leaves(self, phi, acc, targets, t, node, own, h, block: int = 200_000) -> None:
         k = self.end[node] - self.start[node]
@@ -326,7 +489,21 @@ class Tree:
             if own is not None:
                 keep = self.ids[j] != own[tt]
                 p, g = p * keep, g * keep
-            add_up(phi, acc, tt, p * self.mass[j], (g * self.mass[j])[:, None] * d)
+            add_up(phi, acc, tt, -p * self.mass[j], (g * self.mass[j])[:, None] * d)
+
+
+def pairs_of(n: int, node: np.ndarray):
+    """Each of ``n`` targets with each node, some ``PAIRS`` at a time."""
+    step = max(1, PAIRS // max(len(node), 1))
+    for lo in range(0, n if len(node) else 0, step):
+        t = np.arange(lo, min(lo + step, n))
+        for left in range(0, len(node), PAIRS):
+            some = node[left : left + PAIRS]
+            yield np.repeat(t, len(some)), np.tile(some, len(t))
+
+
+def parted(t: np.ndarray, node: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(t[lo : lo + PAIRS], node[lo : lo + PAIRS]) for lo in range(0, len(t), PAIRS)]
 
 
 def add_up(phi: np.ndarray, acc: np.ndarray, t: np.ndarray, p: np.ndarray, f: np.ndarray) -> None:

@@ -395,7 +395,7 @@ _DIRECT_ACC = f"{EP} SELECT a.pid AS pid, {_ACC} {_PAIR}"
 
 
 def gravity(method: str, what: tuple[str, ...], at_points: bool = False, **options) -> Query:
-    return lambda spark, d: rounded(getattr(Gravity(particles_e(spark, d), **options), method)(points(spark) if at_points else None).select("pid", *what), 5)
+    return lambda spark, d: rounded(getattr(Gravity(particles_e(spark, d), **options), method)(points(spark) if at_points else None, what), 5)
 
 
 _A = ("ax", "ay", "az")

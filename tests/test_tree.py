@@ -151,3 +151,41 @@ def test_odd_inputs(spark):
     assert o.Gravity(massless).tree().agg(F.max(F.abs("phi"))).first()[0] == 0
     p, a = pair_sums(np.eye(3), np.zeros(3), np.eye(3), np.zeros(3), np.zeros(3), "newton", False, True, np.arange(3), np.arange(3))
     assert not p.any() and not a.any()
+
+
+def test_many_small_domains_share_blocks_and_come_in_slices(spark, monkeypatch):
+    """At theta 0 every particle meets every other: few blocks, whole domains as rows, no task with all of them."""
+    from orrery.operators import gravity
+
+    monkeypatch.setattr(gravity, "SLICE", 200)
+    pos, m, h = cloud(700, 5)
+    s = o.from_arrays(spark, {"pos": pos, "mass": m, "eps": h})
+    for theta in (0.0, 0.6):
+        g = o.Gravity(s, "eps", "plummer", theta=theta, cell=20)
+        placed, sent, _ = g._exchange(None)
+        assert g.forest.slices > 2 and placed.select("block").distinct().count() < len(g.forest.domains.start) / 2
+        assert theta or sent.agg(F.bool_and("whole")).first()[0]
+        phi, acc = Tree.build(pos, m, h, np.arange(700), kernel="plummer").evaluate(pos, theta, np.arange(700), h)
+        got = g.tree().orderBy("pid").toPandas()
+        assert np.allclose(got["phi"], phi, rtol=1e-11) and np.allclose(got[["ax", "ay", "az"]], acc, rtol=1e-9, atol=1e-7)
+        assert g.tree(sums=("phi",)).columns == ["pid", "phi"]
+        g.release()
+
+
+def test_walk_holds_few_pairs(monkeypatch):
+    """Pairs of target and node are met some at a time; the sums are the same."""
+    from orrery.operators import tree as t
+
+    pos, m, h = cloud(1500, 7)
+    whole = Tree.build(pos, m, h, np.arange(1500), kernel="spline")
+    want = whole.evaluate(pos, 0.7, np.arange(1500), h)
+    monkeypatch.setattr(t, "PAIRS", 100)
+    held = []
+    far = Tree.far
+    monkeypatch.setattr(Tree, "far", lambda self, targets, a, *rest: held.append(len(a)) or far(self, targets, a, *rest))
+    for x, y in zip(whole.evaluate(pos, 0.7, np.arange(1500), h), want, strict=True):
+        assert np.allclose(x, y, rtol=1e-10, atol=1e-8)
+    assert max(held) <= 100
+    held.clear()
+    assert np.allclose(whole.evaluate(pos, 0.0, np.arange(1500), h)[0], pair_sums(pos, h, pos, m, h, "spline", True, True, np.arange(1500), np.arange(1500))[0], rtol=1e-11)
+    assert not held
