@@ -450,9 +450,9 @@ class Tree:
         return phi, acc
 
     def _far(self, phi, acc, t, node, d, potential: bool = True, force: bool = True, block: int = 50_000) -> None:
-        """Taylor series about the centre of mass: coefficients of 1/r by their three-term recurrence. """
+        """Taylor series about the centre of mass: coefficients of 1/r by their three-term recurrence. From order 3 on the acceleration is the gradient of all that the potential has; below it is that of the mass alone."""
         full = self.order if self.order > 1 else 0
-        forces = max(self.order - 1, 0)
+        forces = self.order if self.order > 2 else 0
         for lo in range(0, len(t), block):
             tt, nn, x = t[lo : lo + block], node[lo : lo + block], -d[lo : lo + block].T.copy()
             r2 = (x * x).sum(0)

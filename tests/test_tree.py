@@ -189,3 +189,12 @@ def test_walk_holds_few_pairs(monkeypatch):
     held.clear()
     assert np.allclose(whole.evaluate(pos, 0.0, np.arange(1500), h)[0], pair_sums(pos, h, pos, m, h, "spline", True, True, np.arange(1500), np.arange(1500))[0], rtol=1e-11)
     assert not held
+
+
+def test_acceleration_is_the_gradient_of_the_potential():
+    pos, m, _ = cloud()
+    for order in (0, 3, 4, 5):
+        tree = Tree.build(pos, m, None, np.arange(900), order=order)
+        at, step = np.array([[9.0, 7.0, -8.0]]), 1e-4
+        slope = [(tree.evaluate(at + e, 0.9)[0] - tree.evaluate(at - e, 0.9)[0])[0] / (2 * step) for e in step * np.eye(3)]
+        assert np.allclose(tree.evaluate(at, 0.9)[1][0], -np.array(slope), rtol=1e-7)
