@@ -28,12 +28,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import hashed_sample, stage
+from .ranges import running
+from .store import stage
 from .text import WORD_CLASS, let, put
 
 WINDOW = 5
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 BASE_WORDS, BASE_REPEAT_PERCENT = 10, 20
+#: Strata with cutoffs up to this number are broadcast.
+BROADCAST_STRATA = 50_000
 
 #: Rule: what is compared with the cutoff.
 RULES = {
@@ -94,12 +97,38 @@ def _stratum(name: str) -> Column:
     return F.coalesce(F.concat(F.lit("s"), F.col(f"`{name}`").cast("string")), F.lit(""))
 
 
+def quantiles(each: DataFrame) -> dict[tuple[str, bool], list[float]]:
+    """Of ``rule, good, value`` the quantiles at GOOD_SHARES or BAD_SHARES for each rule and label, exact over all rows: places by running sums over ranges of values."""
+    held = running(each.groupBy("rule", "good", "value").agg(F.count("*").alias("n")), [F.col("rule"), F.col("good"), F.col("value")], {"before": F.col("n")}, "label_values")
+    held = stage(held, "label_places")
+    # Bounded: a row for each rule and label.
+    total = held.groupBy("rule", "good").agg(F.sum("n").alias("total"), F.min("before").alias("start"))
+    at = F.col("before") - F.col("start")
+    places = lambda shares: F.flatten(F.array(*[F.array(*[f(F.lit(p) * (F.col("total") - 1)) for f in (F.floor, F.ceil)]) for p in shares]))
+    wanted = F.array_distinct(F.when(F.col("good"), places(GOOD_SHARES)).otherwise(places(BAD_SHARES)))
+    met = held.join(F.broadcast(total), ["rule", "good"]).select("rule", "good", "value", "total", F.explode(F.filter(wanted, lambda i: (i >= at) & (i < at + F.col("n")))).alias("place"))
+    of: dict[tuple[str, bool], dict[int, float]] = {}
+    totals = {}
+    for r in met.collect():  # bounded: two rows a rule, label and share
+        of.setdefault((r["rule"], r["good"]), {})[r["place"]] = r["value"]
+        totals[r["rule"], r["good"]] = r["total"]
+    out = {}
+    for key, values in of.items():
+        out[key] = []
+        for share in GOOD_SHARES if key[1] else BAD_SHARES:
+            place = share * (totals[key] - 1)
+            low, high = values[math.floor(place)], values[math.ceil(place)]
+            out[key].append(low if low == high else (math.ceil(place) - place) * low + (place - math.floor(place)) * high)
+    return out
+
+
 def propose(rows: DataFrame, *, min_bad: float, max_good: float, least_ratio: float) -> list[tuple[str, float]]:
     """The sequence of rules and cutoffs, from ``good`` and a column for each rule. Its length is bounded by RULES and the shares."""
     each = rows.select("good", F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(k).alias("value")) for k in RULES])).alias("r")).select("good", "r.rule", "r.value")
-    at = each.groupBy("rule").agg(F.percentile(F.when(F.col("good"), F.col("value")), list(GOOD_SHARES)).alias("g"), F.percentile(F.when(~F.col("good"), F.col("value")), list(BAD_SHARES)).alias("b"))
-    middle = F.flatten(F.transform("g", lambda g: F.transform("b", lambda b: (g + b) / 2)))
-    cuts = at.select("rule", F.sort_array(F.array_distinct(F.coalesce(middle, F.array().cast("array<double>")))).alias("cuts"))
+    each = stage(each, "label_rules")
+    at = quantiles(each)
+    cuts = [(k, sorted({(g + b) / 2 for g in at.get((k, True), []) for b in at.get((k, False), [])})) for k in RULES]
+    cuts = rows.sparkSession.createDataFrame(cuts, "rule string, cuts array<double>")
     # The number of cutoffs a value reaches tells all of them; counts by that number are summed from the top.
     reached = each.join(F.broadcast(cuts), "rule").groupBy("rule", "cuts", "good", F.size(F.filter("cuts", lambda c: c <= F.col("value"))).alias("reached")).agg(F.count("*").alias("n"))
     counts: dict[tuple[str, bool], dict[int, int]] = {}
@@ -118,10 +147,9 @@ def propose(rows: DataFrame, *, min_bad: float, max_good: float, least_ratio: fl
     return [(rule, -cutoff) for _, cutoff, rule in sorted(found)]
 
 
-def fit_cutoffs(measured: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", stratum_col: str = "lang", alpha: float = 0.04, delta: float = 0.05, min_bad: float = 0.01, max_good: float = 0.02, least_ratio: float = 5.0, max_labels: int = 200_000) -> DataFrame:
-    """``stratum, rule, cutoff``: a row for each rule that stands in a stratum. ``max_labels`` bounds the labelled documents used (those of least hash of the id)."""
+def fit_cutoffs(measured: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", stratum_col: str = "lang", alpha: float = 0.04, delta: float = 0.05, min_bad: float = 0.01, max_good: float = 0.02, least_ratio: float = 5.0) -> DataFrame:
+    """``stratum, rule, cutoff``: a row for each rule that stands in a stratum. All labelled documents take part."""
     lab = labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("q")).where("id is not null and q is not null").groupBy("id").agg((F.min("q") > 0).alias("good"))
-    lab = hashed_sample(lab, ["id"], max_labels)
     rows = measured.where(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).select(F.col(f"`{id_col}`").alias("id"), _stratum(stratum_col).alias("stratum"), *[f(F.col).alias(k) for k, f in RULES.items()])
     first = F.pmod(F.crc32(F.col("id").cast("string")), F.lit(3)) == 0
     rows = stage(rows.join(lab, "id").select("stratum", first.alias("first"), "good", *RULES), "labelled")
@@ -153,8 +181,9 @@ def fit_cutoffs(measured: DataFrame, labels: DataFrame, *, id_col: str = "doc_id
 def judge(measured: DataFrame, cutoffs: DataFrame, *, stratum_col: str = "lang") -> DataFrame:
     """``measured`` with ``base_failed`` and ``kept``. ``cutoffs`` has a row a stratum and rule: it is joined as one row a stratum."""
     one = cutoffs.groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff")).select(F.col("stratum").alias("_stratum"), *[F.col(k).alias(f"_cut_{k}") for k in RULES])
-    # Bounded: a stratum with cutoffs has more than 1 / alpha labelled documents of max_labels.
-    both = measured.join(F.broadcast(one), _stratum(stratum_col) == F.col("_stratum"), "left")
+    one = stage(one, "cutoffs")
+    one = F.broadcast(one) if one.count() <= BROADCAST_STRATA else one
+    both = measured.join(one, _stratum(stratum_col) == F.col("_stratum"), "left")
     rejected = F.lit(False)
     for k, f in RULES.items():
         rejected = rejected | F.coalesce(f(F.col) >= F.col(f"_cut_{k}"), F.lit(False))

@@ -370,3 +370,22 @@ def test_line_runs_are_in_the_shared_folder_and_go(spark, docs):
     left = [f for f in os.listdir(shared) if f.startswith(("orrery_run", "orrery_batch", "orrery_level", "orrery_repeats"))]
     assert out.count() == len(rows()) and not left and (set(os.listdir(warehouse)) if os.path.isdir(warehouse) else set()) == before
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("orrery_run")]
+
+
+def test_all_labels_decide(spark):
+    """300,000 labels in 300 strata: each stratum's bound needs more good documents than two thirds of the labels hold."""
+    from pyspark.sql import functions as F
+
+    from orrery.llm.quality import BAD_SHARES, GOOD_SHARES, MEASURES, RULES, fit_cutoffs, quantiles
+
+    rows = spark.range(300_000).select(F.col("id").alias("doc_id"), (F.col("id") % 300).cast("string").alias("lang"), (F.floor(F.col("id") / 300) % 5 < 2).cast("int").alias("quality"))
+    fixed = {"n_words": 100, "word_chars": 500, "n_lines": 10}
+    measured = rows.select("doc_id", "lang", *[(F.when(F.col("quality") == 0, 50).otherwise(0) if m == "n_symbols" else F.lit(fixed.get(m, 0))).cast("long").alias(m) for m in MEASURES])
+    got = fit_cutoffs(measured, rows.select("doc_id", "quality")).collect()
+    assert len({r["stratum"] for r in got}) == 300 and {r["rule"] for r in got} == {"symbols"}
+
+    each = spark.range(5000).select(F.lit("symbols").alias("rule"), (F.col("id") % 3 == 0).alias("good"), F.round(F.rand(4) * (1 + F.col("id") % 7), 2).alias("value")).localCheckpoint()
+    at = quantiles(each)
+    for good, shares in ((True, GOOD_SHARES), (False, BAD_SHARES)):
+        assert at["symbols", good] == each.where(F.col("good") == good).agg(F.percentile("value", list(shares))).first()[0]
+    assert set(at) == {("symbols", True), ("symbols", False)} and set(RULES) > {"symbols"}
