@@ -36,6 +36,8 @@ from .tree import DEPTH, Tree, codes
 #: Sources up to this number (some 50 bytes each) are broadcast whole.
 BROADCAST_SOURCES = 20_000
 BLOCK = 20_000
+#: A block takes the targets of several domains up to this number under any angle: a task has to be worth its exchange.
+FEWEST = 400
 #: Below this angle blocks of targets grow, by its third power.
 WIDE = 0.7
 #: Sources that come together in a task for a block of targets; beyond it they come in several, whose sums are added.
@@ -265,7 +267,7 @@ class Gravity:
         held = forest.held if own else {r["block"]: r["count"] for r in located.groupBy("block").count().collect()}  # MOST_DOMAINS rows
         n = sum(held.values())
         # A block holds as many targets as a domain has particles; under small angles it looks into most domains anyway, and takes the targets of several. Few targets are shared by all cores.
-        wide = BLOCK if theta <= 0 else min(BLOCK, self.cell * (WIDE / theta) ** 3)
+        wide = BLOCK if theta <= 0 else min(BLOCK, max(FEWEST, self.cell * (WIDE / theta) ** 3))
         most = max(1, min(max(self.cell, int(wide), -(-n // MOST_DOMAINS)), -(-n // (4 * spark.sparkContext.defaultParallelism))))
         lead, chunks = dealt(np.array([held.get(i, 0) for i in range(len(domains.start))], np.int64), most)
 
