@@ -120,8 +120,8 @@ class Gravity:
         each kernel value serves both particles. Rows of one id are in one block.
         """
         spark = self.snap.df.sparkSession
-        # Enough pairs for all cores, however few the particles.
-        n = max(-(-particles.count() // BLOCK), math.isqrt(4 * spark.sparkContext.defaultParallelism) + 1)
+        # Some sixteen pairs a core, however few the particles: hashing deals pairs to partitions unevenly.
+        n = max(-(-particles.count() // BLOCK), math.isqrt(32 * spark.sparkContext.defaultParallelism) + 1)
         kind, soft = self.kind, self.softening is not None
         ship(spark)
 

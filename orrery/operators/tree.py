@@ -35,64 +35,84 @@ def indices(order: int) -> list[tuple[int, int, int]]:
     return [k for n in range(order + 1) for k in itertools.product(range(n + 1), repeat=3) if sum(k) == n]
 
 
-def kernel_values(kind: str, r2: np.ndarray, h: np.ndarray | float, potential: bool = True, force: bool = True, p: np.ndarray | None = None, g: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Potential per unit mass with its sign turned, and the factor of the separation in the acceleration; ``p`` and ``g`` are where to put them."""
+def kernel_values(kind: str, r2: np.ndarray, h: np.ndarray | float, potential: bool = True, force: bool = True, p: np.ndarray | None = None, g: np.ndarray | None = None, least: float | None = None, room: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Potential per unit mass with its sign turned, and the factor of the separation in the acceleration; ``p`` and ``g`` are where to put them, ``least`` a lower bound of ``r2``, ``room`` five more arrays like it."""
     p = np.empty_like(r2) if p is None else p
-    np.add(r2, h * h + TINY if kind == "plummer" else TINY, out=p)
-    np.sqrt(p, out=p)
+    least = (r2.min() if r2.size else np.inf) if least is None else least
+    if kind == "plummer" or not least > 0:
+        np.add(r2, h * h + TINY if kind == "plummer" else TINY, out=p)
+        np.sqrt(p, out=p)
+    else:
+        np.sqrt(r2, out=p)
     np.divide(1.0, p, out=p)
     if force:
         with np.errstate(over="ignore"):
             g = np.multiply(p, p, out=np.empty_like(r2) if g is None else g)
             g *= p
-    if kind == "spline":
-        soften(r2, h, potential, force, p, g)
-    if force and r2.size and r2.min() == 0:
+    if kind == "spline" and not least >= np.max(h, initial=0.0) ** 2:
+        room = np.empty((5, *r2.shape)) if room is None else room
+        within = np.flatnonzero(r2 < h * h)
+        if 2 * len(within) > r2.size:
+            soften(r2, h, potential, force, p, g, least, room)
+        elif len(within):
+            some = [x.reshape(-1)[within] if x is not None else None for x in (r2, p, g)]
+            soften(some[0], np.broadcast_to(h, r2.shape).reshape(-1)[within] if np.ndim(h) else h, potential, force, *some[1:], least, [x.reshape(-1)[: len(within)] for x in room])
+            for x, got in zip((p, g), some[1:], strict=True):
+                if x is not None:
+                    x.reshape(-1)[within] = got
+    if force and not least > 0:
         g[r2 == 0] = 0.0
     return p, g
 
 
-def soften(r2: np.ndarray, h: np.ndarray | float, potential: bool, force: bool, p: np.ndarray, g: np.ndarray | None) -> None:
-    """The spline kernel in place of 1/r and 1/r^3: with truncated powers of v = 1 - u and w = 1/2 - u, r times the potential is -1 + v^5 (16/5 - 32/15 v) - w^5 (32/5 - 128/15 w). At small u, where these cancel, its inner piece."""
+def soften(r2: np.ndarray, h: np.ndarray | float, potential: bool, force: bool, p: np.ndarray, g: np.ndarray | None, least: float, room: np.ndarray) -> None:
+    """The spline kernel in place of 1/r and 1/r^3: with truncated powers of v = 1 - u and w = 1/2 - u, r times the potential is -1 + v^5 (16/5 - 32/15 v) - w^5 (32/5 - 128/15 w). At small u, where these cancel, its inner piece, and where all are below 1/2 that alone. ``least``: a lower bound of ``r2``."""
     with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+        if least > 0 and r2.max() < (0.5 * np.min(h)) ** 2:
+            inner_piece(r2, h, potential, force, p, g, room)
+            return
         by = 1.0 / h if np.ndim(h) else np.float64(np.inf if h == 0 else 1.0 / h)
-        v = r2 * p
+        inner = not least >= (0.5 * np.max(h)) ** 2  # otherwise w is 0
+        v, w, power, other, q = room
+        np.multiply(r2, p, out=v)
         v *= by
         np.subtract(1.0, v, out=v)
         np.fmax(v, 0.0, out=v)
-        w = v - 0.5
-        np.maximum(w, 0.0, out=w)
-        power, other = v * v, w * w
+        np.multiply(v, v, out=power)
         power *= power
-        other *= other
-        q = v * (-32 / 15)
+        np.multiply(v, -32 / 15, out=q)
         q += 16 / 5
         q *= v
         q *= power
-        part = w * (-128 / 15)
-        part += 32 / 5
-        part *= w
-        part *= other
-        q -= part
         if force:
-            v *= 64 / 5
-            v -= 16.0
-            v *= power
-            w *= -256 / 5
-            w += 32.0
-            w *= other
-            v += w
-            v *= np.minimum(by, 1e300)
+            np.multiply(v, 64 / 5, out=g)
+            g -= 16.0
+            g *= power
+        if inner:
+            np.subtract(v, 0.5, out=w)
+            np.maximum(w, 0.0, out=w)
+            np.multiply(w, w, out=other)
+            other *= other
+            part = np.multiply(w, -128 / 15, out=power)
+            part += 32 / 5
+            part *= w
+            part *= other
+            q -= part
+            if force:
+                w *= -256 / 5
+                w += 32.0
+                w *= other
+                g += w
+        if force:
+            g *= np.minimum(by, 1e300)
             q -= 1.0
-            np.multiply(q, p, out=part)
-            v -= part
-            np.multiply(p, p, out=g)
-            g *= v
+            g -= np.multiply(q, p, out=power)
+            g *= np.multiply(p, p, out=power)
             q += 1.0
         np.subtract(1.0, q, out=q)
         p *= q
         near = h * NEAR
-        inside = np.flatnonzero(r2 < near * near)
+        inside = np.flatnonzero(r2 < near * near) if not least >= np.max(near) ** 2 else ()
         if len(inside):
             hh = np.broadcast_to(h, r2.shape).ravel()[inside]
             u = np.sqrt(r2.ravel()[inside] + TINY) / hh
@@ -102,6 +122,28 @@ def soften(r2: np.ndarray, h: np.ndarray | float, potential: bool, force: bool,
                 g.reshape(-1)[inside] = horner(SPLINE_NEAR, u, True) / (u * hh**3)
 
 
+def inner_piece(r2: np.ndarray, h: np.ndarray | float, potential: bool, force: bool, p: np.ndarray, g: np.ndarray | None, room: np.ndarray) -> None:
+    """The spline kernel where all separations are above 0 and below half the softening length."""
+    u, u2 = room[:2]
+    np.multiply(r2, p, out=u)
+    u *= 1.0 / h
+    np.multiply(u, u, out=u2)
+    if force:
+        np.multiply(u, 32.0, out=g)
+        g -= 192 / 5
+        g *= u2
+        g += 32 / 3
+        g *= 1.0 / (h * h * h)
+    if potential:
+        np.multiply(u, 32 / 5, out=p)
+        p -= 48 / 5
+        p *= u2
+        p += 16 / 3
+        p *= u2
+        p -= 14 / 5
+        p *= -1.0 / h
+
+
 def horner(pieces: tuple[tuple[int, float], ...], u: np.ndarray, slope: bool = False) -> np.ndarray:
     """The kernel's inner piece, or its slope, at u."""
     of = {n - slope: c * (n if slope else 1) for n, c in pieces if n or not slope}
@@ -112,76 +154,149 @@ def horner(pieces: tuple[tuple[int, float], ...], u: np.ndarray, slope: bool = F
 
 
 class Meeting:
-    """Two sets of particles, met tile by tile in room that is used again and fits a core's cache."""
+    """Two sets of particles, met tile by tile in room that is used again and fits a core's cache.
+
+    Squares of separations are a matrix product, |x|^2 + |y|^2 - 2 xy about the middle of a tile's
+    rows, and accelerations are products with the places of the sources. Pairs so close that
+    these cancel are ``near`` and are taken from their separations one by one.
+    """
 
-    COLUMNS = 1024
+    COLUMNS = 256
+    #: Near pairs: those whose square is not above this share of the tile's largest |x|^2 + |y|^2.
+    SHARE = 1e-3
 
     def __init__(self, kind: str, soft: bool, potential: bool, force: bool, pairs: int = 2**15) -> None:
         self.kind, self.soft, self.potential, self.force = kind, soft, potential, force
         self.columns = min(self.COLUMNS, pairs)
         self.rows = max(1, pairs // self.columns)
-        self.room = np.empty((7, self.rows * self.columns))
+        self.room = np.empty((8 if kind == "spline" else 3, self.rows * self.columns))
 
-    def tiles(self, a: np.ndarray, ha: np.ndarray | None, b: np.ndarray, hb: np.ndarray, ids: tuple[np.ndarray, np.ndarray] | None):
-        """``rows, columns, p, g, (dx, dy, dz), work`` of each tile. ``a`` and ``b`` have a row a coordinate; without ``ha`` only ``hb`` softens; particles of one id do not act on each other."""
-        lengths = [x for x in (ha, hb) if x is not None and len(x)]
-        one_length = self.soft and bool(lengths) and all((x == lengths[0][0]).all() for x in lengths)
-        for lo in range(0, a.shape[1], self.rows):
+    def tiles(self, a: np.ndarray, ha: np.ndarray | None, b: np.ndarray, hb: np.ndarray | None, ids: tuple[np.ndarray, np.ndarray] | None):
+        """``rows, columns, p, g, x, y, near`` of each tile: ``x`` and ``y`` are the places about its middle, ``near`` the pairs whose ``g`` is left out: rows, columns, factors, separations. Without ``ha`` only ``hb`` softens; particles of one id do not act on each other."""
+        for lo in range(0, len(a), self.rows):
             rows = slice(lo, lo + self.rows)
-            for left in range(0, b.shape[1], self.columns):
-                columns = slice(left, left + self.columns)
-                x, y = a[:, rows], b[:, columns]
-                shape = x.shape[1], y.shape[1]
-                dx, dy, dz, r2, p, g, work = (r[: shape[0] * shape[1]].reshape(shape) for r in self.room)
-                for d, one, other in zip((dx, dy, dz), x, y, strict=True):
-                    np.subtract(other[None], one[:, None], out=d)
-                np.multiply(dx, dx, out=r2)
-                for d in (dy, dz):
-                    np.multiply(d, d, out=work)
-                    r2 += work
-                h = 0.0
-                if one_length:
-                    h = lengths[0][0]
-                elif self.soft:
-                    h = hb[None, columns] if ha is None else np.maximum(ha[rows, None], hb[None, columns], out=work)
-                kernel_values(self.kind, r2, h, self.potential, self.force, p, g)
-                if ids is not None:
-                    same = ids[0][rows, None] == ids[1][None, columns]
-                    if same.any():
-                        p[same] = 0.0
-                        g[same] = 0.0
-                yield rows, columns, p, g, (dx, dy, dz), work
+            middle = a[rows].mean(0)
+            middle = np.where(np.isfinite(middle), middle, 0.0)
+            x = a[rows] - middle
+            xx = (x * x).sum(1)
+            left = np.column_stack([-2.0 * x, xx, np.ones(len(x))])
+            for at in range(0, len(b), self.columns):
+                columns = slice(at, at + self.columns)
+                y = b[columns] - middle
+                yy = (y * y).sum(1)
+                shape = len(x), len(y)
+                r2, p, g, *more = (r[: shape[0] * shape[1]].reshape(shape) for r in self.room)
+                np.dot(left, np.concatenate([y.T, np.ones((1, len(y))), yy[None]]), out=r2)
+                h = self._lengths(None if ha is None else ha[rows], hb, columns)
+                same = None if ids is None else ids[0][rows, None] == ids[1][None, columns]
+                least, close = r2.min(), self.SHARE * (xx.max() + yy.max())
+                near = None
+                if not least > close:
+                    i, j = np.nonzero(~(r2 > close))
+                    d = b[columns][j] - a[rows][i]
+                    near = i, j, *kernel_values(self.kind, (d * d).sum(1), np.broadcast_to(h, shape)[i, j], self.potential, self.force), d
+                    r2[i, j] = max(close, 1.0) if close < np.inf else 1.0
+                    least = close
+                kernel_values(self.kind, r2, h, self.potential, self.force, p, g, least, more)
+                if near is not None:
+                    i, j, p_near, g_near, d = near
+                    p[i, j] = p_near
+                    near = None
+                    if self.force:
+                        g[i, j] = 0.0
+                        near = i, j, g_near if same is None else np.where(same[i, j], 0.0, g_near), d
+                if same is not None and same.any():
+                    p[same] = 0.0
+                    g[same] = 0.0
+                yield rows, columns, p, g, x, y, near
+
+    def _lengths(self, ha: np.ndarray | None, hb: np.ndarray | None, columns: slice) -> np.ndarray | float:
+        """A tile's softening lengths: one number where all are equal."""
+        if not self.soft:
+            return 0.0
+        hb = hb[columns]
+        if (hb == hb[0]).all() and (ha is None or (ha == ha[0]).all()):
+            return float(hb[0] if ha is None else max(ha[0], hb[0]))
+        return hb[None] if ha is None else np.maximum(ha[:, None], hb[None])
+
+
+def pulled(g: np.ndarray, x: np.ndarray, y: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The accelerations at ``x`` by masses at ``y``."""
+    sums = g @ np.column_stack([m[:, None] * y, m])
+    return sums[:, :3] - x * sums[:, 3:]
+
+
+def by_place(x: np.ndarray, h: np.ndarray | None, many: int) -> np.ndarray | None:
+    """An order in which particles on end are near each other and have one softening length, if there are few of these; None where there are too few pairs for it to be worth while."""
+    if many < 1_000_000:
+        return None
+    with np.errstate(all="ignore"):
+        code = codes(x, *cube_of(x))
+    few = h is not None and len(np.unique(h[:1000])) <= 16
+    return np.lexsort((code, h)) if few else np.argsort(code, kind="stable")
+
+
+def _sorted(by: np.ndarray | None, *arrays: np.ndarray | None) -> list[np.ndarray | None]:
+    return [x if by is None or x is None else x[by] for x in arrays]
+
+
+def _back(by: np.ndarray | None, x: np.ndarray) -> np.ndarray:
+    if by is None:
+        return x
+    out = np.empty_like(x)
+    out[by] = x
+    return out
 
 
 def pair_sums(t, th, s, m, sh, kind, soft, own, tid=None, sid=None, potential: bool = True, force: bool = True):
     phi, acc = np.zeros(len(t)), np.zeros((len(t), 3))
-    a, b = np.ascontiguousarray(t.T), np.ascontiguousarray(s.T)
-    for rows, columns, p, g, d, work in Meeting(kind, soft, potential, force).tiles(a, th if own else None, b, sh, (tid, sid) if own else None):
+    if not len(t) or not len(s):
+        return phi, acc
+    one, other = by_place(t, th if soft and own else None, len(t) * len(s)), by_place(s, sh if soft else None, len(t) * len(s))
+    t, th, tid = _sorted(one, t, th, tid)
+    s, m, sh, sid = _sorted(other, s, m, sh, sid)
+    for rows, columns, p, g, x, y, near in Meeting(kind, soft, potential, force).tiles(t, th if own else None, s, sh, (tid, sid) if own else None):
         if potential:
             phi[rows] -= p @ m[columns]
         if force:
-            for i in range(3):
-                acc[rows, i] += np.multiply(g, d[i], out=work) @ m[columns]
-    return phi, acc
+            acc[rows] += pulled(g, x, y, m[columns])
+            if near is not None:
+                i, j, factor, d = near
+                add_rows(acc[rows], i, (factor * m[columns][j])[:, None] * d)
+    return _back(one, phi), _back(one, acc)
 
 
 def mutual_sums(a, ha, ma, b, hb, mb, kind, soft, potential: bool = True, force: bool = True, pairs: int = 2**15):
     """The sums of two blocks of particles on each other: one kernel value a pair, accelerations equal and opposite."""
     phi, acc = (np.zeros(len(a)), np.zeros(len(b))), (np.zeros((len(a), 3)), np.zeros((len(b), 3)))
-    for rows, columns, p, g, d, work in Meeting(kind, soft, potential, force, pairs).tiles(np.ascontiguousarray(a.T), ha, np.ascontiguousarray(b.T), hb, None):
+    if not len(a) or not len(b):
+        return phi, acc
+    one, other = (by_place(x, h if soft else None, len(a) * len(b)) for x, h in ((a, ha), (b, hb)))
+    a, ha, ma = _sorted(one, a, ha, ma)
+    b, hb, mb = _sorted(other, b, hb, mb)
+    for rows, columns, p, g, x, y, near in Meeting(kind, soft, potential, force, pairs).tiles(a, ha, b, hb, None):
         if potential:
             phi[0][rows] -= p @ mb[columns]
             phi[1][columns] -= ma[rows] @ p
         if force:
-            for i in range(3):
-                np.multiply(g, d[i], out=work)
-                acc[0][rows, i] += work @ mb[columns]
-                acc[1][columns, i] -= ma[rows] @ work
-    return phi, acc
+            acc[0][rows] += pulled(g, x, y, mb[columns])
+            acc[1][columns] += pulled(g.T, y, x, ma[rows])
+            if near is not None:
+                i, j, factor, d = near
+                add_rows(acc[0][rows], i, (factor * mb[columns][j])[:, None] * d)
+                add_rows(acc[1][columns], j, (-factor * ma[rows][i])[:, None] * d)
+    return tuple(map(_back, (one, other), phi)), tuple(map(_back, (one, other), acc))
+
+
+def add_rows(acc: np.ndarray, at: np.ndarray, f: np.ndarray) -> None:
+    for k in range(3):
+        acc[:, k] += np.bincount(at, f[:, k], len(acc))
 
 
 def own_sums(a, h, m, ids, kind, soft, potential: bool = True, force: bool = True, block: int = 1000):
     """The sums of a block of particles on itself; each pair of its parts is met once."""
+    by = by_place(a, h if soft else None, len(a) ** 2)
+    a, h, m, ids = _sorted(by, a, h, m, ids)
     phi, acc = np.zeros(len(a)), np.zeros((len(a), 3))
     for lo in range(0, len(a), block):
         one, rest = slice(lo, lo + block), slice(lo + block, None)
@@ -191,7 +306,7 @@ def own_sums(a, h, m, ids, kind, soft, potential: bool = True, force: bool = Tru
         acc[one] += g + g1
         phi[rest] += p2
         acc[rest] += g2
-    return phi, acc
+    return _back(by, phi), _back(by, acc)
 
 
 def codes(x: np.ndarray, centre: np.ndarray, half: float) -> np.ndarray:

@@ -198,3 +198,38 @@ def test_acceleration_is_the_gradient_of_the_potential():
         at, step = np.array([[9.0, 7.0, -8.0]]), 1e-4
         slope = [(tree.evaluate(at + e, 0.9)[0] - tree.evaluate(at - e, 0.9)[0])[0] / (2 * step) for e in step * np.eye(3)]
         assert np.allclose(tree.evaluate(at, 0.9)[1][0], -np.array(slope), rtol=1e-7)
+
+
+@pytest.mark.parametrize("kind", ["newton", "plummer", "spline"])
+@pytest.mark.parametrize("where", [0.0, 1e5])
+def test_tiles_give_near_pairs_one_by_one(kind, where):
+    """Products of places cancel for pairs that are close for their tile: those come apart, with the factors of their own separations."""
+    from orrery.operators.tree import Meeting, kernel_values, own_sums
+
+    rng = np.random.default_rng(4)
+    pos = np.concatenate([rng.normal(size=(1000, 3)), 1e-4 * rng.normal(size=(150, 3)) + 2, np.repeat(rng.normal(size=(50, 3)), 4, 0)]) + where
+    m, h, ids = rng.uniform(1, 2, len(pos)), rng.choice([0.05, 0.7], len(pos)), np.arange(len(pos))
+    if kind == "spline":
+        h[:5] = 0.0
+    d = pos[None] - pos[:, None]
+    p, g = kernel_values(kind, (d * d).sum(2).ravel(), np.maximum(h[:, None], h[None]).ravel() if kind != "newton" else 0.0)
+    p, g = (x.reshape(len(pos), -1) * (1 - np.eye(len(pos))) for x in (p, g))
+    phi, acc = -(p @ m), np.einsum("ij,ijk->ik", g * m, d)
+    size = np.einsum("ij,ijk->ik", g * m, np.abs(d)).max(1)
+    soft = kind != "newton"
+    for got in (pair_sums(pos, h, pos, m, h, kind, soft, True, ids, ids), own_sums(pos, h, m, ids, kind, soft, block=300)):
+        assert np.allclose(got[0], phi, rtol=1e-12) and (np.abs(got[1] - acc).max(1) <= 1e-12 * size).all()
+    near = [t[-1] for t in Meeting(kind, soft, True, True).tiles(pos, h, pos, h, (ids, ids))]
+    assert 150**2 <= sum(len(x[0]) for x in near if x is not None) < len(pos) ** 2 / 4
+
+
+def test_direct_pairs_are_many_for_the_cores(spark, monkeypatch):
+    from orrery.operators import gravity
+
+    dealt, paired = [], gravity._paired
+    monkeypatch.setattr(gravity, "_paired", lambda particles, n: dealt.append(n) or paired(particles, n))
+    monkeypatch.setattr(gravity, "BROADCAST_SOURCES", 10)
+    pos, m, _ = cloud(60)
+    o.Gravity(o.from_arrays(spark, {"pos": pos, "mass": m})).direct()
+    n = dealt[0]
+    assert n * (n + 1) // 2 >= 16 * spark.sparkContext.defaultParallelism
