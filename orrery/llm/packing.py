@@ -104,7 +104,7 @@ class Words:
         out: list[bytes] = []
         for lo in range(0, len(new), JOINED):
             part = new[lo : lo + JOINED]
-            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")  # without offsets
             last = np.flatnonzero(self.ends[ids]) + 1
             if len(last) == len(part) and all(UNIT.fullmatch(w) for w in part):
                 data, end = ids.tobytes(), 4 * last

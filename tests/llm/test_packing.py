@@ -107,3 +107,18 @@ def test_masks_and_whole_sequences(spark):
         pack(spark.createDataFrame([(1, b"\0" * 8, b"\1")], "id long, ids binary, mask binary"), id_col="id", loss_col="mask").collect()
     with pytest.raises(ValueError):
         Limits(0)
+
+
+def test_units_are_encoded_without_offsets():
+    """The library's plain ``encode`` also keeps each token's place in the text, which nobody asks for."""
+    import public_tokenizers
+    from orrery.llm.packing import Words
+
+    class Fast:
+        def __init__(self, library):
+            self.encode_batch_fast = library.encode_batch_fast
+
+    words = Words(public_tokenizers.path("word_bpe_49k.json"))
+    library, words.library = words.library, Fast(words.library)
+    text = "The quick brown fox isn't 12 years old; naïve Größe, zzyzx-1987 e-mail@example.org!"
+    assert np.frombuffer(words.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
