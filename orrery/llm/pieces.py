@@ -195,6 +195,18 @@ def _schema(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([f for f in df.schema.fields if f.name.lower() != name.lower()] + [T.StructField(name, kind)])
 
 
+def _lists(parts: list[bytes]) -> Iterator[tuple[int, int, pa.Array]]:
+    """First and last row and ids of texts, as lists of int32: all at once, or row by row where they are too many for one array."""
+    ends = np.zeros(len(parts) + 1, "<i8")
+    np.cumsum([len(p) // 4 for p in parts], out=ends[1:])
+    flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(parts))])
+    if ends[-1] < 2**31:
+        yield 0, len(parts), pa.ListArray.from_arrays(pa.array(ends.astype("<i4")), flat)
+    else:
+        for i in range(len(parts)):
+            yield i, i + 1, pa.ListArray.from_arrays(pa.array([0, len(parts[i]) // 4], pa.int32()), flat.slice(int(ends[i]), len(parts[i]) // 4))
+
+
 def encode(docs: DataFrame, model: str, *, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with the ids of ``text_col`` in ``ids_col``. ``model`` is a path that every worker has."""
 
@@ -203,20 +215,32 @@ def encode(docs: DataFrame, model: str, *, text_col: str = "text", ids_col: str
         for batch in _slices(batches):
             parts = [own.encode(t.as_py()) for t in batch.column(batch.schema.get_field_index(text_col))]
             own.check()
-            ends = np.zeros(len(parts) + 1, "<i8")
-            np.cumsum([len(p) // 4 for p in parts], out=ends[1:])
-            flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(parts))])
-            if ends[-1] < 2**31:
-                ids = pa.ListArray.from_arrays(pa.array(ends.astype("<i4")), flat)
-                yield _with(batch, ids_col, ids)
-            else:
-                for i in range(len(parts)):
-                    yield _with(batch.slice(i, 1), ids_col, pa.ListArray.from_arrays(pa.array([0, len(parts[i]) // 4], pa.int32()), flat.slice(int(ends[i]), len(parts[i]) // 4)))
+            for lo, hi, ids in _lists(parts):
+                yield _with(batch.slice(lo, hi - lo), ids_col, ids)
 
     ship(docs.sparkSession)
     return docs.mapInArrow(run, _schema(docs, ids_col, T.ArrayType(T.IntegerType(), False)))
 
 
+def recode(docs: DataFrame, model: str, *, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """``docs`` without ``text_col``, with its ids in ``ids_col`` and the text of these in ``decoded_col``: ``encode`` and ``decode`` by one worker a task, so that one table of words is held and ids are not sent from worker to worker."""
+    gone = {c.lower() for c in (text_col, ids_col, decoded_col)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(model)
+        for batch in _slices(batches):
+            parts = [own.encode(t.as_py()) for t in batch.column(batch.schema.get_field_index(text_col))]
+            own.check()
+            keep = [i for i, c in enumerate(batch.schema.names) if c.lower() not in gone]
+            for lo, hi, ids in _lists(parts):
+                texts = [own.vocabulary.decode(np.frombuffer(p, "<i4").tolist()) for p in parts[lo:hi]]
+                yield pa.RecordBatch.from_arrays([batch.column(i)[lo:hi] for i in keep] + [ids, pa.array(texts, pa.string())], names=[batch.schema.names[i] for i in keep] + [ids_col, decoded_col])
+
+    ship(docs.sparkSession)
+    fields = [f for f in docs.schema.fields if f.name.lower() not in gone]
+    return docs.mapInArrow(run, T.StructType([*fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False)), T.StructField(decoded_col, T.StringType())]))
+
+
 def decode(encoded: DataFrame, model: str, *, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``encoded`` with the text of ``ids_col`` in ``text_col``."""
 

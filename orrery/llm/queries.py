@@ -13,7 +13,7 @@ from .lexical import search
 from .line_dedup import dedup_lines
 from .mixing import Mix
 from .packing import Limits, pack, tokenize
-from .pieces import decode, encode
+from .pieces import recode
 from .quality import fit_cutoffs, judge, measure
 from .secrets import KINDS, scan_secrets, spans_text
 from .shingle_join import near_duplicates
@@ -55,7 +55,7 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     model = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decode(encode(docs, model).drop("text"), model)
+    out = recode(docs, model)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -13,7 +13,7 @@ from orrery.llm.components import components
 from orrery.llm.html_text import extract, extract_text
 from orrery.llm.line_dedup import dedup_lines
 from orrery.llm.mixing import Mix
-from orrery.llm.pieces import Codec, decode, encode
+from orrery.llm.pieces import Codec, decode, encode, recode
 from orrery.llm.quality import allowed_rejections, fit_cutoffs, judge, measure
 from orrery.llm.secrets import scan_secrets, spans_text
 from orrery.llm.shingle_join import near_duplicates, search
@@ -203,6 +203,19 @@ def test_pieces(spark, docs, none):
         assert list(r.ids) == want and r.decoded == codec.library.decode(want)
 
 
+def test_pieces_there_and_back_by_one_worker_a_task(spark, docs, none, tmp_path):
+    import corpus_pipeline  # noqa: PLC0415
+
+    from orrery.llm.queries import op5_pieces  # noqa: PLC0415
+
+    two, one = decode(encode(docs, MODEL).drop("text"), MODEL), recode(docs, MODEL)
+    assert one.schema == two.schema and recode(none, MODEL).count() == 0
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for df in (corpus_pipeline.piece_stage(spark, docs, ""), op5_pieces(spark, str(tmp_path))):
+        assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_pieces_agenda_as_heap():
     codec = Codec(MODEL)
     v = codec.vocabulary
