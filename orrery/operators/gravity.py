@@ -44,6 +44,8 @@ WIDE = 0.7
 SLICE = 100_000
 #: Domains in all: beyond it they hold more than ``cell`` particles, so that what is above them stays small.
 MOST_DOMAINS = 100_000
+#: Bundles of domains a core.
+PER_CORE = 4
 #: Blocks of targets in a domain.
 CHUNKS = 2**20
 KERNELS = ("newton", "plummer", "spline")
@@ -173,24 +175,30 @@ class Gravity:
         domains = self._domains(sources, n, cube)
         soft, leaf, order, kind = self.softening is not None, self.leaf_capacity, self.multipole_order, self.kind
 
+        # Small domains on end are built, and later sent, by one call: a bundle holds some BLOCK particles at most, for few of them less.
+        cells = len(domains.start)
+        bundles = min(cells, max(PER_CORE * spark.sparkContext.defaultParallelism, -(-n // BLOCK)))
+
         def place(batches):
             for s in batches:
-                yield s.assign(domain=domains.of_points(s[["sx", "sy", "sz"]].to_numpy()))
+                domain = domains.of_points(s[["sx", "sy", "sz"]].to_numpy())
+                yield s.assign(domain=domain, bundle=domain * bundles // cells)
 
         def build(s: pd.DataFrame) -> pd.DataFrame:
-            d = int(s["domain"].iloc[0])
-            s = s.sort_values("sid")
-            tree = Tree.build(s[["sx", "sy", "sz"]].to_numpy(), s["sm"].to_numpy(), s["sh"].to_numpy() if soft else None, s["sid"].to_numpy(), cube=cube, depth=int(domains.depth[d]), leaf_capacity=leaf, order=order, kernel=kind)
-            return pd.DataFrame([{"domain": d, **summary(tree), "tree": pickle.dumps(tree, 5)}])
-
-        placed = sources.mapInPandas(place, "sid long, sx double, sy double, sz double, sm double, sh double, domain long")
-        root = "domain long, n long, inner boolean, total double, com array<double>, hmax double, moments array<double>"
-        trees = placed.groupBy("domain").applyInPandas(build, f"{root}, tree binary").persist()
-        roots = {r["domain"]: r.asDict() for r in trees.drop("tree").collect()}  # MOST_DOMAINS rows
+            made = []
+            for d, rows in s.sort_values("sid").groupby("domain"):
+                tree = Tree.build(rows[["sx", "sy", "sz"]].to_numpy(), rows["sm"].to_numpy(), rows["sh"].to_numpy() if soft else None, rows["sid"].to_numpy(), cube=cube, depth=int(domains.depth[d]), leaf_capacity=leaf, order=order, kernel=kind)
+                made.append({"bundle": s["bundle"].iloc[0], "domain": d, **summary(tree), "tree": pickle.dumps(tree, 5)})
+            return pd.DataFrame(made)
+
+        placed = sources.mapInPandas(place, "sid long, sx double, sy double, sz double, sm double, sh double, domain long, bundle long")
+        root = "bundle long, domain long, n long, inner boolean, total double, com array<double>, hmax double, moments array<double>"
+        trees = placed.repartition(bundles, "bundle").groupBy("bundle").applyInPandas(build, f"{root}, tree binary").persist()
+        roots = {r["domain"]: r.asDict() for r in trees.drop("bundle", "tree").collect()}  # MOST_DOMAINS rows
         top, domain = domains.top([roots[i] for i in range(len(domains.start))], order, kind, soft)
         held = {i: r["n"] for i, r in roots.items()}
-        slice_of = np.cumsum([0] + [held[i] for i in range(len(held) - 1)]) // SLICE
-        return Forest(domains, trees, top, domain, held, n, slice_of)
+        slice_of = np.cumsum([0] + [held[i] for i in range(len(held) - 1)]) * -(-n // SLICE) // n
+        return Forest(domains, trees, top, domain, held, n, slice_of, bundles)
 
     def release(self) -> None:
         """Give the persisted trees up; they are built anew when needed."""
@@ -224,13 +232,16 @@ class Gravity:
     def tree(self, points: DataFrame | None = None, sums: Sequence[str] = SUMS) -> DataFrame:
         """The same by the tree: nodes seen under an angle below ``theta`` act through their moments."""
         give = _Given(self.g, sums)
-        placed, exchanged, shared = self._exchange(points)
+        placed, pairs, exchanged, shared, blocks = self._asked(points)
         theta, own = self.theta, points is None
         at = ["block"]
         if self.forest.slices > 1:
             at = ["block", "slice"]
-            wanted = exchanged.select("block", "slice").unionAll(placed.select("block", F.lit(-1).cast("long").alias("slice"))).distinct().toDF("_block", "_slice")
+            # Of the pairs, not of what is sent: that would be made twice.
+            wanted = pairs.select("block", "slice").unionAll(placed.select("block", F.lit(-1).cast("long").alias("slice"))).distinct().toDF("_block", "_slice")
             placed = placed.join(wanted, F.col("block") == F.col("_block")).withColumn("slice", F.col("_slice") + 0).drop("_block", "_slice")
+        # The few bytes of a block say nothing of its work: its task is not to be joined with others.
+        tasks = max(1, min(blocks * (1 if len(at) == 1 else self.forest.slices + 1), 16 * self.snap.df.sparkSession.sparkContext.defaultParallelism))
 
         def act(t: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
             if not len(t):
@@ -247,17 +258,22 @@ class Gravity:
             phi, acc = walk(top, domain, parts, t[["tx", "ty", "tz"]].to_numpy(), theta, t["pid"].to_numpy() if own else None, t["th"].to_numpy(), *give.what, above, whole)
             return give(t["pid"], phi, acc)
 
-        out = placed.groupBy(*at).cogroup(exchanged.groupBy(*at)).applyInPandas(act, give.schema)
+        out = placed.repartition(tasks, *at).groupBy(*at).cogroup(exchanged.repartition(tasks, *at).groupBy(*at)).applyInPandas(act, give.schema)
         return out if len(at) == 1 else _added(out)
 
     def _exchange(self, points: DataFrame | None) -> tuple[DataFrame, DataFrame, Any]:
-        """Targets with their ``block``; ``block, slice, domain, whole, part``: of each domain what a block's box can reach of it, where it is ``whole`` as rows of particles; and the tree above, broadcast.
+        placed, _, exchanged, shared, _ = self._asked(points)
+        return placed, exchanged, shared
+
+    def _asked(self, points: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame, Any, int]:
+        """Targets with their ``block``; the pairs of ``block`` and ``domain, slice`` it looks into; ``block, slice, domain, whole, part``: of each domain what a block's box can reach of it, where it is ``whole`` as rows of particles; the tree above, broadcast; and the number of blocks.
 
         A block is some of a domain's targets, or those of several domains on end.
         """
         spark, forest = self.snap.df.sparkSession, self.forest
         targets, theta, own, domains = self._targets(points), self.theta, points is None, forest.domains
         shared = spark.sparkContext.broadcast((forest.top, forest.domain))  # MOST_DOMAINS rows
+        bundles, slice_of = forest.bundles, forest.slice_of
 
         def locate(batches):
             for t in batches:
@@ -285,24 +301,25 @@ class Gravity:
             for b in batches:
                 for row, a, z, h in zip(b.itertuples(index=False), b[low].to_numpy(), b[high].to_numpy(), b["h"].to_numpy(), strict=True):
                     found = needed(*shared.value, a, z, h, theta, own)
-                    yield pd.DataFrame([row] * len(found), columns=b.columns).assign(domain=found) if len(found) else b.iloc[:0].assign(domain=np.zeros(0, np.int64))
+                    found = found.astype(np.int64)
+                    yield pd.DataFrame(np.repeat([row[1:]], len(found), 0), columns=b.columns[1:]).assign(block=row[0], domain=found, slice=slice_of[found], bundle=found * bundles // len(slice_of))
 
-        pairs = boxes.mapInPandas(look, "block long, lx double, ly double, lz double, hx double, hy double, hz double, h double, domain long")
+        pairs = boxes.mapInPandas(look, "block long, lx double, ly double, lz double, hx double, hy double, hz double, h double, domain long, slice long, bundle long")
 
-        slice_of = forest.slice_of
+        def send(trees: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+            out = [pd.DataFrame({"block": [], "slice": [], "domain": [], "whole": [], "part": []})]
+            tree_of = dict(zip(trees["domain"], trees["tree"], strict=True))
+            for d, some in asked.groupby("domain"):
+                tree = pickle.loads(tree_of[d])
+                lows, highs = some[low].to_numpy(), some[high].to_numpy()
+                whole = tree.all_near(lows, highs, theta)
+                rows = tree.rows() if whole.any() else b""
+                parts = [rows if w else pickle.dumps(tree.essential(a, z, h, theta, own), 5) for w, a, z, h in zip(whole, lows, highs, some["h"].to_numpy(), strict=True)]
+                out.append(some[["block", "slice", "domain"]].assign(whole=whole, part=parts))
+            return pd.concat(out[1:] or out)
 
-        def send(tree: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-            if not len(asked):
-                return pd.DataFrame({"block": [], "slice": [], "domain": [], "whole": [], "part": []})
-            tree_of = pickle.loads(tree["tree"].iloc[0])
-            lows, highs = asked[low].to_numpy(), asked[high].to_numpy()
-            whole = tree_of.all_near(lows, highs, theta)
-            rows = tree_of.rows() if whole.any() else b""
-            parts = [rows if w else pickle.dumps(tree_of.essential(a, z, h, theta, own), 5) for w, a, z, h in zip(whole, lows, highs, asked["h"].to_numpy(), strict=True)]
-            return pd.DataFrame({"block": asked["block"], "slice": slice_of[asked["domain"].to_numpy()], "domain": asked["domain"], "whole": whole, "part": parts})
-
-        exchanged = forest.trees.select("domain", "tree").groupBy("domain").cogroup(pairs.groupBy("domain")).applyInPandas(send, "block long, slice long, domain long, whole boolean, part binary")
-        return placed, exchanged, shared
+        exchanged = forest.trees.select("bundle", "domain", "tree").groupBy("bundle").cogroup(pairs.repartition(bundles, "bundle").groupBy("bundle")).applyInPandas(send, "block long, slice long, domain long, whole boolean, part binary")
+        return placed, pairs, exchanged, shared, int(chunks[np.unique(lead)].sum())
 
 
 class _Given:
@@ -331,7 +348,7 @@ def _added(parts: DataFrame) -> DataFrame:
 
 
 class Forest(NamedTuple):
-    """The domains, a row with each one's tree, the tree above with each node's domain, the particles of each domain and of all, and the slice of each domain: some ``SLICE`` particles on end."""
+    """The domains, a row with each one's tree, the tree above with each node's domain, the particles of each domain and of all, the slice of each domain (some ``SLICE`` particles on end), and the number of bundles that domains are kept in."""
 
     domains: Domains
     trees: DataFrame
@@ -340,6 +357,7 @@ class Forest(NamedTuple):
     held: dict[int, int]
     n: int
     slice_of: np.ndarray
+    bundles: int
 
     @property
     def slices(self) -> int:

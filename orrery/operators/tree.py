@@ -486,6 +486,8 @@ class Tree:
 
     def all_near(self, low: np.ndarray, high: np.ndarray, theta: float) -> np.ndarray:
         """For each box (a row of ``low`` and of ``high``) whether every place in it comes to every particle."""
+        if theta <= 0:
+            return np.ones(len(low), bool)
         node = np.flatnonzero((self.kind == INNER) & (self.total != 0))
         return np.array([bool(self.near_to_box(node, a, z, theta).all()) for a, z in zip(low, high, strict=True)], bool)
 

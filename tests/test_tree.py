@@ -233,3 +233,22 @@ def test_direct_pairs_are_many_for_the_cores(spark, monkeypatch):
     o.Gravity(o.from_arrays(spark, {"pos": pos, "mass": m})).direct()
     n = dealt[0]
     assert n * (n + 1) // 2 >= 16 * spark.sparkContext.defaultParallelism
+
+
+def test_domains_are_built_in_bundles_and_sent_once(spark, monkeypatch):
+    """Many small domains are few groups, slices are even, and the choice of slices does not need what is sent."""
+    from orrery.operators import gravity
+
+    monkeypatch.setattr(gravity, "SLICE", 400)
+    pos, m, h = cloud(500, 6)
+    g = o.Gravity(o.from_arrays(spark, {"pos": pos, "mass": m, "eps": h}), "eps", "plummer", theta=0.0, cell=4)
+    out = g.tree(sums=("phi",))
+    domains, held = len(g.forest.domains.start), np.array([g.forest.held[i] for i in range(len(g.forest.held))])
+    assert domains > 100 and g.forest.trees.select("bundle").distinct().count() == g.forest.bundles <= 4 * spark.sparkContext.defaultParallelism
+    assert g.forest.slices == 2 and np.bincount(g.forest.slice_of, held).min() > 200
+    want = Tree.build(pos, m, h, np.arange(500), kernel="plummer").evaluate(pos, 0.0, np.arange(500), h)[0]
+    assert np.allclose(out.orderBy("pid").toPandas()["phi"], want, rtol=1e-11)
+    # One exchange of what is sent: its plan holds the call that makes it once.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInPandas") == 2
+    g.release()
