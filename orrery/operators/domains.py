@@ -111,16 +111,16 @@ def needed(top: Tree, domain: np.ndarray, low: np.ndarray, high: np.ndarray, h:
     return np.concatenate(out) if out else np.zeros(0, int)
 
 
-def walk(top: Tree, domain: np.ndarray, parts: dict[int, Tree], targets: np.ndarray, theta: float, own: np.ndarray | None, h: np.ndarray, potential: bool = True, force: bool = True, above: bool = True, whole: dict[int, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Potential and acceleration at the targets: the tree above (if ``above``), and below it the parts that were sent. Of parts that are sent ``whole`` (rows of x, y, z, mass, softening, id) each particle acts."""
+def walk(top: Tree, domain: np.ndarray, parts: dict[int, Tree], targets: np.ndarray, theta: float, own: np.ndarray | None, h: np.ndarray, potential: bool = True, force: bool = True, above: bool = True, whole: dict[int, np.ndarray] | None = None, pull: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Potential and acceleration at the targets: the tree above (if ``above``), and below it the parts that were sent. Of parts that are sent ``whole`` (rows of x, y, z, mass, softening, id) each particle acts. ``pull``: see ``Tree.evaluate``."""
     whole = whole or {}
-    phi, acc, met, t, d = _above(top, domain, targets, theta, own, h, potential, force, above)
+    phi, acc, met, t, d = _above(top, domain, targets, theta, own, h, potential, force, above, pull)
     raw = [whole[i] for i in met.tolist() if i in whole]
     if raw:
         _each(top, phi, acc, slice(None), targets, own, h, np.concatenate(raw), potential, force)
     for i in met.tolist():
         if i in parts:
-            p, a = parts[i].evaluate(targets, theta, own, h, potential, force)
+            p, a = parts[i].evaluate(targets, theta, own, h, potential, force, pull)
             phi += p
             acc += a
     by = np.argsort(d, kind="stable")
@@ -131,9 +131,12 @@ def walk(top: Tree, domain: np.ndarray, parts: dict[int, Tree], targets: np.ndar
         if i in whole:
             _each(top, phi, acc, some, targets, own, h, whole[i], potential, force)
         elif i in parts:
-            p, a = parts[i].evaluate(targets[some], theta, None if own is None else own[some], h[some], potential, force)
+            pulled = None if pull is None else np.zeros(len(some))
+            p, a = parts[i].evaluate(targets[some], theta, None if own is None else own[some], h[some], potential, force, pulled)
             phi[some] += p
             acc[some] += a
+            if pull is not None:
+                pull[some] += pulled
     return phi, acc
 
 
@@ -144,7 +147,7 @@ def _each(top: Tree, phi, acc, some, targets, own, h, rows, potential, force) ->
     acc[some] += a
 
 
-def _above(top: Tree, domain: np.ndarray, targets: np.ndarray, theta: float, own: np.ndarray | None, h: np.ndarray, potential: bool, force: bool, sums: bool) -> tuple[np.ndarray, ...]:
+def _above(top: Tree, domain: np.ndarray, targets: np.ndarray, theta: float, own: np.ndarray | None, h: np.ndarray, potential: bool, force: bool, sums: bool, pull: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """The sums over nodes above that are far; the domains into which all targets look; target and domain where but some do."""
     n = len(targets)
     phi, acc = np.zeros(n), np.zeros((n, 3))
@@ -155,7 +158,7 @@ def _above(top: Tree, domain: np.ndarray, targets: np.ndarray, theta: float, own
     while len(node):
         far, leaf, near, each = top.sort_out(node, low, high, most, theta, is_own)
         for t, some in pairs_of(n if sums else 0, far):
-            top._far(phi, acc, t, some, top.com[some] - targets[t], potential, force)
+            top._far(phi, acc, t, some, top.com[some] - targets[t], potential, force, pull)
         # A domain's root on which each target decides: its part has it too.
         met += [domain[x[domain[x] >= 0]] for x in (leaf, near, each)]
         mixed.append(each[domain[each] < 0])
@@ -168,7 +171,7 @@ def _above(top: Tree, domain: np.ndarray, targets: np.ndarray, theta: float, own
         t, node = t[alive], node[alive]
         far, d = top.far(targets, t, node, theta, h, is_own)
         if sums:
-            top._far(phi, acc, t[far], node[far], d[far], potential, force)
+            top._far(phi, acc, t[far], node[far], d[far], potential, force, pull)
         t, node = t[~far], node[~far]
         root = domain[node] >= 0
         t_met.append(t[root])

@@ -19,7 +19,7 @@ import math
 import pickle
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 from typing import Any, NamedTuple
 
 import numpy as np
@@ -48,6 +48,9 @@ MOST_DOMAINS = 100_000
 PER_CORE = 4
 #: Blocks of targets in a domain.
 CHUNKS = 2**20
+#: A target walks again if its net acceleration is below this share of the pulls of far nodes, for ``ANGLES`` in turn (shares of ``theta``; the bound goes with their square, as the errors do at least).
+CANCEL = 0.05
+ANGLES = (1.0, 1 / 3, 0.0)
 KERNELS = ("newton", "plummer", "spline")
 SUMS = ("phi", "ax", "ay", "az")
 
@@ -201,7 +204,9 @@ class Gravity:
         return Forest(domains, trees, top, domain, held, n, slice_of, bundles)
 
     def release(self) -> None:
-        """Give the persisted trees up; they are built anew when needed."""
+        """Give the persisted trees and sums up; they are made anew when needed."""
+        for out in self.__dict__.pop("walked", []):
+            out.unpersist()
         if "forest" in self.__dict__:
             self.__dict__.pop("forest").trees.unpersist()
 
@@ -230,10 +235,37 @@ class Gravity:
             top, depth = depth, min(depth + STEP, DEPTH)
 
     def tree(self, points: DataFrame | None = None, sums: Sequence[str] = SUMS) -> DataFrame:
-        """The same by the tree: nodes seen under an angle below ``theta`` act through their moments."""
+        """The same by the tree: nodes seen under an angle below ``theta`` act through their moments.
+
+        The errors of far nodes go with their pulls. Where these cancel to a net acceleration below ``CANCEL`` of
+        their sum, little of it may be right: such targets walk again under a smaller angle, and what
+        still cancels too far for that angle meets every particle.
+        """
+        _Given(self.g, sums)
+        targets, own = self._targets(points), points is None
+        if self.theta <= 0 or set(sums) <= {"phi"}:
+            return self._walked(targets, own, self.theta, sums)
+        done, wanted = [], tuple(c for c in SUMS if c in sums or c != "phi")
+        for k, part in enumerate(ANGLES):
+            out = self._walked(targets, own, self.theta * part, wanted if part <= 0 else (*wanted, "pull"), k > 0)
+            if part > 0:
+                self.__dict__.setdefault("walked", []).append(out.persist())
+                net = F.sqrt(sum(F.col(c) ** 2 for c in SUMS[1:]))
+                few = out.where(net < CANCEL * part * part * F.col("pull")).select("pid").distinct()
+                if few.isEmpty():
+                    few = None
+                else:
+                    targets = targets.join(few, "pid", "left_semi")
+                    out = out.join(few, "pid", "left_anti")
+            done.append(out.select("pid", *sums))
+            if part <= 0 or few is None:
+                return reduce(DataFrame.unionAll, done)
+        raise AssertionError("the last angle is 0")
+
+    def _walked(self, targets: DataFrame, own: bool, theta: float, sums: Sequence[str], again: bool = False) -> DataFrame:
+        """``pid`` and ``sums`` by one walk; ``pull``: how much far nodes pull in all."""
         give = _Given(self.g, sums)
-        placed, pairs, exchanged, shared, blocks = self._asked(points)
-        theta, own = self.theta, points is None
+        placed, pairs, exchanged, shared, blocks = self._asked(targets, own, theta, again)
         at = ["block"]
         if self.forest.slices > 1:
             at = ["block", "slice"]
@@ -255,23 +287,23 @@ class Gravity:
                     parts[int(d)] = pickle.loads(b)
             # Of several slices the one without parts gives what is above them.
             above = len(at) == 1 or bool((t["slice"] == -1).iloc[0])
-            phi, acc = walk(top, domain, parts, t[["tx", "ty", "tz"]].to_numpy(), theta, t["pid"].to_numpy() if own else None, t["th"].to_numpy(), *give.what, above, whole)
-            return give(t["pid"], phi, acc)
+            phi, acc = walk(top, domain, parts, t[["tx", "ty", "tz"]].to_numpy(), theta, t["pid"].to_numpy() if own else None, t["th"].to_numpy(), *give.what, above, whole, pull := np.zeros(len(t)))
+            return give(t["pid"], phi, acc, pull)
 
         out = placed.repartition(tasks, *at).groupBy(*at).cogroup(exchanged.repartition(tasks, *at).groupBy(*at)).applyInPandas(act, give.schema)
         return out if len(at) == 1 else _added(out)
 
     def _exchange(self, points: DataFrame | None) -> tuple[DataFrame, DataFrame, Any]:
-        placed, _, exchanged, shared, _ = self._asked(points)
+        placed, _, exchanged, shared, _ = self._asked(self._targets(points), points is None, self.theta)
         return placed, exchanged, shared
 
-    def _asked(self, points: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame, Any, int]:
+    def _asked(self, targets: DataFrame, own: bool, theta: float, again: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, Any, int]:
         """Targets with their ``block``; the pairs of ``block`` and ``domain, slice`` it looks into; ``block, slice, domain, whole, part``: of each domain what a block's box can reach of it, where it is ``whole`` as rows of particles; the tree above, broadcast; and the number of blocks.
 
-        A block is some of a domain's targets, or those of several domains on end.
+        A block is some of a domain's targets, or those of several domains on end. ``again``: the targets are some of all.
         """
         spark, forest = self.snap.df.sparkSession, self.forest
-        targets, theta, own, domains = self._targets(points), self.theta, points is None, forest.domains
+        domains = forest.domains
         shared = spark.sparkContext.broadcast((forest.top, forest.domain))  # MOST_DOMAINS rows
         bundles, slice_of = forest.bundles, forest.slice_of
 
@@ -280,11 +312,11 @@ class Gravity:
                 yield t.assign(block=domains.of_points(t[["tx", "ty", "tz"]].to_numpy()))
 
         located = targets.mapInPandas(locate, "pid long, tx double, ty double, tz double, th double, block long")
-        held = forest.held if own else {r["block"]: r["count"] for r in located.groupBy("block").count().collect()}  # MOST_DOMAINS rows
+        held = forest.held if own and not again else {r["block"]: r["count"] for r in located.groupBy("block").count().collect()}  # MOST_DOMAINS rows
         n = sum(held.values())
         # A block holds as many targets as a domain has particles; under small angles it looks into most domains anyway, and takes the targets of several. Few targets are shared by all cores.
         wide = BLOCK if theta <= 0 else min(BLOCK, max(FEWEST, self.cell * (WIDE / theta) ** 3))
-        most = max(1, min(max(self.cell, int(wide), -(-n // MOST_DOMAINS)), -(-n // (4 * spark.sparkContext.defaultParallelism))))
+        most = max(1, min(max(self.cell, int(wide), -(-n // MOST_DOMAINS)), -(-n // ((1 if again else 4) * spark.sparkContext.defaultParallelism))))
         lead, chunks = dealt(np.array([held.get(i, 0) for i in range(len(domains.start))], np.int64), most)
 
         def deal(batches):
@@ -326,14 +358,14 @@ class _Given:
     """The sums asked for: whether potentials and accelerations are to be computed, and the rows that give them."""
 
     def __init__(self, g: float, sums: Sequence[str]) -> None:
-        if not sums or set(sums) - set(SUMS):
+        if not sums or set(sums) - {*SUMS, "pull"}:
             raise ValueError(f"sums are some of {SUMS}")
         self.g, self.sums = g, tuple(sums)
-        self.what = "phi" in sums, bool(set(sums) - {"phi"})
+        self.what = "phi" in sums, bool(set(sums) & set(SUMS[1:]))
         self.schema = ", ".join(["pid long", *[f"{c} double" for c in sums]])
 
-    def __call__(self, ids: Any, phi: np.ndarray, acc: np.ndarray) -> pd.DataFrame:
-        of = {"phi": phi, **dict(zip(SUMS[1:], acc.T, strict=True))}
+    def __call__(self, ids: Any, phi: np.ndarray, acc: np.ndarray, pull: np.ndarray | None = None) -> pd.DataFrame:
+        of = {"phi": phi, **dict(zip(SUMS[1:], acc.T, strict=True)), "pull": pull}
         return pd.DataFrame({"pid": ids, **{c: self.g * of[c] for c in self.sums}})
 
 

@@ -527,8 +527,8 @@ class Tree:
         soft = (np.maximum(self.hmax[node], h[t]) if own else self.hmax[node]) * self.reach
         return (self.kind[node] != LEAF) & ((2 * self.half[node]) ** 2 < theta * theta * r2) & (r2 > soft * soft), d
 
-    def evaluate(self, targets: np.ndarray, theta: float, own: np.ndarray | None = None, h: np.ndarray | None = None, potential: bool = True, force: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        """Potential and acceleration at the targets; ``own``: their ids, if they are the particles themselves.
+    def evaluate(self, targets: np.ndarray, theta: float, own: np.ndarray | None = None, h: np.ndarray | None = None, potential: bool = True, force: bool = True, pull: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Potential and acceleration at the targets; ``own``: their ids, if they are the particles themselves. To ``pull`` is added how much far nodes pull in all, whatever their directions.
 
         The box of all targets walks first. Where it leaves a node open to decision each target walks on by itself; of such pairs no more than some ``PAIRS`` are held.
         """
@@ -542,7 +542,7 @@ class Tree:
         while len(node):
             far, leaf, near, each = self.sort_out(node, low, high, most, theta, own is not None)
             for t, some in pairs_of(n, far):
-                self._far(phi, acc, t, some, self.com[some] - targets[t], potential, force)
+                self._far(phi, acc, t, some, self.com[some] - targets[t], potential, force, pull)
             leaves.append(leaf)
             mixed.append(each)
             node = self.below(near)
@@ -560,13 +560,13 @@ class Tree:
             far, d = self.far(targets, t, node, theta, h, own is not None)
             if (self.kind[node][~far] == CLOSED).any():
                 raise AssertionError("a node is closed that a target opens")
-            self._far(phi, acc, t[far], node[far], d[far], potential, force)
+            self._far(phi, acc, t[far], node[far], d[far], potential, force, pull)
             self._leaves(phi, acc, targets, t[leaf], node[leaf], own, h)
             rest = ~far & ~leaf
             todo += parted(np.repeat(t[rest], self.kids[node[rest]]), self.below(node[rest]))
         return phi, acc
 
-    def _far(self, phi, acc, t, node, d, potential: bool = True, force: bool = True, block: int = 50_000) -> None:
+    def _far(self, phi, acc, t, node, d, potential: bool = True, force: bool = True, pull: np.ndarray | None = None, block: int = 50_000) -> None:
         """Taylor series about the centre of mass: coefficients of 1/r by their three-term recurrence. From order 3 on the acceleration is the gradient of all that the potential has; below it is that of the mass alone."""
         full = self.order if self.order > 1 else 0
         forces = self.order if self.order > 2 else 0
@@ -593,6 +593,8 @@ class Tree:
                 for i in range(3 if force and sum(k) <= forces else 0):
                     f[i] -= m[c] * (k[i] + 1) * a[tuple(v + (j == i) for j, v in enumerate(k))]
             add_up(phi, acc, tt, p, f.T)
+            if pull is not None:
+                pull += np.bincount(tt, np.abs(self.total[nn]) / r2, len(pull))
 
     def _leaves(self, phi, acc, targets, t, node, own, h, block: int = 200_000) -> None:
         k = self.end[node] - self.start[node]

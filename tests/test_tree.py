@@ -252,3 +252,28 @@ def test_domains_are_built_in_bundles_and_sent_once(spark, monkeypatch):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("FlatMapCoGroupsInPandas") == 2
     g.release()
+
+
+@pytest.mark.parametrize("order", [0, 3, 5])
+def test_targets_whose_pulls_cancel_walk_again(spark, order):
+    """In the middle of a cloud next to nothing is left of the pulls: the error goes with what is left, not with them."""
+    rng = np.random.default_rng(8)
+    pos, none = 3 * rng.normal(size=(1500, 3)), np.zeros(1500)
+    s = o.from_arrays(spark, {"pos": pos, "mass": np.ones(1500)})
+    pulls = lambda x: pair_sums(x, none[: len(x)], pos, np.ones(1500), none, "newton", False, False)[1]
+    middle = np.zeros((1, 3))
+    for _ in range(60):  # Newton's steps, held short, to where nothing is left
+        slope = np.stack([(pulls(middle + e) - pulls(middle - e))[0] / 2e-5 for e in 1e-5 * np.eye(3)], 1)
+        step = -np.linalg.solve(slope, pulls(middle)[0])
+        middle = middle + step * min(1.0, 0.05 / np.linalg.norm(step))
+    at = np.concatenate([middle + 1e-4 * rng.normal(size=(6, 3)), 3.0 * rng.normal(size=(6, 3)), middle])
+    points = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(at)], "pid long, x double, y double, z double")
+    g = o.Gravity(s, theta=0.9, multipole_order=order, cell=100)
+    got, want = (f(points).orderBy("pid").toPandas() for f in (g.tree, g.direct))
+    assert got["pid"].tolist() == list(range(13)) and got.columns.tolist() == ["pid", "phi", "ax", "ay", "az"]
+    a, b = (x[["ax", "ay", "az"]].to_numpy() for x in (got, want))
+    size = np.sqrt((b * b).sum(1))
+    assert size[:6].max() < 0.01 * size[6:12].min()
+    assert (np.sqrt(((a - b) ** 2).sum(1)) <= {0: 0.2, 3: 0.05, 5: 0.02}[order] * size + 1e-9).all()
+    assert g.tree(points, ("ay",)).columns == ["pid", "ay"]
+    g.release()
