@@ -15,6 +15,9 @@ with one end token. Every word of the training texts gets a class from its own n
 The model is P(class | class before) P(word | class), both smoothed, with class bigrams of all
 tokens; a score is its log10 over a text.
 
+Texts are read twice to learn: once to count words, once to put codes in place of them. The
+steps that follow read the codes, and of words that workers do not hold the letters.
+
 Bounded by parameters, whatever the corpus: the classes, the symbols that make them, and the
 table of words that workers hold. Classes and log counts of all other words come from a
 shuffled table, so every word has its own and every count is exact.
@@ -37,11 +40,13 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import ship, stage
+from .store import drop, ship, stage
 
 FLUSH = 1_000_000
 #: Held words whose neighbour counts are one row.
 BLOCK = 128
+#: Rows that are scored together: what workers hold of their words is bounded by it.
+ROWS = 1000
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -75,7 +80,7 @@ class Symbols(dict):
 
     def __init__(self, held: list[bytes], endings: int):
         super().__init__((w, i) for i, w in enumerate(held))
-        self.first, self.endings, self.most = len(held), endings, len(held) + 300_000
+        self.first, self.endings, self.most = len(held), endings, len(held) + 30_000  # few of the others are met again, and idle workers keep them
         self.own = dict(self)
 
     def __missing__(self, word: bytes) -> int:
@@ -85,7 +90,7 @@ class Symbols(dict):
         got = self[word] = self.first + zlib.crc32(word[-3:]) % self.endings
         return got
 
-    def runs(self, column: pa.Array, most: int = 200_000) -> Iterator[Run]:
+    def runs(self, column: pa.Array, most: int = 100_000) -> Iterator[Run]:
         """Texts in runs of some ``most`` words, each of which is one array of codes."""
         texts, held = [], 0
         for ws in _texts(column):
@@ -116,6 +121,42 @@ class Run:
         return np.add.reduceat(values, self.ends[:-1])
 
 
+def _blobs(data: bytes | np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary column whose values are the stretches of ``data`` up to each end."""
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends]).astype("<i4").tobytes()), pa.py_buffer(data)])
+
+
+def _bytes(column: pa.BinaryArray) -> tuple[np.ndarray, pa.Buffer | bytes]:
+    """The offsets of a binary column's values and the bytes they are in."""
+    column = column.cast(pa.binary())
+    _, offsets, data = column.buffers()
+    return np.frombuffer(offsets, "<i4")[column.offset : column.offset + len(column) + 1].astype(np.int64), data or b""
+
+
+def coded(run: Run, held: int) -> list[pa.Array]:
+    """Of each text of a run the codes with its end, and its words that are not held, each with a blank behind it."""
+    other = np.flatnonzero((run.codes >= held) & (run.place >= 0))
+    words = [run.words[i] for i in run.place[other].tolist()]
+    sizes = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
+    return [_blobs(run.codes[1:].astype("<i4").tobytes(), 4 * run.ends[1:]), _blobs(b"".join([w + b" " for w in words]), sizes[np.searchsorted(other, run.ends[1:])])]
+
+
+def decoded(codes: pa.BinaryArray, others: pa.BinaryArray | None = None, most: int = 100_000) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Texts in runs of some ``most`` codes, with an end before, between and after them, and their words that are not held."""
+    if not len(codes):
+        return
+    at, data = _bytes(codes)
+    of_words, letters = _bytes(others) if others is not None else (None, b"")
+    flat = np.frombuffer(data, "<i4", at[-1] // 4)
+    lo = 0
+    while lo < len(codes):
+        hi = min(int(np.searchsorted(at, at[lo] + 4 * most, "left")), len(codes))
+        part = flat[at[lo] // 4 : at[hi] // 4]
+        words = memoryview(letters)[of_words[lo] : of_words[hi]].tobytes().split() if others is not None else []
+        yield np.concatenate([part[-1:], part]).astype(np.int64), words
+        lo = hi
+
+
 def _phi(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
@@ -208,15 +249,15 @@ class ClassLM:
         shared = self.spark.sparkContext.broadcast(symbols)
         # Of each code: the symbol that makes the classes.
         core = np.array([*range(own), *(own + zlib.crc32(w[-3:]) % endings for w, _ in top[own:]), *range(own, own + endings + 1)], np.int64)
-        pairs = self._symbol_pairs(texts, shared, core, own + endings + 1)
+        codes, pairs = self._coded(texts, shared, core, held, own + endings + 1)
         of = exchange(pairs, classes, passes)[core]
         ends = int(pairs[:, -1].sum())
         self.n, self.v = int(words) + ends, int(types) + (ends > 0)
         if held > own:
             member = np.zeros((len(pairs), every))
             member[core, of] = 1
-            of = self._place_held(texts, shared, of, own, held, member.T @ pairs @ member)
-        table, n_types = self._place_others(texts, shared, of, held, every)
+            of = self._place_held(codes, of, own, held, member.T @ pairs @ member)
+        table, n_types = self._place_others(codes, endings, of, held, every)
         n_types += np.bincount(of[:held], minlength=every)
         uses = table.sum(0)
         alone = (uses + 1) / (uses.sum() + every)
@@ -227,38 +268,44 @@ class ClassLM:
         self._worker = (symbols, of, step, under, np.array([c for _, c in top], np.int64), ends)
 
     @staticmethod
-    def _symbol_pairs(texts: DataFrame, shared: Broadcast, core: np.ndarray, size: int) -> np.ndarray:
-        def pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def _coded(texts: DataFrame, shared: Broadcast, core: np.ndarray, held: int, size: int) -> tuple[DataFrame, np.ndarray]:
+        """``codes, others`` (``coded``) for each text; and the counts of pairs of symbols, which the same pass makes."""
+        names = ["codes", "others", "before", "counts"]
+
+        def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sym, total = shared.value, np.zeros(size * size, np.int64)
             for b in batches:
                 for run in sym.runs(b.column(0)):
                     s = core[run.codes]
                     total += np.bincount(s[:-1] * size + s[1:], minlength=size * size)
+                    found = coded(run, held)
+                    yield pa.RecordBatch.from_arrays([*found, pa.nulls(len(found[0]), pa.int64()), pa.nulls(len(found[0]), pa.binary())], names=names)
+            pa.default_memory_pool().release_unused()
             rows = total.reshape(size, size)
             some = np.flatnonzero(rows.any(1))
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([zlib.compress(rows[i].tobytes(), 1) for i in some], pa.binary())], names=["before", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.binary()), pa.nulls(len(some), pa.binary()), pa.array(some, pa.int64()), pa.array([zlib.compress(rows[i].tobytes(), 1) for i in some], pa.binary())], names=names)
 
         def summed(table: pa.Table) -> pa.Table:
             total = sum(np.frombuffer(zlib.decompress(x.as_py()), np.int64) for x in table.column("counts"))
             return pa.table({"before": pa.array([table.column("before")[0].as_py()], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
 
         schema = "before long, counts binary"
+        made = stage(texts.mapInArrow(put, f"codes binary, others binary, {schema}"), "codes")
         pairs = np.zeros((size, size), np.int64)
-        for r in texts.mapInArrow(pair_counts, schema).groupBy("before").applyInArrow(summed, schema).collect():  # bounded: one row a symbol
+        for r in made.where("before is not null").select("before", "counts").groupBy("before").applyInArrow(summed, schema).collect():  # bounded: one row a symbol
             pairs[r["before"]] = np.frombuffer(r["counts"], np.int64)
-        return pairs
+        return made, pairs
 
     @staticmethod
-    def _place_held(texts: DataFrame, shared: Broadcast, of: np.ndarray, own: int, held: int, table: np.ndarray) -> np.ndarray:
+    def _place_held(codes: DataFrame, of: np.ndarray, own: int, held: int, table: np.ndarray) -> np.ndarray:
         """The classes of codes, with those of the held words after the first ``own`` chosen anew."""
         every = len(table)
         width = 2 * every  # classes after, classes before
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sym, total, one = shared.value, np.zeros((held - own) * width, np.int32), np.int32(1)
+            total, one = np.zeros((held - own) * width, np.int32), np.int32(1)
             for b in batches:
-                for run in sym.runs(b.column(0)):
-                    s = run.codes
+                for s, _ in decoded(b.column(0)):
                     p = np.flatnonzero((s >= own) & (s < held))
                     at, c = (s[p] - own) * width, of[s]
                     np.add.at(total, at + c[p + 1], one)
@@ -278,17 +325,17 @@ class ClassLM:
             got = choose(total[:, 0], total[:, 1], of[own + first : own + first + n], table)
             return pa.table({"code": pa.array(np.arange(n) + own + first, pa.int64()), "class": pa.array(got, pa.int64())})
 
-        found = texts.mapInArrow(near, "first long, counts binary").groupBy("first").applyInArrow(chosen, "code long, class long").toArrow()  # bounded: the held words
+        found = codes.where("codes is not null").select("codes").mapInArrow(near, "first long, counts binary").groupBy("first").applyInArrow(chosen, "code long, class long").toArrow()  # bounded: the held words
         out = of.copy()
         out[found.column("code").to_numpy()] = found.column("class").to_numpy()
         return out
 
-    def _place_others(self, texts: DataFrame, shared: Broadcast, of: np.ndarray, held: int, every: int) -> tuple[np.ndarray, np.ndarray]:
+    def _place_others(self, codes: DataFrame, endings: int, of: np.ndarray, held: int, every: int) -> tuple[np.ndarray, np.ndarray]:
         """Makes ``others`` (word, c, class: the words that are not held); the class bigrams of all tokens, and how many of these words each class has."""
         cells, wide = every * every, 2 * every  # a neighbour that is not held has every + the class of its ending
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sym, total = shared.value, np.zeros(2 * cells, np.int64)
+            total = np.zeros(2 * cells, np.int64)
             end = len(of) - 1
             words, nexts, keys = [], [], []
 
@@ -301,8 +348,7 @@ class ClassLM:
                 return got
 
             for b in batches:
-                for run in sym.runs(b.column(0)):
-                    s = run.codes
+                for s, ws in decoded(b.column(0), b.column(1)):
                     c, other = of[s], (s >= held) & (s < end)
                     bigram = c[:-1] * every + c[1:]
                     total[:cells] += np.bincount(bigram, minlength=cells)
@@ -310,8 +356,8 @@ class ClassLM:
                     p = np.flatnonzero(other)
                     if len(p):
                         c = c + every * other
-                        words += [run.words[i] for i in run.place[p].tolist()]
-                        nexts += [run.words[i] if both else None for i, both in zip(run.place[p + 1].tolist(), other[p + 1].tolist(), strict=True)]
+                        words += ws
+                        nexts += [w if both else None for w, both in zip([*ws[1:], None], other[p + 1].tolist(), strict=True)]
                         keys.append(c[p - 1] * wide + c[p + 1])
                     if len(words) > FLUSH // 4:
                         yield out()
@@ -319,12 +365,12 @@ class ClassLM:
             yield out()
             yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.binary()), pa.nulls(len(some), pa.binary()), pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["word", "next", "key", "n"])
 
-        raw = stage(texts.mapInArrow(near, "word binary, next binary, key long, n long"), "near")
+        raw = stage(codes.where("codes is not null").select("codes", "others").mapInArrow(near, "word binary, next binary, key long, n long"), "near")
+        drop(self.spark, "codes")
         total = np.zeros(2 * cells)
         for r in raw.where("word is null").groupBy("key").agg(F.sum("n").alias("n")).collect():  # bounded: pairs of classes
             total[r["key"]] = r["n"]
         before, table = total.reshape(2, every, every)
-        endings = shared.value.endings
 
         def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for big in batches:
@@ -361,6 +407,7 @@ class ClassLM:
         n_types = np.zeros(every)
         for r in self.others.groupBy("class").agg(F.count("*").alias("n")).collect():
             n_types[r["class"]] = r["n"]
+        drop(self.spark, "near")
         return table, n_types
 
     def _frequent(self, known: int) -> list[tuple[bytes, int]]:
@@ -386,7 +433,7 @@ class ClassLM:
             logs = np.log10(counts + 1.0)
             base_under = np.log10(n + v + 1.0)
             held, end = len(counts), len(of) - 1
-            for b in batches:
+            for b in (big.slice(lo, ROWS) for big in batches for lo in range(0, big.num_rows, ROWS)):
                 scored, beside, words, times, numbers, endings, sizes = [], [], [], [], [], [], [0]
                 for run_ in symbols.runs(b.column(1)):
                     s = run_.codes
@@ -433,6 +480,7 @@ class ClassLM:
                 each = pa.StructArray.from_arrays([pa.array(words, pa.binary()), *map(pa.array, flat)], names=["word", "times", "number", "ending"])
                 cols = [pa.array(np.concatenate([np.empty(0, k), *x]).astype(k)) for x, k in zip(zip(*scored, strict=True) if scored else [()] * 4, (np.int64, np.int64, float, float), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array(beside, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), each)], names=["id", "n_tokens", "n_known", "base", "score", "beside", "rare"])
+            pa.default_memory_pool().release_unused()
 
         def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, _, step, under, _, _ = shared.value

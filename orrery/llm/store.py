@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 
-__all__ = ["delete", "drop_staged", "fresh_name", "hashed_sample", "partitions", "shared_dir", "ship", "stage", "stage_only"]
+__all__ = ["delete", "drop", "drop_staged", "fresh_name", "hashed_sample", "partitions", "shared_dir", "ship", "stage", "stage_only"]
 
 
 _own: dict[str, str] = {}
@@ -65,6 +65,13 @@ def delete(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+def drop(spark: SparkSession, label: str) -> None:
+    """Delete the table staged last under a label, when nothing reads it any more."""
+    path = next(p for p in reversed(_staged) if f"/orrery_{label}_" in p)
+    delete(spark, path)
+    _staged.remove(path)
+
+
 def drop_staged(spark: SparkSession, since: int = 0, but: tuple[str, ...] = ()) -> None:
     """Delete the tables staged so far, from the ``since``-th on and but for some. Frames made from them must have been written before."""
     delete(spark, *[p for p in _staged[since:] if p not in but])

@@ -3,9 +3,11 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from orrery.llm.class_lm import ClassLM, Symbols, exchange
+from orrery.llm.class_lm import ClassLM, Symbols, coded, decoded, exchange
 from orrery.llm.html_text import extract
 from orrery.llm.vector_dedup import near_vectors
 
@@ -44,6 +46,33 @@ def test_every_word_has_a_class_of_its_own_counts(spark, known):
         assert got[i].score == pytest.approx(want) and got[i].n_known == sum(w in c for w in ws) + 1
 
 
+def test_class_lm_reads_its_texts_twice(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(t):
+        read.add(1)
+        return t
+
+    texts = ["a b c", "b a  RARE rarer a", "", None, "c rarer", "last a b\n c"] * 3
+    model = ClassLM(spark.createDataFrame([(t,) for t in texts], "text string").select(seen.asNondeterministic()("text")), clustered=2, endings=4, classes=2, known=3)
+    assert read.value == 2 * len(texts)
+    assert {bytes(r["word"]): r["c"] for r in model.others.collect()} == {b"rare": 3, b"last": 3, b"rarer": 6} and model.n == 14 * 3 + len(texts)
+
+
+@pytest.mark.parametrize("most", [1, 5, 1000])
+def test_codes_of_texts_are_read_back(most):
+    symbols = Symbols([b"a", b"b"], 4)
+    column = pa.array(["a x b", None, "", "y", "b zz\u00a0 a"], pa.string())
+    run = next(symbols.runs(column))
+    codes, others = coded(run, 2)
+    for lo, n in ((0, 5), (1, 4), (3, 1), (0, 0)):
+        want = list(symbols.runs(column.slice(lo, n)))
+        got = list(decoded(codes.slice(lo, n), others.slice(lo, n), most))
+        assert [c for s, _ in got for c in s[1:]] == [c for r in want for c in r.codes[1:]] and all(s[0] == s[-1] == 6 for s, _ in got)
+        assert [w for _, ws in got for w in ws] == [w for r in want for w in r.words if w not in symbols.own]
+
+
 def test_exchange_ends_where_no_move_gains():
     rng = np.random.default_rng(8)
     pairs = rng.poisson(np.exp(rng.normal(0, 1.5, (61, 61))))
